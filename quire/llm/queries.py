@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact, mixing, simhash, warc
+from quire.llm import exact, lines, mixing, simhash, warc
 from quire.llm.text import read
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_exact_dedup, op7_warc, op8_mixing)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_simhash_near_dedup, op6_exact_dedup, op7_warc, op8_mixing)}
 
 
 EXACT = """
@@ -39,5 +43,39 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+LINES = """
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line
+  FROM documents
+), l AS (
+  SELECT doc_id, line, trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t,
+    row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos
+  FROM parts WHERE trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
+), pairs AS (
+  SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l
+), marked AS (
+  SELECT *,
+    length(t) >= 100 AND row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) > 1 AS single,
+    nxt IS NOT NULL AND row_number() OVER (PARTITION BY t, nxt ORDER BY doc_id, pos) > 1 AS double
+  FROM pairs
+), covered AS (
+  SELECT doc_id, line, single OR double OR coalesce(lag(double) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM marked
+), removed AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM covered WHERE gone GROUP BY doc_id
+), seqs AS (
+  SELECT doc_id, list(md5(t) ORDER BY pos) AS s, count(*) AS n FROM l GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, d.depth, md5(array_to_string(list_slice(s, p.i, p.i + d.depth - 1), '')) AS run
+  FROM seqs, (SELECT CAST(2 ** k AS BIGINT) AS depth FROM (SELECT unnest(generate_series(0, 12)) AS k)) d, LATERAL (SELECT unnest(generate_series(1, n - d.depth + 1)) AS i) p
+), repeated AS (
+  SELECT doc_id, depth, count(*) OVER (PARTITION BY depth, run) AS n FROM runs
+), deepest AS (
+  SELECT doc_id, max(depth) AS deepest FROM repeated WHERE n > 1 GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(deepest, 0) AS deepest
+FROM documents d LEFT JOIN seqs s USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN deepest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT}
+    return {"op3_line_dedup": LINES, "op6_exact_dedup": EXACT}
