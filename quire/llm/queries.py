@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact, lines, mixing, simhash, warc
+from quire.llm import exact, lines, mixing, sentencepiece_codec, simhash, warc
 from quire.llm.text import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_simhash_near_dedup, op6_exact_dedup, op7_warc, op8_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op4_simhash_near_dedup, op6_exact_dedup, op7_warc, op8_mixing)}
 
 
 EXACT = """
