@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import exact, lines, mixing, sentencepiece_codec, simhash, warc
+from quire.llm import audio, exact, licenses, lines, mixing, sentencepiece_codec, simhash, toxicity, units, warc
 from quire.llm.text import read
 
 
@@ -14,6 +15,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.report(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read(spark, sf_dir, "documents"))
 
@@ -22,6 +27,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.report(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.classes(read(spark, sf_dir, "documents"))
 
@@ -34,8 +43,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths: source/lang/group of 64 ids/id stands for one. A licence file is one whose best notice is its first line."""
+    d = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(d.withColumn("path", path), F.col("line") == 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_line_dedup, op4_simhash_near_dedup, op6_exact_dedup, op7_warc, op8_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sentencepiece, op2_audio, op3_line_dedup, op4_simhash_near_dedup, op5_substring_dedup,
+            op6_exact_dedup, op7_warc, op8_mixing, op9_licenses, op10_toxicity,
+        )
+    }
 
 
 EXACT = """

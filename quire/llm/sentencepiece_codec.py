@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -215,8 +214,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     round_trip: decoding the ids gives the text again; null with ``verify`` off.
     """
     data = load(path)
-    kind = docs.schema[key].dataType.simpleString()
-    out = f"__k {kind}, ids array<int>, n_tokens int, n_bytes long, n_byte_pieces int, n_unknown int, round_trip boolean"
+    out = "__k string, ids array<int>, n_tokens int, n_bytes long, n_byte_pieces int, n_unknown int, round_trip boolean"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -234,8 +232,10 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
                     "n_byte_pieces": [int(byte[i].sum()) for i in ids], "n_unknown": [int((i == m.unk).sum()) for i in ids], "round_trip": pd.array(same or [None] * len(ids), "boolean"),
                 })
 
-    rows = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    return rows.mapInPandas(run, out).withColumnRenamed("__k", key)
+    # keys go as strings: pandas has no whole numbers beside nulls
+    rows = docs.select(F.col(key).cast("string").alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    got = rows.mapInPandas(run, out)
+    return got.select(F.col("__k").cast(docs.schema[key].dataType).alias(key), *got.columns[1:])
 
 
 def decode(encoded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -247,6 +247,5 @@ def decode(encoded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str
         for pdf in it:
             yield pd.DataFrame({"__k": pdf["__k"], "text": t.decode_batch([list(map(int, i)) for i in pdf["__i"]], skip_special_tokens=False)})
 
-    rows = encoded.select(F.col(key).alias("__k"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("__i"))
-    schema = T.StructType([T.StructField("__k", encoded.schema[key].dataType), T.StructField("text", T.StringType())])
-    return rows.mapInPandas(run, schema).withColumnRenamed("__k", key)
+    rows = encoded.select(F.col(key).cast("string").alias("__k"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("__i"))
+    return rows.mapInPandas(run, "__k string, text string").select(F.col("__k").cast(encoded.schema[key].dataType).alias(key), "text")

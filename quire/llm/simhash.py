@@ -68,9 +68,9 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             fp = np.array([fingerprint(bytes(t), words) for t in pdf["__t"]], np.uint64)
             yield pd.DataFrame({"__k": pdf["__k"], "fp": _signed(fp)})
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"))
-    return rows.mapInPandas(scored, f"__k {kind}, fp long").withColumnRenamed("__k", key)
+    # keys go as strings: pandas has no whole numbers beside nulls
+    rows = docs.select(F.col(key).cast("string").alias("__k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"))
+    return rows.mapInPandas(scored, "__k string, fp long").select(F.col("__k").cast(docs.schema[key].dataType).alias(key), "fp")
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
