@@ -145,12 +145,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_lines: i
     # a byte for each line up to the last deleted one: 1 if it goes. Reading a byte takes the same time everywhere
     at = F.array_sort(F.collect_list("line"))
     gap = lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i == 0, 0).otherwise(F.col("at")[i - 1] + 1)), F.lit("1"))
-    gone = gone.groupBy("rid").agg(at.alias("at")).select("rid", F.array_join(F.transform("at", gap), "").cast("binary").alias("flags"))
+    gone = gone.groupBy("rid").agg(at.alias("at")).select(F.col("rid").alias("__r"), F.array_join(F.transform("at", gap), "").cast("binary").alias("__flags"))
     gone = scratch.table(gone, "flags")
-    j = whole.join(gone, whole["__rid"] == gone["rid"], "left")
-    stays = lambda x, i: F.coalesce(F.substring(F.col("flags"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
+    j = whole.join(gone, F.col("__rid") == F.col("__r"), "left")
+    stays = lambda x, i: F.coalesce(F.substring(F.col("__flags"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
     left = F.filter(F.split(F.col(text), "\n", -1), stays)
-    j = j.withColumn("__left", F.when(F.col("flags").isNotNull(), left))
+    j = j.withColumn("__left", F.when(F.col("__flags").isNotNull(), left))
     j = j.where(F.col("__left").isNull() | F.exists("__left", lambda x: F.btrim(x, F.lit(EDGE)) != ""))
     new = F.coalesce(F.array_join("__left", "\n"), F.col(text))
     return j.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -107,5 +107,38 @@ FROM documents d LEFT JOIN seqs s USING (doc_id) LEFT JOIN removed USING (doc_id
 """
 
 
+UNITS = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM l
+), parts AS (
+  SELECT *, regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS ps FROM placed
+), cut AS (
+  SELECT doc_id, n, ofs, unnest(ps) AS part, generate_subscripts(ps, 1) AS k
+  FROM parts WHERE len(list_filter(ps, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) <> '')) > 1
+), pieces AS (
+  SELECT doc_id, 'line' AS kind, line AS part, ofs FROM placed
+  UNION ALL
+  SELECT doc_id, 'sentence', part, ofs + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM cut
+), units AS (
+  SELECT doc_id, kind, ofs + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))) AS start_char,
+    trim(part, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS core
+  FROM pieces
+), keyed AS (
+  SELECT doc_id, kind, start_char, start_char + length(core) AS end_char, lower(regexp_replace(core, '[ \\t\\r\\v\\f]+', ' ', 'g')) AS unit FROM units
+), sized AS (
+  SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 AS words FROM keyed WHERE unit <> ''
+), ranked AS (
+  SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(start_char) OVER w AS keep_start
+  FROM sized WHERE words >= 8 WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start_char)
+)
+SELECT doc_id, kind, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(words AS INTEGER) AS words,
+  keep_doc_id, CAST(keep_start AS INTEGER) AS keep_start
+FROM ranked WHERE r > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES, "op6_exact_dedup": EXACT}
+    return {"op3_line_dedup": LINES, "op5_substring_dedup": UNITS, "op6_exact_dedup": EXACT}

@@ -1,7 +1,7 @@
 """Substring dedup by hashing units of text.
 
-Units are lines, and the sentences of lines that have several, so a passage is also met inside a
-line of its own. A unit is normalised (white space collapsed, trimmed, lower case) and hashed.
+Units are lines, and the sentences of lines that have several, so a passage is also met within a
+line, and a line may equal a sentence elsewhere. A unit is normalised (white space collapsed, trimmed, lower case) and hashed.
 Of equal units of ``MIN_WORDS`` words or more, the earliest in the order of (doc_id, row, offset)
 stays; the others are removed. Offsets count characters of the original text.
 
@@ -29,6 +29,7 @@ from quire.llm.scratch import Scratch
 
 MIN_WORDS = 8
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+EDGE = " \t\r\v\f"
 UNIT = "rid long, id string, kind int, start int, stop int, words int, d1 long, d2 long"
 #: Units that a worker gathers before it hands them on.
 HANDED_ON = 50_000
@@ -40,7 +41,7 @@ def units(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
     for line in text.split("\n"):
         yield 0, *_trimmed(line, at)
         parts = SENTENCE.findall(line)
-        if len(parts) > 1:
+        if sum(p.strip(EDGE) != "" for p in parts) > 1:
             here = at
             for p in parts:
                 yield 1, *_trimmed(p, here)
@@ -49,13 +50,13 @@ def units(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
 
 
 def _trimmed(part: str, at: int) -> tuple[int, int, list[str]]:
-    core = part.strip(" \t\r\v\f")
+    core = part.strip(EDGE)
     start = at + part.find(core) if core else at
     return start, start + len(core), re.split(r"[ \t\r\v\f]+", core.lower()) if core else []
 
 
 def hashed(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
-    """The units of (__rid, key, text) with the two halves of a 128-bit BLAKE2b of kind and normalised text."""
+    """The units of (__rid, key, text) with the two halves of a 128-bit BLAKE2b of the normalised text."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in UNIT.split(", ")][:-2]
@@ -65,7 +66,7 @@ def hashed(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
                 for kind, start, stop, words in units(t):
                     if len(words) >= min_words:
                         rows.append((rid, key_, kind, start, stop, len(words)))
-                        digests.append(hashlib.blake2b(f"{kind} {' '.join(words)}".encode(), digest_size=16).digest())
+                        digests.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
                 if len(rows) >= HANDED_ON:
                     yield _frame(rows, digests, names)
                     rows, digests = [], []
@@ -111,8 +112,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: i
     scratch = Scratch(docs.sparkSession, "units")
     whole = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
     r = removed(scratch.table(hashed(whole, text, key, min_words), "units"), scratch)
-    spans = r.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    j = whole.join(spans, whole["__rid"] == spans["rid"], "left")
+    spans = r.groupBy(F.col("rid").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    j = whole.join(spans, F.col("__rid") == F.col("__r"), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -128,6 +129,6 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: i
             out.append("".join([*keep, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    j = j.withColumn("__new", cut(F.col(text), F.col("spans")))
-    j = j.where(F.col("spans").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
+    j = j.withColumn("__new", cut(F.col(text), F.col("__spans")))
+    j = j.where(F.col("__spans").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     return j.select(*(F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
