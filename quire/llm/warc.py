@@ -3,7 +3,7 @@
 A capture is three records: a request, a response (or a revisit of an earlier response with the
 same payload) and a metadata record. Request and metadata name the capture's record in
 ``WARC-Concurrent-To``. Archives are written by Spark's text writer, whose line separator is the
-blank line pair that ends a record, so they go to any store that Spark can write to. A file holds
+blank line pair that ends a record, so they go to any store that Spark can write to, in gzip. A file holds
 a bounded number of records and is parsed by ``Content-Length``, never by searching payloads.
 Reading joins the three kinds through the concurrent-to identifiers and emits one nested row per
 capture; a revisit gets its payload's length from the response it refers to.
@@ -16,6 +16,9 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -71,7 +74,7 @@ def write(pages: DataFrame, where: str, scratch: Scratch, least: int = 0, key: s
     about = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.lit("via: crawl"))
     metadata = _record("metadata", about, ("WARC-Record-ID", _uuid("metadata", rid)), *common, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields"))
     records = r.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(where)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(where)
     scratch.drop(rows, first)
 
 
@@ -95,9 +98,6 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _digest(payload: bytes) -> str:
-    import base64
-    import hashlib
-
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -105,7 +105,7 @@ def _records(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.Dat
     for files in batches:
         for data in files["content"]:
             out = []
-            for head, block in parsed(bytes(data)):
+            for head, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)):
                 kind, digest, size, payload = head["warc-type"], None, None, None
                 if kind == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
