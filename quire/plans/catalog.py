@@ -273,7 +273,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire.plans import rules
+    from quire.plans import details, rules  # noqa: F401  details adds to RULES
 
     run = lambda plan, spark, sf_dir: plan(Corpus(spark, sf_dir))
     return {k: partial(run, plan) for k, plan in {**CATALOG, **rules.RULES}.items()}

@@ -33,7 +33,7 @@ TABLES = {
     "boxes": "SELECT doc_id, block_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words FROM words GROUP BY doc_id, block_id, page",
     "sheets": """SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN b ELSE a END AS width, CASE WHEN doc_id % 7 = 0 THEN a ELSE b END AS height, x0, y0, x1, y1
         FROM (SELECT doc_id, page, CASE WHEN doc_id % 11 = 0 THEN 420.0 ELSE 595.0 END AS a, CASE WHEN doc_id % 11 = 0 THEN 595.0 ELSE 842.0 END AS b, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY doc_id, page)""",
-    "visuals": """SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'image' ELSE 'table' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'raster' ELSE 'vector' END AS image_type, 100.0 AS vx0, 200.0 AS vy0, 300.0 AS vx1,
+    "visuals": """SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'image' ELSE 'table' END AS kind, CASE WHEN doc_id % 5 < 2 THEN 'raster' ELSE 'vector' END AS image_type, 60.0 AS vx0, 200.0 AS vy0, 560.0 AS vx1,
         CASE WHEN page % 2 = 0 THEN 300.0 ELSE 260.0 END AS vy1, doc_id % 30 * 20 + 100 AS px_width FROM sheets WHERE (doc_id + page) % 3 = 0""",
     "toc": "SELECT doc_id, seq, content AS title, first_line // 40 + CASE WHEN doc_id % 4 = 0 AND seq % 2 = 1 THEN 1 ELSE 0 END AS page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS seq FROM placed WHERE n_words < 6) WHERE seq <= 8",
     "bib": "SELECT doc_id, block_id, CAST(regexp_extract(content, '^\\[([0-9]+)\\]', 1) AS INTEGER) AS number, regexp_replace(content, '^\\[[0-9]+\\] ', '') AS entry FROM blocks WHERE regexp_matches(content, '^\\[[0-9]+\\] ')",
@@ -200,7 +200,7 @@ _BODY["WN07"] = """SELECT doc_id, min(b) AS block_id, count(*) AS parts, string_
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.plans import rules
+    from quire.plans import details, rules  # noqa: F401  details adds to ORACLES
 
     rules.complete_sql()
     return {k: with_tables(v) for k, v in {**_BODY, **rules.ORACLES}.items()}

@@ -23,7 +23,7 @@ PER_LINE, PER_PAGE = 12, 40
 SNIPPETS = (
     ("1.1 Methods and data", "The value 3.14 was measured [1, 3-4] and 2.5% of cases [9].", "See section 2.1 for details - it matters."),
     ("1.2 Results", "Optical Character Recognition (OCR) is used. OCR and NLP and XML are common.", "NLP – Natural Language Processing"),
-    ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9"),
+    ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9", "[7] B. Lis, A short note, vol. 2, 2018"),
     ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4"),
     ("- first item;", "- second item;", "- Third item.", "a) alpha", "b) beta;"),
     ("Figure 2.1. Plan of the engine. Source: own work", "As shown in fig. 2.1 the plan holds.", "Table 3. Costs"),
@@ -138,8 +138,8 @@ class Corpus:
         p = self.pages.where(F.pmod(F.col("doc_id") + F.col("page"), F.lit(3)) == 0)
         even = F.col("page") % 2 == 0
         return p.select(
-            "doc_id", "page", F.when(even, "image").otherwise("table").alias("kind"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "raster").otherwise("vector").alias("image_type"),
-            F.lit(100.0).alias("vx0"), F.lit(200.0).alias("vy0"), F.lit(300.0).alias("vx1"), F.when(even, 300.0).otherwise(260.0).alias("vy1"), (F.pmod("doc_id", F.lit(30)) * 20 + 100).cast("int").alias("px_width"),
+            "doc_id", "page", F.when(even, "image").otherwise("table").alias("kind"), F.when(F.pmod("doc_id", F.lit(5)) < 2, "raster").otherwise("vector").alias("image_type"),
+            F.lit(60.0).alias("vx0"), F.lit(200.0).alias("vy0"), F.lit(560.0).alias("vx1"), F.when(even, 300.0).otherwise(260.0).alias("vy1"), (F.pmod("doc_id", F.lit(30)) * 20 + 100).cast("int").alias("px_width"),
         )
 
     @cached_property
