@@ -54,7 +54,8 @@ def read_documents(spark: SparkSession, path: str, parser: Callable[[bytes], lis
                     rows, error = parse(bytes(data)), None
                 except Exception as e:  # one bad file must not end the batch
                     rows, error = [{}], f"{type(e).__name__}: {e}"
-                yield pd.DataFrame([{"path": path_, "error": error} | r for r in rows], columns=names).astype({"page": "Int32", "block_id": "Int32", "word_index": "Int32", "line": "Int32"})
+                out = pd.DataFrame([{"path": path_, "error": error} | r for r in rows], columns=names, dtype=object)
+                yield out.where(out.notna(), None).astype({n: "Int32" for n in ("page", "block_id", "word_index", "line")})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, EXTRACTED)

@@ -58,7 +58,7 @@ def test_index(spark):
 def test_models(spark):
     chunks = spark.createDataFrame([(1, 0, "nothing"), (1, 1, "aim one."), (1, 2, "aim two."), (2, 0, None)], "doc_id long, chunk int, piece string")
     got = models.purposes(chunks, lambda: lambda texts: [f'- "{t}"' if "aim" in t else "" for t in texts]).collect()
-    assert [tuple(r) for r in got] == [(1, "aim one.")]
+    assert [tuple(r) for r in got] == [(1, "aim one")]
     texts = spark.createDataFrame([(1, "intro Summary: done"), (2, "x" * 20_000)], "doc_id long, text string")
     reply = lambda ts: [json.dumps({"score": 100}) if t.startswith("Summary") else f"hm {json.dumps({'score': 50})} {len(t)}" for t in ts]
     assert {r.doc_id: r.score for r in models.goal_scores(texts, lambda: reply).collect()} == {1: 100, 2: 50}
