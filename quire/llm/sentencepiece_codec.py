@@ -29,6 +29,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A model file larger than this is refused: it is sent with every task.
 MODEL_BYTES = 64 << 20
-#: Texts go to the tokenizer's threads in batches of about this many characters.
-BATCH_CHARS = 1 << 20
-#: Words whose ids a worker keeps before it begins anew.
-KNOWN_WORDS = 300_000
+#: Texts go to the tokenizer's threads in batches of about this many bytes.
+BATCH_BYTES = 1 << 19
+#: A worker keeps the ids of the words of a generation, which ends at this number, and of the one before it.
+KNOWN_WORDS = 100_000
+#: New words that go through the library as one text.
+JOINED = 500
 WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -124,7 +128,7 @@ def tokenizer(data: bytes):
         unk = m.pieces[m.unk][0]
         t = Tokenizer(models.Unigram([(p, s if p != unk else low - 10) for p, s, _ in m.pieces], m.unk, m.byte_fallback))
     else:
-        t = Tokenizer(models.BPE(vocab, merges(m), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=100_000))
+        t = Tokenizer(models.BPE(vocab, merges(m), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback))
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.trim:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -148,14 +152,17 @@ class WordEncoder:
     """Ids of whole texts. With ``apart`` models, each word goes through the library once while it is kept."""
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.whole = Model.parse(data), tokenizer(data)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.words = None
         if apart(self.model):
-            self.words = Tokenizer(self.whole.model)
+            self.words, self.single = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+            self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
             self.find = re.compile(WORD).findall
+            self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.plain = not self.model.charsmap and not self.model.trim
         back = [p.replace(MARK, " ").encode() if k != BYTE else bytes([int(p[3:-1], 16)]) for p, _, k in self.model.pieces]
         self.back = back.__getitem__
@@ -168,12 +175,30 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.words is None:
             return [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
         parts = [self.find(self.normal(t)) for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        self.known.update(zip(new, (np.array(e.ids, np.int32).tobytes() for e in self.words.encode_batch_fast(new, add_special_tokens=False))))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32) for p in parts]
+        if len(self.young) > KNOWN_WORDS:
+            self.young, self.old = {}, self.young
+        missing = set().union(*parts).difference(self.young)
+        seen = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in seen)
+        self._learn(list(missing - seen))
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, p)), np.int32) for p in parts]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words. Words with one marker, in front, go through many at a time: a piece that begins with a marker begins the next word."""
+        plain, other = [], []
+        for w in new:
+            (plain if w.rfind(MARK) == 0 else other).append(w)
+        if other:  # without a split: runs of markers and first words without one
+            self.young.update(zip(other, (np.array(e.ids, np.int32).tobytes() for e in self.single.encode_batch_fast(other, add_special_tokens=False))))
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.words.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int32)
+            cuts = (4 * np.r_[np.flatnonzero(self.begins[ids]), len(ids)]).tolist()
+            if len(cuts) != len(group) + 1:
+                raise ValueError("pieces don't follow words")
+            data = ids.tobytes()
+            self.young.update(zip(group, (data[i:j] for i, j in zip(cuts, cuts[1:]))))
 
     def decode(self, ids: np.ndarray) -> str:
         """What the library decodes, for ids that it made: the pieces' bytes without the dummy prefix."""
@@ -197,15 +222,15 @@ def parity(texts: list[str], path: str = MODEL) -> list[tuple[str, list[int], li
     return [(t, a, b) for t, a, b in zip(texts, ours, theirs) if a != b]
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= BATCH_CHARS:
+def _batches(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    start = total = 0
+    for i, n in enumerate(lengths):
+        total += n
+        if total >= BATCH_BYTES:
             yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, verify: bool = True) -> DataFrame:
@@ -216,25 +241,29 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     data = load(path)
     out = "__k string, ids array<int>, n_tokens int, n_bytes long, n_byte_pieces int, n_unknown int, round_trip boolean"
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         coder = WordEncoder(data)
         m = coder.model
         byte = np.array([k == BYTE for _, _, k in m.pieces])
-        for pdf in it:
-            texts = pdf["__t"].tolist()
-            for a, b in _batches(texts):
-                part = texts[a:b]
+        for batch in it:
+            keys, texts = batch.column(0), batch.column(1)
+            sizes = pc.binary_length(texts).to_pylist()
+            for a, b in _batches(sizes):  # a part of the batch at a time is Python objects
+                part = texts.slice(a, b - a).to_pylist()
                 ids = coder.encode(part)
-                same = [coder.decode(i) == x for i, x in zip(ids, part)] if verify else None
-                yield pd.DataFrame({
-                    "__k": pdf["__k"].iloc[a:b].to_numpy(), "ids": ids, "n_tokens": [len(i) for i in ids], "n_bytes": [len(x.encode()) for x in part],
-                    "n_byte_pieces": [int(byte[i].sum()) for i in ids], "n_unknown": [int((i == m.unk).sum()) for i in ids], "round_trip": pd.array(same or [None] * len(ids), "boolean"),
-                })
-
-    # keys go as strings: pandas has no whole numbers beside nulls
+                flat, stops = np.concatenate(ids), np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns = {
+                    "__k": keys.slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(stops), pa.array(flat, pa.int32())),
+                    "n_tokens": pa.array([len(i) for i in ids], pa.int32()), "n_bytes": pa.array(sizes[a:b], pa.int64()),
+                    "n_byte_pieces": pa.array([int(byte[i].sum()) for i in ids], pa.int32()), "n_unknown": pa.array([int((i == m.unk).sum()) for i in ids], pa.int32()),
+                    "round_trip": pa.array([coder.decode(i) == x if verify else None for i, x in zip(ids, part)], pa.bool_()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    # keys go as strings, as elsewhere in this subpackage
     rows = docs.select(F.col(key).cast("string").alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    got = rows.mapInPandas(run, out)
+    got = rows.mapInArrow(run, out)
     return got.select(F.col("__k").cast(docs.schema[key].dataType).alias(key), *got.columns[1:])
 
 
