@@ -25,8 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, that with the smallest doc_id stays. Shingles have five words."""
-    return simhash.dedup(docs, words=5)
+    """Of near copies, shingles of five words and a similarity of 0.8 or more, that with the smallest doc_id stays."""
+    return simhash.dedup(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ CELL = 4096
 SHIFTED = 64
 #: Sorted rows that are compared at once, and hashes whose bits are counted at once.
 CHUNK, COUNTED = 1 << 16, 1 << 15
+#: 64-bit words of a fingerprint that is to tell a similarity of 0.8, and anchors of a text.
+WIDE, TABLES = 4, 8
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -74,13 +76,18 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """(64, words): bit b of fingerprint i is bit i % 64 of word i // 64 of plane b. The rest is zero."""
+    """(64 * k, words) of (n, k) or (n,) fingerprints: bit b of fingerprint i is bit i % 64 of word i // 64 of plane b. The rest is zero."""
+    fp = fp.reshape(len(fp), -1)
     n = -(-len(fp) // 64) * 64
-    bits = np.zeros((n, 64), np.uint8)
-    bits[: len(fp)] = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.zeros((n, 64 * fp.shape[1]), np.uint8)
+    bits[: len(fp)] = _bits(fp)
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
+def _bits(fp: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+
 def _pack(flags: np.ndarray) -> np.ndarray:
     out = np.zeros(-(-len(flags) // 64) * 8, np.uint8)
     packed = np.packbits(flags, bitorder="little")
@@ -88,27 +95,32 @@ def _pack(flags: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _within(diff, live: np.ndarray) -> np.ndarray:
-    """Which pairs differ in at most three planes. diff(b, at): plane b's differences at the blocks ``at``; live: the pairs that count.
+def _within(diff, live: np.ndarray, n_planes: int, radius: int) -> np.ndarray:
+    """Which pairs differ in at most ``radius`` planes. diff(b, at): plane b's differences at the blocks ``at``; live: the pairs that count.
 
-    ones and twos are a carry-save counter of two bits; its overflow, at four, sticks in ``over``.
+    A carry-save counter has one bit plane for each binary digit of the radius. It begins so far up
+    that one difference more than the radius carries out of its last plane, and that sticks in ``over``.
     Every eight planes, blocks without a pair that is still within are abandoned.
     """
     near = np.zeros_like(live)
     at = np.flatnonzero(live.any(axis=0) if live.ndim == 2 else live)
     alive = live[..., at]
-    ones, twos, over = np.zeros_like(alive), np.zeros_like(alive), ~alive
-    for b in range(64):
-        x = diff(b, at)
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
+    digits = max(1, radius.bit_length())
+    head = (1 << digits) - 1 - radius
+    count = [np.full_like(alive, ~np.uint64(0) if head >> i & 1 else 0) for i in range(digits)]
+    over = ~alive
+    for b in range(n_planes):
+        carry = diff(b, at)
+        for i in range(digits):
+            up = count[i] & carry
+            count[i] ^= carry
+            carry = up
+        over |= carry
         if b % 8 == 7:
             stay = over != ~np.uint64(0)
             stay = stay.any(axis=0) if stay.ndim == 2 else stay
             if not stay.all():
-                at, ones, twos, over = at[stay], ones[..., stay], twos[..., stay], over[..., stay]
+                at, over, count = at[stay], over[..., stay], [c[..., stay] for c in count]
             if not len(at):
                 return near
     near[..., at] = ~over
@@ -119,10 +131,10 @@ def _lanes(near: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(near).view(np.uint8), axis=-1, bitorder="little", count=n)
 
 
-def shifted_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shifted_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of rows with equal keys; rows are sorted by key. Lane i meets lane i + d at every distance d."""
     p, n, found = planes(fp), len(fp), []
-    wide = np.concatenate([p, np.zeros((64, 2), np.uint64)], axis=1)
+    wide = np.concatenate([p, np.zeros((len(p), 2), np.uint64)], axis=1)
     for d in range(1, n):
         same = key[:-d] == key[d:]
         if not same.any():
@@ -139,7 +151,7 @@ def shifted_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 ahead = (ahead >> r) | (w[np.minimum(at + q + 1, len(w) - 1)] << np.uint64(64 - int(r)))
             return p[b][at] ^ ahead
 
-        i = np.flatnonzero(_lanes(_within(diff, live), n))
+        i = np.flatnonzero(_lanes(_within(diff, live, len(p), radius), n))
         found.append((i, i + d))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
@@ -158,20 +170,20 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def query_links(fp: np.ndarray, left: np.ndarray, right: np.ndarray, queries: int = 64) -> np.ndarray:
+def query_links(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS, queries: int = 64) -> np.ndarray:
     """Parent of each row in a forest of the links between the rows ``left`` and ``right`` of one bucket."""
     parent, lanes = np.arange(len(fp)), planes(fp[right])
     ok = _pack(np.ones(len(right), bool))
     for i in range(0, len(left), queries):
         q = left[i : i + queries]
-        bit = np.where(np.unpackbits(fp[q].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), ~np.uint64(0), np.uint64(0))
-        near = _within(lambda b, at: lanes[b][at] ^ bit[:, b, None], np.repeat(ok[None], len(q), axis=0))
+        bit = np.where(_bits(fp[q]), ~np.uint64(0), np.uint64(0))
+        near = _within(lambda b, at: lanes[b][at] ^ bit[:, b, None], np.repeat(ok[None], len(q), axis=0), len(lanes), radius)
         r, lane = np.nonzero(_lanes(near, len(right)))
         _join(parent, q[r], right[lane])
     return parent
 
 
-def _edges(key: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _edges(key: np.ndarray, cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Forests of the links of whole buckets. key: sorted; cell: 0, or -1 and 1 for the two sides of a pair of cells."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
@@ -179,14 +191,14 @@ def _edges(key: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> Iterator[tuple[
     if small.any():
         k, f = key[small], fp[small]
         parent = np.arange(len(f))
-        _join(parent, *shifted_links(k, f))
+        _join(parent, *shifted_links(k, f, radius))
         yield f, f[_roots(parent)]
     for s, n in zip(starts, sizes):
         if n > 1 and not small[s]:
             f, c = fp[s : s + n], cell[s : s + n]
             left, right = (np.flatnonzero(c < 0), np.flatnonzero(c > 0)) if (c != 0).any() else (np.arange(n), np.arange(n))
             if len(left) and len(right):
-                yield f, f[_roots(query_links(f, left, right))]
+                yield f, f[_roots(query_links(f, left, right, radius))]
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -197,15 +209,16 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], words: int, radius: int) -> Iterator[pd.DataFrame]:
     """Edges of a partition that is sorted by key. A key's rows may come in several batches; they are at most two cells."""
-    held = None
+    held, names = None, [f"f{i}" for i in range(words)]
 
     def done(pdf):
-        key, cell, fp = pdf["key"].to_numpy(), pdf["side"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        for a, b in _edges(key, cell, fp):
-            if (d := a != b).any():
-                yield pd.DataFrame({"a": _signed(a[d]), "b": _signed(b[d])})
+        key, cell = pdf["key"].to_numpy(), pdf["side"].to_numpy()
+        fp = np.ascontiguousarray(pdf[names].to_numpy().astype(np.int64)).view(np.uint64)
+        for a, b in _edges(key, cell, fp, radius):
+            if (d := (a != b).any(axis=1)).any():
+                yield pd.DataFrame(np.concatenate([_signed(a[d]), _signed(b[d])], axis=1), columns=_ends(words))
 
     for pdf in batches:
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -217,6 +230,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from done(held)
 
 
+def _ends(words: int) -> list[str]:
+    return [f"{side}{i}" for side in "ab" for i in range(words)]
+
+
 def table_keys(fp: Column) -> Column:
     """The keys of a fingerprint in the ten tables: table number, then the bits of its two blocks."""
     part = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w in BLOCKS]
@@ -226,19 +243,26 @@ def table_keys(fp: Column) -> Column:
 
 def links(fps: DataFrame, scratch: Scratch, cell: int = CELL) -> DataFrame:
     """(a, b): a forest of the links between distinct fingerprints fp, of each bucket of each table."""
-    rows = fps.select("fp", F.explode(table_keys(F.col("fp"))).alias("bucket"))
+    rows = fps.select(F.col("fp").alias("f0"), F.explode(table_keys(F.col("fp"))).alias("bucket"))
+    return _bucket_links(rows, 1, RADIUS, scratch, cell).toDF("a", "b")
+
+
+def _bucket_links(rows: DataFrame, words: int, radius: int, scratch: Scratch, cell: int) -> DataFrame:
+    """(a0.., b0..) from (bucket, f0..): a forest of the links of each bucket."""
+    names = [f"f{i}" for i in range(words)]
     # usually none; Spark broadcasts it only where its written size is small
     large = rows.groupBy(F.col("bucket").alias("__b")).agg(F.count("*").alias("n")).where(F.col("n") > cell)
     large = scratch.table(large.select("__b", F.ceil(F.col("n") / cell).cast("int").alias("cells")), "large")
     r = rows.join(large, F.col("bucket") == F.col("__b"), "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
+    own = F.pmod(F.xxhash64(*names), F.col("cells")).cast("int")
     spread = r.where("cells is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(i == j, 0).otherwise(F.when(F.col("own") == i, -1).otherwise(1))
-    spread = spread.select(F.xxhash64("bucket", i, j).alias("key"), side.cast("int").alias("side"), "fp")
-    plain = r.where("cells is null").select(F.col("bucket").alias("key"), F.lit(0).alias("side"), "fp")
+    spread = spread.select(F.xxhash64("bucket", i, j).alias("key"), side.cast("int").alias("side"), *names)
+    plain = r.where("cells is null").select(F.col("bucket").alias("key"), F.lit(0).alias("side"), *names)
     both = plain.unionByName(spread)
-    return both.repartition("key").sortWithinPartitions("key").mapInPandas(_compare, "a long, b long")
+    out = ", ".join(f"{x} long" for x in _ends(words))
+    return both.repartition("key").sortWithinPartitions("key").mapInPandas(lambda it: _compare(it, words, radius), out)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -258,14 +282,77 @@ def _classes(d: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     return d.join(m, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """docs with one document of each component: that of the smallest key, and of its repeated rows the first."""
+def sketch(text: bytes, words: int, rng: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(wide fingerprint of WIDE words, TABLES anchors) of a text.
+
+    Each further word of the fingerprint is the majority over another mix of the same shingle hashes.
+    An anchor joins the least values of two mixes: texts of similarity s share it with chance s * s.
+    """
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+    h = np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    factor, shift = rng
+    ones = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), COUNTED // WIDE):
+        part = h[i : i + COUNTED // WIDE, None] * factor[None, :WIDE] + shift[None, :WIDE]
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        ones += _bits(part).sum(axis=0, dtype=np.int64)
+    fp = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+    least = np.array([(h * f + s).min() for f, s in zip(factor[WIDE:], shift[WIDE:])])
+    pairs = least.reshape(TABLES, 2)
+    return fp, (pairs[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ pairs[:, 1] ^ np.arange(TABLES, dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
+    """(key, f0.., anchors)."""
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gen = np.random.default_rng(SEED)
+        rng = gen.integers(0, 2**63, WIDE + 2 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), gen.integers(0, 2**63, WIDE + 2 * TABLES, dtype=np.uint64)
+        for pdf in batches:
+            got = [sketch(bytes(t), words, rng) for t in pdf["__t"]]
+            fp = _signed(np.array([f for f, _ in got], np.uint64).reshape(-1, WIDE))
+            yield pd.DataFrame({"__k": pdf["__k"], **{f"f{i}": fp[:, i] for i in range(WIDE)}, "anchors": [_signed(a) for _, a in got]})
+
+    rows = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"))
+    out = "__k long, " + ", ".join(f"f{i} long" for i in range(WIDE)) + ", anchors array<long>"
+    return rows.mapInPandas(scored, out).withColumnRenamed("__k", key)
+
+
+def radius_of(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of this Jaccard similarity differ, and two standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * WIDE
+    return int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest key, and of its repeated rows the first.
+
+    Three differing bits of 64 are a similarity near 0.99, so at 0.8 the fingerprint has ``WIDE`` words,
+    and buckets are made by anchors, which similar texts share and others don't, instead of
+    blocks of bits. Comparison within buckets is the same bit-sliced one, at ``radius_of``.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
+    names = [f"f{i}" for i in range(WIDE)]
     whole = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
-    narrow = fingerprints(whole.select("__rid", text), text, "__rid", words)
     ids = whole.select(F.col("__rid").alias("__r"), F.col(key).alias("__id"))
     ranked = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
-    d = scratch.table(narrow.join(ids, F.col("__rid") == F.col("__r")).select("fp", ranked.alias("__who")), "fingerprints")
-    stay = _classes(d, scratch, "__who").select(F.col("component_id.rid").alias("__rid")).distinct()
+    d = sketches(whole.select("__rid", text), text, "__rid", words).join(ids, F.col("__rid") == F.col("__r"))
+    d = scratch.table(d.select(ranked.alias("who"), *names, "anchors"), "sketches")
+    # equal fingerprints are one vertex before any bucket is made
+    rows = d.select(F.explode("anchors").alias("bucket"), *names).distinct()
+    edges = _bucket_links(rows, WIDE, radius_of(similarity), scratch, CELL)
+    name = lambda side: F.concat_ws("", *(F.lpad(F.hex(f"{side}{i}"), 16, "0") for i in range(WIDE)))
+    found = components(edges.select(name("a").alias("a"), name("b").alias("b")), scratch)
+    each = d.groupBy(name("f").alias("vertex")).agg(F.min("who").alias("who"))
+    group = each.join(found, F.col("vertex") == F.col("node"), "left").groupBy(F.coalesce("root", "vertex").alias("root")).agg(F.min("who").alias("who"))
+    stay = scratch.table(group.select(F.col("who.rid").alias("__rid")), "stay")
     return whole.join(stay, "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

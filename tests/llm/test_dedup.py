@@ -112,13 +112,94 @@ def test_kernels_agree():
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in want if key[i] == key[j]}
 
 
-def test_simhash_dedup_keeps_one(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, SCHEMA)
-    kept = simhash.dedup(df).collect()
-    assert kept[0].__fields__ == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
-    classes = {r.component_id for r in simhash.classes(df).collect()}
-    assert sorted(k.doc_id for k in kept) == sorted(classes)
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([" ".join(w)]) if w else frozenset())
+
+
+def near_groups(texts, least=0.8, unsure=0.62):
+    """(root of each text under Jaccard >= least, whether no two groups have a pair between unsure and least)."""
+    sets, parent, unclear = [shingles(t) for t in texts], list(range(len(texts))), []
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            s = len(a & b) / len(a | b) if a | b else 1.0
+            if s >= least:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+            elif s >= unsure:
+                unclear.append((i, j))
+    return [root(i) for i in range(len(texts))], all(root(i) == root(j) for i, j in unclear)
+
+
+def near_corpus():
+    """Groups of copies with a tenth of their shingles or fewer changed, among texts of their own."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    texts = ["", None, " ", "a b", "a  b", "a b c d e f", "A B C D E F"]
+    for _ in range(50):
+        base = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 6])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_simhash_dedup_at_similarity(spark):
+    texts = near_corpus()
+    root, clear = near_groups(texts)
+    assert clear and len(set(root)) < len(texts) - 60
+    rows = [(i, t, "en", "x", "y", "z") for i, t in enumerate(texts)] + [(None, texts[0], "en", "x", "y", "z"), (3, texts[3], "en", "x", "y", "z")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = simhash.dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs of similarity 0.8 to 0.85, nearly all are linked; of pairs below 0.5 none."""
+    rng, texts, near = random.Random(6), [], []
+    words = [f"w{i}" for i in range(2000)]
+    for i in range(150):
+        base = [rng.choice(words) for _ in range(300)]
+        copy = list(base)
+        for at in rng.sample(range(300), 6 if i % 2 else 40):
+            copy[at] = rng.choice(words)
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        near.append(len(a & b) / len(a | b))
+        texts += [" ".join(base), " ".join(copy)]
+    kept = {r.doc_id for r in simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [(s, 2 * i + 1 not in kept) for i, s in enumerate(near)]
+    close = [x for s, x in linked if s >= 0.8]
+    assert len(close) > 50 and sum(close) >= 0.95 * len(close) and not any(x for s, x in linked if s < 0.5)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 7, 50])
+def test_wide_kernels(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, (60, 4), dtype=np.uint64)
+    flips = rng.random((240, 256)) < 0.1
+    fp = np.concatenate([base, np.repeat(base, 4, axis=0) ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)])
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if d[i, j] <= radius}
+    a, b = simhash.shifted_links(np.zeros(len(fp), np.int64), fp, radius)
+    assert set(zip(a.tolist(), b.tolist())) == want
+    parent = simhash._roots(simhash.query_links(fp, np.arange(len(fp)), np.arange(len(fp)), radius))
+    root = list(range(len(fp)))
+    for _ in range(len(fp)):
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    assert parent.tolist() == root
 
 
 def test_exact_against_brute_force(spark):
