@@ -120,8 +120,13 @@ def grades(c: Corpus) -> DataFrame:
     e = c.read("embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("purpose"))
     s = e.join(first, "label").select("label", F.round(cosine(F.col("embedding"), F.col("purpose")), 6).alias("cosine"))
+    return s.groupBy("label").agg(*grade_columns())
+
+
+def grade_columns() -> tuple[Column, ...]:
+    """n, below, average and grade of a group of cosines: 100 less the share, in percent, below the threshold."""
     below, n = F.count(F.when(F.col("cosine") < THRESHOLD, 1)), F.count("*")
-    return s.groupBy("label").agg(n.alias("n"), below.alias("below"), F.round(F.avg("cosine"), 5).alias("average"), F.round(100.0 - 100.0 * below / n, 4).alias("grade"))
+    return n.alias("n"), below.alias("below"), F.round(F.avg("cosine"), 5).alias("average"), F.round(100.0 - 100.0 * below / n, 4).alias("grade")
 
 
 def judged(c: Corpus) -> DataFrame:
@@ -275,5 +280,8 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from quire.plans import details, rules  # noqa: F401  details adds to RULES
 
+    from quire.plans import models
+
+    python = {"SCL38": lambda c: models.overlapping_chunks(c.texts), "BB02": lambda c: models.authors(c.bibliography)}
     run = lambda plan, spark, sf_dir: plan(Corpus(spark, sf_dir))
-    return {k: partial(run, plan) for k, plan in {**CATALOG, **rules.RULES}.items()}
+    return {k: partial(run, plan) for k, plan in {**CATALOG, **rules.RULES, **python}.items()}

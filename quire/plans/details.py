@@ -69,21 +69,54 @@ def merged_boxes(c: Corpus) -> DataFrame:
 
 
 _ENTRY = "^(.*[^. ]) *\\.{4,} *([0-9]+)$"
+_LISTED = """SELECT doc_id, block_id, regexp_extract(content, '{e}', 1) AS title, CAST(regexp_extract(content, '{e}', 2) AS INTEGER) AS page FROM (
+    SELECT *, sum(CASE WHEN block_id > opened AND NOT regexp_matches(content, '{e}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_id) AS misses FROM (
+      SELECT *, max(CASE WHEN regexp_matches(lower(content), '{k}') THEN block_id END) OVER (PARTITION BY doc_id ORDER BY block_id) AS opened FROM blocks)) WHERE block_id > opened AND misses = 0 AND regexp_matches(content, '{e}')"""
+_OF_CONTENTS, _OF_TABLES = "^(table of contents|contents|spis treści)", "^(list of tables|spis tabel)"
 
 
-@rule("SRC11", f"""SELECT doc_id, block_id, regexp_extract(content, '{_ENTRY}', 1) AS title, CAST(regexp_extract(content, '{_ENTRY}', 2) AS INTEGER) AS page FROM (
-    SELECT *, sum(CASE WHEN block_id > opened AND NOT regexp_matches(content, '{_ENTRY}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_id) AS misses FROM (
-      SELECT *, max(CASE WHEN regexp_matches(lower(content), '^(table of contents|contents|spis treści)') THEN block_id END) OVER (PARTITION BY doc_id ORDER BY block_id) AS opened FROM blocks)) WHERE block_id > opened AND misses = 0 AND regexp_matches(content, '{_ENTRY}')""")
-def listed_entries(c: Corpus) -> DataFrame:
-    """Entries "title .... page" behind a heading of contents, up to the first line that isn't one."""
+def _listed_sql(keyword: str) -> str:
+    return _LISTED.replace("{e}", _ENTRY).replace("{k}", keyword)
+
+
+def listed_entries(c: Corpus, keyword: str) -> DataFrame:
+    """Entries "title .... page" behind a heading, up to the first line that isn't one."""
     order = doc_window().orderBy("block_id")
-    b = c.blocks.withColumn("opened", F.max(F.when(F.lower("content").rlike("^(table of contents|contents|spis treści)"), F.col("block_id"))).over(order))
+    b = c.blocks.withColumn("opened", F.max(F.when(F.lower("content").rlike(keyword), F.col("block_id"))).over(order))
     hit = F.col("content").rlike(_ENTRY)
     b = b.withColumn("misses", F.sum(F.coalesce(((F.col("block_id") > F.col("opened")) & ~hit).cast("int"), F.lit(0))).over(order))
     b = b.where((F.col("block_id") > F.col("opened")) & (F.col("misses") == 0) & hit)
     return b.select("doc_id", "block_id", F.regexp_extract("content", _ENTRY, 1).alias("title"), F.regexp_extract("content", _ENTRY, 2).cast("int").alias("page"))
 
 
+@rule("SRC11", _listed_sql(_OF_CONTENTS))
+def contents_entries(c: Corpus) -> DataFrame:
+    return listed_entries(c, _OF_CONTENTS)
+
+
+@rule("SRC12", _listed_sql(_OF_TABLES))
+def table_entries(c: Corpus) -> DataFrame:
+    return listed_entries(c, _OF_TABLES)
+
+
+@rule("SRC06", """SELECT doc_id, min(block_id) AS block_id, count(*) FILTER (NOT continued) AS n_rows, count(*) FILTER (continued) AS n_continued FROM (SELECT doc_id, block_id, regexp_matches(content, '^ *[|]') AS continued, r - row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS g FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM blocks) WHERE contains(content, '|')) GROUP BY doc_id, g""")
+def cell_tables(c: Corpus) -> DataFrame:
+    """Runs of blocks with cells as tables; a row with a blank first cell continues the row above."""
+    b = c.blocks.withColumn("r", F.row_number().over(doc_window().orderBy("block_id"))).where(F.contains("content", F.lit("|")))
+    b = b.withColumn("g", F.col("r") - F.row_number().over(doc_window().orderBy("block_id")))
+    more = F.col("content").rlike("^ *[|]")
+    return b.groupBy("doc_id", "g").agg(F.min("block_id").alias("block_id"), F.count(F.when(~more, 1)).alias("n_rows"), F.count(F.when(more, 1)).alias("n_continued")).drop("g")
+
+
+@rule("SRC07", "SELECT doc_id, block_id, content FROM captions c WHERE kind = 'table' AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = c.doc_id AND b.block_id BETWEEN c.block_id + 1 AND c.block_id + 3 AND contains(b.content, '|'))")
+def lineless_tables(c: Corpus) -> DataFrame:
+    """Table captions that no cells follow within three blocks."""
+    cells = c.blocks.where(F.contains("content", F.lit("|"))).select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"))
+    near = (F.col("doc_id") == F.col("d")) & F.col("b").between(F.col("block_id") + 1, F.col("block_id") + 3)
+    return _captions(c).where("kind = 'table'").join(cells, near, "left_anti").select("doc_id", "block_id", "content")
+
+
 @rule("SRC13", "SELECT doc_id, 'paragraph' AS kind, block_id AS id FROM placed WHERE n_words >= 6 UNION ALL SELECT doc_id, 'image', page FROM visuals WHERE kind = 'image'")
 def minimal_scan(c: Corpus) -> DataFrame:
     p = c.placed.where("n_words >= 6").select("doc_id", F.lit("paragraph").alias("kind"), F.col("block_id").alias("id"))
@@ -556,10 +589,9 @@ def similarities(c: Corpus) -> DataFrame:
 
 @rule("LM07", "SELECT count(*) AS n, count(*) FILTER (cosine < 0.785) AS off_topic, round(100.0 - 100.0 * count(*) FILTER (cosine < 0.785) / count(*), 4) AS grade FROM (SELECT round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) FROM embeddings)), 6) AS cosine FROM embeddings)")
 def grade(c: Corpus) -> DataFrame:
-    from quire.plans.catalog import THRESHOLD, purpose_similarity
+    from quire.plans.catalog import grade_columns, purpose_similarity
 
-    below, n = F.count(F.when(F.col("cosine") < THRESHOLD, 1)), F.count("*")
-    return purpose_similarity(c).agg(n.alias("n"), below.alias("off_topic"), F.round(100.0 - 100.0 * below / n, 4).alias("grade"))
+    return purpose_similarity(c).agg(*grade_columns()).select("n", F.col("below").alias("off_topic"), "grade")
 
 
 @rule("LM11", "SELECT c.doc_id, c.figure FROM captions c WHERE c.kind = 'image' AND NOT EXISTS (SELECT 1 FROM (SELECT doc_id, block_id, unnest(regexp_extract_all(lower(content), '(?:rys|fig|figure)\\.? ?([0-9]+(?:\\.[0-9]+)*)', 1)) AS n FROM blocks WHERE length(content) >= 40) m WHERE m.doc_id = c.doc_id AND m.n = c.figure AND m.block_id <> c.block_id)")
@@ -579,3 +611,75 @@ def report(c: Corpus) -> DataFrame:
     j = c.documents.select("doc_id").join(pages, "doc_id", "left").join(bad, "doc_id", "left").join(cites, "doc_id", "left")
     return j.select("doc_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("pages", "bad_images", "citations")))
 
+
+# ---- the same plans under the names of their parts -------------------------------------------
+
+
+@rule("SCL04", f"SELECT doc_id, trim(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS normalised FROM deco")
+def normalised(c: Corpus) -> DataFrame:
+    return c.texts.select("doc_id", F.trim(F.regexp_replace(F.replace("text", F.lit("\u00a0"), F.lit(" ")), r"[ \t\n\r\f\x0B]+", " ")).alias("normalised"))
+
+
+@rule("SCL22", "SELECT lemma, count(*) AS n_words FROM (SELECT DISTINCT lower(text) AS w, regexp_replace(lower(text), '(ing|ed|s)$', '') AS lemma FROM tokens) GROUP BY lemma")
+def lemmas(c: Corpus) -> DataFrame:
+    """Words by lemma; each distinct word is asked once. Cutting endings stands in for the lemmatiser."""
+    words = c.tokens.select(F.lower("text").alias("w")).distinct()
+    return words.groupBy(F.regexp_replace("w", "(ing|ed|s)$", "").alias("lemma")).agg(F.count("*").alias("n_words"))
+
+
+@rule("SCL48", f"SELECT doc_id, number, coalesce(pages, volume, date) AS value, CASE WHEN pages IS NOT NULL THEN 'pages' WHEN volume IS NOT NULL THEN 'volume' WHEN date IS NOT NULL THEN 'date' END AS field FROM {FIELDS}")
+def first_field(c: Corpus) -> DataFrame:
+    names = ("pages", "volume", "date")
+    label = F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in names))
+    return R.fields(c).select("doc_id", "number", F.coalesce(*names).alias("value"), label.alias("field"))
+
+
+@rule("JN24", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def inserted(c: Corpus) -> DataFrame:
+    from quire.sources.index import insert_absent
+
+    rows = lambda where, state: c.documents.where(where).select("doc_id", F.lit(state).alias("state"))
+    return insert_absent(rows("doc_id % 2 = 0", "old"), rows("doc_id % 3 = 0", "new"), "doc_id")
+
+
+@rule("AG11", "SELECT doc_id, count(*) AS sentences, count(*) FILTER (regexp_matches(lower(s), '(^| )(is|are|was|were|been|be) \\p{L}+ed( |[.!?])')) AS passive FROM (SELECT doc_id, unnest(regexp_extract_all(content, '[^.!?]+[.!?]+')) AS s FROM blocks) WHERE length(s) >= 15 GROUP BY doc_id")
+def voice_counts(c: Corpus) -> DataFrame:
+    s = c.blocks.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"[^.!?]+[.!?]+"), F.lit(0))).alias("s")).where(F.length("s") >= 15)
+    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count(F.when(F.lower("s").rlike(r"(^| )(is|are|was|were|been|be) \p{L}+ed( |[.!?])"), 1)).alias("passive"))
+
+
+@rule("AG20", f"SELECT doc_id, round(count(*) FILTER (trim(cell) <> '') / count(*), 6) AS fill FROM (SELECT doc_id, unnest(cells) AS cell FROM ({_CELLS})) GROUP BY doc_id")
+def fill_ratio(c: Corpus) -> DataFrame:
+    cell = c.blocks.where(F.contains("content", F.lit("|"))).select("doc_id", F.explode(F.split("content", r"\|", -1)).alias("cell"))
+    return cell.groupBy("doc_id").agg(F.round(F.count(F.when(F.trim("cell") != "", 1)) / F.count("*"), 6).alias("fill"))
+
+
+@rule("SNK01", """SELECT '{"doc_id":' || doc_id || ',"category":"orientation","page":' || page || '}' AS json FROM sheets WHERE height < width""")
+def findings_json(c: Corpus) -> DataFrame:
+    return R.wrong_orientation(c).select(F.to_json(F.struct("doc_id", "category", "page")).alias("json"))
+
+
+@rule("SNK04", "SELECT doc_id, CAST((i - 1) // 50 AS INTEGER) AS page, CAST((i - 1) % 50 AS INTEGER) AS line, substr(text, CAST((i - 1) * 90 + 1 AS BIGINT), 90) AS content FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 90.0) AS BIGINT))) AS i FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM deco))")
+def report_pages(c: Corpus) -> DataFrame:
+    """Text in lines of 90 characters and pages of 50 lines."""
+    t = c.texts.select("doc_id", F.posexplode(S.chunks(F.replace("text", F.lit("\n"), F.lit(" ")), 90)).alias("i", "content"))
+    return t.select("doc_id", F.floor(F.col("i") / 50).cast("int").alias("page"), (F.col("i") % 50).alias("line"), "content")
+
+
+@rule("SNK05", "SELECT doc_id, page, 'block' AS structure, x0, y0, x1, y1 FROM boxes UNION ALL SELECT doc_id, page, kind, vx0, vy0, vx1, vy1 FROM visuals")
+def overlay(c: Corpus) -> DataFrame:
+    box = ("x0", "y0", "x1", "y1")
+    v = c.visuals.select("doc_id", "page", F.col("kind").alias("structure"), *(F.col(f"v{x}").alias(x) for x in box))
+    return c.boxes.select("doc_id", "page", F.lit("block").alias("structure"), *box).unionByName(v)
+
+
+@rule("AG15", R.ORACLES["LM08"])
+def weighted_grade(c: Corpus) -> DataFrame:
+    return R.overall(c)
+
+
+@rule("LM12", "SELECT doc_id, page AS figure, CAST(trunc(px_width / ((vx1 - vx0) / 72)) AS INTEGER) AS dpi, image_type = 'raster' AS raster FROM visuals WHERE kind = 'image' AND (trunc(px_width / ((vx1 - vx0) / 72)) < 75 OR image_type = 'raster')")
+def poor_figures(c: Corpus) -> DataFrame:
+    """Figures below 75 dpi or in pixels."""
+    v = c.visuals.where("kind = 'image'").withColumn("dpi", S.effective_dpi(F.col("px_width"), F.col("vx1") - F.col("vx0")))
+    return v.where("dpi < 75 or image_type = 'raster'").select("doc_id", F.col("page").alias("figure"), "dpi", (F.col("image_type") == "raster").alias("raster"))

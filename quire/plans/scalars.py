@@ -42,17 +42,12 @@ def orientation(width: Column, height: Column) -> Column:
 
 def marker(text: Column) -> Column:
     """The first list marker that a block begins with; null for a paragraph."""
-    out = F
-    for name, pattern in MARKERS:
-        out = out.when(text.rlike(pattern), name)
-    return out.otherwise(None)
+    return F.coalesce(*(F.when(text.rlike(pattern), name) for name, pattern in MARKERS))
 
 
 def strip_marker(text: Column) -> Column:
-    out = F
-    for _, pattern in MARKERS:
-        out = out.when(text.rlike(pattern), F.trim(F.regexp_replace(text, pattern, "")))
-    return out.otherwise(text)
+    cut = (F.when(text.rlike(pattern), F.trim(F.regexp_replace(text, pattern, ""))) for _, pattern in MARKERS)
+    return F.coalesce(*cut, text)
 
 
 def is_acronym_line(text: Column) -> Column:

@@ -24,7 +24,7 @@ SNIPPETS = (
     ("1.1 Methods and data", "The value 3.14 was measured [1, 3-4] and 2.5% of cases [9].", "See section 2.1 for details - it matters."),
     ("1.2 Results", "Optical Character Recognition (OCR) is used. OCR and NLP and XML are common.", "NLP – Natural Language Processing"),
     ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9", "[7] B. Lis, A short note, vol. 2, 2018"),
-    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4"),
+    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4", "List of tables", "Table 3 Costs ........ 9"),
     ("- first item;", "- second item;", "- Third item.", "a) alpha", "b) beta;"),
     ("Figure 2.1. Plan of the engine. Source: own work", "As shown in fig. 2.1 the plan holds.", "Table 3. Costs"),
     ("Range 10 - 20 and 1990–1995, word—word, a - b.", "An em dash — and an en dash – here."),

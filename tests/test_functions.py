@@ -49,6 +49,15 @@ def test_cosine(spark):
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
 
 
+@pytest.mark.parametrize(("n", "below", "grade"), [(9, 3, 66.67), (25, 0, 100.0), (18, 1, 94.44), (65, 1, 98.46), (46, 1, 97.83)])
+def test_grades_of_known_counts(spark, n, below, grade):
+    from quire.plans.catalog import grade_columns
+
+    df = spark.createDataFrame([(0.5,)] * below + [(0.9,)] * (n - below), "cosine double")
+    r = df.agg(*grade_columns()).first()
+    assert (r.n, r.below, round(r.grade, 2)) == (n, below, grade)
+
+
 def test_threshold_is_strict(spark):
     """A cosine of exactly 0.785 is on topic."""
     df = spark.createDataFrame([(0.785,), (0.7849999,), (0.0,)], "cosine double")
