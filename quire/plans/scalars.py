@@ -14,6 +14,7 @@ MARKERS = (
     ("number_with_dot", r"^[0-9]{1,3}(\.[0-9]{1,3})*\. "), ("number_with_bracket", r"^[0-9]{1,3}\) "), ("letter_with_bracket", r"^[a-z]\) "),
     ("bullet", r"^[•▪◦‣●○] ?"), ("dash", r"^[-−–—] "), ("number_in_brackets", r"^\[[0-9]+\] "), ("listing", r"^[0-9]+ "),
 )
+# Words by which a closing chapter is found.
 HEADINGS_OF_END = ("conclusion", "summary", "podsumowanie", "wnioski", "zakończenie", "discussion", "results", "closing")
 
 
