@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1000, 2000, 50_000
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 800, 1600, 30_000
 MIN_SUPPORT, MOST_CLEAN, FOLDS = 10, 0.02, 5
 BEGINNINGS = (4, 5, 6)
 WINDOW, FIT_WINDOWS, ROUNDS, RATE, RIDGE = 48, 1500, 80, 0.3, 1e-3
@@ -163,18 +163,21 @@ def train(rows: list[tuple[str, int]]) -> Chain:
     if not marks:
         return chain
     known: dict[str, int] = {}
-    windows = []
-    for w, y in docs:
-        feats = [features(t) for t in w]
-        lab = [int(y == 1 and not marks.isdisjoint(f)) for f in feats]
-        for f, z in zip(feats, lab):
-            if z:
-                for x in f:
-                    known.setdefault(x, len(known) + 1)
-        windows += [(feats[i : i + WINDOW], lab[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
+    bad, good = [], []  # (document, first token) of the windows with and without toxic tokens
+    for n, (w, y) in enumerate(docs):
+        hits = [i for i, t in enumerate(w) if y == 1 and not marks.isdisjoint(features(t))]
+        for i in hits:
+            for f in features(w[i]):
+                known.setdefault(f, len(known) + 1)
+        toxic = {i // WINDOW for i in hits}
+        for i in range(0, len(w), WINDOW):
+            (bad if i // WINDOW in toxic else good).append((n, i))
     # the chain is fitted to windows taken evenly from all of them
-    bad, good = ([x for x in windows if any(x[1]) == z] for z in (True, False))
-    chain = _fit(bad[:: 1 + len(bad) // FIT_WINDOWS] + good[:: 1 + len(good) // (2 * FIT_WINDOWS)], known)
+    windows = []
+    for n, i in bad[:: 1 + len(bad) // FIT_WINDOWS] + good[:: 1 + len(good) // (2 * FIT_WINDOWS)]:
+        feats = [features(t) for t in docs[n][0][i : i + WINDOW]]
+        windows.append((feats, [int(docs[n][1] == 1 and not marks.isdisjoint(f)) for f in feats]))
+    chain = _fit(windows, known)
     scorer, x, y = Scorer(chain), [], []
     for (text, label) in dict(rows).items():
         x.append(evidence(scorer.marginals(text)[1]))
