@@ -90,6 +90,8 @@ def removed(units_: DataFrame, scratch: Scratch) -> DataFrame:
     u = scratch.table(u, "repeated")
     who = F.struct(F.col("id").isNull().alias("no"), "id", "rid", "start")
     first = u.groupBy(F.col("d1").alias("__a"), F.col("d2").alias("__b")).agg(F.min(who).alias("first"))
+    # written, so that the join reads both sides from an exchange and AQE can split a passage that very many share
+    first = scratch.table(first, "first")
     j = u.join(first, (F.col("d1") == F.col("__a")) & (F.col("d2") == F.col("__b")))
     j = j.where((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start")))
     return j.select("rid", "id", "kind", "start", "stop", "words", F.col("first.id").alias("keep_id"), F.col("first.rid").alias("keep_rid"), F.col("first.start").alias("keep_start"))
