@@ -12,8 +12,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """(node, root) of every node that an edge touches; root is the smallest node reachable.
 
     Each step hangs a node's neighbours under their minimum: large-star those larger than the
-    node, small-star the rest. Minima are partial aggregates and the join back may be split by
-    AQE, so a node with very many neighbours isn't gathered in one task. Every round is written,
+    node, small-star the rest. Minima are partial aggregates and written; the join back then reads
+    both sides from an exchange and AQE may split it, so a node with very many neighbours isn't
+    gathered in one task. Every round is written,
     and the rounds end when one changes nothing, after which every node hangs under its root.
     """
     hi, lo = F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
@@ -25,10 +26,11 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         seen = state
         both = e.toDF("u", "v").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+        least = scratch.table(least, "least")
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = scratch.table(large, "large")
-        under = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        under = scratch.table(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "under")
         moved = large.join(under, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         new = scratch.table(moved.unionByName(under.toDF("a", "b")).distinct(), "edges")
-        scratch.drop(e, large)
+        scratch.drop(e, large, least, under)
         e = new
