@@ -86,10 +86,12 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch) -> list[tuple[int, DataFram
         levels.append((2 * depth, deeper))
 
 
-def _later(ranks: DataFrame) -> DataFrame:
+def _later(ranks: DataFrame, scratch: Scratch) -> DataFrame:
     """(rid, pos) of the members of each rank but the first in corpus order."""
     who = F.struct(F.col("id").isNull().alias("no"), "id", "rid", "pos")
     first = ranks.groupBy(F.col("rank").alias("__rank")).agg(F.min(who).alias("first"))
+    # written, so that the join reads both sides from an exchange and AQE can split a run that very many share
+    first = scratch.table(first, "first")
     j = ranks.join(first, F.col("rank") == F.col("__rank"))
     return j.where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select("rid", "pos")
 
@@ -107,10 +109,10 @@ def windows(levels: list[tuple[int, DataFrame]], size: int, scratch: Scratch) ->
 def copied(levels: list[tuple[int, DataFrame]], scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
     """(rid, line) of every line that a copy covers."""
     base = levels[0][1]
-    starts = _later(base.where("long")).withColumn("reach", F.col("pos"))
+    starts = _later(base.where("long"), scratch).withColumn("reach", F.col("pos"))
     w = windows(levels, min_lines, scratch)
     if w is not None:
-        starts = starts.unionByName(_later(w).withColumn("reach", F.col("pos") + (min_lines - 1)))
+        starts = starts.unionByName(_later(w, scratch).withColumn("reach", F.col("pos") + (min_lines - 1)))
     starts = starts.groupBy(F.col("rid").alias("__r"), F.col("pos").alias("__p")).agg(F.max("reach").alias("reach"))
     j = base.select("rid", "pos", "line").join(starts, (F.col("rid") == F.col("__r")) & (F.col("pos") == F.col("__p")), "left")
     upto = F.max("reach").over(Window.partitionBy("rid").orderBy("pos").rangeBetween(-(min_lines - 1), 0))
@@ -147,7 +149,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_lines: i
     gap = lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i == 0, 0).otherwise(F.col("at")[i - 1] + 1)), F.lit("1"))
     gone = gone.groupBy("rid").agg(at.alias("at")).select(F.col("rid").alias("__r"), F.array_join(F.transform("at", gap), "").cast("binary").alias("__flags"))
     gone = scratch.table(gone, "flags")
-    j = whole.join(gone, F.col("__rid") == F.col("__r"), "left")
+    # texts go through one shuffle at every size and aren't sorted; the small side is hashed by partition
+    j = whole.join(gone.hint("shuffle_hash"), F.col("__rid") == F.col("__r"), "left")
     stays = lambda x, i: F.coalesce(F.substring(F.col("__flags"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
     left = F.filter(F.split(F.col(text), "\n", -1), stays)
     j = j.withColumn("__left", F.when(F.col("__flags").isNotNull(), left))

@@ -355,4 +355,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     each = d.groupBy(name("f").alias("vertex")).agg(F.min("who").alias("who"))
     group = each.join(found, F.col("vertex") == F.col("node"), "left").groupBy(F.coalesce("root", "vertex").alias("root")).agg(F.min("who").alias("who"))
     stay = scratch.table(group.select(F.col("who.rid").alias("__rid")), "stay")
-    return whole.join(stay, "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return whole.join(stay.hint("shuffle_hash"), "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
