@@ -21,6 +21,7 @@ read by ``classes`` and are carried by ``dedup``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,8 @@ SHIFTED = 64
 CHUNK, COUNTED = 1 << 16, 1 << 15
 #: 64-bit words of a fingerprint that is to tell a similarity of 0.8, and anchors of a text.
 WIDE, TABLES = 4, 8
+#: Shingle sets, and shingles in them, of a cell of suspects; bits of the map of suspects.
+SETS, SHINGLES, SLOTS = 1024, 1 << 21, 1 << 23
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -282,19 +285,25 @@ def _classes(d: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     return d.join(m, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
-def sketch(text: bytes, words: int, rng: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(wide fingerprint of WIDE words, TABLES anchors) of a text.
-
-    Each further word of the fingerprint is the majority over another mix of the same shingle hashes.
-    An anchor joins the least values of two mixes: texts of similarity s share it with chance s * s.
-    """
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
     if not w:
-        return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def sketch(h: np.ndarray, rng: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(wide fingerprint of WIDE words, TABLES anchors) of a shingle set.
+
+    Each further word of the fingerprint is the majority over another mix of the same shingle hashes.
+    An anchor joins the least values of two mixes: texts of similarity s share it with chance s * s.
+    """
+    if not len(h):
+        return np.zeros(WIDE, np.uint64), np.zeros(1, np.uint64)
     factor, shift = rng
     ones = np.zeros(64 * WIDE, np.int64)
     for i in range(0, len(h), COUNTED // WIDE):
@@ -310,26 +319,86 @@ def sketch(text: bytes, words: int, rng: tuple[np.ndarray, np.ndarray]) -> tuple
 
 
 def sketches(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """(key, f0.., anchors)."""
+    """(key, f0.., anchors, shingles, digest): the digest is that of the shingle set, shingles its size."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = np.random.default_rng(SEED)
         rng = gen.integers(0, 2**63, WIDE + 2 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), gen.integers(0, 2**63, WIDE + 2 * TABLES, dtype=np.uint64)
         for pdf in batches:
-            got = [sketch(bytes(t), words, rng) for t in pdf["__t"]]
-            fp = _signed(np.array([f for f, _ in got], np.uint64).reshape(-1, WIDE))
-            yield pd.DataFrame({"__k": pdf["__k"], **{f"f{i}": fp[:, i] for i in range(WIDE)}, "anchors": [_signed(a) for _, a in got]})
+            got = []
+            for t in pdf["__t"]:
+                h = shingle_set(bytes(t), words)
+                got.append((*sketch(h, rng), len(h), blake2b(h.tobytes(), digest_size=16).hexdigest()))
+            fp = _signed(np.array([g[0] for g in got], np.uint64).reshape(-1, WIDE))
+            yield pd.DataFrame({"__k": pdf["__k"], **{f"f{i}": fp[:, i] for i in range(WIDE)}, "anchors": [_signed(g[1]) for g in got], "shingles": [g[2] for g in got], "digest": [g[3] for g in got]})
 
     rows = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"))
-    out = "__k long, " + ", ".join(f"f{i} long" for i in range(WIDE)) + ", anchors array<long>"
+    out = "__k long, " + ", ".join(f"f{i} long" for i in range(WIDE)) + ", anchors array<long>, shingles long, digest string"
     return rows.mapInPandas(scored, out).withColumnRenamed("__k", key)
 
 
 def radius_of(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of this Jaccard similarity differ, and two standard deviations more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits of a wide fingerprint in which texts of this Jaccard similarity differ, and four standard deviations more.
+
+    Small sets differ in more bits than the arc cosine says, at 0.8 in 3 of 16 (four shingles of five).
+    """
+    p = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
     bits = 64 * WIDE
-    return int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _verified(pdf: pd.DataFrame, similarity: float, radius: int) -> pd.DataFrame:
+    """(a, b) digests: a spanning forest of the pairs of one cell, or of two cells' sides, whose sets have this Jaccard similarity."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+    size, side, group, out = pdf["shingles"].to_numpy(), pdf["side"].to_numpy(), np.arange(len(pdf)), []
+    fp = np.ascontiguousarray(pdf[[f"f{i}" for i in range(WIDE)]].to_numpy().astype(np.int64)).view(np.uint64)
+    for q in np.flatnonzero(side <= 0):
+        r = np.flatnonzero(side > 0) if side[q] else np.arange(q + 1, len(pdf))
+        r = r[(group[r] != group[q]) & (np.minimum(size[r], size[q]) / np.maximum(size[r], size[q]) >= similarity)]
+        r = r[np.bitwise_count(fp[r] ^ fp[q]).sum(axis=1) <= radius]
+        while len(r):
+            both = len(np.intersect1d(sets[q], sets[r[0]], assume_unique=True))
+            if both / (size[q] + size[r[0]] - both) >= similarity:
+                out.append((q, r[0]))
+                group[group == group[r[0]]] = group[q]
+            r = r[1:][group[r[1:]] != group[q]]
+    name = pdf["digest"].to_numpy()
+    return pd.DataFrame({"a": [name[i] for i, _ in out], "b": [name[j] for _, j in out]}, dtype=object)
+
+
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose __rid is one of ids, and few others: a bitmap of fixed size is broadcast, so no text is shuffled."""
+    slot = F.pmod(F.xxhash64("__rid"), F.lit(SLOTS)) + 1
+    bits = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    near = rows.withColumn("__s", slot).join(F.broadcast(bits), F.bitmap_bucket_number("__s") == F.col("__n")).withColumn("__p", F.bitmap_bit_position("__s"))
+    bit = "getbit(cast(conv(hex(substring(__bits, cast(__p div 8 as int) + 1, 1)), 16, 10) as int), cast(__p % 8 as int))"
+    return near.where(f"{bit} = 1").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def verified_links(suspects: DataFrame, texts: DataFrame, text: str, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): a forest of the links between shingle sets of this Jaccard similarity, of each group of suspects.
+
+    suspects: (root, digest, __rid, shingles, f0..), one row for each distinct set; texts: (__rid, text). A group is
+    dealt into cells like a bucket, and each pair of cells compares all of its sets that no link joins yet.
+    """
+    n = suspects.groupBy(F.col("root").alias("__root")).agg(F.count("*").alias("n"), F.sum("shingles").alias("total")).where("n > 1")
+    cells = F.ceil(F.greatest(F.col("n") / SETS, F.col("total") / SHINGLES)).cast("int").alias("cells")
+    s = suspects.join(n.select("__root", cells), F.col("root") == F.col("__root")).drop("__root")
+    s = scratch.table(s, "suspects")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"__r": pdf["__rid"], "hashes": [shingle_set(bytes(t), words).tobytes() for t in pdf["__t"]]})
+
+    rows = texts.select("__rid", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"))
+    sets = _of(rows, s.select("__rid")).mapInPandas(hashed, "__r long, hashes binary")
+    r = s.join(sets.hint("merge"), F.col("__rid") == F.col("__r")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    r = r.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    side = F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("own") == F.col("i"), -1).otherwise(1))
+    r = r.select("root", "i", "j", side.alias("side"), "digest", "shingles", *(f"f{i}" for i in range(WIDE)), "hashes")
+    radius = radius_of(similarity)
+    return r.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity, radius), "a string, b string")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -337,7 +406,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     Three differing bits of 64 are a similarity near 0.99, so at 0.8 the fingerprint has ``WIDE`` words,
     and buckets are made by anchors, which similar texts share and others don't, instead of
-    blocks of bits. Comparison within buckets is the same bit-sliced one, at ``radius_of``.
+    blocks of bits. Comparison within buckets is the same bit-sliced one, at ``radius_of``. Its links make groups
+    of suspects; near copies are those that links of exact Jaccard similarity between their shingle sets join.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -346,13 +416,17 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     ids = whole.select(F.col("__rid").alias("__r"), F.col(key).alias("__id"))
     ranked = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
     d = sketches(whole.select("__rid", text), text, "__rid", words).join(ids, F.col("__rid") == F.col("__r"))
-    d = scratch.table(d.select(ranked.alias("who"), *names, "anchors"), "sketches")
+    d = scratch.table(d.select(ranked.alias("who"), *names, "anchors", "shingles", "digest"), "sketches")
     # equal fingerprints are one vertex before any bucket is made
     rows = d.select(F.explode("anchors").alias("bucket"), *names).distinct()
     edges = _bucket_links(rows, WIDE, radius_of(similarity), scratch, CELL)
     name = lambda side: F.concat_ws("", *(F.lpad(F.hex(f"{side}{i}"), 16, "0") for i in range(WIDE)))
     found = components(edges.select(name("a").alias("a"), name("b").alias("b")), scratch)
-    each = d.groupBy(name("f").alias("vertex")).agg(F.min("who").alias("who"))
-    group = each.join(found, F.col("vertex") == F.col("node"), "left").groupBy(F.coalesce("root", "vertex").alias("root")).agg(F.min("who").alias("who"))
-    stay = scratch.table(group.select(F.col("who.rid").alias("__rid")), "stay")
+    # equal shingle sets are one vertex of the exact links
+    each = scratch.table(d.groupBy("digest", "shingles", *names).agg(F.min("who").alias("who")), "sets")
+    group = each.join(found, name("f") == F.col("node"), "left").select(F.coalesce("root", name("f")).alias("root"), "digest", F.col("who.rid").alias("__rid"), "shingles", *names)
+    links_ = verified_links(group, whole.select("__rid", text), text, words, similarity, scratch)
+    same = components(links_, scratch).toDF("__node", "__set")
+    stay = each.join(same, F.col("digest") == F.col("__node"), "left").groupBy(F.coalesce("__set", "digest").alias("root")).agg(F.min("who").alias("who"))
+    stay = scratch.table(stay.select(F.col("who.rid").alias("__rid")), "stay")
     return whole.join(stay.hint("shuffle_hash"), "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -184,6 +184,36 @@ def test_recall_at_the_threshold(spark):
     assert len(close) > 50 and sum(close) >= 0.95 * len(close) and not any(x for s, x in linked if s < 0.5)
 
 
+def test_pairs_below_the_threshold_stay(spark):
+    """Texts of similarity 0.6 to 0.79, short and long, and their chains are kept; links of 0.8 go by the exact sets."""
+    rng, texts = random.Random(8), []
+    words = [f"w{i}" for i in range(3000)]
+    for n in [8, 9, 10, 12, 14, 20, 24, 84] * 12:
+        base = [rng.choice(words) for _ in range(n)]
+        copy = list(base)
+        for at in range(n - 1, 0, -1):  # the end differs until the pair is below 0.8
+            copy[at] = rng.choice(words) + "x"
+            a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+            if len(a & b) / len(a | b) < 0.8:
+                break
+        texts += [" ".join(base), " ".join(copy)]
+    texts += [f"{' '.join(words[:20])} {x} {' '.join(words[20:40])}" for x in ("one", "two", "three")]  # pairs of 0.76
+    texts += [" ".join(words[100:120]), " ".join(words[100:121]), " ".join(words[100:122]), " ".join(words[100:126])]  # a chain, the last at 18 of 22
+    root, _ = near_groups(texts)
+    assert len(set(root)) == len(texts) - 3
+    kept = simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
+@pytest.mark.parametrize("cell", [2, 5, 1024])
+def test_verified_links_in_cells(spark, cell, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", cell)
+    texts = near_corpus()[:120]
+    root, _ = near_groups(texts)
+    kept = simhash.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
 @pytest.mark.parametrize("radius", [0, 3, 7, 50])
 def test_wide_kernels(radius):
     rng = np.random.default_rng(radius)
