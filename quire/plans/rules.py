@@ -282,7 +282,7 @@ def voices(c: Corpus) -> DataFrame:
 
 @rule("LG13", f"SELECT doc_id, block_id, page FROM boxes b WHERE block_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM visuals v WHERE v.doc_id = b.doc_id AND v.page = b.page AND v.kind = 'image' AND b.x0 >= vx0 - 10 AND b.y0 >= vy0 - 10 AND b.x1 <= vx1 + 10 AND b.y1 <= vy1 + 10)")
 def outside_images(c: Corpus) -> DataFrame:
-    return K.outside_visuals(c.boxes.where("block_id % 2 = 0"), c.visuals, "image").select("doc_id", "block_id", "page")
+    return K.outside_visuals(c.boxes, c.visuals, "image").select("doc_id", "block_id", "page")
 
 
 @rule("SCL25", "SELECT doc_id, block_id, concat(regexp_replace(substr(content, 1, p), '', ''), repeat(' ', n), substr(content, p + n + 1)) AS masked FROM (SELECT doc_id, block_id, content, strpos(content, q) - 1 AS p, length(q) AS n FROM (SELECT *, regexp_extract(content, '\"[^\"]*\"') AS q FROM blocks) WHERE q <> '')")
