@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance down the directory tree. DataFrame functions only.
 
-Every line of a whole text that has a term of ``ANCHORS`` is a candidate notice; these terms occur in
-every template, so a line without one has too little in common with any. A line's vector has a
+Every line of a whole text that has a term of ``anchors`` is a candidate notice. They are so chosen that
+the other terms of each template have a norm below the least cosine, so a line without an anchor
+can't reach it with any template. A line's vector has a
 weight tf * idf for each of its terms, with idf from the templates; a term that no template has
 counts in the norm with the idf of a term met once. The cosine to a template is a join of the line's
 terms with the template's terms, summed by line and template. A file's own license is that of its
@@ -21,6 +22,8 @@ rows; empty input gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ LEAST = 0.75
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following license conditions are met."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"),
+    ("BSD-3-Clause", "modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -42,11 +47,14 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, licensed to deal in the Software without restriction."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public"),
     ("proprietary", "All rights reserved."),
 )
-ANCHORS = ("license", "licensed", "licence", "licenced", "rights")
+#: Taken as anchors last and in this order, as most lines have one. Any order of terms finds the same notices.
+COMMON = "without work may under use are not any all you so if do or by at for that this with is in a to and of the".split()
 TERM = r"[0-9\p{L}]+(?:\.[0-9]+)*"
 
 
@@ -67,19 +75,40 @@ def templates(spark: SparkSession, notices=TEMPLATES) -> tuple[DataFrame, float]
     return w.join(norm, "notice").select("license", "notice", "term", "idf", (F.col("x") / F.col("norm")).alias("w")), math.log((n + 1) / 2) + 1
 
 
-def candidates(files: DataFrame, text: str, key: str) -> DataFrame:
+def anchors(least: float = LEAST, notices=TEMPLATES) -> list[str]:
+    """Terms of which a line has at least one if its cosine to any template is ``least`` or more.
+
+    By Cauchy and Schwarz, a line that shares only terms outside them with a template has at most their norm as its cosine.
+    """
+    tf = [Counter(re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())) for _, text in notices]
+    n, df, out = len(notices), Counter(t for c in tf for t in c), set()
+    for c in tf:
+        x = {t: (k * (math.log((n + 1) / (df[t] + 1)) + 1)) ** 2 for t, k in c.items()}
+        rest = total = sum(x.values())
+        for t in sorted(x, key=lambda t: (COMMON.index(t) + 1 if t in COMMON else 0, -x[t], t)):
+            if rest / total < max(least - 1e-6, 0) ** 2:
+                break
+            out.add(t)
+            rest -= x[t]
+    return sorted(out)
+
+
+def has_anchor(text: Column, least: float) -> Column:
+    return F.lower(text).rlike(r"(?<![0-9\p{L}])(?:" + "|".join(map(re.escape, anchors(least))) + r")(?![0-9\p{L}])")
+
+
+def candidates(files: DataFrame, text: str, key: str, least: float = LEAST) -> DataFrame:
     """(key, line, text) of the lines that have an anchor. line counts all lines from 0."""
-    anchor = r"(?iu)\b(" + "|".join(ANCHORS) + r")\b"
-    lines = files.where(F.col(text).rlike(anchor))
+    lines = files.where(has_anchor(F.col(text), least))
     lines = lines.select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "t"))
-    return lines.where(F.col("t").rlike(anchor))
+    return lines.where(has_anchor(F.col("t"), least))
 
 
 def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "__rid", least: float = LEAST) -> DataFrame:
     """(key, line, license, cosine): each candidate line's best template, if at ``least`` or more."""
     vocabulary, rare = templates(files.sparkSession)
     vocabulary = scratch.table(vocabulary, "templates")  # as many rows as the templates have terms
-    lines = scratch.table(candidates(files, text, key).select(key, "line", F.explode(terms(F.col("t"))).alias("term")), "terms")
+    lines = scratch.table(candidates(files, text, key, least).select(key, "line", F.explode(terms(F.col("t"))).alias("term")), "terms")
     tf = lines.groupBy(key, "line", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(vocabulary.select(F.col("term").alias("__t"), "idf").distinct())
     x = tf.join(idf, F.col("term") == F.col("__t"), "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
@@ -109,7 +138,7 @@ def scan(files: DataFrame, is_file: Column, text: str = "text", path: str = "pat
     scratch = Scratch(files.sparkSession, "licenses")
     whole = files.select(F.monotonically_increasing_id().alias("__rid"), F.col(key).alias("__key"), F.col(path).alias("path"), F.col(text).alias("__text"))
     # the texts are read once: what later steps need of them are the notices
-    lines = scratch.table(whole.select("__rid", "__key", "path", F.when(F.col("__text").rlike(r"(?iu)\b(" + "|".join(ANCHORS) + r")\b"), F.col("__text")).alias("__text"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("lines")), "files")
+    lines = scratch.table(whole.select("__rid", "__key", "path", F.when(has_anchor(F.col("__text"), least), F.col("__text")).alias("__text"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("lines")), "files")
     found = notices(lines, scratch, "__text", "__rid", least)
     best = found.groupBy("__rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "license")).alias("b"))
     best = scratch.table(best.select(F.col("__rid").alias("__b"), "b.license", (-F.col("b.c")).alias("cosine"), "b.line"), "best")

@@ -157,6 +157,33 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_notices_without_the_word_license(spark):
+    """First lines of real MIT, BSD and MPL headers, of which none has the word license or rights."""
+    want = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "Redistribution and use in source and binary forms, with or without": "BSD-3-Clause",
+        "# modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        " * This Source Code Form is subject to the terms of the Mozilla Public": "MPL-2.0",
+        "the terms of use of this form are in the source": None,
+    }
+    df = spark.createDataFrame([(i, f"head\n{t}\nbody", f"d{i}/x") for i, t in enumerate(want)], "doc_id long, text string, path string")
+    got = {r.doc_id: r.own_license for r in licenses.scan(df, F.lit(False)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_anchors_lose_no_notice(spark):
+    """Mixed parts of templates: what reaches the least cosine with every line a candidate does with anchors too."""
+    rng, rows = random.Random(5), []
+    for _, t in licenses.TEMPLATES:
+        for _ in range(15):
+            w = t.split()
+            rows.append((len(rows), " ".join(rng.sample(w, max(1, int(len(w) * rng.uniform(0.4, 1)))) + rng.choices(["foo", "bar"], k=rng.randint(0, 2)))))
+    df = spark.createDataFrame(rows, "k long, t string")
+    every = {tuple(r) for r in licenses.notices(df, Scratch(spark, "t"), "t", "k", 0.0).collect() if r.cosine >= licenses.LEAST}
+    assert every == {tuple(r) for r in licenses.notices(df, Scratch(spark, "t"), "t", "k").collect()} and len(every) > 60
+
+
 def test_license_cosines_against_brute_force(spark):
     import math
 
