@@ -1,22 +1,29 @@
-"""License scans: sparse TF-IDF cosine to templates, then inheritance down the directory tree. DataFrame functions only.
-
-Every line of a whole text that has a term of ``anchors`` is a candidate notice. They are so chosen that
-the other terms of each template have a norm below the least cosine, so a line without an anchor
-can't reach it with any template. A line's vector has a
-weight tf * idf for each of its terms, with idf from the templates; a term that no template has
-counts in the norm with the idf of a term met once. The cosine to a template is a join of the line's
-terms with the template's terms, summed by line and template. A file's own license is that of its
-best line at ``LEAST`` or more.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance down the directory tree. DataFrame functions only.
+
+A file is compared in parts of every size: the whole file; its blocks (between blank lines; in a comment,
+the whole comment); the paragraphs of a block (between lines without a letter or digit, such as a bare
+comment mark); and a paragraph's lines and sentences. A part's vector has a weight (1 + ln tf) * idf for each of its
+terms, with idf from the templates; a term that no template has counts in the norm with the idf of a
+term met once. The cosine to a template is a join of the part's terms with the template's terms, summed by part
+and template. A part's template is that of the highest cosine, if that is ``LEAST`` or more; a file's
+own license is that of the part with the most evidence, which is the squared cosine times the squared length of
+the shorter vector, so a whole header counts more than one of its lines.
+
+Before cosines are taken, parts that can't reach ``LEAST`` leave. By Cauchy and Schwarz a part needs a
+share of ``LEAST ** 2`` of a template's squared weights among its terms. Each template has anchors, rare terms
+that hold ``1 - LEAST ** 2 + SPARE`` of its squared weights or more, so a part must have anchors that hold ``SPARE``.
+That is tested in the row, first for whole texts, then for their parts. It loses nothing: whichever
+terms are anchors, the same parts reach ``LEAST``.
 
 A directory's license is that of the licence files that lie in it. A file without a license of its own
-inherits from the nearest directory above it that has one: the file's ancestors, one row each,
-are joined with the licensed directories by path, and the deepest wins. Licence files are
-aggregated to one row a directory before that join.
+inherits from the nearest directory above it that has one: the ancestors of each distinct directory, one
+row each, are joined with the licensed directories by path, the deepest wins, and files are joined
+with their directory. Licence files are aggregated to one row a directory before that join.
 
 Cases: null and empty texts have no license of their own and inherit; a null path has no
-ancestors; among equal cosines the template named first in code-point order wins, among licence
-files of a directory the one with the highest cosine, then the first path; repeated rows get equal
-rows; empty input gives no rows; other columns are not read.
+ancestors; among equal cosines of a part the heavier template wins, then the one named first in code-point order;
+among parts of equal evidence the license named first; among licence files of a directory the one with
+the highest cosine, then the first path; repeated rows get equal rows; empty input gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,34 +35,16 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.license_texts import TEMPLATES
 from quire.llm.scratch import Scratch
 
-LEAST = 0.75
-# The notices that files carry, by SPDX identifier.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"),
-    ("BSD-3-Clause", "modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal license, dedicated to the public domain."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public"),
-    ("proprietary", "All rights reserved."),
-)
-#: Taken as anchors last and in this order, as most lines have one. Any order of terms finds the same notices.
-COMMON = "without work may under use are not any all you so if do or by at for that this with is in a to and of the".split()
+LEAST, SPARE = 0.75, 0.1
+#: Taken as anchors last and in this order, as most texts have them. Any order of terms finds the same notices.
+COMMON = "version file work following code name names data public form list see terms material materials copy copies free provided other source used under use any all out one its into only no such shall may must will can above more even it either but on as from your was an not are you so if do or by at for that this with is in a to and of the".split()
 TERM = r"[0-9\p{L}]+(?:\.[0-9]+)*"
+#: Blank lines end a block, lines without a letter or digit a paragraph.
+BLANK, BARE, STOP = r"\n(?:[^\S\n]*\n)+", r"\n(?:[^0-9\p{L}\n]*\n)+", r"(?<=[.!?])\s+"
+PART = ("kind", "block", "paragraph", "item")
 
 
 def terms(text: Column) -> Column:
@@ -63,91 +52,145 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
 
 
-def templates(spark: SparkSession, notices=TEMPLATES) -> tuple[DataFrame, float]:
-    """((license, notice, term, w) with rows of unit length, idf of a term that no template has)."""
-    rows = F.array(*(F.struct(F.lit(i).alias("notice"), F.lit(name).alias("license"), F.lit(x).alias("text")) for i, (name, x) in enumerate(notices)))
-    t = spark.range(1).select(F.inline(rows))
-    tf = t.select("notice", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("notice", "license", "term").agg(F.count("*").alias("tf"))
-    n = len(notices)
-    idf = tf.groupBy("term").agg((F.log((F.lit(float(n)) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    w = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("notice").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return w.join(norm, "notice").select("license", "notice", "term", "idf", (F.col("x") / F.col("norm")).alias("w")), math.log((n + 1) / 2) + 1
-
-
-def anchors(least: float = LEAST, notices=TEMPLATES) -> list[str]:
-    """Terms of which a line has at least one if its cosine to any template is ``least`` or more.
-
-    By Cauchy and Schwarz, a line that shares only terms outside them with a template has at most their norm as its cosine.
-    """
+def _vectors(notices) -> tuple[list[dict[str, float]], dict[str, float], float]:
+    """(term -> weight of each notice, term -> idf, idf of a term that no notice has)."""
     tf = [Counter(re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())) for _, text in notices]
-    n, df, out = len(notices), Counter(t for c in tf for t in c), set()
-    for c in tf:
-        x = {t: (k * (math.log((n + 1) / (df[t] + 1)) + 1)) ** 2 for t, k in c.items()}
-        rest = total = sum(x.values())
-        for t in sorted(x, key=lambda t: (COMMON.index(t) + 1 if t in COMMON else 0, -x[t], t)):
-            if rest / total < max(least - 1e-6, 0) ** 2:
-                break
-            out.add(t)
-            rest -= x[t]
-    return sorted(out)
+    n, df = len(notices), Counter(t for c in tf for t in c)
+    idf = {t: math.log((n + 1) / (k + 1)) + 1 for t, k in df.items()}
+    return [{t: (1 + math.log(k)) * idf[t] for t, k in c.items()} for c in tf], idf, math.log((n + 1) / 2) + 1
 
 
-def has_anchor(text: Column, least: float) -> Column:
-    return F.lower(text).rlike(r"(?<![0-9\p{L}])(?:" + "|".join(map(re.escape, anchors(least))) + r")(?![0-9\p{L}])")
-
-
-def candidates(files: DataFrame, text: str, key: str, least: float = LEAST) -> DataFrame:
-    """(key, line, text) of the lines that have an anchor. line counts all lines from 0."""
-    lines = files.where(has_anchor(F.col(text), least))
-    lines = lines.select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "t"))
-    return lines.where(has_anchor(F.col("t"), least))
-
-
-def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "__rid", least: float = LEAST) -> DataFrame:
-    """(key, line, license, cosine): each candidate line's best template, if at ``least`` or more."""
-    vocabulary, rare = templates(files.sparkSession)
+def templates(spark: SparkSession, notices=TEMPLATES) -> tuple[DataFrame, float]:
+    """((license, notice, term, idf, w, weight) with w of unit length and weight the squared length, idf of a term that no template has)."""
+    vectors, idf, rare = _vectors(notices)
+    rows = []
+    for i, ((name, _), v) in enumerate(zip(notices, vectors)):
+        weight = sum(x * x for x in v.values())
+        rows += [(name, i, t, idf[t], x / math.sqrt(weight), weight) for t, x in v.items()]
+    values = ", ".join(f"('{name}', {i}, '{t}', {df!r}D, {w!r}D, {weight!r}D)" for name, i, t, df, w, weight in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(license, notice, term, idf, w, weight)"), rare
+
+
+def anchors(least: float = LEAST, notices=TEMPLATES) -> tuple[dict[str, list[tuple[int, float]]], list[float]]:
+    """(anchor -> (notice, share of its squared weights), the shares that a part must have of each notice's anchors)."""
+    shares: dict[str, list[tuple[int, float]]] = {}
+    bounds = []
+    vectors, idf, _ = _vectors(notices)
+    for i, v in enumerate(vectors):
+        total, held = sum(x * x for x in v.values()), 0.0
+        for t in sorted(v, key=lambda t: (COMMON.index(t) + 1 if t in COMMON else 0, -idf[t], t)):
+            if held >= 1 - least**2 + SPARE:
+                break
+            shares.setdefault(t, []).append((i, v[t] ** 2 / total))
+            held += v[t] ** 2 / total
+        bounds.append(least**2 - (1 - held) - 1e-6)
+    return shares, bounds
+
+
+def _any_of(words) -> str:
+    """A pattern for any of the words that looks at each letter once, longer words first."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(c) + pattern(node[c]) for c in sorted(node) if c]
+        inner = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return "" if not branches else f"(?:{inner})?" if "" in node else inner
+
+    return r"(?<![0-9\p{L}])" + pattern(tree) + r"(?![0-9\p{L}])"
+
+
+class Reach:
+    """Whether a text can come to ``least`` with any notice, by the anchors it has."""
+
+    def __init__(self, least: float, notices):
+        self.shares, self.bounds = anchors(least, notices)
+        self.pattern = _any_of(self.shares)
+
+    def __call__(self, text: Column) -> Column:
+        if min(self.bounds) <= 0:  # nothing can be left out
+            return F.lit(True)
+        entry = lambda own: ", ".join(f"named_struct('i', {i}, 'w', {w!r}D)" for i, w in own)
+        table = F.expr("map(" + ", ".join(f"'{t}', array({entry(own)})" for t, own in self.shares.items()) + ")")
+        need = F.expr("array(" + ", ".join(f"{b!r}D" for b in self.bounds) + ")")
+        hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(self.pattern), F.lit(0)))
+        held = F.flatten(F.transform(hits, lambda t: F.element_at(table, t)))
+        share = lambda h, i: F.aggregate(F.filter(h, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["w"])
+        # an array of one element binds what is found in the text, so that the text is searched once
+        enough = F.exists(F.array(held), lambda h: F.exists(F.array_distinct(F.transform(h, lambda s: s["i"])), lambda i: share(h, i) >= F.element_at(need, i + 1)))
+        return F.when(F.lower(text).rlike(self.pattern), enough).otherwise(F.lit(False))
+
+
+def parts(files: DataFrame, text: str, key: str, reach: Reach) -> DataFrame:
+    """(key, kind, block, paragraph, item, text) of the parts that reach far enough; numbers count from 0. A part that is its whole larger part isn't given twice."""
+    whole = F.btrim(F.col(text), F.lit(" \t\r\n\v\f"))
+    zero = [F.lit(0).alias(n) for n in PART[1:]]
+    f = files.select(F.col(key), whole.alias("__t"), F.split(whole, BLANK, -1).alias("__blocks"))
+    file = f.where(F.size("__blocks") > 1).select(key, F.lit("file").alias("kind"), *zero, F.col("__t").alias("text"))
+    b = f.select(key, F.posexplode("__blocks").alias("block", "__t")).where(reach(F.col("__t")))
+    b = b.withColumn("__paras", F.split("__t", BARE, -1))
+    block = b.where(F.size("__paras") > 1).select(key, F.lit("block").alias("kind"), "block", *zero[1:], F.col("__t").alias("text"))
+    p = b.select(key, "block", F.posexplode("__paras").alias("paragraph", "__t")).where(reach(F.col("__t")))
+    one = lambda kind, i, t: F.struct(F.lit(kind).alias("kind"), i.alias("item"), t.alias("text"))
+    several = lambda kind, xs: F.when(F.size(xs) > 1, F.transform(xs, lambda t, i: one(kind, i, t))).otherwise(F.array().cast("array<struct<kind:string,item:int,text:string>>"))
+    own = F.array(one("paragraph", F.lit(0), F.col("__t")))
+    small = p.select(key, "block", "paragraph", F.inline(F.concat(own, several("line", F.split("__t", "\n", -1)), several("sentence", F.split("__t", STOP, -1)))))
+    small = small.where((F.col("kind") == "paragraph") | reach(F.col("text"))).select(key, *PART, "text")
+    return file.unionByName(block).unionByName(small)
+
+
+def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "__rid", least: float = LEAST, templates_=TEMPLATES, reach: Reach | None = None) -> DataFrame:
+    """(key, kind, block, paragraph, item, license, cosine, evidence): each part's best template, if at ``least`` or more."""
+    vocabulary, rare = templates(files.sparkSession, templates_)
     vocabulary = scratch.table(vocabulary, "templates")  # as many rows as the templates have terms
-    lines = scratch.table(candidates(files, text, key, least).select(key, "line", F.explode(terms(F.col("t"))).alias("term")), "terms")
-    tf = lines.groupBy(key, "line", "term").agg(F.count("*").alias("tf"))
+    found = parts(files, text, key, reach or Reach(least, templates_))
+    at = [key, *PART]
+    tf = scratch.table(found.select(*at, F.explode(terms(F.col("text"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("tf")), "terms")
     idf = F.broadcast(vocabulary.select(F.col("term").alias("__t"), "idf").distinct())
-    x = tf.join(idf, F.col("term") == F.col("__t"), "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norm = x.groupBy(F.col(key).alias("__k"), F.col("line").alias("__l")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    v = F.broadcast(vocabulary.select("license", "notice", F.col("term").alias("__v"), "w"))
-    dot = x.join(v, F.col("term") == F.col("__v")).groupBy(key, "line", "license", "notice").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    dot = dot.join(norm, (F.col(key) == F.col("__k")) & (F.col("line") == F.col("__l")))
-    cosine = F.round(F.col("dot") / F.col("norm"), 9)
-    best = dot.groupBy(key, "line", "license").agg(F.max(cosine).alias("cosine"))
-    top = F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("top")
-    best = best.groupBy(key, "line").agg(top).select(key, "line", "top.license", (-F.col("top.c")).alias("cosine"))
-    return best.where(F.col("cosine") >= least)
+    x = tf.join(idf, F.col("term") == F.col("__t"), "left").withColumn("x", (F.log("tf") + 1) * F.coalesce("idf", F.lit(rare)))
+    norm = x.groupBy(*(F.col(c).alias(f"__{c}") for c in at)).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    v = F.broadcast(vocabulary.select("license", "notice", "weight", F.col("term").alias("__v"), "w"))
+    dot = x.join(v, F.col("term") == F.col("__v")).groupBy(*at, "license", "notice", "weight").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    same = [F.col(c) == F.col(f"__{c}") for c in at]
+    dot = dot.join(norm, same).withColumn("cosine", F.round(F.least(F.col("dot") / F.col("norm"), F.lit(1.0)), 9)).where(F.col("cosine") >= least)
+    top = F.min(F.struct((-F.col("cosine")).alias("c"), (-F.round("weight", 6)).alias("w"), "license")).alias("top")
+    best = dot.groupBy(*at).agg(top, F.first("norm").alias("norm"))
+    cosine, matched = -F.col("top.c"), F.least(-F.col("top.w"), F.col("norm") * F.col("norm"))
+    return best.select(*at, "top.license", cosine.alias("cosine"), F.round(cosine * cosine * matched, 6).alias("evidence"))
 
 
 def parents(path: Column) -> Column:
-    """(dir, depth) of every directory above a path, the root "" at depth 0 included; null for a null path."""
-    parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("dir"), n.alias("depth")))
+    """(dir, depth) of a directory and every one above it, the root "" at depth 0 included."""
+    names = F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(path, "/", -1))
+    return F.transform(F.sequence(F.lit(0), F.size(names)), lambda n: F.struct(F.array_join(F.slice(names, 1, n), "/").alias("dir"), n.alias("depth")))
 
 
-def scan(files: DataFrame, is_file: Column, text: str = "text", path: str = "path", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """One row per file: key, path, own_license, cosine, license, origin ("own", "inherited" or null), from_dir.
+def scan(files: DataFrame, is_file: Column, text: str = "text", path: str = "path", key: str = "doc_id", least: float = LEAST, templates_=TEMPLATES) -> DataFrame:
+    """One row per file: key, path, own_license, cosine, kind, license, origin ("own", "inherited" or null), from_dir.
 
-    is_file: from the columns path, line (of the best notice), lines and cosine, whether a file is a licence file
-    of its directory.
+    is_file: whether a file is a licence file of its directory, from the columns path, kind, block, paragraph, item
+    and cosine of the file's strongest part.
     """
-    scratch = Scratch(files.sparkSession, "licenses")
+    scratch, reach = Scratch(files.sparkSession, "licenses"), Reach(least, templates_)
     whole = files.select(F.monotonically_increasing_id().alias("__rid"), F.col(key).alias("__key"), F.col(path).alias("path"), F.col(text).alias("__text"))
-    # the texts are read once: what later steps need of them are the notices
-    lines = scratch.table(whole.select("__rid", "__key", "path", F.when(has_anchor(F.col("__text"), least), F.col("__text")).alias("__text"), F.size(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("lines")), "files")
-    found = notices(lines, scratch, "__text", "__rid", least)
-    best = found.groupBy("__rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "license")).alias("b"))
-    best = scratch.table(best.select(F.col("__rid").alias("__b"), "b.license", (-F.col("b.c")).alias("cosine"), "b.line"), "best")
-    own = scratch.table(lines.drop("__text").join(best, F.col("__rid") == F.col("__b"), "left").drop("__b"), "own")
-    dirs = own.where(F.col("license").isNotNull() & F.col("path").isNotNull() & is_file).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    dirs = dirs.groupBy(F.col("dir").alias("__dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", F.col("license"))).alias("d")).select("__dir", F.col("d.license").alias("__lic"))
+    # the texts are read once: later steps need those only that may have a notice
+    lines = scratch.table(whole.withColumn("__text", F.when(reach(F.col("__text")), F.col("__text"))), "files")
+    found = notices(lines.where("__text is not null"), scratch, "__text", "__rid", least, templates_, reach)
+    best = found.groupBy("__rid").agg(F.min(F.struct((-F.col("evidence")).alias("e"), "license", "block", "paragraph", "item", "kind", "cosine")).alias("b"))
+    best = scratch.table(best.select(F.col("__rid").alias("__b"), "b.license", "b.cosine", *(f"b.{c}" for c in PART)), "best")
+    own = lines.drop("__text").join(best, F.col("__rid") == F.col("__b"), "left").drop("__b")
+    own = scratch.table(own.withColumn("__in", F.regexp_replace("path", r"/?[^/]*$", "")), "own")
+    scratch.drop(lines, best)
+    dirs = own.where(F.col("license").isNotNull() & F.col("path").isNotNull() & is_file)
+    dirs = dirs.groupBy(F.col("__in").alias("__dir")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", F.col("license"))).alias("d")).select("__dir", F.col("d.license").alias("__lic"))
     dirs = scratch.table(dirs, "dirs")
-    bare = own.where("license is null").select(F.col("__rid").alias("__r"), F.explode(parents(F.col("path"))).alias("up"))
-    above = bare.join(dirs, F.col("up.dir") == F.col("__dir")).groupBy("__r").agg(F.max(F.struct("up.depth", "up.dir", F.col("__lic").alias("lic"))).alias("n"))
-    out = own.join(above, F.col("__rid") == F.col("__r"), "left")
+    bare = own.where("license is null and path is not null").select(F.col("__in").alias("__of")).distinct().withColumn("up", F.explode(parents(F.col("__of"))))
+    above = bare.join(dirs, F.col("up.dir") == F.col("__dir")).groupBy("__of").agg(F.max(F.struct("up.depth", "up.dir", F.col("__lic").alias("lic"))).alias("n"))
+    above = scratch.table(above, "above")
+    out = own.join(above, (F.col("__in") == F.col("__of")) & F.col("license").isNull(), "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("n").isNotNull(), "inherited")
-    return out.select(F.col("__key").alias(key), "path", F.col("license").alias("own_license"), "cosine", F.coalesce("license", "n.lic").alias("license"), origin.alias("origin"), F.col("n.dir").alias("from_dir"))
+    return out.select(F.col("__key").alias(key), "path", F.col("license").alias("own_license"), "cosine", "kind", F.coalesce("license", "n.lic").alias("license"), origin.alias("origin"), F.col("n.dir").alias("from_dir"))

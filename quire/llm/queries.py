@@ -44,10 +44,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents have no paths: source/lang/group of 64 ids/id stands for one. A licence file is one whose best notice is its first line."""
+    """documents have no paths: source/lang/group of 64 ids/id stands for one. A licence file is one that begins with its strongest notice."""
     d = read(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(d.withColumn("path", path), F.col("line") == 0)
+    return licenses.scan(d.withColumn("path", path), (F.col("block") == 0) & (F.col("paragraph") == 0) & (F.col("item") == 0))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Line dedup, unit hashing, license scans against brute force."""
+"""Line dedup and unit hashing against brute force."""
 
 import random
 import re
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
-from quire.llm import licenses, lines, units
-from quire.llm.scratch import Scratch
+from quire.llm import lines, units
 
 SCHEMA = "doc_id long, text string, lang string, rid string, line string, start string"
 
@@ -126,88 +124,3 @@ def test_unit_dedup_leaves_one_copy(spark):
 @pytest.mark.parametrize("f", [lines.report, lines.dedup, units.report, units.dedup])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).collect() == []
-
-
-def test_licenses(spark):
-    apache, mit, gpl = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
-    rows = [
-        (1, apache + "\nbody", "a/LICENSE"),
-        (2, "code " * 5000, "a/b/c.py"),
-        (3, "text\n" + mit, "a/b/d.py"),
-        (4, mit, "a/x/LICENSE"),
-        (5, "code", "a/x/y/z/e.py"),
-        (6, "the license of a driver is not a notice", "q/f.py"),
-        (7, None, "a/x/g.py"),
-        (8, None, None),
-        (9, "", "h.py"),
-        (10, "l\n" * 3000 + gpl, "q/g.py"),
-        (10, "l\n" * 3000 + gpl, "q/g.py"),
-        (11, "All rights reserved.", "q/r"),
-        (12, "Licensed under CC BY-NC 4.0.", "q/s"),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, path string").withColumn("cosine", F.lit("x"))
-    got = licenses.scan(df, F.col("path").endswith("LICENSE")).collect()
-    by = {r.doc_id: (r.own_license, r.license, r.origin, r.from_dir) for r in got}
-    assert len(got) == len(rows)
-    assert by == {
-        1: ("Apache-2.0", "Apache-2.0", "own", None), 2: (None, "Apache-2.0", "inherited", "a"), 3: ("MIT", "MIT", "own", None), 4: ("MIT", "MIT", "own", None),
-        5: (None, "MIT", "inherited", "a/x"), 6: (None,) * 4, 7: (None, "MIT", "inherited", "a/x"), 8: (None,) * 4, 9: (None,) * 4, 10: ("GPL-3.0", "GPL-3.0", "own", None),
-        11: ("proprietary", "proprietary", "own", None), 12: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "own", None),
-    }
-    assert licenses.scan(df.limit(0), F.lit(True)).collect() == []
-
-
-def test_notices_without_the_word_license(spark):
-    """First lines of real MIT, BSD and MPL headers, of which none has the word license or rights."""
-    want = {
-        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
-        "Redistribution and use in source and binary forms, with or without": "BSD-3-Clause",
-        "# modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
-        " * This Source Code Form is subject to the terms of the Mozilla Public": "MPL-2.0",
-        "the terms of use of this form are in the source": None,
-    }
-    df = spark.createDataFrame([(i, f"head\n{t}\nbody", f"d{i}/x") for i, t in enumerate(want)], "doc_id long, text string, path string")
-    got = {r.doc_id: r.own_license for r in licenses.scan(df, F.lit(False)).collect()}
-    assert [got[i] for i in range(len(want))] == list(want.values())
-
-
-def test_anchors_lose_no_notice(spark):
-    """Mixed parts of templates: what reaches the least cosine with every line a candidate does with anchors too."""
-    rng, rows = random.Random(5), []
-    for _, t in licenses.TEMPLATES:
-        for _ in range(15):
-            w = t.split()
-            rows.append((len(rows), " ".join(rng.sample(w, max(1, int(len(w) * rng.uniform(0.4, 1)))) + rng.choices(["foo", "bar"], k=rng.randint(0, 2)))))
-    df = spark.createDataFrame(rows, "k long, t string")
-    every = {tuple(r) for r in licenses.notices(df, Scratch(spark, "t"), "t", "k", 0.0).collect() if r.cosine >= licenses.LEAST}
-    assert every == {tuple(r) for r in licenses.notices(df, Scratch(spark, "t"), "t", "k").collect()} and len(every) > 60
-
-
-def test_license_cosines_against_brute_force(spark):
-    import math
-
-    tok = lambda t: re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
-    n = len(licenses.TEMPLATES)
-    df = defaultdict(int)
-    for _, t in licenses.TEMPLATES:
-        for w in set(tok(t)):
-            df[w] += 1
-    idf = lambda w: math.log((n + 1) / (df.get(w, 1) + 1)) + 1
-    vec = lambda t: {w: tok(t).count(w) * idf(w) for w in set(tok(t))}
-    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    rng = random.Random(1)
-    texts = []
-    for _, t in licenses.TEMPLATES:
-        for _ in range(4):
-            w = t.split()
-            for _ in range(rng.randint(0, 4)):
-                w.insert(rng.randrange(len(w) + 1), rng.choice(["foo", "the", "work", "license", "2.0"]))
-            texts.append(" ".join(w))
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = licenses.notices(spark.createDataFrame(rows, "k long, t string"), Scratch(spark, "t"), "t", "k", 0.0).collect()
-    for r in got:
-        v = vec(texts[r.k])
-        best = max(sum(v.get(w, 0) * x for w, x in vec(t).items()) / norm(v) / norm(vec(t)) for _, t in licenses.TEMPLATES)
-        assert r.cosine == pytest.approx(best, abs=1e-6)
-    assert len(got) >= 0.9 * len(texts)
