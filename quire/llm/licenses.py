@@ -2,7 +2,9 @@
 
 A file is compared in parts of every size: the whole file; its blocks (between blank lines; in a comment,
 the whole comment); the paragraphs of a block (between lines without a letter or digit, such as a bare
-comment mark); and a paragraph's lines and sentences. A part's vector has a weight (1 + ln tf) * idf for each of its
+comment mark); and a paragraph's lines and sentences. Files and blocks are compared with templates of several
+paragraphs, paragraphs also with those of several sentences, and lines, sentences and paragraphs of one sentence
+with those of one sentence. A part's vector has a weight (1 + ln tf) * idf for each of its
 terms, with idf from the templates; a term that no template has counts in the norm with the idf of a
 term met once. The cosine to a template is a join of the part's terms with the template's terms, summed by part
 and template. A part's template is that of the highest cosine, if that is ``LEAST`` or more; a file's
@@ -45,6 +47,8 @@ TERM = r"[0-9\p{L}]+(?:\.[0-9]+)*"
 #: Blank lines end a block, lines without a letter or digit a paragraph.
 BLANK, BARE, STOP = r"\n(?:[^\S\n]*\n)+", r"\n(?:[^0-9\p{L}\n]*\n)+", r"(?<=[.!?])\s+"
 PART = ("kind", "block", "paragraph", "item")
+#: Sizes of templates, and of the templates a part is compared with: bits of one number.
+SENTENCE, PASSAGE, WHOLE = 1, 2, 4
 
 
 def terms(text: Column) -> Column:
@@ -60,15 +64,20 @@ def _vectors(notices) -> tuple[list[dict[str, float]], dict[str, float], float]:
     return [{t: (1 + math.log(k)) * idf[t] for t, k in c.items()} for c in tf], idf, math.log((n + 1) / 2) + 1
 
 
+def size_of(notice: str) -> int:
+    """SENTENCE, PASSAGE (several sentences) or WHOLE (several paragraphs)."""
+    return WHOLE if len(re.split(BLANK, notice)) > 1 else PASSAGE if len(re.split(STOP, notice)) > 1 else SENTENCE
+
+
 def templates(spark: SparkSession, notices=TEMPLATES) -> tuple[DataFrame, float]:
-    """((license, notice, term, idf, w, weight) with w of unit length and weight the squared length, idf of a term that no template has)."""
+    """((license, notice, size, term, idf, w, weight) with w of unit length and weight the squared length, idf of a term that no template has)."""
     vectors, idf, rare = _vectors(notices)
     rows = []
-    for i, ((name, _), v) in enumerate(zip(notices, vectors)):
+    for i, ((name, text), v) in enumerate(zip(notices, vectors)):
         weight = sum(x * x for x in v.values())
-        rows += [(name, i, t, idf[t], x / math.sqrt(weight), weight) for t, x in v.items()]
-    values = ", ".join(f"('{name}', {i}, '{t}', {df!r}D, {w!r}D, {weight!r}D)" for name, i, t, df, w, weight in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(license, notice, term, idf, w, weight)"), rare
+        rows += [(name, i, size_of(text), t, idf[t], x / math.sqrt(weight), weight) for t, x in v.items()]
+    values = ", ".join(f"('{name}', {i}, {size}, '{t}', {df!r}D, {w!r}D, {weight!r}D)" for name, i, size, t, df, w, weight in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(license, notice, size, term, idf, w, weight)"), rare
 
 
 def anchors(least: float = LEAST, notices=TEMPLATES) -> tuple[dict[str, list[tuple[int, float]]], list[float]]:
@@ -105,18 +114,19 @@ def _any_of(words) -> str:
 
 
 class Reach:
-    """Whether a text can come to ``least`` with any notice, by the anchors it has."""
+    """Whether a text can come to ``least`` with any notice of these sizes, by the anchors it has."""
 
     def __init__(self, least: float, notices):
         self.shares, self.bounds = anchors(least, notices)
+        self.sizes = [size_of(t) for _, t in notices]
         self.pattern = _any_of(self.shares)
 
-    def __call__(self, text: Column) -> Column:
+    def __call__(self, text: Column, sizes: int = SENTENCE | PASSAGE | WHOLE) -> Column:
         if min(self.bounds) <= 0:  # nothing can be left out
             return F.lit(True)
         entry = lambda own: ", ".join(f"named_struct('i', {i}, 'w', {w!r}D)" for i, w in own)
         table = F.expr("map(" + ", ".join(f"'{t}', array({entry(own)})" for t, own in self.shares.items()) + ")")
-        need = F.expr("array(" + ", ".join(f"{b!r}D" for b in self.bounds) + ")")
+        need = F.expr("array(" + ", ".join(f"{b!r}D" if size & sizes else "2D" for b, size in zip(self.bounds, self.sizes)) + ")")
         hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(self.pattern), F.lit(0)))
         held = F.flatten(F.transform(hits, lambda t: F.element_at(table, t)))
         share = lambda h, i: F.aggregate(F.filter(h, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["w"])
@@ -126,21 +136,25 @@ class Reach:
 
 
 def parts(files: DataFrame, text: str, key: str, reach: Reach) -> DataFrame:
-    """(key, kind, block, paragraph, item, text) of the parts that reach far enough; numbers count from 0. A part that is its whole larger part isn't given twice."""
+    """(key, kind, block, paragraph, item, sizes, text) of the parts that reach far enough; numbers count from 0. A part that is its whole larger part isn't given twice."""
     whole = F.btrim(F.col(text), F.lit(" \t\r\n\v\f"))
     zero = [F.lit(0).alias(n) for n in PART[1:]]
+    large = lambda kind: (F.lit(kind).alias("kind"), F.lit(WHOLE).alias("sizes"), F.col("__t").alias("text"))
     f = files.select(F.col(key), whole.alias("__t"), F.split(whole, BLANK, -1).alias("__blocks"))
-    file = f.where(F.size("__blocks") > 1).select(key, F.lit("file").alias("kind"), *zero, F.col("__t").alias("text"))
+    file = f.where((F.size("__blocks") > 1) & reach(F.col("__t"), WHOLE)).select(key, *zero, *large("file"))
     b = f.select(key, F.posexplode("__blocks").alias("block", "__t")).where(reach(F.col("__t")))
     b = b.withColumn("__paras", F.split("__t", BARE, -1))
-    block = b.where(F.size("__paras") > 1).select(key, F.lit("block").alias("kind"), "block", *zero[1:], F.col("__t").alias("text"))
+    block = b.where((F.size("__paras") > 1) & reach(F.col("__t"), WHOLE)).select(key, "block", *zero[1:], *large("block"))
     p = b.select(key, "block", F.posexplode("__paras").alias("paragraph", "__t")).where(reach(F.col("__t")))
-    one = lambda kind, i, t: F.struct(F.lit(kind).alias("kind"), i.alias("item"), t.alias("text"))
-    several = lambda kind, xs: F.when(F.size(xs) > 1, F.transform(xs, lambda t, i: one(kind, i, t))).otherwise(F.array().cast("array<struct<kind:string,item:int,text:string>>"))
-    own = F.array(one("paragraph", F.lit(0), F.col("__t")))
-    small = p.select(key, "block", "paragraph", F.inline(F.concat(own, several("line", F.split("__t", "\n", -1)), several("sentence", F.split("__t", STOP, -1)))))
-    small = small.where((F.col("kind") == "paragraph") | reach(F.col("text"))).select(key, *PART, "text")
-    return file.unionByName(block).unionByName(small)
+    one = lambda kind, i, sizes, t: F.struct(F.lit(kind).alias("kind"), i.alias("item"), sizes.alias("sizes"), t.alias("text"))
+    none = F.array().cast("array<struct<kind:string,item:int,sizes:int,text:string>>")
+    several = lambda kind, xs: F.when(F.size(xs) > 1, F.transform(xs, lambda t, i: one(kind, i, F.lit(SENTENCE), t))).otherwise(none)
+    lines, sentences = F.split("__t", "\n", -1), F.split("__t", STOP, -1)
+    own = F.array(one("paragraph", F.lit(0), F.when(F.size(sentences) > 1, PASSAGE | WHOLE).otherwise(SENTENCE | PASSAGE | WHOLE), F.col("__t")))
+    small = p.select(key, "block", "paragraph", F.inline(F.concat(own, several("line", lines), several("sentence", sentences))))
+    able = F.when(F.col("sizes") == SENTENCE, reach(F.col("text"), SENTENCE)).when(F.col("sizes") == PASSAGE | WHOLE, reach(F.col("text"), PASSAGE | WHOLE)).otherwise(True)
+    names = [key, *PART, "sizes", "text"]
+    return file.select(names).unionByName(block.select(names)).unionByName(small.where(able).select(names))
 
 
 def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "__rid", least: float = LEAST, templates_=TEMPLATES, reach: Reach | None = None) -> DataFrame:
@@ -148,19 +162,19 @@ def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "
     vocabulary, rare = templates(files.sparkSession, templates_)
     vocabulary = scratch.table(vocabulary, "templates")  # as many rows as the templates have terms
     found = parts(files, text, key, reach or Reach(least, templates_))
-    at = [key, *PART]
+    at = [key, *PART, "sizes"]
     tf = scratch.table(found.select(*at, F.explode(terms(F.col("text"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("tf")), "terms")
     idf = F.broadcast(vocabulary.select(F.col("term").alias("__t"), "idf").distinct())
     x = tf.join(idf, F.col("term") == F.col("__t"), "left").withColumn("x", (F.log("tf") + 1) * F.coalesce("idf", F.lit(rare)))
     norm = x.groupBy(*(F.col(c).alias(f"__{c}") for c in at)).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    v = F.broadcast(vocabulary.select("license", "notice", "weight", F.col("term").alias("__v"), "w"))
-    dot = x.join(v, F.col("term") == F.col("__v")).groupBy(*at, "license", "notice", "weight").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    v = F.broadcast(vocabulary.select("license", "notice", "size", "weight", F.col("term").alias("__v"), "w"))
+    dot = x.join(v, (F.col("term") == F.col("__v")) & (F.col("sizes").bitwiseAND(F.col("size")) != 0)).groupBy(*at, "license", "notice", "weight").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     same = [F.col(c) == F.col(f"__{c}") for c in at]
     dot = dot.join(norm, same).withColumn("cosine", F.round(F.least(F.col("dot") / F.col("norm"), F.lit(1.0)), 9)).where(F.col("cosine") >= least)
     top = F.min(F.struct((-F.col("cosine")).alias("c"), (-F.round("weight", 6)).alias("w"), "license")).alias("top")
     best = dot.groupBy(*at).agg(top, F.first("norm").alias("norm"))
     cosine, matched = -F.col("top.c"), F.least(-F.col("top.w"), F.col("norm") * F.col("norm"))
-    return best.select(*at, "top.license", cosine.alias("cosine"), F.round(cosine * cosine * matched, 6).alias("evidence"))
+    return best.select(key, *PART, "top.license", cosine.alias("cosine"), F.round(cosine * cosine * matched, 6).alias("evidence"))
 
 
 def parents(path: Column) -> Column:

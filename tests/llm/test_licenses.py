@@ -52,22 +52,27 @@ def test_real_texts(spark):
 
 
 def parts(text):
-    """(kind, block, paragraph, item, text), as the module's docstring says."""
+    """(kind, block, paragraph, item, sizes of templates, text), as the module's docstring says."""
     text = text.strip(" \t\r\n\v\f")
     blocks, out = re.split(r"\n(?:[^\S\n]*\n)+", text), []
     if len(blocks) > 1:
-        out.append(("file", 0, 0, 0, text))
+        out.append(("file", 0, 0, 0, "w", text))
     for i, b in enumerate(blocks):
         paras = re.split(r"\n(?:[^0-9a-zA-Z\n]*\n)+", b)
         if len(paras) > 1:
-            out.append(("block", i, 0, 0, b))
+            out.append(("block", i, 0, 0, "w", b))
         for j, p in enumerate(paras):
-            out.append(("paragraph", i, j, 0, p))
-            for kind, xs in (("line", p.split("\n")), ("sentence", re.split(r"(?<=[.!?])\s+", p))):
-                out += [(kind, i, j, k, x) for k, x in enumerate(xs) if len(xs) > 1]
+            lines, sentences = p.split("\n"), re.split(r"(?<=[.!?])\s+", p)
+            out.append(("paragraph", i, j, 0, "pw" if len(sentences) > 1 else "spw", p))
+            for kind, xs in (("line", lines), ("sentence", sentences)):
+                out += [(kind, i, j, k, "s", x) for k, x in enumerate(xs) if len(xs) > 1]
     return out
 
 
+def size_of(template):
+    return "w" if "\n\n" in template else "p" if re.search(r"[.!?]\s", template) else "s"
+
+
 def brute(templates):
     """text -> [(kind, block, paragraph, item, license, cosine, evidence)] of every part at LEAST or more."""
     tok = lambda t: Counter(re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower()))
@@ -75,16 +80,16 @@ def brute(templates):
     idf = lambda w: math.log((n + 1) / (df.get(w, 1) + 1)) + 1
     vec = lambda t: {w: (1 + math.log(k)) * idf(w) for w, k in tok(t).items()}
     square = lambda v: sum(x * x for x in v.values())
-    known = [(name, v, square(v)) for name, t in templates for v in [vec(t)]]
+    known = [(name, v, square(v), size_of(t)) for name, t in templates for v in [vec(t)]]
 
     def of(text):
         out = []
-        for *at, t in parts(text):
+        for *at, sizes, t in parts(text):
             v = vec(t)
             if not v:
                 continue
             own = square(v)
-            c = [(round(min(1.0, sum(v.get(w, 0) * x for w, x in u.items()) / math.sqrt(own * s)), 9), s, name) for name, u, s in known]
+            c = [(round(min(1.0, sum(v.get(w, 0) * x for w, x in u.items()) / math.sqrt(own * s)), 9), s, name) for name, u, s, size in known if size in sizes]
             cosine, s, name = min(c, key=lambda x: (-x[0], -round(x[1], 6), x[2]))
             if cosine >= licenses.LEAST:
                 out.append((*at, name, cosine, round(cosine**2 * min(s, own), 6)))

@@ -1,6 +1,7 @@
 """SentencePiece codec, audio and toxicity: parity, exact round trips, brute force and held-out accuracy."""
 
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -121,37 +122,109 @@ def labelled(n=600, seed=1):
 
 @pytest.fixture(scope="module")
 def chain():
-    return toxicity.train([(t, y) for i, t, y in labelled() if zlib.crc32(str(i).encode()) % 5])
-
-
-def test_marginals_against_every_token(chain):
-    """The runs of plain tokens as matrix powers give what forward-backward over single tokens gives."""
-    scorer = toxicity.Scorer(chain)
-    m, start = np.exp(np.array(chain.move)), np.exp(np.array(chain.start))
-    for _, text, _ in labelled(60, 9) + [(0, "plain " * 9000 + "zuqqa wyzzt " + "plain " * 9000, 1)]:
-        u = [np.array([1, np.exp(chain.bias + sum(chain.weights.get(f, 0) for f in toxicity.features(w)))]) for w in toxicity.TOKEN.findall(text)]
-        fore, back = [start * u[0] / (start * u[0]).sum()], [np.ones(2)]
-        for x in u[1:]:
-            v = fore[-1] @ m * x
-            fore.append(v / v.sum())
-        for x in u[:0:-1]:
-            v = m @ (x * back[-1])
-            back.append(v / v.sum())
-        both = np.array(fore) * np.array(back[::-1])
-        at, p = scorer.marginals(text)
-        assert np.allclose((both[:, 1] / both.sum(axis=1))[at], p, atol=1e-9)
+    return toxicity.train([(toxicity.windows(t), y) for i, t, y in labelled() if zlib.crc32(str(i).encode()) % 5])
+
+
+def single(chain, tokens):
+    """Forward-backward over single tokens with every feature summed up."""
+    get, low = chain.weights.get, [t.lower() for t in tokens]
+    m, start, u = np.exp(np.array(chain.move)), np.exp(np.array(chain.start)), []
+    for i, t in enumerate(tokens):
+        x = chain.bias + sum(get(f, 0) for f in toxicity.features(t))
+        x += get("<" + low[i - 1], 0) if i else 0
+        x += get(">" + low[i + 1], 0) if i + 1 < len(low) else 0
+        u.append(np.array([1, np.exp(x)]))
+    fore, back = [start * u[0] / (start * u[0]).sum()], [np.ones(2)]
+    for x in u[1:]:
+        v = fore[-1] @ m * x
+        fore.append(v / v.sum())
+    for x in u[:0:-1]:
+        v = m @ (x * back[-1])
+        back.append(v / v.sum())
+    both = np.array(fore) * np.array(back[::-1])
+    return both[:, 1] / both.sum(axis=1)
+
+
+def test_marginals_against_single_tokens(chain):
+    """The blocks of a batch of documents give what forward-backward over each document's tokens gives, for every token."""
+    texts = [t for _, t, _ in labelled(60, 9)] + ["", "zuqqa", "plain " * 9000 + "zuqqa wyzzt " + "plain " * 9000, ""]
+    docs = [toxicity.TOKEN.findall(t) for t in texts]
+    p, first = toxicity.Scorer(chain).marginals(docs)
+    assert len(p) == sum(map(len, docs))
+    for d, a in zip(docs, first):
+        if d:
+            assert np.allclose(single(chain, d), p[a : a + len(d)], atol=1e-9)
+    scored = list(toxicity.Scorer(chain).evidence(texts))
+    for d, (x, own) in zip(docs, scored):
+        q = single(chain, d) if d else np.zeros(0)
+        assert len(own) == len(d) and x == pytest.approx(np.log(0.01 - sum(v * np.log1p(-min(v, 1 - 1e-12)) for v in q)), abs=1e-6)
+    assert p.max() > 0.9 and all(0 <= x < 1e-3 for x in single(chain, ["plain"] * 50))
+
+
+def test_objective_against_all_labellings(monkeypatch):
+    """The likelihood of windows of four tokens as a sum over all 16 labellings, and its gradient by differences."""
+    monkeypatch.setattr(toxicity, "WINDOW", 4)
+    rows = [(["Bad", "dog", "Bad", "9"], [1, 0, 1, 0]), (["dog", "bad"], [0, 1]), (["cat"], [0]), (["a", "dog", "cat"], [0, 0, 0])]
+    names = sorted({f for w, _ in rows for t in w for f in [*toxicity.features(t), "<" + t.lower(), ">" + t.lower()]})
+    known = {f: i + 1 for i, f in enumerate(names)}
+    x, size = toxicity.Windows([(w, np.array(z)) for w, z in rows], known), len(known) + 1
+    theta = np.random.default_rng(3).normal(size=size + 7)
+    theta[0] = 0
+
+    def weight(w, z):
+        get = lambda f: theta[known[f]]
+        out = theta[size + 1 + z[0]] + sum(theta[size + 3 + 2 * a + b] for a, b in zip(z, z[1:]))
+        for i, t in enumerate(w):
+            if z[i]:
+                out += theta[size] + sum(map(get, toxicity.features(t)))
+                out += (get("<" + w[i - 1].lower()) if i else 0) + (get(">" + w[i + 1].lower()) if i + 1 < len(w) else 0)
+        return out
+
+    want = sum(weight(w, z) - np.log(sum(np.exp(weight(w, y)) for y in itertools.product((0, 1), repeat=len(w)))) for w, z in rows)
+    value, grad = toxicity.objective(theta, x, size)
+    assert value == pytest.approx(want, abs=1e-9)
+    for i in range(1, len(theta)):
+        d = np.zeros_like(theta)
+        d[i] = 1e-5
+        slope = (toxicity.objective(theta + d, x, size)[0] - toxicity.objective(theta - d, x, size)[0]) / 2e-5
+        assert grad[i] == pytest.approx(slope, abs=1e-5), i
+
+
+def test_windows_cover_the_whole_text():
+    words = [f"w{i}" for i in range(100_000)]
+    got = toxicity.windows(" ".join(words))
+    assert len(got) == toxicity.ROW_WINDOWS and got[0][0] == "w0" and int(got[-1][0][1:]) > 97_000
+    assert [t for w in toxicity.windows(" ".join(words[:500])) for t in w] == words[:500] and toxicity.windows("") == []
+
+
+def test_marking_needs_more_than_chance():
+    """Words that are met in toxic rows alone, but in no more than chance brings, mark nothing."""
+    rng = random.Random(2)
+    docs = [([[f"w{rng.randrange(4000)}" for _ in range(40)]], int(i % 8 == 0)) for i in range(400)]
+    assert toxicity.marking(docs) == set()
+    bad = [([["zuqqa" if j % 9 == 4 else t for j, t in enumerate(w[0])]], y) if y else (w, y) for w, y in docs]
+    assert "=zuqqa" in toxicity.marking(bad) and all(f[1:4] == "zuq" for f in toxicity.marking(bad))
+
+
+def test_choice_among_repeated_ids(spark):
+    """Two texts of one labelled id: the fit doesn't depend on the order of rows."""
+    rows = labelled()
+    twice = [(i, t) for i, t, _ in rows] + [(i, t[::-1]) for i, t, _ in rows[:50]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    chains = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((twice, 1), (twice[::-1], 5))]
+    assert chains[0] == chains[1] and chains[0].weights
 
 
 def test_held_out_accuracy(spark):
     rows = labelled()
-    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(9001, None, "x"), (9002, "", "x"), (None, "zuqqa xorvik", "x"), (3, rows[3][1], "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(9001, None, "x"), (9002, "", "x"), (None, "zuqqa xorvik", "x"), (3, rows[3][1], "x"), (9003, "plain " * 300_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, None if i % 50 == 0 else y) for i, _, y in rows] + [(None, 1), (5, rows[5][2])], "doc_id long, toxic int")
     got = toxicity.report(docs, labels).collect()
-    assert len(got) == len(rows) + 4
+    assert len(got) == len(rows) + 5
     truth = {i: y for i, _, y in rows}
     held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     assert len(held) > 80 and np.mean([a == b for a, b in held]) > 0.97
-    assert all(r.score < 0.2 and r.n_spans == 0 for r in got if r.doc_id in (9001, 9002))
+    assert all(r.score < 0.2 and r.n_spans == 0 for r in got if r.doc_id in (9001, 9002, 9003))
     text = dict((i, t) for i, t, _ in rows)
     spans = [text[r.doc_id][int(a) : int(b)] for r in got if r.spans and r.doc_id is not None for a, b in (s.split("-") for s in r.spans.split(","))]
     assert spans and np.mean([s[:3] in ("zuq", "xor", "wyz") for s in spans]) > 0.95
