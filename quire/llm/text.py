@@ -24,3 +24,11 @@ def word_count(text: Column) -> Column:
 def one_space(text: Column) -> Column:
     """Each run of white space becomes one space. A lone space already is one and stays unmatched."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " ")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, in any case of letters: name, with underscores behind it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

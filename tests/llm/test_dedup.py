@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm import exact, simhash
 from quire.llm.scratch import Scratch
@@ -236,40 +237,84 @@ def test_exact_against_brute_force(spark):
     rows = corpus()
     got = exact.classes(spark.createDataFrame(rows, SCHEMA)).collect()
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows]
-    want = []
+    want, seen = [], set()
     for r, t in zip(rows, norm):
         ids = [x[0] for x, u in zip(rows, norm) if u == t]
         least = min((i for i in ids if i is not None), default=None)
-        want.append((str(r[0]), least, len(ids), r[0] == least, hashlib.sha256(t.encode()).hexdigest()))
+        want.append((str(r[0]), least, len(ids), r[0] == least and t not in seen, hashlib.sha256(t.encode()).hexdigest()))
+        seen |= {t} if r[0] == least else set()
     assert sorted((str(g.doc_id), g.keep_id, g.group_size, g.kept, g.text_sha256) for g in got) == sorted(want)
+    assert sum(g.kept for g in got) == len(set(norm))
 
 
 def test_exact_dedup_rows(spark):
     rows = corpus()
-    kept = exact.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("__rid", F.lit(77))
+    kept = exact.dedup(df).collect()
     norm = {re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows}
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", k.text or "") for k in kept) == sorted(norm)
+    assert all(k["__rid"] == 77 for k in kept)
 
 
 def test_cuckoo_insert_delete_grow():
     index = exact.CuckooIndex(4)
     d = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for i, x in enumerate(d):
-        index.insert(x, i)
-        index.insert(x, i + 5)
-    assert all(index.find(x) == [i, 2] for i, x in enumerate(d))
+        index.insert(x, i + 5, 1)
+        index.insert(x, i, 2)
+    assert all(index.find(x) == [i, 2, 2] for i, x in enumerate(d)) and index.mask > 700
     for x in d[::2]:
-        assert index.delete(x) and index.delete(x) and not index.delete(x)
+        assert index.delete(x) and not index.delete(x)
     assert all((index.find(x) is None) == (i % 2 == 0) for i, x in enumerate(d))
-    assert sum(t > 0 for t in index.tags) == 1500
+    assert sum(t > 0 for t in index.tags) == sum(c is not None for c in index.content) == index.live == 1500
+
 
+def test_cuckoo_tags_that_collide():
+    """Digests with one tag and one cell: the stored digest tells them apart; the filter without its tag finds nothing."""
+    index = exact.CuckooIndex(16)
+    d = [bytes([i]) + bytes(7) + b"\x01\x02" + bytes(8) + bytes(14) for i in range(6)]
+    for i, x in enumerate(d[:5]):
+        index.insert(x, i)
+    assert [index.find(x) for x in d] == [[i, 0, 1] for i in range(5)] + [None]
+    assert index.delete(d[2]) and index.find(d[2]) is None and index.find(d[3]) == [3, 0, 1]
+    index.tags = [0] * len(index.tags)
+    assert not any(map(index.find, d))
 
-def test_update_inserts_and_deletes(spark):
+
+def test_update_against_brute_force(spark):
+    """Rounds of inserts and deletes, of rows that are there and that aren't, against a multiset."""
+    rng, scratch, held = random.Random(4), Scratch(spark, "t"), []
+    df = lambda rows: exact.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = [(rng.randrange(40), rng.choice("abcdefgh")) for _ in range(80)] + [(None, "a"), (None, "z")]
+    index, held = exact.build(df(first), scratch), list(first)
+
+    def brute():
+        by = {}
+        for i, t in held:
+            by.setdefault(hashlib.sha256(t.encode()).digest(), []).append(exact.NO_ID if i is None else i)
+        return sorted((d, min(x), len(x)) for d, x in by.items())
+
+    assert sorted((bytes(r.digest), r.keep_id, r.n) for r in index.live.collect()) == brute()
+    for n in range(3):
+        new = [(rng.randrange(40), rng.choice("abcdefghij")) for _ in range(10 * n)]
+        old = rng.sample(held, len(held) // 2) + [(i, t) for i, t in held if t == "b"] + [(99, "q")]
+        index = exact.update(index, df(new) if new else None, df(old), scratch)
+        held += new
+        for r in old:
+            if r in held:
+                held.remove(r)
+        assert sorted((bytes(r.digest), r.keep_id, r.n) for r in index.live.collect()) == brute()
+    assert exact.update(index, None, None, scratch) is index
+
+
+def test_update_keeps_no_deleted_row(spark):
     scratch = Scratch(spark, "t")
     df = lambda rows: exact.digests(spark.createDataFrame(rows, "doc_id long, text string"))
-    index = exact.build(df([(1, "a"), (2, "a"), (3, "b")]), scratch)
-    index = exact.update(index, df([(0, "c"), (9, "b")]), df([(1, "a"), (2, "a"), (3, "b")]), scratch)
-    assert sorted((r.keep_id, r.n) for r in index.collect()) == [(0, 1), (3, 1)]
+    index = exact.build(df([(1, "a"), (2, "a")]), scratch)
+    index = exact.update(index, None, df([(1, "a")]), scratch)
+    assert [(r.keep_id, r.n) for r in index.live.collect()] == [(2, 1)]
+    empty = exact.update(exact.build(df([]), scratch), df([]), df([(1, "a")]), scratch)
+    assert empty.live.collect() == empty.members.collect() == []
 
 
 @pytest.mark.parametrize("f", [exact.classes, exact.dedup, simhash.classes, simhash.dedup])
