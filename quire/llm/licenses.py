@@ -14,8 +14,9 @@ the shorter vector, so a whole header counts more than one of its lines.
 Before cosines are taken, parts that can't reach ``LEAST`` leave. By Cauchy and Schwarz a part needs a
 share of ``LEAST ** 2`` of a template's squared weights among its terms. Each template has anchors, rare terms
 that hold ``1 - LEAST ** 2 + SPARE`` of its squared weights or more, so a part must have anchors that hold ``SPARE``.
-That is tested in the row, first for whole texts, then for their parts. It loses nothing: whichever
-terms are anchors, the same parts reach ``LEAST``.
+That is tested in the row, first for whole texts, then for their parts; what is left is tested with all of
+its terms (``Reach.notices``). It loses nothing: whichever terms are anchors, the same parts reach ``LEAST``.
+A part that has one term of a template only is not compared with it.
 
 A directory's license is that of the licence files that lie in it. A file without a license of its own
 inherits from the nearest directory above it that has one: the ancestors of each distinct directory, one
@@ -114,19 +115,25 @@ def _any_of(words) -> str:
 
 
 class Reach:
-    """Whether a text can come to ``least`` with any notice of these sizes, by the anchors it has."""
+    """Whether a text can come to ``least`` with any notice of some sizes: by its anchors, and by all terms that it shares."""
 
     def __init__(self, least: float, notices):
+        self.least = least
         self.shares, self.bounds = anchors(least, notices)
         self.sizes = [size_of(t) for _, t in notices]
         self.pattern = _any_of(self.shares)
+        self.vectors, self.idf, self.rare = _vectors(notices)
+
+    def _needs(self, sizes: int) -> Column:
+        return F.expr("array(" + ", ".join(f"{b!r}D" if size & sizes else "2D" for b, size in zip(self.bounds, self.sizes)) + ")")
 
     def __call__(self, text: Column, sizes: int = SENTENCE | PASSAGE | WHOLE) -> Column:
+        """Whether the anchors are enough."""
         if min(self.bounds) <= 0:  # nothing can be left out
             return F.lit(True)
         entry = lambda own: ", ".join(f"named_struct('i', {i}, 'w', {w!r}D)" for i, w in own)
         table = F.expr("map(" + ", ".join(f"'{t}', array({entry(own)})" for t, own in self.shares.items()) + ")")
-        need = F.expr("array(" + ", ".join(f"{b!r}D" if size & sizes else "2D" for b, size in zip(self.bounds, self.sizes)) + ")")
+        need = self._needs(sizes)
         hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(self.pattern), F.lit(0)))
         held = F.flatten(F.transform(hits, lambda t: F.element_at(table, t)))
         share = lambda h, i: F.aggregate(F.filter(h, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["w"])
@@ -134,9 +141,36 @@ class Reach:
         enough = F.exists(F.array(held), lambda h: F.exists(F.array_distinct(F.transform(h, lambda s: s["i"])), lambda i: share(h, i) >= F.element_at(need, i + 1)))
         return F.when(F.lower(text).rlike(self.pattern), enough).otherwise(F.lit(False))
 
+    def notices(self, text: Column, sizes: Column) -> Column:
+        """The numbers of the notices that the text's terms allow: it shares two of a notice's terms or more, these
+        hold ``least ** 2`` of its squared weights, and the terms that no notice has don't outweigh them even if every repeated word is a shared one."""
+        all_terms = terms(text)
+        vocabulary = F.expr("array(" + ", ".join(f"'{t}'" for t in self.idf) + ")")
+        table = []
+        for i, (v, size) in enumerate(zip(self.vectors, self.sizes)):
+            total = sum(x * x for x in v.values())
+            own = ", ".join(f"named_struct('t', '{t}', 'w', {x * x / total!r}D, 'q', {self.idf[t] ** 2!r}D)" for t, x in v.items())
+            table.append(f"named_struct('i', {i}, 'size', {size}, 'terms', array({own}))")
+        notices = F.expr("array(" + ", ".join(table) + ")")
+        least, spare = F.lit(self.least**2 - 1e-6), 1e-6 + 1 - self.least**2
+        plus = lambda xs, name: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x[name])
+
+        def fits(found, shared):
+            often = F.log(found["n"] - found["distinct"] + 1) + 1
+            other = (found["distinct"] - F.size(found["known"])) * self.rare**2
+            return (F.size(shared) >= 2) & (plus(shared, "w") >= least) & (other * least <= spare * often * often * plus(shared, "q"))
+
+        def allowed(found):
+            shared = lambda n: F.filter(n["terms"], lambda x: F.array_contains(found["known"], x["t"]))
+            mine = F.filter(notices, lambda n: n["size"].bitwiseAND(sizes) != 0)
+            return F.transform(F.filter(mine, lambda n: F.exists(F.array(shared(n)), lambda s: fits(found, s))), lambda n: n["i"])
+
+        counted = lambda xs: F.struct(F.size(xs).alias("n"), F.size(F.array_distinct(xs)).alias("distinct"), F.array_intersect(xs, vocabulary).alias("known"))
+        return F.flatten(F.transform(F.transform(F.array(all_terms), counted), allowed))
+
 
 def parts(files: DataFrame, text: str, key: str, reach: Reach) -> DataFrame:
-    """(key, kind, block, paragraph, item, sizes, text) of the parts that reach far enough; numbers count from 0. A part that is its whole larger part isn't given twice."""
+    """(key, kind, block, paragraph, item, text, notice) of the parts that reach far enough, and what they may be; numbers count from 0. A part that is its whole larger part isn't given twice."""
     whole = F.btrim(F.col(text), F.lit(" \t\r\n\v\f"))
     zero = [F.lit(0).alias(n) for n in PART[1:]]
     large = lambda kind: (F.lit(kind).alias("kind"), F.lit(WHOLE).alias("sizes"), F.col("__t").alias("text"))
@@ -154,7 +188,9 @@ def parts(files: DataFrame, text: str, key: str, reach: Reach) -> DataFrame:
     small = p.select(key, "block", "paragraph", F.inline(F.concat(own, several("line", lines), several("sentence", sentences))))
     able = F.when(F.col("sizes") == SENTENCE, reach(F.col("text"), SENTENCE)).when(F.col("sizes") == PASSAGE | WHOLE, reach(F.col("text"), PASSAGE | WHOLE)).otherwise(True)
     names = [key, *PART, "sizes", "text"]
-    return file.select(names).unionByName(block.select(names)).unionByName(small.where(able).select(names))
+    every = file.select(names).unionByName(block.select(names)).unionByName(small.where(able).select(names))
+    # exploding drops the parts without any, and keeps the test out of a filter that would repeat it
+    return every.select(key, *PART, "text", F.explode(reach.notices(F.col("text"), F.col("sizes"))).alias("notice"))
 
 
 def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "__rid", least: float = LEAST, templates_=TEMPLATES, reach: Reach | None = None) -> DataFrame:
@@ -162,17 +198,18 @@ def notices(files: DataFrame, scratch: Scratch, text: str = "text", key: str = "
     vocabulary, rare = templates(files.sparkSession, templates_)
     vocabulary = scratch.table(vocabulary, "templates")  # as many rows as the templates have terms
     found = parts(files, text, key, reach or Reach(least, templates_))
-    at = [key, *PART, "sizes"]
-    tf = scratch.table(found.select(*at, F.explode(terms(F.col("text"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("tf")), "terms")
+    at = [key, *PART, "notice"]
+    tf = found.select(*at, F.explode(terms(F.col("text"))).alias("term")).groupBy(*at, "term").agg(F.count("*").alias("tf"))
+    tf = scratch.table(tf, "terms")
     idf = F.broadcast(vocabulary.select(F.col("term").alias("__t"), "idf").distinct())
     x = tf.join(idf, F.col("term") == F.col("__t"), "left").withColumn("x", (F.log("tf") + 1) * F.coalesce("idf", F.lit(rare)))
     norm = x.groupBy(*(F.col(c).alias(f"__{c}") for c in at)).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    v = F.broadcast(vocabulary.select("license", "notice", "size", "weight", F.col("term").alias("__v"), "w"))
-    dot = x.join(v, (F.col("term") == F.col("__v")) & (F.col("sizes").bitwiseAND(F.col("size")) != 0)).groupBy(*at, "license", "notice", "weight").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    v = F.broadcast(vocabulary.select("license", F.col("notice").alias("__n"), "weight", F.col("term").alias("__v"), "w"))
+    dot = x.join(v, (F.col("term") == F.col("__v")) & (F.col("notice") == F.col("__n"))).groupBy(*at, "license", "weight").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     same = [F.col(c) == F.col(f"__{c}") for c in at]
     dot = dot.join(norm, same).withColumn("cosine", F.round(F.least(F.col("dot") / F.col("norm"), F.lit(1.0)), 9)).where(F.col("cosine") >= least)
     top = F.min(F.struct((-F.col("cosine")).alias("c"), (-F.round("weight", 6)).alias("w"), "license")).alias("top")
-    best = dot.groupBy(*at).agg(top, F.first("norm").alias("norm"))
+    best = dot.groupBy(key, *PART).agg(top, F.max("norm").alias("norm"))
     cosine, matched = -F.col("top.c"), F.least(-F.col("top.w"), F.col("norm") * F.col("norm"))
     return best.select(key, *PART, "top.license", cosine.alias("cosine"), F.round(cosine * cosine * matched, 6).alias("evidence"))
 

@@ -46,6 +46,7 @@ def test_real_texts(spark):
         ("the terms of use of this form are in the source", None),
         ("a driver needs a license, and all his rights are in the software", None),
         ("# SPDX-License-Identifier: EUPL-1.2", None),
+        ("Er kommt\nmit\nihr", None),
     ]
     got = {r.doc_id: r.own_license for r in scan(spark, [(i, t, f"d{i}/x") for i, (t, _) in enumerate(want)])}
     assert [got[i] for i in range(len(want))] == [w for _, w in want]
@@ -89,8 +90,8 @@ def brute(templates):
             if not v:
                 continue
             own = square(v)
-            c = [(round(min(1.0, sum(v.get(w, 0) * x for w, x in u.items()) / math.sqrt(own * s)), 9), s, name) for name, u, s, size in known if size in sizes]
-            cosine, s, name = min(c, key=lambda x: (-x[0], -round(x[1], 6), x[2]))
+            c = [(round(min(1.0, sum(v.get(w, 0) * x for w, x in u.items()) / math.sqrt(own * s)), 9), s, name) for name, u, s, size in known if size in sizes and len(v.keys() & u) > 1]
+            cosine, s, name = min(c, key=lambda x: (-x[0], -round(x[1], 6), x[2]), default=(0, 0, ""))
             if cosine >= licenses.LEAST:
                 out.append((*at, name, cosine, round(cosine**2 * min(s, own), 6)))
         return out
