@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import lines, units
 
@@ -31,7 +32,7 @@ def corpus(seed=4):
 
 def brute_lines(rows, least, long_line=100):
     """{row index: (non-blank lines, deleted line numbers)} with the copies of windows of ``least`` lines."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))  # equal ids here have equal texts
     seqs = {i: [(n, s) for n, x in enumerate((rows[i][1] or "").split("\n")) if (s := x.strip(" \t\r\v\f"))] for i in order}
     seen, gone = set(), defaultdict(set)
     for i in order:
@@ -72,11 +73,54 @@ def test_lines_against_brute_force(spark, least):
     assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=rows[i][0], n_lines=n, n_removed=len(g), removed=",".join(map(str, g)), deepest=depth[i])) for i, (n, g) in want.items())
 
 
+def brute_runs(rows, least, long_line=100):
+    """(id, line, n_lines, first id, first line) of the copied runs, by the longest common prefix of every position with earlier ones."""
+    _, seqs = brute_lines(rows, least)
+    at, out = [(i, p) for i, s in seqs.items() for p in range(len(s))], []
+    text = lambda i, p: seqs[i][p][1] if p < len(seqs[i]) else None
+
+    def prefix(a, b):
+        n = 0
+        while text(a[0], a[1] + n) is not None and text(a[0], a[1] + n) == text(b[0], b[1] + n):
+            n += 1
+        return n
+
+    deep = {}
+    for k, a in enumerate(at):
+        common = [(prefix(a, b), b) for b in at[:k]]
+        best = max((n for n, _ in common), default=0)
+        if best:
+            depth = max(d for d in [2**j for j in range(20)] + [least] if d <= best)
+            deep[a] = next((n, b) for n, b in common if n >= depth)
+    for (i, p), (n, (j, q)) in deep.items():
+        inner = deep.get((i, p - 1), (0, None))
+        if n >= least and not (inner[0] >= least and inner[1] == (j, q - 1)):
+            out.append((rows[i][0], seqs[i][p][0], n, rows[j][0], seqs[j][q][0]))
+        elif n < least and len(text(i, p)) >= long_line:
+            out.append((rows[i][0], seqs[i][p][0], 1, rows[j][0], seqs[j][q][0]))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_maximal_runs_against_brute_force(spark, least):
+    rows = [r for r in corpus(least + 10) if r[0] is not None and (r[1] or "").count("\n") < 100][:60]
+    rows.append((900, "\n".join(["again"] * 23), "en", "r", "l", "s"))
+    got = lines.runs(spark.createDataFrame(rows, SCHEMA).coalesce(1), min_lines=least).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_runs(rows, least))) and len(got) > 20
+
+
+def test_lines_do_not_depend_on_order(spark):
+    """Texts of one id: the hash of the text decides, not the order of rows."""
+    rows = [(1, "p\nq\nx"), (1, "p\nq\ny"), (1, "q\nx\np\nq"), (None, "p\nq")]
+    kept = [sorted((str(r[0]), r[1]) for r in lines.dedup(spark.createDataFrame(x, "doc_id long, text string").coalesce(1)).collect()) for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1]
+
+
 def test_lines_dedup(spark):
     rows = corpus()
-    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1).withColumn("__rid", F.lit(77))
     got = lines.dedup(df)
-    assert got.columns == df.columns
+    assert got.columns == df.columns and {r["__rid"] for r in got.collect()} == {77}
     want = []
     for i, (n, gone) in brute_lines(rows, 2)[0].items():
         if not n or len(gone) < n:
