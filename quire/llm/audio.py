@@ -2,13 +2,14 @@
 
 A payload of bytes is kept as the codes of one of three telephone codecs: G.711 mu-law and A-law,
 one sample a byte, and IMA ADPCM, two samples a byte in blocks of 576 code bytes behind a header
-of four. Codes are stored as they are, so the payload comes back bit for bit. Decoding expands
+of four, which holds the block's first sample and step index. Codes are stored as they are, so the payload comes back bit for bit. Decoding expands
 the two laws by tables of 256 entries made from their rules, and runs ADPCM one step at a time over
-the blocks of a whole batch with numpy. Decoded sound is resampled from 8 to 16 kHz by linear
-interpolation in integers and can be stored as 16-bit PCM.
+the blocks of a whole batch with numpy, each from the state in its header. Decoded sound is resampled from 8 to 16 kHz by linear
+interpolation in integers and stored as 16-bit PCM by ``store_pcm``.
 
 Cases: null and empty payloads are padded to one block of bytes 255; a file that isn't one of the
-three formats, or is cut off, raises; repeated rows give repeated rows; empty input gives no rows; other
+three formats, has more than one channel, or is cut off, raises; files are decoded ``BATCH_BYTES`` or one file at a time, a file
+in some 16 bytes of memory for each of its own; repeated rows give repeated rows; empty input gives no rows; other
 columns are not read.
 """
 
@@ -18,6 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ UNIT, PAD, RATE = 576, b"\xff", 8000
 CODECS = ("mulaw", "alaw", "adpcm")
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
 HEADER = 4
-#: Bytes of payload that are decoded at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of payload that are decoded at once, and samples whose squares are summed at once.
+BATCH_BYTES, SUMMED = 4 << 20, 1 << 16
 
 # Step sizes and index moves of IMA ADPCM.
 STEPS = np.array([
@@ -86,37 +88,65 @@ def wav(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(media: bytes) -> tuple[str, int, bytes]:
-    """(codec, rate, payload) of a stored file."""
+@dataclass
+class Sound:
+    """Codes of a file; of ADPCM (blocks, bytes) with each block's first sample and step index. samples: how many count."""
+
+    codec: str
+    rate: int
+    codes: np.ndarray
+    value: np.ndarray | None = None
+    index: np.ndarray | None = None
+    samples: int | None = None
+
+    @property
+    def payload(self) -> bytes:
+        return self.codes.tobytes()
+
+
+def unwav(media: bytes) -> Sound:
+    """What a stored file holds."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE" or len(media) < 8 + struct.unpack_from("<I", media, 4)[0]:
         raise ValueError("not a whole WAV file")
-    at, fmt = 12, b""
+    at, fmt, samples = 12, b"", None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if at + 8 + size > len(media):
             raise ValueError("a chunk is cut off")
+        body = memoryview(media)[at + 8 : at + 8 + size]
         if name == b"fmt ":
-            fmt = media[at + 8 : at + 8 + size]
+            fmt = bytes(body)
+        elif name == b"fact":
+            samples = struct.unpack_from("<I", body)[0]
         elif name == b"data":
-            tag, _, rate, _, align = struct.unpack_from("<HHIIH", fmt)
+            if len(fmt) < 14:
+                raise ValueError("no format chunk before the data")
+            tag, channels, rate, _, align = struct.unpack_from("<HHIIH", fmt)
             codec = next((c for c, t in TAGS.items() if t == tag), None)
-            if codec is None:
-                raise ValueError(f"format {tag} is none of {CODECS}")
-            data = media[at + 8 : at + 8 + size]
-            if codec == "adpcm":
-                data = np.frombuffer(data, np.uint8).reshape(-1, align)[:, HEADER:].tobytes()
-            return codec, rate, data
+            if codec is None or channels != 1:
+                raise ValueError(f"format {tag} with {channels} channels is none of {CODECS} with one")
+            codes = np.frombuffer(body, np.uint8)
+            if codec != "adpcm":
+                return Sound(codec, rate, codes, samples=samples)
+            if align <= HEADER or size % align:
+                raise ValueError("a block is cut off")
+            blocks = codes.reshape(-1, align)
+            value, index = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32), blocks[:, 2].astype(np.int32)
+            if (index >= len(STEPS)).any():
+                raise ValueError("a step index is out of range")
+            return Sound(codec, rate, blocks[:, HEADER:], value, index, samples)
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
-def decode_adpcm(codes: np.ndarray) -> np.ndarray:
-    """(blocks, bytes) of code bytes, low nibble first -> (blocks, 1 + 2 * bytes) samples: every step runs over all blocks."""
+def decode_adpcm(codes: np.ndarray, value: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """(blocks, bytes) of code bytes, low nibble first -> (blocks, 1 + 2 * bytes) samples, the first of them value: every step runs over all blocks."""
     n = len(codes)
     nibbles = np.empty((codes.shape[1] * 2, n), np.uint8)
     nibbles[0::2], nibbles[1::2] = (codes & 15).T, (codes >> 4).T
     out = np.zeros((len(nibbles) + 1, n), np.int16)
-    value, index = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    value, index = value.astype(np.int32), index.astype(np.int32)
+    out[0] = value
     for i, c in enumerate(nibbles):
         step = STEPS[index]
         diff = (step >> 3) + np.where(c & 4, step, 0) + np.where(c & 2, step >> 1, 0) + np.where(c & 1, step >> 2, 0)
@@ -126,17 +156,18 @@ def decode_adpcm(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def decode_all(parts: list[tuple[str, bytes]]) -> list[np.ndarray]:
-    """16-bit samples of each (codec, payload); the ADPCM blocks of all of them are decoded together."""
-    out = [LAWS[c][np.frombuffer(p, np.uint8)] if c in LAWS else None for c, p in parts]
-    if which := [i for i, x in enumerate(out) if x is None]:
-        codes = np.frombuffer(b"".join(parts[i][1] for i in which), np.uint8).reshape(-1, UNIT)
-        pcm, at = decode_adpcm(codes), 0
+def decode_all(sounds: list[Sound]) -> list[np.ndarray]:
+    """16-bit samples of each file; the ADPCM blocks of equal width of all of them are decoded together."""
+    out = [LAWS[s.codec][s.codes] if s.codec in LAWS else None for s in sounds]
+    for width in {s.codes.shape[1] for s in sounds if s.codec == "adpcm"}:
+        which = [i for i, s in enumerate(sounds) if s.codec == "adpcm" and s.codes.shape[1] == width]
+        pcm = decode_adpcm(*(np.concatenate([getattr(sounds[i], x) for i in which]) for x in ("codes", "value", "index")))
+        at = 0
         for i in which:
-            n = len(parts[i][1]) // UNIT
+            n = len(sounds[i].codes)
             out[i] = pcm[at : at + n].reshape(-1)
             at += n
-    return out
+    return [x if s.samples is None else x[: s.samples] for x, s in zip(out, sounds)]
 
 
 def resample(pcm: np.ndarray) -> np.ndarray:
@@ -150,10 +181,13 @@ def resample(pcm: np.ndarray) -> np.ndarray:
 
 def feature(codec: str, pcm: np.ndarray, up: np.ndarray) -> str:
     """Of the decoded sound: samples, peak, integer RMS, zero crossings; of the resampled: samples and CRC-32."""
-    wide = pcm.astype(np.int64)
-    rms = int(np.sqrt(float((wide * wide).sum()) / len(pcm)))
+    power = peak = 0
+    for i in range(0, len(pcm), SUMMED):
+        part = pcm[i : i + SUMMED].astype(np.int64)
+        power, peak = power + int(part @ part), max(peak, int(np.abs(part).max()))
+    rms = int(np.sqrt(power / len(pcm))) if len(pcm) else 0
     cross = int(np.count_nonzero((pcm[:-1] < 0) != (pcm[1:] < 0)))
-    return f"codec={codec};samples={len(pcm)};peak={int(np.abs(wide).max())};rms={rms};crossings={cross};pcm16k={len(up)};pcm_crc32={zlib.crc32(up.tobytes())}"
+    return f"codec={codec};samples={len(pcm)};peak={peak};rms={rms};crossings={cross};pcm16k={len(up)};pcm_crc32={zlib.crc32(up.tobytes())}"
 
 
 def _split(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -194,11 +228,10 @@ def decoded(table: DataFrame, media: str = "media", key: str = "doc_id", pcm: bo
             files = [bytes(m) for m in pdf["__m"]]
             for a, b in _split([len(x) for x in files]):
                 got = [unwav(m) for m in files[a:b]]
-                sound = decode_all([(c, p) for c, _, p in got])
                 rows = []
-                for m, (c, rate, p), s in zip(files[a:b], got, sound):
-                    up = resample(s)
-                    rows.append((c, rate, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(c, s, up), *([up.astype("<i2").tobytes()] if pcm else [])))
+                for m, g, s in zip(files[a:b], got, decode_all(got)):
+                    p, up = g.payload, resample(s)
+                    rows.append((g.codec, g.rate, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(g.codec, s, up), *([up.astype("<i2").tobytes()] if pcm else [])))
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in DECODED.split(", ")] + ["pcm"] * pcm)
                 out.insert(0, "n_bytes", pdf["n_bytes"].iloc[a:b].to_numpy())
                 out.insert(0, "__k", pdf["__k"].iloc[a:b].to_numpy())
@@ -209,6 +242,18 @@ def decoded(table: DataFrame, media: str = "media", key: str = "doc_id", pcm: bo
     return out.select(F.col("__k").cast(table.schema[key].dataType).alias(key), *out.columns[1:])
 
 
+def store_pcm(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Stores every text as media, decodes it and writes it with its resampled PCM as Parquet below path; the table that was written.
+
+    PCM at 16 kHz takes four bytes for each byte of payload under the two laws and eight under ADPCM.
+    """
+    scratch = Scratch(docs.sparkSession, "audio")
+    table = scratch.table(stored(docs, text, key), "media")
+    decoded(table, "media", key, pcm=True).write.parquet(path)
+    scratch.drop(table)
+    return docs.sparkSession.read.parquet(path)
+
+
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Stores every text as media, reads the stored table back and computes features."""
     scratch = Scratch(docs.sparkSession, "audio")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -76,12 +77,84 @@ def test_audio_report(spark):
     assert got[3][1:] == got[7][1:] and len({got[i].feature.split(";")[0] for i in range(len(texts))}) == 3
 
 
+def plain_samples(media):
+    """Samples of a WAV file one by one: G.711 by its rules, IMA ADPCM from each block's header."""
+    (tag, _, _, _, align), at, out = struct.unpack_from("<HHIIH", media, 20), media.index(b"data") + 8, []
+    data = media[at : at + struct.unpack_from("<I", media, at - 4)[0]]
+    if tag == 7:
+        for b in data:
+            c = ~b & 255
+            size = (((c & 15) << 3) + 132 << (c >> 4 & 7)) - 132
+            out.append(-size if c & 128 else size)
+    elif tag == 6:
+        for b in data:
+            c = b ^ 0x55
+            seg, part = c >> 4 & 7, (c & 15) << 4
+            size = part + 8 if seg == 0 else (part + 264) << (seg - 1)
+            out.append(size if c & 128 else -size)
+    else:
+        for k in range(0, len(data), align):
+            value, index = struct.unpack_from("<hB", data, k)
+            out.append(value)
+            for b in data[k + 4 : k + align]:
+                for c in (b & 15, b >> 4):
+                    step = int(audio.STEPS[index])
+                    diff = (step >> 3) + (step if c & 4 else 0) + (step >> 1 if c & 2 else 0) + (step >> 2 if c & 1 else 0)
+                    value = max(-32768, min(32767, value - diff if c & 8 else value + diff))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[c & 7]))
+                    out.append(value)
+    return out
+
+
+def plain_resampled(x):
+    return [v for i, a in enumerate(x) for v in (a, (a + x[i + 1]) >> 1 if i + 1 < len(x) else a)]
+
+
+def test_stored_pcm_and_features(spark, tmp_path):
+    texts = ["", "é" * 300, "Hello, world. " * 100, "z" * 1800, None, "The quick brown fox. " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    media = {r.doc_id: bytes(r.media) for r in audio.stored(df).collect()}
+    got = {r.doc_id: r for r in audio.store_pcm(df, f"{tmp_path}/pcm").collect()}
+    assert set(got) == set(range(len(texts))) and len({r.codec for r in got.values()}) == 3
+    for i, m in media.items():
+        x = plain_samples(m)
+        up = plain_resampled(x)
+        assert np.frombuffer(got[i].pcm, "<i2").tolist() == up
+        rms, cross = int((sum(v * v for v in x) / len(x)) ** 0.5), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        crc = zlib.crc32(struct.pack(f"<{len(up)}h", *up))
+        assert got[i].feature == f"codec={got[i].codec};samples={len(x)};peak={max(map(abs, x))};rms={rms};crossings={cross};pcm16k={len(up)};pcm_crc32={crc}"
+    assert {r.doc_id: r.feature for r in audio.report(df).collect()} == {i: r.feature for i, r in got.items()}
+
+
 @pytest.mark.parametrize("codec", audio.CODECS)
 def test_wav_round_trip(codec):
     p = bytes(np.random.default_rng(1).integers(0, 256, 576 * 7, dtype=np.uint8))
-    assert audio.unwav(audio.wav(p, codec)) == (codec, 8000, p)
+    back = audio.unwav(audio.wav(p, codec))
+    assert (back.codec, back.rate, back.payload) == (codec, 8000, p)
     with pytest.raises(ValueError):
         audio.unwav(audio.wav(p, codec)[:-5])
+    two = bytearray(audio.wav(p, codec))
+    two[22] = 2  # channels
+    with pytest.raises(ValueError, match="channels"):
+        audio.unwav(bytes(two))
+
+
+def test_adpcm_blocks_begin_with_their_headers():
+    """Files from elsewhere: other predictors, step indices and block sizes, and a sample count that ends inside a block."""
+    rng = np.random.default_rng(5)
+    sounds, want = [], []
+    for align, blocks, count in ((256, 3, 1300), (580, 2, None), (36, 5, 7)):
+        body = rng.integers(0, 256, (blocks, align), dtype=np.uint8)
+        body[:, 2:4] = 0
+        body[:, 2] = rng.integers(0, 89, blocks)
+        body[0, :3] = (0x10, 0x27, 40)  # 10000, step index 40
+        fmt = struct.pack("<HHIIHHHH", 0x11, 1, 8000, 4000, align, 4, 2, 2 * (align - 4) + 1)
+        chunk = lambda name, x: name + struct.pack("<I", len(x)) + x
+        parts = b"WAVE" + chunk(b"fmt ", fmt) + (chunk(b"fact", struct.pack("<I", count)) if count else b"") + chunk(b"data", body.tobytes())
+        media = b"RIFF" + struct.pack("<I", len(parts)) + parts
+        sounds.append(audio.unwav(media))
+        want.append(plain_samples(media)[:count])
+    assert [x.tolist() for x in audio.decode_all(sounds)] == want and all(w[0] == 10000 for w in want)
 
 
 def test_law_tables():
@@ -91,21 +164,6 @@ def test_law_tables():
     assert (np.sort(mu) == np.sort(-mu)).all() and (np.sort(a) == np.sort(-a)).all() and len(set(a)) == 256
 
 
-def test_adpcm_against_a_loop():
-    codes = np.random.default_rng(2).integers(0, 256, (5, 576), dtype=np.uint8)
-    for block, got in zip(codes, audio.decode_adpcm(codes)):
-        value = index = 0
-        want = [0]
-        for byte in block.tolist():
-            for c in (byte & 15, byte >> 4):
-                step = int(audio.STEPS[index])
-                diff = (step >> 3) + (step if c & 4 else 0) + (step >> 1 if c & 2 else 0) + (step >> 2 if c & 1 else 0)
-                value = max(-32768, min(32767, value - diff if c & 8 else value + diff))
-                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[c & 7]))
-                want.append(value)
-        assert got.tolist() == want
-
-
 def labelled(n=600, seed=1):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
