@@ -3,14 +3,17 @@
 A capture is three records: a request, a response (or a revisit of an earlier response with the
 same payload) and a metadata record. Request and metadata name the capture's record in
 ``WARC-Concurrent-To``. Archives are written by Spark's text writer, whose line separator is the
-blank line pair that ends a record, so they go to any store that Spark can write to, in gzip. A file holds
-a bounded number of records and is parsed by ``Content-Length``, never by searching payloads.
+blank line pair that ends a record, so they go to any store that Spark can write to, in gzip (one member a file, as
+that writer makes them; any number of members is read). A file holds as many records as come to ``FILE_BYTES``
+at their mean size. It is unpacked as it is parsed, by ``Content-Length``, never by searching payloads, and records are
+handed on whenever they come to ``HANDED_ON`` bytes, so a task holds the packed file and few records.
 Reading joins the three kinds through the concurrent-to identifiers and emits one nested row per
 capture; a revisit gets its payload's length from the response it refers to.
 
 Cases: null html is an empty payload; empty payloads are equal to each other (with the default
 ``least`` of 0); of rows with the same payload and id, one is the response; null ids sort last and
-null urls are written as an empty target; repeated rows are captures of their own; empty input
+null urls are written as an empty target; repeated rows are captures of their own; a capture without request or
+metadata has null there, and of several that name it the one with the smallest id counts; empty input
 gives no rows; other columns are not read.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.scratch import Scratch
 
-RECORDS_PER_FILE = 3_000
+#: Bytes of an archive before packing, those that a capture's three records take beside the payload, and bytes of records handed on at once.
+FILE_BYTES, OWN_BYTES, HANDED_ON = 32 << 20, 1800, 4 << 20
 END, CRLF = "\r\n\r\n", "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2020-01-01T00:00:00Z"
@@ -74,7 +79,9 @@ def write(pages: DataFrame, where: str, scratch: Scratch, least: int = 0, key: s
     about = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.lit("via: crawl"))
     metadata = _record("metadata", about, ("WARC-Record-ID", _uuid("metadata", rid)), *common, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields"))
     records = r.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(where)
+    size = rows.agg(F.avg("bytes")).first()[0] or 0.0
+    per_file = 3 * max(1, int(FILE_BYTES / (size + OWN_BYTES)))
+    records.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(where)
     scratch.drop(rows, first)
 
 
@@ -83,18 +90,22 @@ _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record; lengths decide where blocks end. A cut-off record raises."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.decode().strip().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(data, data.index(b"\r\n", at), end)}
-        stop = end + 4 + int(head["content-length"])
-        if stop > len(data):
-            raise ValueError(f"record at byte {at} is cut off")
-        yield head, data[end + 4 : stop]
-        at = stop + 4
+    """(header fields, block) of each record of an archive, packed or not; lengths decide where blocks end. A cut-off record raises."""
+    plain = io.BytesIO(data)
+    f = io.BufferedReader(gzip.GzipFile(fileobj=plain)) if data[:2] == b"\x1f\x8b" else plain
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record but {line[:40]!r}")
+        lines = []
+        while (line := f.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+        head = {k.decode().strip().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(b"".join(lines))}
+        size = int(head["content-length"])
+        block = f.read(size)
+        if len(block) < size or not line:
+            raise ValueError(f"record {head.get('warc-record-id')} is cut off")
+        yield head, block
+        f.read(4)
 
 
 def _digest(payload: bytes) -> str:
@@ -102,10 +113,12 @@ def _digest(payload: bytes) -> str:
 
 
 def _records(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
+    names = ["type", "id", "concurrent_to", "refers_to", "target", "date", "digest", "bytes", "payload"]
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"bytes": "Int64"})
+    out, held = [], 0
     for files in batches:
         for data in files["content"]:
-            out = []
-            for head, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data)):
+            for head, block in parsed(bytes(data)):
                 kind, digest, size, payload = head["warc-type"], None, None, None
                 if kind == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -115,9 +128,12 @@ def _records(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.Dat
                 elif kind == "revisit":
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                 keep = payload if payloads and kind == "response" else None if kind in ("response", "revisit") else block
-                out.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head["warc-target-uri"], head["warc-date"], digest, size, keep))
-            pdf = pd.DataFrame(out, columns=["type", "id", "concurrent_to", "refers_to", "target", "date", "digest", "bytes", "payload"])
-            yield pdf.astype({"bytes": "Int64"})
+                out.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head["warc-date"], digest, size, keep))
+                held += len(keep or b"") + 200
+                if held >= HANDED_ON:
+                    yield frame(out)
+                    out, held = [], 0
+    yield frame(out)
 
 
 def records(spark: SparkSession, where: str, payloads: bool = True) -> DataFrame:
@@ -128,9 +144,10 @@ def records(spark: SparkSession, where: str, payloads: bool = True) -> DataFrame
 
 def transactions(recs: DataFrame) -> DataFrame:
     """One nested row per capture: capture, request, metadata; the capture of a revisit has the bytes of its response."""
-    side = lambda kind: recs.where(F.col("type") == kind).select(F.col("concurrent_to").alias("__c"), F.struct("id", "target", "date", F.col("payload").cast("string").alias("block")).alias(kind))
+    body = F.struct("id", "target", "date", F.col("payload").cast("string").alias("block"))
+    side = lambda kind: recs.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("__c")).agg(F.min(body).alias(kind))
     main = recs.where(F.col("type").isin("response", "revisit"))
-    origin = recs.where(F.col("type") == "response").select(F.col("id").alias("__o"), F.col("bytes").alias("__bytes"))
+    origin = recs.where(F.col("type") == "response").groupBy(F.col("id").alias("__o")).agg(F.min("bytes").alias("__bytes"))
     main = main.join(origin, main["refers_to"] == origin["__o"], "left").withColumn("bytes", F.coalesce("bytes", "__bytes"))
     out = main.select(F.col("id").alias("__id"), F.struct("type", "id", "refers_to", "target", "date", "digest", "bytes", "payload").alias("capture"))
     for kind in ("request", "metadata"):

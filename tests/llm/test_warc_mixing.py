@@ -1,12 +1,14 @@
 """WARC round trips and mixing to target weights."""
 
 import base64
+import gzip
 import hashlib
 import random
 
 import pytest
 
 from quire.llm import mixing, warc
+from quire.llm.scratch import Scratch
 
 PAGES = "page_id long, url string, html string, type string, digest string"
 
@@ -39,9 +41,40 @@ def test_warc_nested_rows(spark):
     assert sorted(kept) == sorted({(r[2] or "").encode() for r in rows})
 
 
-def test_cut_off_record():
-    with pytest.raises(ValueError, match="cut off"):
-        list(warc.parsed(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+def test_archives_from_elsewhere():
+    """Plain, packed as one member, and with a member for each record; cut-off ones raise."""
+    records = [b"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in (b"", b"abc", b"WARC/1.1\r\n\r\nx", b"y" * 100_000)]
+    want = [(len(x), x) for x in (b"", b"abc", b"WARC/1.1\r\n\r\nx", b"y" * 100_000)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [(int(h["content-length"]), b) for h, b in warc.parsed(data)] == want
+    for bad in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"".join(records)[:-60]):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.parsed(bad))
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.parsed(b"HTTP/1.1 200 OK\r\n"))
+
+
+def test_transactions_without_all_parts(spark):
+    """A capture without request or metadata, one with two of them, and parts of no capture."""
+    rows = [
+        ("response", "r1", None, None, "t", "d", "D", 3, b"abc"), ("response", "r2", None, None, "t", "d", "D", 3, b"abc"), ("revisit", "v1", None, "r1", "t", "d", "D", None, None),
+        ("revisit", "v2", None, "gone", "t", "d", "D", None, None), ("request", "q2", "r1", None, "t", "d", None, None, b"2"), ("request", "q1", "r1", None, "t", "d", None, None, b"1"),
+        ("metadata", "m1", "r1", None, "t", "d", None, None, b"m"), ("metadata", "m2", "nobody", None, "t", "d", None, None, b"m"), ("request", "q3", None, None, "t", "d", None, None, b"3"),
+    ]
+    got = {r.capture.id: r for r in warc.transactions(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert len(got) == 4 and got["r1"].request.id == "q1" and got["r1"].metadata.block == "m"
+    assert got["r2"].request is None and got["r2"].metadata is None
+    assert (got["v1"].capture.bytes, got["v2"].capture.bytes) == (3, None)
+
+
+def test_several_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "HANDED_ON", 3_000)
+    rows = pages()
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    got = warc.report(df).collect()
+    warc.write(df, f"{tmp_path}/a", Scratch(spark, "t"))
+    assert len(list(tmp_path.glob("a/*.gz"))) > 3 and len(got) == len(rows)
 
 
 def fill(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
