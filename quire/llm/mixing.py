@@ -110,9 +110,11 @@ def apply(measured_docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **kw) -> DataFrame:
     """The mixed corpus: the columns of docs, each row as often as the mix takes it."""
-    scratch, m = Scratch(docs.sparkSession, "mix"), measured(docs, text, source, key)
+    scratch = Scratch(docs.sparkSession, "mix")
+    # the columns of docs travel as one, so none of them meets a name of this module
+    m = measured(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text).alias("__text"), F.col(source).alias("__source"), F.col(key).alias("__key")), "__text", "__source", "__key")
     out = apply(m, fit(scratch.table(m.select("__src", "__size", "__h"), "narrow"), scratch, **kw))
-    return out.where("__times > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.where("__times > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select("__row.*")
 
 
 def report(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **kw) -> DataFrame:

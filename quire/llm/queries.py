@@ -119,15 +119,15 @@ WITH l AS (
   SELECT doc_id, n, ofs, unnest(ps) AS part, generate_subscripts(ps, 1) AS k
   FROM parts WHERE len(list_filter(ps, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) <> '')) > 1
 ), pieces AS (
-  SELECT doc_id, 'line' AS kind, line AS part, ofs FROM placed
+  SELECT doc_id, 'line' AS kind, n, line AS part, ofs FROM placed
   UNION ALL
-  SELECT doc_id, 'sentence', part, ofs + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM cut
+  SELECT doc_id, 'sentence', n, part, ofs + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM cut
 ), units AS (
-  SELECT doc_id, kind, ofs + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))) AS start_char,
+  SELECT doc_id, kind, n, ofs + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))) AS start_char,
     trim(part, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS core
   FROM pieces
 ), keyed AS (
-  SELECT doc_id, kind, start_char, start_char + length(core) AS end_char, lower(regexp_replace(core, '[ \\t\\r\\v\\f]+', ' ', 'g')) AS unit FROM units
+  SELECT doc_id, kind, n, start_char, start_char + length(core) AS end_char, lower(regexp_replace(core, '[ \\t\\r\\v\\f]+', ' ', 'g')) AS unit FROM units
 ), sized AS (
   SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 AS words FROM keyed WHERE unit <> ''
 ), ranked AS (
@@ -136,7 +136,7 @@ WITH l AS (
 )
 SELECT doc_id, kind, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(words AS INTEGER) AS words,
   keep_doc_id, CAST(keep_start AS INTEGER) AS keep_start
-FROM ranked WHERE r > 1
+FROM (SELECT *, min(kind) OVER (PARTITION BY doc_id, n) AS whole FROM ranked WHERE r > 1) WHERE kind = 'line' OR whole = 'sentence'
 """
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.graph import components
 from quire.llm.scratch import Scratch
+from quire.llm.text import free
 
 SEED, WORDS, RADIUS = 42, 3, 3
 #: First bit and width of the five blocks.
@@ -412,10 +413,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     names = [f"f{i}" for i in range(WIDE)]
-    whole = scratch.table(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
-    ids = whole.select(F.col("__rid").alias("__r"), F.col(key).alias("__id"))
+    rid = free(docs, "__rid")
+    whole = scratch.table(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    ids = whole.select(F.col(rid).alias("__r"), F.col(key).alias("__id"))
+    texts = whole.select(F.col(rid).alias("__rid"), F.col(text).alias("text"))
     ranked = F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
-    d = sketches(whole.select("__rid", text), text, "__rid", words).join(ids, F.col("__rid") == F.col("__r"))
+    d = sketches(texts, "text", "__rid", words).join(ids, F.col("__rid") == F.col("__r"))
     d = scratch.table(d.select(ranked.alias("who"), *names, "anchors", "shingles", "digest"), "sketches")
     # equal fingerprints are one vertex before any bucket is made
     rows = d.select(F.explode("anchors").alias("bucket"), *names).distinct()
@@ -425,8 +428,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # equal shingle sets are one vertex of the exact links
     each = scratch.table(d.groupBy("digest", "shingles", *names).agg(F.min("who").alias("who")), "sets")
     group = each.join(found, name("f") == F.col("node"), "left").select(F.coalesce("root", name("f")).alias("root"), "digest", F.col("who.rid").alias("__rid"), "shingles", *names)
-    links_ = verified_links(group, whole.select("__rid", text), text, words, similarity, scratch)
+    links_ = verified_links(group, texts, "text", words, similarity, scratch)
     same = components(links_, scratch).toDF("__node", "__set")
     stay = each.join(same, F.col("digest") == F.col("__node"), "left").groupBy(F.coalesce("__set", "digest").alias("root")).agg(F.min("who").alias("who"))
-    stay = scratch.table(stay.select(F.col("who.rid").alias("__rid")), "stay")
-    return whole.join(stay.hint("shuffle_hash"), "__rid", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay = scratch.table(stay.select(F.col("who.rid").alias(rid)), "stay")
+    return whole.join(stay.hint("shuffle_hash"), rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

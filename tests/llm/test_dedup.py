@@ -161,9 +161,9 @@ def test_simhash_dedup_at_similarity(spark):
     root, clear = near_groups(texts)
     assert clear and len(set(root)) < len(texts) - 60
     rows = [(i, t, "en", "x", "y", "z") for i, t in enumerate(texts)] + [(None, texts[0], "en", "x", "y", "z"), (3, texts[3], "en", "x", "y", "z")]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("__rid", F.lit(7)).withColumn("root", F.lit(8))
     kept = simhash.dedup(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {(r["__rid"], r.root) for r in kept.collect()} == {(7, 8)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
@@ -317,6 +317,25 @@ def test_update_keeps_no_deleted_row(spark):
     assert empty.live.collect() == empty.members.collect() == []
 
 
+def test_scratch_folders(spark, tmp_path, monkeypatch):
+    """A cluster without a shared folder raises, a session's checkpoint folder is honoured; tables of a released block go, others stay."""
+    from types import SimpleNamespace as Fake
+
+    from quire.llm import scratch
+
+    fake = lambda given, master: Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master=master, applicationId="x", _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: given))))
+    none, some = Fake(isDefined=lambda: False), Fake(isDefined=lambda: True, get=lambda: "hdfs://a/b/")
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_dir(fake(none, "spark://host:7077"))
+    assert scratch.shared_dir(fake(some, "spark://host:7077")) == "hdfs://a/b"
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"{tmp_path}/shared")
+    outer = Scratch(spark, "outer").table(spark.range(3), "t")
+    with scratch.released():
+        Scratch(spark, "inner").table(spark.range(3), "t")
+        assert len(list(tmp_path.glob("shared/*"))) == 2
+    assert [p.name[:5] for p in tmp_path.glob("shared/*")] == ["outer"] and outer.count() == 3
+
+
 @pytest.mark.parametrize("f", [exact.classes, exact.dedup, simhash.classes, simhash.dedup])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import mixing, warc
 from quire.llm.scratch import Scratch
@@ -110,6 +111,8 @@ def test_mixing(spark):
         taken[s] = taken.get(s, 0) + g.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(size[i] for i in size if src[i] == s)
+    own = mixing.mix(df.withColumn("__size", F.lit(88)).withColumn("__n", F.lit(5)))
+    assert {(r["__size"], r["__n"]) for r in own.collect()} == {(88, 5)}
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     count = {}
