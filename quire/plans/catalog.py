@@ -188,7 +188,7 @@ def status(c: Corpus) -> DataFrame:
 
 CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "SRC04": lambda c: c.words.select("doc_id", "block_id", "word_index", "start_char", "end_char", "page", "line"),
-    "SRC10": lambda c: c.toc,
+    "SRC10": lambda c: c.toc.select("doc_id", "seq", "title", "page", "level", "src_page"),
     "SRC14": lambda c: c.sections.select("doc_id", "seq", "number", "title", "level"),
     "SCL01": per_block(S.fix_latex, "fixed"),
     "SCL03": per_block(K.clean_ws, "clean"),

@@ -68,35 +68,14 @@ def merged_boxes(c: Corpus) -> DataFrame:
     return b.groupBy("doc_id", "page", "g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("n_parts")).drop("g")
 
 
-_ENTRY = "^(.*[^. ]) *\\.{4,} *([0-9]+)$"
-_LISTED = """SELECT doc_id, block_id, regexp_extract(content, '{e}', 1) AS title, CAST(regexp_extract(content, '{e}', 2) AS INTEGER) AS page FROM (
-    SELECT *, sum(CASE WHEN block_id > opened AND NOT regexp_matches(content, '{e}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_id) AS misses FROM (
-      SELECT *, max(CASE WHEN regexp_matches(lower(content), '{k}') THEN block_id END) OVER (PARTITION BY doc_id ORDER BY block_id) AS opened FROM blocks)) WHERE block_id > opened AND misses = 0 AND regexp_matches(content, '{e}')"""
-_OF_CONTENTS, _OF_TABLES = "^(table of contents|contents|spis treści)", "^(list of tables|spis tabel)"
+@rule("SRC11", "SELECT doc_id, seq, number, title, page, src_page FROM tof")
+def figure_list(c: Corpus) -> DataFrame:
+    return c.tof.select("doc_id", "seq", "number", "title", "page", "src_page")
 
 
-def _listed_sql(keyword: str) -> str:
-    return _LISTED.replace("{e}", _ENTRY).replace("{k}", keyword)
-
-
-def listed_entries(c: Corpus, keyword: str) -> DataFrame:
-    """Entries "title .... page" behind a heading, up to the first line that isn't one."""
-    order = doc_window().orderBy("block_id")
-    b = c.blocks.withColumn("opened", F.max(F.when(F.lower("content").rlike(keyword), F.col("block_id"))).over(order))
-    hit = F.col("content").rlike(_ENTRY)
-    b = b.withColumn("misses", F.sum(F.coalesce(((F.col("block_id") > F.col("opened")) & ~hit).cast("int"), F.lit(0))).over(order))
-    b = b.where((F.col("block_id") > F.col("opened")) & (F.col("misses") == 0) & hit)
-    return b.select("doc_id", "block_id", F.regexp_extract("content", _ENTRY, 1).alias("title"), F.regexp_extract("content", _ENTRY, 2).cast("int").alias("page"))
-
-
-@rule("SRC11", _listed_sql(_OF_CONTENTS))
-def contents_entries(c: Corpus) -> DataFrame:
-    return listed_entries(c, _OF_CONTENTS)
-
-
-@rule("SRC12", _listed_sql(_OF_TABLES))
-def table_entries(c: Corpus) -> DataFrame:
-    return listed_entries(c, _OF_TABLES)
+@rule("SRC12", "SELECT doc_id, seq, number, title, page, src_page FROM tot")
+def table_list(c: Corpus) -> DataFrame:
+    return c.tot.select("doc_id", "seq", "number", "title", "page", "src_page")
 
 
 @rule("SRC06", """SELECT doc_id, min(block_id) AS block_id, count(*) FILTER (NOT continued) AS n_rows, count(*) FILTER (continued) AS n_continued FROM (SELECT doc_id, block_id, regexp_matches(content, '^ *[|]') AS continued, r - row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS g FROM (

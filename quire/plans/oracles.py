@@ -9,17 +9,22 @@ from __future__ import annotations
 import re
 
 from quire.plans import scalars
-from quire.sources.corpus import SNIPPETS
+from quire.sources.corpus import BEGINNING, CONTENTS, ENTRY, FIGURES, FRONT, LEADER, NO_FIGURES, NO_TABLES, SNIPPETS, WHOLE
+from quire.sources.corpus import TABLES as TABLE_LISTS
 
 
 def text_of(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _any(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {text_of(w)})" for w in words) + ")"
+
+
 _SNIPPETS = ", ".join(" || chr(10) || ".join(map(text_of, s)) for s in SNIPPETS)
 
 TABLES = {
-    "deco": f"SELECT doc_id, coalesce(text, '') || chr(10) || ([{_SNIPPETS}])[doc_id % {len(SNIPPETS)} + 1] AS text FROM documents",
+    "deco": f"SELECT doc_id, CASE WHEN doc_id % {len(SNIPPETS)} IN {FRONT} THEN extra || chr(10) || coalesce(text, '') ELSE coalesce(text, '') || chr(10) || extra END AS text FROM (SELECT *, ([{_SNIPPETS}])[doc_id % {len(SNIPPETS)} + 1] AS extra FROM documents)",
     "blocks": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_id, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM deco) WHERE trim(content) <> ''",
     "parts": "SELECT doc_id, block_id, unnest(string_split(content, ' ')) AS text, generate_subscripts(string_split(content, ' '), 1) AS i FROM blocks",
     "tokens": """SELECT doc_id, block_id, CAST(row_number() OVER (PARTITION BY doc_id, block_id ORDER BY i) - 1 AS INTEGER) AS word_index, text, CAST(s AS INTEGER) AS start_char, CAST(s + length(text) AS INTEGER) AS end_char
@@ -29,13 +34,19 @@ TABLES = {
     "words": """SELECT doc_id, block_id, word_index, text, start_char, end_char, lineno // 40 AS page, lineno % 40 AS line, CASE WHEN doc_id % 3 = 0 THEN 'Sans' ELSE 'Serif' END AS font,
         CASE WHEN n_words < 6 THEN 14.0 ELSE 12.0 END AS size, n_words < 6 AS bold, word_index % 17 = 16 AS italic, 72.0 + word_index % 12 * 36 AS x0, 72.0 + lineno % 40 * 16 AS y0, 72.0 + word_index % 12 * 36 + CASE WHEN length(text) = 1 THEN 10 ELSE 30 END AS x1, 84.0 + lineno % 40 * 16 AS y1
         FROM (SELECT t.*, n_words, first_line + word_index // 12 AS lineno FROM tokens t JOIN placed USING (doc_id, block_id))""",
-    "lines": "SELECT doc_id, block_id, page, line, count(*) AS n_words, string_agg(text, ' ' ORDER BY word_index) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY ALL",
+    "lines": "SELECT doc_id, block_id, page, line, count(*) AS n_words, string_agg(text, ' ' ORDER BY word_index) AS text, bool_or(bold) AS bold, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY ALL",
     "boxes": "SELECT doc_id, block_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words FROM words GROUP BY doc_id, block_id, page",
     "sheets": """SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN b ELSE a END AS width, CASE WHEN doc_id % 7 = 0 THEN a ELSE b END AS height, x0, y0, x1, y1
         FROM (SELECT doc_id, page, CASE WHEN doc_id % 11 = 0 THEN 420.0 ELSE 595.0 END AS a, CASE WHEN doc_id % 11 = 0 THEN 595.0 ELSE 842.0 END AS b, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY doc_id, page)""",
     "visuals": """SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'image' ELSE 'table' END AS kind, CASE WHEN doc_id % 5 < 2 THEN 'raster' ELSE 'vector' END AS image_type, 60.0 AS vx0, 200.0 AS vy0, 560.0 AS vx1,
         CASE WHEN page % 2 = 0 THEN 300.0 ELSE 260.0 END AS vy1, doc_id % 30 * 20 + 100 AS px_width FROM sheets WHERE (doc_id + page) % 3 = 0""",
-    "toc": "SELECT doc_id, seq, content AS title, first_line // 40 + CASE WHEN doc_id % 4 = 0 AND seq % 2 = 1 THEN 1 ELSE 0 END AS page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS seq FROM placed WHERE n_words < 6) WHERE seq <= 8",
+    "toc_rows": "SELECT doc_id, page, round_even(y0 / 5.0, 0) * 5 AS row_y, string_agg(trim(text), ' ' ORDER BY x0, block_id) AS text, bool_or(bold) AS bold, min(x0) AS x0, arg_min(y0, (x0, block_id)) AS y0, arg_min(x1, (x0, block_id)) AS x1, arg_min(y1, (x0, block_id)) AS y1 FROM lines WHERE page < 15 GROUP BY ALL",
+    "toc_marked": f"""SELECT *, try_cast(regexp_extract(text, {text_of(ENTRY)}, 2) AS INTEGER) AS named, CASE WHEN regexp_matches(text, {text_of(ENTRY)}) AND length(t) >= 3 THEN t END AS title, {_any('lower(text)', CONTENTS)} AS heading
+        FROM (SELECT *, trim(regexp_replace(regexp_extract(text, {text_of(ENTRY)}, 1), {text_of(LEADER)}, ' ', 'g')) AS t FROM toc_rows)""",
+    "toc_counted": "SELECT *, (bool_or(heading) OVER w AND count(title) OVER w >= 2) OR count(title) OVER w >= 5 AS counts FROM toc_marked WINDOW w AS (PARTITION BY doc_id, page)",
+    "toc": """SELECT doc_id, CAST(seq AS INTEGER) AS seq, title, named AS page, CASE WHEN bold AND gap = 1 THEN 1 ELSE greatest(gap, dotted) END AS level, page AS src_page, x0, y0, x1, y1 FROM (
+        SELECT *, row_number() OVER w AS seq, 1 + CAST(floor(greatest(0.0, x0 - first_value(x0) OVER w) / 12) AS INTEGER) AS gap, CASE WHEN regexp_matches(title, '^[0-9]') THEN length(n) - length(replace(n, '.', '')) + 1 ELSE 1 END AS dotted
+        FROM (SELECT *, regexp_extract(title, '^([0-9]+([.][0-9]+)*)', 1) AS n FROM toc_counted c WHERE counts AND title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM toc_counted m WHERE m.doc_id = c.doc_id AND NOT m.counts AND m.page <= c.page AND m.page > (SELECT min(page) FROM toc_counted b WHERE b.doc_id = c.doc_id AND b.counts))) WINDOW w AS (PARTITION BY doc_id ORDER BY page, row_y))""",
     "bib": "SELECT doc_id, block_id, CAST(regexp_extract(content, '^\\[([0-9]+)\\]', 1) AS INTEGER) AS number, regexp_replace(content, '^\\[[0-9]+\\] ', '') AS entry FROM blocks WHERE regexp_matches(content, '^\\[[0-9]+\\] ')",
     "sections": """SELECT doc_id, row_number() OVER w AS seq, number, title, length(number) - length(replace(number, '.', '')) + 1 AS level, block_id AS start, lead(block_id) OVER w AS stop
         FROM (SELECT doc_id, block_id, regexp_extract(content, '^([0-9]+(\\.[0-9]+)*) ', 1) AS number, regexp_replace(content, '^[0-9]+(\\.[0-9]+)* ', '') AS title FROM blocks WHERE regexp_matches(content, '^[0-9]+(\\.[0-9]+)* \\p{L}[^.]*$'))
@@ -53,6 +64,31 @@ TABLES = {
     "uses": "SELECT doc_id, block_id, w AS acronym, start_char AS start FROM (SELECT *, regexp_replace(text, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') AS w FROM words) WHERE regexp_matches(w, '^[A-Z]{2,10}$') AND NOT regexp_matches(w, '^[IVXLCDM]+$')",
 }
 
+
+def _listed(name: str, headings, ends) -> None:
+    """The entries of a list of figures or tables, line by line in the order of the page."""
+    w, b, e = text_of(WHOLE), text_of(BEGINNING), text_of(ENTRY)
+    TABLES[f"{name}_rows"] = f"""SELECT *, CASE WHEN regexp_matches(text, {w}) THEN 'whole' WHEN regexp_matches(text, {b}) THEN 'begin' WHEN regexp_matches(text, {e}) THEN 'stop' ELSE 'more' END AS kind FROM (
+        SELECT *, bool_or(y0 < height * 0.15 AND {_any('lower(text)', headings)}) OVER p AS opens, bool_or(y0 < height * 0.15 AND {_any('lower(text)', ends)}) OVER p AS closes FROM (
+          SELECT l.doc_id, l.page, height, round_even(l.y0 / 5.0, 0) * 5 AS row_y, string_agg(trim(text), ' ' ORDER BY l.x0, block_id) AS text, min(l.x0) AS x0, min(l.y0) AS y0, max(l.x1) AS x1, max(l.y1) AS y1
+          FROM lines l JOIN sheets s ON s.doc_id = l.doc_id AND s.page = l.page WHERE NOT EXISTS (SELECT 1 FROM toc t WHERE t.doc_id = l.doc_id AND t.src_page = l.page) GROUP BY ALL) WINDOW p AS (PARTITION BY doc_id, page)) WHERE lower(text) NOT IN {tuple(headings)}"""
+    TABLES[f"{name}_parts"] = f"""SELECT *, sum(CASE WHEN kind = 'stop' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, n ORDER BY row_y) AS stops, first_value(kind) OVER (PARTITION BY doc_id, page, n ORDER BY row_y) AS starter
+        FROM (SELECT *, sum(CASE WHEN kind IN ('whole', 'begin') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY row_y) AS n FROM {name}_rows)"""
+    TABLES[f"{name}_entries"] = f"""SELECT * FROM (SELECT doc_id, page, n, trim(regexp_replace(replace(replace(string_agg(CASE kind WHEN 'whole' THEN regexp_extract(text, {w}, 2) WHEN 'begin' THEN regexp_extract(text, {b}, 2) WHEN 'stop' THEN regexp_extract(text, {e}, 1) ELSE text END, chr(1) ORDER BY row_y), '-' || chr(1), ''), chr(1), ' '), {text_of(LEADER)}, ' ', 'g')) AS title,
+        max(CASE kind WHEN 'whole' THEN regexp_extract(text, {w}, 1) WHEN 'begin' THEN regexp_extract(text, {b}, 1) END) AS number, max(try_cast(CASE kind WHEN 'whole' THEN regexp_extract(text, {w}, 3) WHEN 'stop' THEN regexp_extract(text, {e}, 2) END AS INTEGER)) AS named,
+        arg_max(x0, row_y) AS x0, arg_max(y0, row_y) AS y0, arg_max(x1, row_y) AS x1, arg_max(y1, row_y) AS y1 FROM {name}_parts
+        WHERE n > 0 AND (kind = 'whole' OR (starter = 'begin' AND ((kind <> 'stop' AND stops = 0) OR (kind = 'stop' AND stops = 1)))) GROUP BY doc_id, page, n) WHERE named IS NOT NULL"""
+    TABLES[f"{name}_runs"] = f"""SELECT *, sum(CASE WHEN opens OR coalesce(closes OR entries = 0 OR page <> before + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page) AS before FROM (
+        SELECT r.doc_id, r.page, bool_or(opens) AS opens, bool_or(closes) AS closes, (SELECT count(*) FROM {name}_entries e WHERE e.doc_id = r.doc_id AND e.page = r.page) AS entries FROM {name}_rows r GROUP BY r.doc_id, r.page))"""
+    TABLES[f"{name}_open"] = f"SELECT *, first_value(opens) OVER w AS open, first_value(entries) OVER w AS first FROM {name}_runs WINDOW w AS (PARTITION BY doc_id, run ORDER BY page)"
+    TABLES[f"{name}_pages"] = f"SELECT doc_id, page FROM (SELECT *, min(CASE WHEN open AND entries >= 2 THEN page END) OVER (PARTITION BY doc_id) AS earlier FROM {name}_open) WHERE open AND entries > 0 AND NOT (first = 0 OR (first < 2 AND (earlier IS NULL OR page <= earlier)))"
+    TABLES[name] = f"SELECT e.doc_id, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.page, n) AS seq, number, title, named AS page, e.page AS src_page, x0, y0, x1, y1 FROM {name}_entries e JOIN {name}_pages p ON p.doc_id = e.doc_id AND p.page = e.page"
+
+
+_listed("tof", FIGURES, NO_FIGURES)
+_listed("tot", TABLE_LISTS, NO_TABLES)
+
+
 def with_tables(sql: str) -> str:
     need, todo = set(), [sql]
     while todo:
@@ -61,7 +97,18 @@ def with_tables(sql: str) -> str:
             if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", s):
                 need.add(name)
                 todo.append(body)
-    ctes = ", ".join(f"{n} AS ({b})" for n, b in TABLES.items() if n in need)
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for other in TABLES:
+            if other != name and other not in order and re.search(rf"\b(FROM|JOIN)\s+{other}\b", TABLES[name]):
+                add(other)
+        if name not in order:
+            order.append(name)
+
+    for name in need:
+        add(name)
+    ctes = ", ".join(f"{n} AS ({TABLES[n]})" for n in order)
     return f"WITH {ctes} {sql}" if ctes else sql
 
 
@@ -91,7 +138,7 @@ def _spans(pattern: str, table: str = "blocks") -> str:
 
 _BODY: dict[str, str] = {
     "SRC04": "SELECT doc_id, block_id, word_index, start_char, end_char, page, line FROM words",
-    "SRC10": "SELECT doc_id, seq, title, page FROM toc",
+    "SRC10": "SELECT doc_id, seq, title, page, level, src_page FROM toc",
     "SRC14": "SELECT doc_id, seq, number, title, level FROM sections",
     "SCL01": f"SELECT doc_id, block_id, {_latex('content')} AS fixed FROM blocks",
     "SCL03": f"SELECT doc_id, block_id, {_clean('content')} AS clean FROM blocks",

@@ -7,8 +7,10 @@ indices. ``decorated`` appends a few fixed lines, chosen by doc_id, that hold th
 lists, captions and entries that invented prose lacks. Layout that was extracted elsewhere is read by
 ``quire.sources.layout`` into the same columns.
 
-Every table is keyed by doc_id: windows and joins partition by it, so documents spread over the
-cluster and a document's pages never leave its partition.
+Every table is keyed by doc_id. The blocks of a text are dealt by it once, when they are placed, and words, lines,
+boxes, pages and lists are made of them where they lie: offsets, groups and joins by document and anything
+else reuse that partitioning, for which ``Corpus`` lets joins do with some of their keys.
+``write`` stores the tables that other queries begin with, and ``read_corpus`` reads them back.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ SNIPPETS = (
     ("1.1 Methods and data", "The value 3.14 was measured [1, 3-4] and 2.5% of cases [9].", "See section 2.1 for details - it matters."),
     ("1.2 Results", "Optical Character Recognition (OCR) is used. OCR and NLP and XML are common.", "NLP – Natural Language Processing"),
     ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9", "[7] B. Lis, A short note, vol. 2, 2018"),
-    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4", "List of tables", "Table 3 Costs ........ 9"),
+    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4"),
     ("- first item;", "- second item;", "- Third item.", "a) alpha", "b) beta;"),
     ("Figure 2.1. Plan of the engine. Source: own work", "As shown in fig. 2.1 the plan holds.", "Table 3. Costs"),
     ("Range 10 - 20 and 1990–1995, word—word, a - b.", "An em dash — and an en dash – here."),
     ("Keywords: plans, joins", "Cost was 1,5 or 1,500 and 12,25 kg.", 'The "quoted 3.5 part" stays.'),
     ("2 State of the art", "Earlier work (Smith, 2019) and [ABC12] and (Nowak 55) show [2] and [3].", "2.1 Summary"),
     ("Therefore the rys. 4 and Figure 12a.", "Zażółć gęślą jaźń 7.5 °C, 30 zł 2.50.", "x"),
+    ("List of tables", "Table 1 Costs of the ........ 1", "Table 2 Long title that goes-", "on for a while ........ 2", "Table 3 Costs ........ 9"),
+    ("Table of figures", "Figure 1 Plan ........ 0", "Figure 2 An engine and", "its parts ........ 4", "List of tables of another kind"),
 )
+#: The snippets that stand before the text, as lists do; the others follow it.
+FRONT = (3, 10, 11)
 
 def doc_window():
     return Window.partitionBy("doc_id")
@@ -48,8 +54,9 @@ def _before(column: Column, window) -> Column:
 
 def decorated(documents: DataFrame) -> DataFrame:
     lines = F.array(*(F.lit("\n".join(s)) for s in SNIPPETS))
-    extra = F.element_at(lines, (F.pmod("doc_id", F.lit(len(SNIPPETS))) + 1).cast("int"))
-    return documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), extra).alias("text"))
+    which = F.pmod("doc_id", F.lit(len(SNIPPETS)))
+    extra, text = F.element_at(lines, (which + 1).cast("int")), F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", F.when(which.isin(*FRONT), F.concat(extra, F.lit("\n"), text)).otherwise(F.concat(text, F.lit("\n"), extra)).alias("text"))
 
 
 def blocks_of(texts: DataFrame) -> DataFrame:
@@ -57,21 +64,129 @@ def blocks_of(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_id", "content")).where(F.trim("content") != "")
 
 
-def words_of(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, word_index, text, start_char, end_char): the space-separated words of each block, with their offsets."""
-    rows = blocks.select("doc_id", "block_id", F.posexplode(F.split("content", " ", -1)).alias("i", "text"))
-    rows = rows.withColumn("start_char", _before(F.length("text") + 1, block_window().orderBy("i")).cast("int")).where("text <> ''")
-    index = (F.row_number().over(block_window().orderBy("i")) - 1).cast("int")
-    return rows.select("doc_id", "block_id", index.alias("word_index"), "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"))
+def words_of(blocks: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, block_id, carried.., word_index, text, start_char, end_char): the space-separated words of each block, with their offsets.
+
+    Blocks that are dealt by doc_id stay where they are: offset and index are one running sum within the block.
+    """
+    rows = blocks.select("doc_id", "block_id", *carried, F.posexplode(F.split("content", " ", -1)).alias("i", "text"))
+    order = block_window().orderBy("i")
+    start, index = _before(F.length("text") + 1, order).cast("int"), _before((F.col("text") != "").cast("int"), order).cast("int")
+    rows = rows.withColumns({"start_char": start, "word_index": index}).where("text <> ''")
+    return rows.select("doc_id", "block_id", *carried, "word_index", "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"))
+
+
+# Headings by which lists of contents, figures and tables are found, and those that end the latter two.
+CONTENTS = ("spis treści", "spis tresci", "table of contents", "contents", "toc")
+FIGURES = ("spis rysunków", "spis rysunkow", "spis ilustracji", "list of figures", "table of figures", "wykaz rysunkow", "wykaz rysunków", "spis wykresów", "table of graphs")
+TABLES = ("spis tabel", "spis tablic", "list of tables", "wykaz tabel")
+NO_FIGURES = ("spis tabel", "spis tablic", "list of tables", "wykaz tabel", "bibliografia", "bibliography")
+NO_TABLES = ("spis rysunków", "spis rysunkow", "spis ilustracji", "list of figures", "table of figures", "wykaz rysunkow", "wykaz rysunków", "spis wykresów", "table of graphs", "bibliografia", "bibliography")
+# Forms of an entry of contents, and of the whole, the beginning and the end of an entry of figures or tables.
+ENTRY = r"^(.*?)(?:\.|\s)*\s+(\d+)$"
+WHOLE = r"^(?:[A-Z][a-zśł]{3,10}\.?\s*)?([A-Z\d]+(?:\.[A-Z\d]+)*)\.?\s+(.*?)(?:\.|\s)*\s+(\d+)$"
+BEGINNING = r"^(?:[A-Z][a-zśł]{3,10}\.?\s*)?([A-Z\d]+(?:\.[A-Z\d]+)*)\.?\s+(.*)"
+LEADER = r"[\.\s·-]{2,}"
+#: Contents are looked for on so many first pages.
+CONTENTS_PAGES = 15
+
+
+def one_of(text: Column, words: tuple[str, ...]) -> Column:
+    return F.greatest(*(F.contains(text, F.lit(w)) for w in words))
+
+
+def contents_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, seq, title, page, level, src_page, x0, y0, x1, y1): the entries of the contents.
+
+    Lines of a page at one height (to 5 points) are one row. A page counts if it has a heading and two entries, or five entries;
+    the pages that count end with the first one behind them that doesn't.
+    """
+    row = F.sort_array(F.collect_list(F.struct("x0", "block_id", "text", "y0", "x1", "y1", "bold")))
+    at = lines.where(F.col("page") < CONTENTS_PAGES).groupBy("doc_id", "page", (F.bround(F.col("y0") / 5) * 5).alias("at")).agg(row.alias("r"))
+    text = F.array_join(F.transform("r", lambda s: F.trim(s["text"])), " ")
+    first = F.element_at("r", 1)
+    e = at.select("doc_id", "page", "at", text.alias("text"), F.exists("r", lambda s: s["bold"]).alias("bold"), *(first[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
+    title = F.trim(F.regexp_replace(F.regexp_extract("text", ENTRY, 1), LEADER, " "))
+    e = e.withColumn("title", F.when(F.col("text").rlike(ENTRY) & (F.length(title) >= 3), title))
+    page = Window.partitionBy("doc_id", "page")
+    entries, heading = F.count("title").over(page), F.max(one_of(F.lower("text"), CONTENTS)).over(page)
+    e = e.withColumn("counts", (heading & (entries >= 2)) | (entries >= 5))
+    so_far = Window.partitionBy("doc_id").orderBy("page").rangeBetween(Window.unboundedPreceding, 0)
+    begun = F.min(F.when(F.col("counts"), F.col("page"))).over(Window.partitionBy("doc_id"))
+    missed = F.max(F.when(~F.col("counts") & (F.col("page") > begun), 1).otherwise(0)).over(so_far)
+    e = e.withColumn("missed", missed).where("counts and missed = 0 and title is not null")
+    order = doc_window().orderBy("page", "at")
+    base = F.first("x0").over(order)
+    gap = 1 + F.floor(F.greatest(F.lit(0.0), F.col("x0") - base) / 12).cast("int")
+    number = F.regexp_extract("title", r"^(\d+(?:\.\d+)*)", 1)
+    dotted = F.when(number != "", F.regexp_count(number, F.lit(r"\.")) + 1).otherwise(1)
+    level = F.when(F.col("bold") & (gap == 1), 1).otherwise(F.greatest(gap, dotted))
+    named = F.regexp_extract("text", ENTRY, 2).try_cast("int")
+    return e.select("doc_id", F.row_number().over(order).alias("seq"), "title", named.alias("page"), level.alias("level"), F.col("page").alias("src_page"), "x0", "y0", "x1", "y1")
+
+
+def listed_of(lines: DataFrame, pages: DataFrame, toc: DataFrame, headings: tuple[str, ...], ends: tuple[str, ...]) -> DataFrame:
+    """(doc_id, seq, number, title, page, src_page, x0, y0, x1, y1): the entries of a list of figures or tables, with the box of their last line.
+
+    A heading in the top 15 % of a page begins the list, another list's heading there, a page without entries or a gap in the pages ends
+    it; the first page needs two entries. Titles that go over several lines are put together, hyphens at line ends are dropped.
+    """
+    row = F.sort_array(F.collect_list(F.struct("x0", "block_id", "text")))
+    on = lines.join(toc.select("doc_id", F.col("src_page").alias("page")).distinct(), ["doc_id", "page"], "left_anti").join(pages.select("doc_id", "page", "height"), ["doc_id", "page"])
+    at = on.groupBy("doc_id", "page", "height", (F.bround(F.col("y0") / 5) * 5).alias("at")).agg(row.alias("r"), F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("box"))
+    at = at.select("doc_id", "page", "at", "box", (F.col("box.y0") < F.col("height") * 0.15).alias("high"), F.array_join(F.transform("r", lambda s: F.trim(s["text"])), " ").alias("text"))
+    low, page, down = F.lower("text"), Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "page").orderBy("at")
+    at = at.withColumns({"opens": F.max(F.col("high") & one_of(low, headings)).over(page), "closes": F.max(F.col("high") & one_of(low, ends)).over(page)})
+    at = at.where(~low.isin(*headings))
+    # an entry runs from a line that begins one to the next line that ends in a number; a line that begins one drops what was open
+    whole, begins, stops = F.col("text").rlike(WHOLE), F.col("text").rlike(BEGINNING), F.col("text").rlike(ENTRY)
+    kind = F.when(whole, "whole").when(begins, "begin").when(stops, "stop").otherwise("more")
+    at = at.withColumn("kind", kind)
+    # an open entry is the last beginning that no line has ended since
+    n = F.sum(F.when(F.col("kind").isin("whole", "begin"), 1).otherwise(0)).over(down)
+    at = at.withColumn("n", n).withColumn("stopped", F.sum(F.when(F.col("kind") == "stop", 1).otherwise(0)).over(Window.partitionBy("doc_id", "page", "n").orderBy("at")))
+    at = at.withColumn("starter", F.first("kind").over(Window.partitionBy("doc_id", "page", "n").orderBy("at")))
+    first_stop = (F.col("kind") != "stop") & (F.col("stopped") == 0) | (F.col("kind") == "stop") & (F.col("stopped") == 1)
+    own = at.where((F.col("n") > 0) & ((F.col("kind") == "whole") | ((F.col("starter") == "begin") & first_stop)))
+    said = F.when(F.col("kind") == "whole", F.regexp_extract("text", WHOLE, 2)).when(F.col("kind") == "begin", F.regexp_extract("text", BEGINNING, 2)).when(F.col("kind") == "stop", F.regexp_extract("text", ENTRY, 1)).otherwise(F.col("text"))
+    number = F.when(F.col("kind") == "whole", F.regexp_extract("text", WHOLE, 1)).when(F.col("kind") == "begin", F.regexp_extract("text", BEGINNING, 1))
+    named = F.when(F.col("kind") == "whole", F.regexp_extract("text", WHOLE, 3)).when(F.col("kind") == "stop", F.regexp_extract("text", ENTRY, 2)).try_cast("int")
+    g = own.groupBy("doc_id", "page", "n").agg(F.array_sort(F.collect_list(F.struct("at", said.alias("t")))).alias("ts"), F.max(number).alias("number"), F.max(named).alias("named"), F.max_by("box", "at").alias("box"))
+    title = F.regexp_replace(F.array_join(F.transform("ts", lambda s: s["t"]), "\u0001"), "-\u0001", "")
+    title = F.trim(F.regexp_replace(F.regexp_replace(title, "\u0001", " "), LEADER, " "))
+    entries = g.where("named is not null").select("doc_id", "page", "n", "number", title.alias("title"), "named", "box.*")
+    # pages: open from one with a heading as long as each next page has entries and no other list begins on it
+    p = at.groupBy("doc_id", "page").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    p = p.join(entries.groupBy("doc_id", "page").agg(F.count("*").alias("entries")), ["doc_id", "page"], "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    order = Window.partitionBy("doc_id").orderBy("page")
+    ended = ~F.col("opens") & (F.col("closes") | (F.col("entries") == 0) | (F.col("page") != F.lag("page").over(order) + 1))
+    p = p.withColumn("run", F.sum(F.when(F.col("opens") | F.coalesce(ended, F.lit(True)), 1).otherwise(0)).over(order))
+    p = p.withColumn("open", F.first("opens").over(Window.partitionBy("doc_id", "run").orderBy("page")))
+    first = F.first("entries").over(Window.partitionBy("doc_id", "run").orderBy("page"))
+    earlier = F.min(F.when(F.col("open") & (F.col("entries") >= 2), F.col("page"))).over(Window.partitionBy("doc_id"))
+    p = p.withColumn("dead", (first == 0) | ((first < 2) & (earlier.isNull() | (F.col("page") <= earlier)))).where("open and entries > 0 and not dead").select("doc_id", "page")
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("src_page", "n"))
+    found = entries.join(p, ["doc_id", "page"]).withColumnRenamed("page", "src_page")
+    return found.select("doc_id", seq.alias("seq"), "number", "title", F.col("named").alias("page"), "src_page", "x0", "y0", "x1", "y1")
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """The tables of the texts in ``documents`` of a folder, or of any tables that are given."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str = "", **tables: DataFrame):
         self.spark, self.sf_dir = spark, sf_dir
+        # both sides of a join by document and more are dealt by document already
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        self.__dict__.update(tables)
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
+    def write(self, path: str) -> None:
+        """Stores the tables that others are made of, so a battery of queries makes the layout once."""
+        for name in STORED:
+            getattr(self, name).write.parquet(f"{path}/{name}.parquet")
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.read("documents").select("doc_id", "text", "lang", "source")
@@ -86,7 +201,7 @@ class Corpus:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return words_of(self.blocks)
+        return self.words.select("doc_id", "block_id", "word_index", "text", "start_char", "end_char")
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -98,9 +213,8 @@ class Corpus:
 
     @cached_property
     def words(self) -> DataFrame:
-        """Tokens with page, line on the page, box and style. Short blocks are set bold in 14 points; each 17th word is italic."""
-        b = self.placed.select("doc_id", "block_id", "n_words", "first_line")
-        w = self.tokens.join(b, ["doc_id", "block_id"])
+        """Words with page, line on the page, box and style. Short blocks are set bold in 14 points; each 17th word is italic."""
+        w = words_of(self.placed, "n_words", "first_line")
         at = F.col("first_line") + F.floor(F.col("word_index") / PER_LINE)
         heading = F.col("n_words") < 6
         x0, y0 = (72 + F.col("word_index") % PER_LINE * 36).cast("double"), (72 + F.col("line") * 16).cast("double")
@@ -113,10 +227,10 @@ class Corpus:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """(doc_id, block_id, page, line, n_words, text, box)."""
+        """(doc_id, block_id, page, line, n_words, text, bold, box)."""
         w = self.words.groupBy("doc_id", "block_id", "page", "line")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda s: s["text"]), " ")
-        return w.agg(F.count("*").alias("n_words"), text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        return w.agg(F.count("*").alias("n_words"), text.alias("text"), F.max("bold").alias("bold"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
     @cached_property
     def boxes(self) -> DataFrame:
@@ -144,10 +258,15 @@ class Corpus:
 
     @cached_property
     def toc(self) -> DataFrame:
-        """Contents entries: a document's first eight short blocks, with the page they are on; each 4th document names the next page in every other."""
-        heads = self.placed.where("n_words < 6").withColumn("seq", F.row_number().over(doc_window().orderBy("block_id"))).where("seq <= 8")
-        page = F.floor(F.col("first_line") / PER_PAGE).cast("int") + ((F.pmod("doc_id", F.lit(4)) == 0) & (F.col("seq") % 2 == 1)).cast("int")
-        return heads.select("doc_id", "seq", F.col("content").alias("title"), page.alias("page"))
+        return contents_of(self.lines)
+
+    @cached_property
+    def tof(self) -> DataFrame:
+        return listed_of(self.lines, self.pages, self.toc, FIGURES, NO_FIGURES)
+
+    @cached_property
+    def tot(self) -> DataFrame:
+        return listed_of(self.lines, self.pages, self.toc, TABLES, NO_TABLES)
 
     @cached_property
     def bibliography(self) -> DataFrame:
@@ -164,3 +283,12 @@ class Corpus:
         order = doc_window().orderBy("block_id")
         level = F.regexp_count("number", F.lit(r"\.")) + 1
         return h.select("doc_id", F.row_number().over(order).alias("seq"), "number", "title", level.alias("level"), F.col("block_id").alias("start"), F.lead("block_id").over(order).alias("stop"))
+
+
+#: The tables of a stored corpus; all others are made of them.
+STORED = ("documents", "blocks", "placed", "words", "pages", "visuals")
+
+
+def read_corpus(spark: SparkSession, path: str, sf_dir: str = "") -> Corpus:
+    """The corpus that ``Corpus.write`` stored below path."""
+    return Corpus(spark, sf_dir, **{name: spark.read.parquet(f"{path}/{name}.parquet") for name in STORED})
