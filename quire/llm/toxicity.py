@@ -46,7 +46,7 @@ MIN_SUPPORT, MOST_CLEAN, BY_CHANCE, FOLDS = 5, 0.02, 0.5, 5
 MARKING, BEGINNINGS, ENDINGS, MET = (4, 5, 6, 7), (3, 4, 5, 6, 7), (2, 3), 3
 ROUNDS, RIDGE = 100, 1e-5
 #: Words whose weights a worker keeps before it begins anew, tokens scored at once, and tokens of a block.
-KNOWN_WORDS, CHUNK, BLOCK = 500_000, 200_000, 128
+KNOWN_WORDS, CHUNK, BLOCK = 100_000, 50_000, 64
 #: Added to the exponent, so that all texts without a suspicious token score alike.
 FLOOR = 0.01
 TOKEN = re.compile(r"\w+")
@@ -130,13 +130,14 @@ class Scorer(dict):
 
     def _empty(self) -> None:
         self.clear()
-        self.rows: list[tuple[float, float, float]] = []
-        self.table = np.zeros((0, 3))
+        self.table = np.zeros((1 << 12, 3))
 
     def __missing__(self, token: str) -> int:
         get, w = self.chain.weights.get, token.lower()
-        self[token] = at = len(self.rows)
-        self.rows.append((sum(get(f, 0.0) for f in features(token)), get("<" + w, 0.0), get(">" + w, 0.0)))
+        self[token] = at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = sum(get(f, 0.0) for f in features(token)), get("<" + w, 0.0), get(">" + w, 0.0)
         return at
 
     def marginals(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +145,6 @@ class Scorer(dict):
         size = np.array([len(d) for d in docs])
         first = np.r_[0, np.cumsum(size)[:-1]]
         ids = np.fromiter((self[t] for d in docs for t in d), np.int64, int(size.sum()))
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
         begins = np.zeros(len(ids), bool)
         begins[first[size > 0]] = True
         u = self.chain.bias + self.table[ids, 0]
