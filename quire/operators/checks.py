@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +131,19 @@ def missing_entries(toc: DataFrame, texts: DataFrame) -> DataFrame:
     return toc.join(t, on, "left_anti")
 
 
+def list_pages(*lists: DataFrame) -> DataFrame:
+    """(doc_id, page): the pages on which the entries of any of the lists stand."""
+    pages = [x.select("doc_id", F.col("src_page").alias("page")) for x in lists]
+    return reduce(DataFrame.unionByName, pages).distinct()
+
+
 def cited(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, citation, number): every number of every numeric citation, ranges expanded."""
     c = blocks.select("doc_id", "block_id", F.explode(F.regexp_extract_all("content", F.lit(r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"), F.lit(0))).alias("citation"))
     part = c.select("doc_id", "block_id", "citation", F.explode(F.split(F.regexp_replace("citation", r"[\[\] ]", ""), ",", -1)).alias("part"))
     ends = F.split("part", "-", -1)
     lo, hi = F.try_element_at(ends, F.lit(1)).try_cast("int"), F.try_element_at(ends, F.size(ends)).try_cast("int")
-    part = part.where(lo.isNotNull() & hi.isNotNull() & (lo <= hi) & (hi - lo < 1000))
+    part = part.where(lo.isNotNull() & hi.isNotNull() & (lo <= hi))
     return part.select("doc_id", "block_id", "citation", F.explode(F.sequence(lo, hi)).alias("number")).distinct()
 
 
@@ -218,9 +226,9 @@ def section_scope(sections: DataFrame) -> DataFrame:
 
 
 def figure_mentions(blocks: DataFrame, captions: DataFrame) -> DataFrame:
-    """Captioned figures with the number of other blocks of at least 20 characters that mention them: an equi-join on the extracted number."""
+    """Captioned figures with the number of other blocks of at least 50 characters that mention them: an equi-join on the extracted number."""
     found = F.regexp_extract_all(F.lower("content"), F.lit(r"(?:rys|fig|figure)\.? ?([0-9]+(?:\.[0-9]+)*)"), F.lit(1))
-    m = blocks.where(F.length("content") >= 20).select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.explode(F.array_distinct(found)).alias("n"))
+    m = blocks.where(F.length("content") >= 50).select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.explode(F.array_distinct(found)).alias("n"))
     j = captions.join(m, (F.col("doc_id") == F.col("d")) & (F.col("figure") == F.col("n")) & (F.col("block_id") != F.col("b")), "left")
     return j.groupBy("doc_id", "figure").agg(F.count("b").alias("mentions"))
 

@@ -62,10 +62,14 @@ def gaps(c: Corpus) -> DataFrame:
 
 
 def alignment(c: Corpus) -> DataFrame:
-    left, right = F.abs(F.col("x0") - 72) <= 5, F.abs(F.col("x1") - 498) <= 5
-    centre = F.abs((F.col("x0") - 72) - (498 - F.col("x1"))) <= 5
-    kind = F.when(left & right, "justified").when(centre, "center").when(right, "right").otherwise("left")
-    return c.lines.select("doc_id", "block_id", "page", "line", kind.alias("alignment"))
+    """Lines against the margins of their page, to 5 points; a justified line is inconsistent if its gaps differ by more than a point (standard deviation)."""
+    page = Window.partitionBy("doc_id", "page")
+    g = gaps(c).groupBy("doc_id", "block_id", "page", "line").agg(F.stddev_samp(F.when(F.col("gap") > 0, F.col("gap"))).alias("spread"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    dl, dr = F.abs(F.col("x0") - F.min("x0").over(page)), F.abs(F.col("x1") - F.max("x1").over(page))
+    g = g.withColumns({"dl": dl, "dr": dr})
+    both = (F.col("dl") <= 5) & (F.col("dr") <= 5)
+    kind = F.when(both, "justified").when(F.abs(F.col("dl") - F.col("dr")) <= 5, "center").when(F.col("dr") <= 5, "right").otherwise("left")
+    return g.select("doc_id", "block_id", "page", "line", kind.alias("alignment"), (~both | F.coalesce(F.col("spread") <= 1.0, F.lit(True))).alias("consistent"))
 
 
 def line_spacing(c: Corpus) -> DataFrame:
@@ -75,9 +79,50 @@ def line_spacing(c: Corpus) -> DataFrame:
 
 
 def footers(c: Corpus) -> DataFrame:
-    j = c.lines.join(c.pages.select("doc_id", "page", "height"), ["doc_id", "page"])
-    own = F.rlike("text", F.concat(F.lit("(^|[^0-9])"), F.col("page").cast("string"), F.lit("([^0-9]|$)")))
-    return j.where((F.col("y0") >= F.col("height") * 0.88) & own).select("doc_id", "block_id", "page", "line", "text")
+    """Blocks of a page that are its footer."""
+    j = c.boxes.join(c.pages.select("doc_id", "page", "height"), ["doc_id", "page"])
+    return j.where(S.is_footer(F.col("text"), F.col("y0"), F.col("page"), F.col("height"))).select("doc_id", "block_id", "page", "text")
+
+
+def math_blocks(c: Corpus) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda s: s["text"]), " ")
+    math = F.lower("font").rlike("|".join(S.MATH_FONTS))
+    b = c.words.groupBy("doc_id", "block_id").agg(text.alias("t"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count(F.when(math, 1)).alias("m"))
+    return b.select("doc_id", "block_id", S.math_kind(F.col("t"), F.col("n"), F.col("chars"), F.col("m")).alias("math"))
+
+
+def markers(c: Corpus) -> DataFrame:
+    """Each block's marker, and what it is as a continuation of the block before."""
+    before = F.lag("own").over(doc_window().orderBy("block_id"))
+    b = c.blocks.withColumn("own", S.marker(F.col("content"))).withColumn("active", before)
+    return b.select("doc_id", "block_id", F.col("own").alias("marker"), S.marker(F.col("content"), F.col("active")).alias("continued"))
+
+
+def section_citations(c: Corpus) -> DataFrame:
+    """(doc_id, seq, title, n_chars, citations): sections with their length and the number of distinct citations of any style."""
+    b = c.blocks.select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), F.length("content").alias("n"), S.citations(F.col("content")).alias("cs"))
+    on = (F.col("doc_id") == F.col("d")) & (F.col("b") > F.col("start")) & (F.col("stop").isNull() | (F.col("b") < F.col("stop")))
+    g = c.sections.join(b, on, "left").groupBy("doc_id", "seq", "title")
+    return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_chars"), F.size(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("citations"))
+
+
+# Titles of chapters that don't describe the state of the art, and words of titles that do, in Polish and in English.
+OTHER_CHAPTERS = {
+    "pl": ("spis treści", "bibliografia", "spis rysunków", "spis tabel", "streszczenie", "abstract", "lista skrótów", "załącznik", "literatura", "indeks", "opis dyplomu", "oświadczenie", "opis pracy", "cel pracy", "wstęp", "zakończenie", "podsumowanie"),
+    "en": ("table of contents", "bibliography", "list of figures", "list of tables", "abstract", "abbreviations", "appendix", "references", "index", "declaration", "introduction", "conclusion", "summary", "thesis overview"),
+}
+ART_TITLES = {
+    "pl": ("przegląd literatury", "stan wiedzy", "state of the art", "sota", "przegląd rozwiązań", "istniejące rozwiązania", "analiza literatury", "podbudowa teoretyczna", "przegląd badań", "przegląd technologii", "stan obecny"),
+    "en": ("literature review", "state of the art", "sota", "existing solutions", "related work", "background", "theoretical background", "technology review"),
+}
+LEAST_CHAPTER = 200
+
+
+def art_candidates(c: Corpus, lang: str = "en") -> DataFrame:
+    """Sections of 200 characters or more whose title isn't another chapter's, with named: whether a title says state of the art."""
+    low = F.lower("title")
+    s = section_citations(c).where((F.col("n_chars") >= LEAST_CHAPTER) & ~low.rlike("|".join(OTHER_CHAPTERS[lang])))
+    return s.withColumn("named", low.rlike("|".join(ART_TITLES[lang])))
 
 
 def headers(c: Corpus) -> DataFrame:
@@ -167,14 +212,17 @@ def unknown_numbers(c: Corpus) -> DataFrame:
 
 
 def top_sections(c: Corpus) -> DataFrame:
-    s = K.section_texts(c.sections, c.blocks)
-    r = s.withColumn("rank", F.row_number().over(doc_window().orderBy(F.col("n_chars").desc(), "seq"))).where("rank <= 3")
-    return r.select("doc_id", "seq", "n_chars", "rank")
+    """A document's three sections with the most citations, of those with any; without any its three longest."""
+    s = section_citations(c)
+    any_ = F.max("citations").over(doc_window()) > 0
+    s = s.withColumn("any", any_).where(~F.col("any") | (F.col("citations") > 0))
+    order = doc_window().orderBy(F.when(F.col("any"), F.col("citations")).otherwise(F.col("n_chars")).desc(), "seq")
+    return s.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("doc_id", "seq", "n_chars", "citations", "rank")
 
 
 def most_cited(c: Corpus) -> DataFrame:
-    n = K.cited(c.blocks).groupBy("doc_id", "block_id").agg(F.countDistinct("citation").alias("n"))
-    return n.groupBy("doc_id").agg(F.min_by("block_id", F.struct((-F.col("n")).alias("n"), "block_id")).alias("block_id"), F.max("n").alias("citations"))
+    s = section_citations(c).where("citations > 0")
+    return s.groupBy("doc_id").agg(F.min_by("seq", F.struct((-F.col("citations")).alias("n"), "seq")).alias("seq"), F.max("citations").alias("citations"))
 
 
 def chunked(c: Corpus) -> DataFrame:
@@ -198,35 +246,35 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "SCL08": footers,
     "SCL09": lambda c: c.pages.select("doc_id", "page", F.col("x0").alias("left_margin"), F.col("y0").alias("top_margin"), (F.col("width") - F.col("x1")).alias("right_margin"), (F.col("height") - F.col("y1")).alias("bottom_margin")),
     "SCL10": alignment,
-    "SCL11": per_block(S.marker, "marker"),
+    "SCL11": markers,
     "SCL12": per_block(S.strip_marker, "stripped"),
     "SCL13": per_block(S.is_acronym_line, "is_acronym"),
     "SCL14": headers,
     "SCL15": lambda c: c.blocks.where(S.is_keywords(F.col("content"))).select("doc_id", "block_id"),
-    "SCL16": per_block(S.math_kind, "math"),
+    "SCL16": math_blocks,
     "SCL17": lambda c: K.mostly_inside(c.boxes, c.visuals),
-    "SCL27": lambda c: c.tokens.where(S.potential_acronym(F.col("text"))).select("doc_id", "block_id", "word_index", F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word")),
+    "SCL27": lambda c: c.tokens.where(S.potential_acronym(F.col("text"))).select("doc_id", "block_id", "word_index", S.bare_word(F.col("text")).alias("word")),
     "SCL28": lambda c: c.tokens.where(S.is_roman(F.col("text"))).select("doc_id", "block_id", "word_index", F.col("text").alias("word")),
     "SCL29": expansions,
     "SCL32": lambda c: c.sections.select("doc_id", "number", "title", S.heading_level(F.col("number")).alias("level")),
-    "SCL33": lambda c: c.blocks.where(S.is_toc_line(F.col("content"))).groupBy("doc_id").agg(F.count("*").alias("n_lines")).withColumn("is_toc", F.col("n_lines") >= 2),
+    "SCL33": lambda c: c.blocks.groupBy("doc_id").agg(F.sum(F.regexp_count("content", F.lit(S.TOC_LINE))).alias("n_lines"), F.count(F.when(S.is_toc_heading(F.col("content")), 1)).alias("n_headings")).withColumn("is_toc", F.col("n_lines") >= 2),
     "SCL34": lambda c: c.blocks.withColumn("cs", S.citations(F.col("content"))).where(F.size("cs") > 0).select("doc_id", "block_id", F.array_join("cs", "|").alias("citations")),
     "SCL35": lambda c: K.cited(c.blocks),
-    "SCL36": per_block(S.figure_number, "figure", lambda t: F.lower(t).rlike(r"(?:rys|fig|figure|rysunek)\.? ?[0-9]")),
+    "SCL36": lambda c: c.blocks.select("doc_id", "block_id", S.figure_number(F.col("content")).alias("figure"), S.figure_number(F.col("content"), True).alias("short")).where("figure <> '' or short <> ''"),
     "SCL37": chunked,
     "SCL39": lambda c: c.texts.select("doc_id", S.trimmed_fragment(F.replace("text", F.lit("\n"), F.lit(" "))).alias("fragment")),
     "SCL40": lambda c: c.texts.select("doc_id", S.ending(F.col("text")).alias("ending")),
     "SCL42": status,
     "SCL43": lambda c: c.blocks.where(F.col("content").rlike(r"^[0-9]+(\.[0-9]+)* \p{L}")).select("doc_id", "block_id", F.trim(F.regexp_replace("content", r"[. ]*[0-9]+$", "")).alias("chapter")),
     "SCL44": lambda c: c.visuals.where("kind = 'image'").select("doc_id", "page", S.effective_dpi(F.col("px_width"), F.col("vx1") - F.col("vx0")).alias("dpi")),
-    "SCL45": per_block(lambda t: F.concat(F.lit('"'), F.left(K.clean_ws(t), F.lit(300)), F.lit('"')), "query"),
+    "SCL45": per_block(S.search_query, "query"),
     "SCL49": lambda c: gaps(c).where("gap is not null").groupBy("doc_id", "block_id", "page", "line").agg(F.count("*").alias("n_gaps"), F.sum(F.when(F.col("gap") > 7.2, 2).otherwise(1)).alias("n_spaces")),
-    "JN01": lambda c: K.missing_entries(c.toc, K.page_texts(c.lines)),
+    "JN01": lambda c: K.missing_entries(c.toc, K.page_texts(c.lines)).select("doc_id", "seq", "title", "page"),
     "JN04": lambda c: K.unknown_citations(c.blocks, c.bibliography),
     "JN05": lambda c: K.span_words(matches(c, NUMBER), c.words),
     "JN06": lambda c: K.outside_visuals(c.boxes, c.visuals, "image").select("doc_id", "block_id", "page"),
     "JN07": lambda c: K.outside_visuals(c.boxes, c.visuals, "table").select("doc_id", "block_id", "page"),
-    "JN08": lambda c: c.boxes.join(c.toc.select("doc_id", "page"), ["doc_id", "page"], "left_anti").select("doc_id", "block_id", "page"),
+    "JN08": lambda c: c.boxes.join(K.list_pages(c.toc, c.tof, c.tot), ["doc_id", "page"], "left_anti").select("doc_id", "block_id", "page"),
     "JN09": lambda c: K.hanging(c.words),
     "JN10": nearest,
     "JN14": lambda c: K.undefined_acronyms(uses(c), definitions(c)),
@@ -243,7 +291,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "AG05": lambda c: K.upper_median(c.words, ["doc_id"], "size"),
     "AG07": lambda c: gaps(c).groupBy("doc_id", "page", "line").agg(F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(3.0)).alias("gap")),
     "AG12": lambda c: c.boxes.select("doc_id", "block_id", "page", "x0", "y0", "x1", "y1"),
-    "AG13": lambda c: K.cited(c.blocks).groupBy("doc_id").agg(F.countDistinct("citation").alias("citations")),
+    "AG13": lambda c: section_citations(c).select("doc_id", "seq", "citations"),
     "AG14": grades,
     "AG17": lambda c: c.visuals.where("kind = 'image'").groupBy("doc_id").agg(F.count(F.when(F.col("image_type") == "raster", 1)).alias("bad"), F.count(F.when(F.col("image_type") != "raster", 1)).alias("good")),
     "AG18": bibliography_summary,
@@ -260,7 +308,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "WN10": lambda c: K.rivers(c.lines, c.words),
     "WN12": lambda c: K.regions(c.blocks, "^(bibliography|references|bibliografia)", "opened").select("doc_id", "block_id"),
     "WN14": lambda c: c.lines.where((F.col("page") <= 10) & F.lower("text").rlike("contents|introduction|wstęp")).groupBy("doc_id").agg(F.min("page").alias("first_page")),
-    "WN15": lambda c: K.islands(c.words, F.length("text") <= 3),
+    "WN15": lambda c: K.islands(c.words.join(c.bibliography.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi"), F.col("italic") & (F.col("word_index") > 0)),
     "WN16": lambda c: K.latest_per_key(c.placed.where("n_words < 6"), F.lower("content"), "block_id").select("doc_id", "key", "block_id"),
     "WN17": lambda c: uses(c).groupBy("doc_id", "acronym").agg(F.min("block_id").alias("block_id")),
     "WN19": previous_sentences,
@@ -268,8 +316,8 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "WN21": lambda c: c.placed.where("n_words < 3").select("doc_id", "block_id", F.concat(F.lit("ERR_"), F.row_number().over(doc_window().orderBy("block_id")).cast("string")).alias("finding")),
     "SL01": top_sections,
     "SL02": most_cited,
-    "SL03": lambda c: c.sections.where(F.lower("title").rlike("state of the art|related work|methods")).groupBy("doc_id").agg(F.min("seq").alias("seq")),
-    "SL07": lambda c: c.documents.where(F.contains(F.lower("source"), F.lit("src1"))).select("doc_id", "source", "lang"),
+    "SL03": lambda c: art_candidates(c).where("named").groupBy("doc_id").agg(F.min("seq").alias("seq")),
+    "SL07": lambda c: c.documents.where(F.contains(F.lower("source"), F.lit("src1"))).select("doc_id", "source", "lang").orderBy("lang", "doc_id"),
     "ST03": unknown_numbers,
     "ST04": lambda c: c.sections.select("doc_id", "number").distinct(),
     "ST05": lambda c: c.words.where("length(text) <= 2").select("doc_id", "text", F.round(F.col("x0") / 100, 1).alias("x"), F.round(F.col("y0") / 100, 1).alias("y"), "page").distinct(),

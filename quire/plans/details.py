@@ -118,8 +118,8 @@ def whitelisted(c: Corpus) -> DataFrame:
     return c.tokens.join(words, F.lower("text") == F.col("w"), "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@rule("SRC20", """SELECT doc_id, block_id, CASE WHEN regexp_matches(lower(content), '^(keywords|key words|słowa kluczowe)') THEN 'keywords' WHEN regexp_matches(content, '^[A-Z][A-Z0-9]{1,9} ?[-–—:] ?\\p{L}') THEN 'acronyms' WHEN regexp_matches(content, '\\.{4,} *[0-9]+$') THEN 'toc'
-    WHEN regexp_matches(content, '^(?:Figure|Fig\\.|Rys\\.) ?[0-9]') THEN 'image_description' WHEN regexp_matches(content, '^(?:Table|Tabela) ?[0-9]') THEN 'table_description' WHEN regexp_matches(content, '^([-–—•] |[0-9]{1,3}\\) |[a-z]\\) |\\[[0-9]+\\] )') THEN 'list' WHEN n_words < 6 THEN 'heading' ELSE 'paragraph' END AS type FROM placed""")
+@rule("SRC20", f"""SELECT doc_id, block_id, CASE WHEN regexp_matches(lower(content), '^(keywords|key words|słowa kluczowe)') THEN 'keywords' WHEN regexp_matches(trim(content), '{S.ACRONYM_LINE}') THEN 'acronyms' WHEN regexp_matches(content, '\\.{{4,}} *[0-9]+$') THEN 'toc'
+    WHEN regexp_matches(content, '^(?:Figure|Fig\\.|Rys\\.) ?[0-9]') THEN 'image_description' WHEN regexp_matches(content, '^(?:Table|Tabela) ?[0-9]') THEN 'table_description' WHEN regexp_matches(content, '^([-–—•] |[0-9]{{1,3}}\\) |[a-z]\\) |\\[[0-9]+\\] )') THEN 'list' WHEN n_words < 6 THEN 'heading' ELSE 'paragraph' END AS type FROM placed""")
 def logical_blocks(c: Corpus) -> DataFrame:
     """The logical type of each block; the first test that holds decides."""
     t = F.col("content")
@@ -163,10 +163,10 @@ def joined_spans(c: Corpus) -> DataFrame:
     return c.blocks.select("doc_id", "block_id", F.regexp_replace(t, " ([ąĄęĘ])", "$1").alias("joined"))
 
 
-@rule("SCL18", "SELECT doc_id, block_id, page, line FROM (SELECT *, lag(x0) OVER (PARTITION BY doc_id, page ORDER BY line) AS px FROM lines) WHERE abs(x0 - px) < 10")
+@rule("SCL18", "SELECT doc_id, block_id, page, line FROM (SELECT *, lag(x0) OVER (PARTITION BY doc_id, page ORDER BY line) AS px FROM lines) WHERE abs(x0 - px) < 10 OR x0 > px")
 def continuations(c: Corpus) -> DataFrame:
     w = Window.partitionBy("doc_id", "page").orderBy("line")
-    return c.lines.withColumn("px", F.lag("x0").over(w)).where(F.abs(F.col("x0") - F.col("px")) < 10).select("doc_id", "block_id", "page", "line")
+    return c.lines.withColumn("px", F.lag("x0").over(w)).where((F.abs(F.col("x0") - F.col("px")) < 10) | (F.col("x0") > F.col("px"))).select("doc_id", "block_id", "page", "line")
 
 
 @rule("SCL19", "SELECT b.doc_id, b.page, count(*) AS n FROM boxes b JOIN visuals v ON v.doc_id = b.doc_id AND v.page = b.page WHERE b.x0 >= vx0 - 10 AND b.y0 >= vy0 - 10 AND b.x1 <= vx1 + 10 AND b.y1 <= vy1 + 10 GROUP BY ALL")
@@ -209,10 +209,13 @@ def unknown_words(c: Corpus) -> DataFrame:
     return c.tokens.withColumn("w", F.lower("text")).join(dictionary(c), "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
 
 
-@rule("SCL24", "SELECT doc_id, block_id, regexp_replace(regexp_replace(content, '[(][^()]*[)]', ' ', 'g'), '\\[[^\\[\\]]*\\]', ' ', 'g') AS bare FROM blocks WHERE regexp_matches(content, '[(\\[]')")
+@rule("SCL24", """SELECT doc_id, block_id, regexp_replace(regexp_replace(s, '[()\\[\\]]', chr(1), 'g'), '\\x01+', ' ', 'g') AS bare FROM (WITH RECURSIVE r AS (SELECT doc_id, block_id, content AS s FROM blocks WHERE regexp_matches(content, '[()\\[\\]]')
+    UNION ALL SELECT doc_id, block_id, regexp_replace(s, '[(\\[][^()\\[\\]]*[)\\]]', chr(1), 'g') FROM r WHERE regexp_matches(s, '[(\\[][^()\\[\\]]*[)\\]]')) SELECT * FROM r WHERE NOT regexp_matches(s, '[(\\[][^()\\[\\]]*[)\\]]'))""")
 def without_brackets(c: Corpus) -> DataFrame:
-    b = c.blocks.where(F.col("content").rlike(r"[(\[]"))
-    return b.select("doc_id", "block_id", F.regexp_replace(F.regexp_replace("content", r"[(][^()]*[)]", " "), r"\[[^\[\]]*\]", " ").alias("bare"))
+    from quire.plans.models import bare
+
+    b = c.blocks.where(F.col("content").rlike(r"[()\[\]]"))
+    return b.select("doc_id", "block_id", bare(F.col("content"))["text"].alias("bare"))
 
 
 @rule("SCL30", "SELECT doc_id, block_id, acronym, upper(array_to_string(list_transform(list_filter(string_split(before, ' '), lambda w: w <> ''), lambda w: w[1]), '')) AS initials FROM (SELECT doc_id, block_id, regexp_extract(content, '\\(([A-Z]{2,10})\\)', 1) AS acronym, regexp_extract(content, '^(.*) \\([A-Z]{2,10}\\)', 1) AS before FROM blocks WHERE regexp_matches(content, '^.+ \\([A-Z]{2,10}\\)'))")
@@ -559,10 +562,10 @@ def summaries(c: Corpus) -> DataFrame:
 
 @rule("LM06", "SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.v AS DOUBLE[])), 6) AS cosine, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.v AS DOUBLE[])), 6) < 0.785 AS below_threshold FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label) p USING (label)")
 def similarities(c: Corpus) -> DataFrame:
-    """Every vector's cosine to the first of its label."""
+    """Every vector's cosine to the first of its label; an empty summary's vector of zeros has 0."""
     e = c.read("embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p"))
-    s = e.join(first, "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("p")), 6).alias("cosine"))
+    s = e.join(first, "label").select("vec_id", "label", F.coalesce(F.round(cosine(F.col("embedding"), F.col("p")), 6), F.lit(0.0)).alias("cosine"))
     return s.withColumn("below_threshold", F.col("cosine") < 0.785)
 
 
@@ -573,10 +576,10 @@ def grade(c: Corpus) -> DataFrame:
     return purpose_similarity(c).agg(*grade_columns()).select("n", F.col("below").alias("off_topic"), "grade")
 
 
-@rule("LM11", "SELECT c.doc_id, c.figure FROM captions c WHERE c.kind = 'image' AND NOT EXISTS (SELECT 1 FROM (SELECT doc_id, block_id, unnest(regexp_extract_all(lower(content), '(?:rys|fig|figure)\\.? ?([0-9]+(?:\\.[0-9]+)*)', 1)) AS n FROM blocks WHERE length(content) >= 40) m WHERE m.doc_id = c.doc_id AND m.n = c.figure AND m.block_id <> c.block_id)")
+@rule("LM11", "SELECT c.doc_id, c.figure FROM captions c WHERE c.kind = 'image' AND NOT EXISTS (SELECT 1 FROM (SELECT doc_id, block_id, unnest(regexp_extract_all(lower(content), '(?:rys|fig|figure)\\.? ?([0-9]+(?:\\.[0-9]+)*)', 1)) AS n FROM blocks WHERE length(content) >= 50) m WHERE m.doc_id = c.doc_id AND m.n = c.figure AND m.block_id <> c.block_id)")
 def unmentioned(c: Corpus) -> DataFrame:
     """Figures that no other block mentions; only these never reach the vision model."""
-    m = c.blocks.where(F.length("content") >= 40)
+    m = c.blocks.where(F.length("content") >= 50)
     return K.figure_mentions(m, _captions(c).where("kind = 'image'")).where("mentions = 0").select("doc_id", "figure")
 
 

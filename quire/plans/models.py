@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans import scalars as S
@@ -97,3 +97,31 @@ def authors(entries: DataFrame) -> DataFrame:
         return texts.map(lambda t: one.findall(m[0]) if t and (m := chain.match(t)) else [])
 
     return entries.select("doc_id", "number", found(F.col("entry")).alias("authors"))
+
+
+def bare(text: Column) -> Column:
+    """struct<text, index>: the text with every bracketed part, brackets included, as one space, and for each character its place in the original (and the original's length).
+
+    Any closing bracket closes the last open one of either kind; brackets without a partner are masked singly. A stack of
+    open brackets has no built-in form.
+    """
+
+    @F.pandas_udf("text string, index array<int>")
+    def masked(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_bare(t) if t is not None else (None, None) for t in texts], columns=["text", "index"])
+
+    return masked(text)
+
+
+def _bare(text: str) -> tuple[str, list[int]]:
+    gone, opened = bytearray(len(text)), []
+    for i, c in enumerate(text):
+        if c in "([":
+            opened.append(i)
+        elif c in ")]":
+            start = opened.pop() if opened else i
+            gone[start : i + 1] = b"\1" * (i + 1 - start)
+    for i in opened:
+        gone[i] = 1
+    kept = [i for i in range(len(text)) if not gone[i] or not i or not gone[i - 1]]
+    return "".join(" " if gone[i] else text[i] for i in kept), [*kept, len(text)]

@@ -126,11 +126,11 @@ def footers(c: Corpus) -> DataFrame:
     return both.select("doc_id", "category", F.lit(None).cast("int").alias("block_id"), "page", F.col("found").cast("string").alias("text"))
 
 
-@rule("RD11", f"""SELECT {as_finding("toc_mismatch", page="page", text="title")} FROM toc t WHERE NOT EXISTS (SELECT 1 FROM page_texts p WHERE p.doc_id = t.doc_id AND p.page = t.page AND contains(lower(trim(regexp_replace(page_text, '[ ]+', ' ', 'g'))), lower(trim(regexp_replace(t.title, '[ \\t\\n\\r]+', ' ', 'g')))))
+@rule("RD11", f"""SELECT {as_finding("toc_mismatch", page="src_page", text="title")} FROM toc t WHERE NOT EXISTS (SELECT 1 FROM page_texts p WHERE p.doc_id = t.doc_id AND p.page = t.page AND contains(lower(trim(regexp_replace(page_text, '[ ]+', ' ', 'g'))), lower(trim(regexp_replace(t.title, '[ \\t\\n\\r]+', ' ', 'g')))))
     UNION ALL SELECT {as_finding("lack_of_toc")} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toc)""")
 def contents(c: Corpus) -> DataFrame:
     """Entries that aren't on their page, and documents without any."""
-    missing = finding(K.missing_entries(c.toc, K.page_texts(c.lines)), "toc_mismatch", page=F.col("page"), text=F.col("title"))
+    missing = finding(K.missing_entries(c.toc, K.page_texts(c.lines)), "toc_mismatch", page=F.col("src_page"), text=F.col("title"))
     return missing.unionByName(finding(c.documents.join(c.toc, "doc_id", "left_anti"), "lack_of_toc"))
 
 
@@ -429,17 +429,27 @@ def overall(c: Corpus) -> DataFrame:
     return g.select("label", F.round(0.6 * exact + 0.2 * purpose + 0.2 * sota, 4).alias("overall"))
 
 
-@rule("LM09", """SELECT d.doc_id, coalesce(k.seq, m.seq) AS seq, CASE WHEN k.seq IS NOT NULL THEN 'title' ELSE 'citations' END AS chosen_by FROM (SELECT DISTINCT doc_id FROM sections) d LEFT JOIN (SELECT doc_id, min(seq) AS seq FROM sections WHERE regexp_matches(lower(title), 'state of the art|related work|review') GROUP BY doc_id) k USING (doc_id)
-    LEFT JOIN (SELECT doc_id, arg_min(seq, (-n, seq)) AS seq FROM (SELECT s.doc_id, s.seq, count(DISTINCT citation) AS n FROM sections s JOIN cites c ON c.doc_id = s.doc_id AND c.block_id > s.start AND (s.stop IS NULL OR c.block_id < s.stop) GROUP BY ALL) GROUP BY doc_id) m USING (doc_id) WHERE coalesce(k.seq, m.seq) IS NOT NULL""")
-def state_of_the_art(c: Corpus) -> DataFrame:
-    """The section on the state of the art: by title, else the one with the most citations."""
-    s = c.sections
-    titled = s.where(F.lower("title").rlike("state of the art|related work|review")).groupBy("doc_id").agg(F.min("seq").alias("by_title"))
-    k = K.cited(c.blocks).select(F.col("doc_id").alias("d"), "block_id", "citation")
-    j = s.join(k, (F.col("doc_id") == F.col("d")) & (F.col("block_id") > F.col("start")) & (F.col("stop").isNull() | (F.col("block_id") < F.col("stop"))))
-    n = j.groupBy("doc_id", "seq").agg(F.countDistinct("citation").alias("n")).groupBy("doc_id").agg(F.min_by("seq", F.struct((-F.col("n")).alias("n"), "seq")).alias("by_count"))
-    out = s.select("doc_id").distinct().join(titled, "doc_id", "left").join(n, "doc_id", "left").withColumn("seq", F.coalesce("by_title", "by_count"))
-    return out.where("seq is not null").select("doc_id", "seq", F.when(F.col("by_title").isNotNull(), "title").otherwise("citations").alias("chosen_by"))
+@rule("LM09", "SELECT doc_id, coalesce(min(seq) FILTER (named), arg_min(seq, (-citations, seq)) FILTER (citations > 0)) AS seq, CASE WHEN bool_or(named) THEN 'title' ELSE 'citations' END AS chosen_by FROM {art} GROUP BY doc_id HAVING bool_or(named) OR max(citations) > 0")
+def state_of_the_art(c: Corpus, judged: DataFrame | None = None) -> DataFrame:
+    """The section on the state of the art: by title, else by a model's answers about the three candidates, else the one with the most citations.
+
+    judged: (doc_id, seq, score, is_art) with scores up to 100, as a model gave them for ``catalog.top_sections``. Of those of 90 or
+    more, one of 100 wins, then the one with the most citations.
+    """
+    from quire.plans.catalog import art_candidates
+
+    s = art_candidates(c)
+    order = lambda: F.struct((-F.col("citations")).alias("n"), "seq")
+    out = s.groupBy("doc_id").agg(F.min(F.when(F.col("named"), F.col("seq"))).alias("titled"), F.min_by("seq", F.when(F.col("citations") > 0, order())).alias("cited"), F.max("citations").alias("most"))
+    if judged is None:
+        out = out.withColumn("asked", F.lit(None).cast("int"))
+    else:
+        sure = s.join(judged.where("is_art and score >= 90"), ["doc_id", "seq"]).withColumn("best", F.when(F.col("score") == 100, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), "seq")).otherwise(F.struct(F.lit(1).alias("k"), (-F.col("citations")).alias("n"), "seq")))
+        out = out.join(sure.groupBy("doc_id").agg(F.min("best")["seq"].alias("asked")), "doc_id", "left")
+    cited = F.when(F.col("most") > 0, F.col("cited"))
+    out = out.withColumn("seq", F.coalesce("titled", "asked", cited)).where("seq is not null")
+    by = F.when(F.col("titled").isNotNull(), "title").when(F.col("asked").isNotNull(), "model").otherwise("citations")
+    return out.select("doc_id", "seq", by.alias("chosen_by"))
 
 
 @rule("ST01", f"SELECT category, count(*) AS n FROM (SELECT {as_finding('page_format', page='page')} FROM sheets WHERE NOT ((abs(width - 595) <= 10 AND abs(height - 842) <= 10) OR (abs(width - 842) <= 10 AND abs(height - 595) <= 10)) UNION ALL SELECT {as_finding('orientation', page='page')} FROM sheets WHERE height < width UNION ALL SELECT {as_finding('raster_image', page='page')} FROM visuals WHERE kind = 'image' AND image_type = 'raster') GROUP BY category")
@@ -455,7 +465,11 @@ def complete_sql() -> None:
 
     from quire.plans.oracles import _spans
 
+    from quire.plans.catalog import ART_TITLES, OTHER_CHAPTERS
+    from quire.plans.oracles import _any
+
+    art = f"(SELECT *, {_any('lower(title)', ART_TITLES['en'])} AS named FROM section_cites WHERE n_chars >= 200 AND NOT {_any('lower(title)', OTHER_CHAPTERS['en'])})"
     patterns = {**DASHES, "quotes": '"[^"]*"'}
     for k, v in ORACLES.items():
-        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+"))
+        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art)
         ORACLES[k] = re.sub(r"\{spans:(\w+)\}", lambda m: _spans(patterns[m[1]]), v)

@@ -8,14 +8,42 @@ from pyspark.sql import functions as F
 from quire.operators.checks import clean_ws
 
 # Spacing diacritics before a letter, and ligatures, in the order in which they are replaced.
-LATEX = (("´s", "ś"), ("´c", "ć"), ("´n", "ń"), ("´z", "ź"), ("´o", "ó"), ("˙z", "ż"), ("´S", "Ś"), ("´C", "Ć"), ("´N", "Ń"), ("´Z", "Ź"), ("´O", "Ó"), ("˙Z", "Ż"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+LATEX = (
+    ("´s", "ś"), ("´S", "Ś"), ("´c", "ć"), ("´C", "Ć"), ("´z", "ź"), ("´Z", "Ź"), ("˙z", "ż"), ("˙Z", "Ż"), ("´n", "ń"), ("´N", "Ń"), ("´o", "ó"), ("´O", "Ó"), ("˛a", "ą"), ("˛A", "Ą"), ("˛e", "ę"), ("˛E", "Ę"),
+    ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st"),
+)
 # List markers in the order in which they are tried.
 MARKERS = (
-    ("number_with_dot", r"^[0-9]{1,3}(\.[0-9]{1,3})*\. "), ("number_with_bracket", r"^[0-9]{1,3}\) "), ("letter_with_bracket", r"^[a-z]\) "),
-    ("bullet", r"^[•▪◦‣●○] ?"), ("dash", r"^[-−–—] "), ("number_in_brackets", r"^\[[0-9]+\] "), ("listing", r"^[0-9]+ "),
+    ("number_with_dot", r"^\d{1,3}(\.\d+)*\.\s"), ("number_with_bracket", r"^\d{1,3}\)\s?"), ("letter_with_bracket", r"^[a-z]\)\s?"),
+    ("bullet", r"^[••●○■]"), ("dash", r"^[-−\x{2013}\x{2014}]"), ("number_in_brackets", r"^\[\d+\]\s?"), ("listing", r"^\d+\s"),
 )
+# A line that defines an acronym.
+ACRONYM_LINE = r"^([A-ZĄĆĘŁŃÓŚŹŻ0-9]{2,}([^\p{L}\p{N}_]|$)|\S{1,15}\s*[-–—−‐:=]\s+)"
 # Words by which a closing chapter is found.
-HEADINGS_OF_END = ("conclusion", "summary", "podsumowanie", "wnioski", "zakończenie", "discussion", "results", "closing")
+HEADINGS_OF_END = ("podsumowanie", "zakończenie", "wnioski końcowe", "wnioski", "conclusions", "conclusion", "final remarks", "summary")
+# Forms of citations, style after style.
+CITATIONS = (
+    ("numeric", r"\[\s*\d+\s*(?:[,;\-–]\s*\d+\s*)*\]"), ("harvard", r"\([A-ZŚĆŻŹŁ][^()0-9]+(?:19|20)\d{2}[^()]*\)"), ("mla", r"\([A-ZŚĆŻŹŁ][a-ząćęłńóśźż]+\s+\d{1,4}\)"),
+    ("footnote", r"(?:^|\n)\s*\d+[\.\)]?\s*[A-ZŚĆŻŹŁ]\.\s+[A-ZŚĆŻŹŁ][a-ząćęłńóśźż]+"), ("alpha", r"\[[A-Za-zŚĆŻŹŁąćęłńóśźż]{2,6}\d{2}[a-z]?\]"), ("acm", r"\[[A-ZŚĆŻŹŁ][A-Za-zŚĆŻŹŁąćęłńóśźż\s\.\,]+?\s+(?:19|20)\d{2}\]"),
+)
+# Capitals that are no acronyms.
+NO_ACRONYMS = (
+    "PRACA", "MAGISTERSKA", "INŻYNIERSKA", "DYPLOMOWA", "STRESZCZENIE", "ABSTRACT", "SŁOWA", "KLUCZOWE", "KEYWORDS", "WYKAZ", "SKRÓTÓW", "ABBREVIATIONS", "ENGINEERING", "THESIS", "UNIVERSITY", "POLITECHNIKA", "OECD",
+    "WSTĘP", "CEL", "PRACY", "TEORIA", "PRZEGLĄD", "ROZWIĄZAŃ", "OPIS", "WYNIKI", "ZAKOŃCZENIE", "DODATEK", "INSTRUKCJA", "PROGRAMISTY", "DYPLOMU", "UŻYTKOWNIKA", "BIBLIOGRAFIA", "SPIS", "TREŚCI", "RYSUNKÓW",
+    "TABEL", "LISTA", "SYMBOLI", "TAK", "NIE", "APLIKACJI", "TESTY",
+)
+AROUND = "():;,.!?[]\n\t \"„”«»“‟‘’"
+# Forms of a page number at the foot of a page.
+FOOTERS = r"^\d+$|strona\s+\d+|str\.\s*\d+|^\d+\s*/\s*\d+$|^\d+\s+z\s+\d+$|page\s+\d+"
+# Fonts of formulas.
+MATH_FONTS = ("math", "cmmi", "cmr", "cmsy", "symbol")
+# Letters that only Polish has among the languages at hand, and frequent words.
+POLISH = r"[ąęłńśźż]|(^|[^\p{L}])(się|nie|jest|oraz|dla|przez)([^\p{L}]|$)"
+
+
+def is_polish(text: Column) -> Column:
+    """A plain stand-in for a language detector: Polish or else English."""
+    return F.lower(text).rlike(POLISH)
 
 
 def fix_latex(text: Column) -> Column:
@@ -41,28 +69,40 @@ def orientation(width: Column, height: Column) -> Column:
     return F.when(height < width, "landscape").otherwise("portrait")
 
 
-def marker(text: Column) -> Column:
-    """The first list marker that a block begins with; null for a paragraph."""
-    return F.coalesce(*(F.when(text.rlike(pattern), name) for name, pattern in MARKERS))
+def marker(text: Column, active: Column | None = None) -> Column:
+    """The first list marker that a block begins with; null for a paragraph. With an active marker only that one is tried."""
+    t = F.trim(text)
+    if active is None:
+        return F.coalesce(*(F.when(t.rlike(pattern), name) for name, pattern in MARKERS))
+    own = F.coalesce(*(F.when((active == name) & t.rlike(pattern), name) for name, pattern in MARKERS))
+    return F.when(active.isNull(), marker(text)).otherwise(own)
 
 
 def strip_marker(text: Column) -> Column:
-    cut = (F.when(text.rlike(pattern), F.trim(F.regexp_replace(text, pattern, ""))) for _, pattern in MARKERS)
-    return F.coalesce(*cut, text)
+    t = F.trim(text)
+    cut = (F.when(t.rlike(pattern), F.trim(F.regexp_replace(t, pattern, ""))) for _, pattern in MARKERS)
+    return F.coalesce(*cut, t)
 
 
 def is_acronym_line(text: Column) -> Column:
-    return text.rlike(r"^[A-Z][A-Z0-9]{1,9} ?[-–—:] ?\p{L}")
+    return F.trim(text).rlike(ACRONYM_LINE)
+
+
+def is_footer(text: Column, y0: Column, page: Column, height: Column) -> Column:
+    """A block low on the page that has the form of a page number or the page's number as a word."""
+    t = F.lower(F.trim(text))
+    own = F.rlike(t, F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), page.cast("string"), F.lit(r"([^\p{L}\p{N}_]|$)")))
+    return (y0 >= height * 0.88) & (t.rlike(FOOTERS) | own)
 
 
 def is_keywords(text: Column) -> Column:
     return F.lower(text).rlike(r"^(keywords|key words|słowa kluczowe)")
 
 
-def math_kind(text: Column) -> Column:
-    """1 for text that is more than 30 % spaces, unless it has leader dots; else 0."""
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(text.rlike(r"\.{4,}"), 0).when(F.try_divide(spaces.cast("double"), F.length(text)) > 0.3, 1).otherwise(0)
+def math_kind(text: Column, words: Column, chars: Column, math_words: Column) -> Column:
+    """Of a block's words in a row, their number, their characters, and those in a font of formulas: 0 with leader dots, 1 if more than 30 % are spaces, 2 if more than 40 % of the words are in such fonts."""
+    density = (words - 1) / (chars + words - 1)
+    return F.when(text.rlike(r"(?:\.\s*){4,}"), 0).when(density > 0.3, 1).when(math_words / words > 0.4, 2).otherwise(0)
 
 
 def heading_level(number: Column) -> Column:
@@ -74,13 +114,27 @@ def is_toc_line(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Numeric, Harvard, MLA, and alphabetic citations, style after style."""
-    styles = (r"\[[0-9]+(?:[-, ]+[0-9]+)*\]", r"\(\p{Lu}[\p{L} ]*, [0-9]{4}\)", r"\(\p{Lu}\p{L}+ [0-9]+\)", r"\[\p{Lu}{2,}[0-9]{2}\]")
-    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in styles)))
+    """Citations in six styles, style after style."""
+    found = lambda name, p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.flatten(F.array(*(F.transform(found(n, p), lambda x: F.btrim(x, F.lit(" \t\r\n"))) if n == "footnote" else found(n, p) for n, p in CITATIONS)))
 
 
-def figure_number(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"(?:rys|fig|figure|rysunek)\.? ?([0-9]+(?:\.[0-9]+)*)", 1)
+# A line of contents, words of headings of lists, and figures' names before their number.
+TOC_LINE = r"(?:\.{3,}|\.\s\.\s\.)[\s\.]*\d+"
+LIST_HEADINGS = r"(^|[^\p{L}\p{N}_])(rozdział|chapter|spis tabel|spis wykresów|bibliografia|zakończenie|wstęp|spis rycin|procent|odpowiedź|źródło|tabela|rycina)([^\p{L}\p{N}_]|$)"
+FIGURE = r"(?:rys(?:unek|\.)?|wykres|schemat|fot(?:ografia|\.)?|wys\.?)\s*(\d+(?:\.\d+)*)"
+SHORT_FIGURE = r"rys(?:unek|\.)?\s*(\d+(?:\.\d+)?)"
+
+
+def is_toc_heading(text: Column) -> Column:
+    """A heading that belongs to a list: leader dots, a word of such lists, or a number that is no section's before a word."""
+    t = clean_ws(text)
+    return (t != "") & (t.rlike(r"\.{3,}|\.\s\.\s\.") | F.lower(t).rlike(LIST_HEADINGS) | t.rlike(r"^\d+\s*$|^\d+\s+[A-ZĄĆĘŁŃÓŚŹŻa-ząćęłńóśźż].*"))
+
+
+def figure_number(text: Column, short: bool = False) -> Column:
+    """The number behind a figure's name, with any number of dots, or one at most."""
+    return F.regexp_extract(F.lower(text), SHORT_FIGURE if short else FIGURE, 1)
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -97,13 +151,18 @@ def trimmed_fragment(text: Column, size: int = 1600) -> Column:
     return F.when(F.length(text) <= size, text).when((stop > size * 0.6) & t.rlike(r"[.!?]"), F.substring(t, F.lit(1), stop)).when(space > 0, F.substring(t, F.lit(1), space)).otherwise(t)
 
 
+def bare_word(word: Column) -> Column:
+    return F.btrim(word, F.lit(AROUND))
+
+
 def potential_acronym(word: Column) -> Column:
-    """Two to ten characters without digits or lower-case beginnings: all capitals, or mixed with two or more of them."""
-    w = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    n = F.length(w)
-    capitals = n - F.length(F.regexp_replace(w, r"\p{Lu}", ""))
-    plain = ~w.rlike(r"[0-9_+#<>*/\\.]")
-    return (n >= 2) & (n <= 10) & plain & ((capitals == n) | ((capitals >= 2) & w.rlike(r"^\p{Lu}.*\p{Ll}|^\p{Ll}.*\p{Lu}")))
+    """Two to ten characters that aren't small, dotted initials, digits or words of a title page: all capitals, two or more behind a small beginning, or capitals in brackets."""
+    w = bare_word(word)
+    n, capitals = F.length(w), F.regexp_count(w, F.lit(r"\p{Lu}"))
+    upper = lambda t: t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
+    plain = (n >= 2) & (n <= 10) & ~w.rlike(r"^([A-Z]\.)+[A-Z]?$") & ~(w.rlike(r"\p{Ll}") & ~w.rlike(r"\p{Lu}")) & ~w.rlike(r"[\p{Nd}_+#<>*/\\]") & ~w.isin(*NO_ACRONYMS)
+    inner = F.substring(word, F.lit(2), F.length(word) - 2)
+    return plain & (upper(w) | (~w.rlike(r"^\p{Lu}") & (capitals >= 2)) | (word.rlike(r"^\(.*\)$") & upper(inner) & (F.length(inner) >= 2)))
 
 
 def is_roman(word: Column) -> Column:
@@ -138,8 +197,9 @@ def search_query(text: Column) -> Column:
 
 
 def ending(text: Column, size: int = 9000) -> Column:
-    """From the latest heading word of a conclusion, else the last ``size`` characters; at most ``size``."""
+    """Of the text with single spaces, from the latest heading word of a conclusion, else the last ``size`` characters; at most ``size``."""
+    text = F.trim(F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t\n\r\f\x0B]+", " "))
     low = F.lower(text)
     place = lambda h: F.length(low) - F.length(F.substring_index(low, h, -1)) - len(h) + 1
     at = F.greatest(*(F.when(F.contains(low, F.lit(h)), place(h)).otherwise(0) for h in HEADINGS_OF_END))
-    return F.when(at > 0, F.substring(text, at, F.lit(size))).otherwise(F.right(text, F.lit(size)))
+    return F.trim(F.when(at > 0, F.substring(text, at, F.lit(size))).otherwise(F.right(text, F.lit(size))))

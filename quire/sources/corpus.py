@@ -234,9 +234,10 @@ class Corpus:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        """Blocks of each page with their box: a block that runs over pages has a row on each."""
+        """Blocks of each page with their box and text: a block that runs over pages has a row on each."""
         w = self.words.groupBy("doc_id", "block_id", "page")
-        return w.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_words"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda s: s["text"]), " ")
+        return w.agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_words"))
 
     @cached_property
     def pages(self) -> DataFrame:
