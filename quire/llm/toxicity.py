@@ -34,10 +34,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import Scratch
+from quire.llm.text import parts
 
 TOXIC_ROWS, CLEAN_ROWS, ROW_WINDOWS, WINDOW, FIT_WINDOWS = 800, 1600, 40, 48, 1500
 #: Toxic documents that a marking feature needs, clean documents it may have for each of them, and the features expected to mark by chance.
@@ -49,6 +52,8 @@ ROUNDS, RIDGE = 100, 1e-5
 KNOWN_WORDS, CHUNK, BLOCK = 100_000, 50_000, 64
 #: Added to the exponent, so that all texts without a suspicious token score alike.
 FLOOR = 0.01
+#: Bytes of text that are Python objects at once.
+BATCH_BYTES = 4 << 20
 TOKEN = re.compile(r"\w+")
 
 
@@ -431,12 +436,15 @@ def report(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """docs without the documents that score ``threshold`` or more; each row is scored by its own text, with no join."""
-    chain = fit(docs, labels, text, key)
+    chain, at = fit(docs, labels, text, key), docs.columns.index(text)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(chain)
-        for texts in batches:
-            yield pd.Series([s for s, _ in scorer.scores(list(texts))], dtype=float)
-
-    return docs.where(score(F.coalesce(F.col(text), F.lit(""))) < threshold)
+        for batch in it:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for a, b in parts(sizes, BATCH_BYTES):  # a part of the batch at a time is Python objects
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([s < threshold for s, _ in scorer.scores(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
