@@ -235,7 +235,6 @@ def status(c: Corpus) -> DataFrame:
 
 
 CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
-    "SRC04": lambda c: c.words.select("doc_id", "block_id", "word_index", "start_char", "end_char", "page", "line"),
     "SRC10": lambda c: c.toc.select("doc_id", "seq", "title", "page", "level", "src_page"),
     "SRC14": lambda c: c.sections.select("doc_id", "seq", "number", "title", "level"),
     "SCL01": per_block(S.fix_latex, "fixed"),
@@ -307,7 +306,6 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "WN09": lambda c: K.page_order(c.toc),
     "WN10": lambda c: K.rivers(c.lines, c.words),
     "WN12": lambda c: K.regions(c.blocks, "^(bibliography|references|bibliografia)", "opened").select("doc_id", "block_id"),
-    "WN14": lambda c: c.lines.where((F.col("page") <= 10) & F.lower("text").rlike("contents|introduction|wstęp")).groupBy("doc_id").agg(F.min("page").alias("first_page")),
     "WN15": lambda c: K.islands(c.words.join(c.bibliography.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi"), F.col("italic") & (F.col("word_index") > 0)),
     "WN16": lambda c: K.latest_per_key(c.placed.where("n_words < 6"), F.lower("content"), "block_id").select("doc_id", "key", "block_id"),
     "WN17": lambda c: uses(c).groupBy("doc_id", "acronym").agg(F.min("block_id").alias("block_id")),
@@ -326,7 +324,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire.plans import details, rules  # noqa: F401  details adds to RULES
+    from quire.plans import captions as _, details, rules  # noqa: F401  they add to RULES
 
     from quire.plans import models
 

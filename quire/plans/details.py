@@ -58,16 +58,6 @@ def raster_images(c: Corpus) -> DataFrame:
     return j.groupBy("doc_id", "page").agg(F.count("d").alias("n")).where("n < 3").select("doc_id", "page")
 
 
-@rule("SRC09", """SELECT doc_id, page, min(y0) AS y0, max(y1) AS y1, count(*) AS n_parts FROM (SELECT *, sum(CASE WHEN y0 - reach <= 10 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y0, block_id) AS g FROM (
-    SELECT *, max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM boxes WHERE n_words >= 6)) GROUP BY doc_id, page, g""")
-def merged_boxes(c: Corpus) -> DataFrame:
-    """Boxes of a page that follow each other within ten points, merged transitively: islands of a running maximum."""
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "block_id")
-    b = c.boxes.where("n_words >= 6").withColumn("reach", F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    b = b.withColumn("g", F.sum(F.when(F.col("y0") - F.col("reach") <= 10, 0).otherwise(1)).over(order))
-    return b.groupBy("doc_id", "page", "g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("n_parts")).drop("g")
-
-
 @rule("SRC11", "SELECT doc_id, seq, number, title, page, src_page FROM tof")
 def figure_list(c: Corpus) -> DataFrame:
     return c.tof.select("doc_id", "seq", "number", "title", "page", "src_page")
@@ -257,56 +247,6 @@ def proper_names(c: Corpus) -> DataFrame:
 # ---- joins -----------------------------------------------------------------------------------
 
 
-def _pairs(c: Corpus, kind: str) -> DataFrame:
-    """Captions of a kind that have no visual of it on any page of theirs."""
-    own = c.boxes.join(_captions(c).where(F.col("kind") == kind), ["doc_id", "block_id"])
-    return own.join(c.visuals.where(F.col("kind") == kind).select("doc_id", "page"), ["doc_id", "page"], "left_anti").select("doc_id", "block_id", "page", "content")
-
-
-def _pairs_sql(kind: str, what: str) -> str:
-    return f"SELECT {what} FROM captions c JOIN boxes b USING (doc_id, block_id) WHERE c.kind = '{kind}' AND NOT EXISTS (SELECT 1 FROM visuals v WHERE v.doc_id = c.doc_id AND v.page = b.page AND v.kind = '{kind}')"
-
-
-@rule("JN02", _pairs_sql("table", "c.doc_id, c.block_id, b.page, content"))
-def tables_without(c: Corpus) -> DataFrame:
-    return _pairs(c, "table")
-
-
-@rule("JN03", _pairs_sql("image", "c.doc_id, c.block_id, b.page, content"))
-def figures_without(c: Corpus) -> DataFrame:
-    return _pairs(c, "image")
-
-
-@rule("RD12", _pairs_sql("image", "c.doc_id, 'tof_mismatch' AS category, c.block_id, b.page, content AS text"))
-def figure_findings(c: Corpus) -> DataFrame:
-    return finding(_pairs(c, "image"), "tof_mismatch", F.col("block_id"), F.col("page"), F.col("content"))
-
-
-@rule("RD13", _pairs_sql("table", "c.doc_id, 'tot_mismatch' AS category, c.block_id, b.page, content AS text"))
-def table_findings(c: Corpus) -> DataFrame:
-    return finding(_pairs(c, "table"), "tot_mismatch", F.col("block_id"), F.col("page"), F.col("content"))
-
-
-@rule("JN11", "SELECT doc_id, page, block_id, side FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap, side, block_id) AS r FROM (SELECT v.doc_id, v.page, b.block_id, CASE WHEN b.y1 <= vy0 THEN 'above' ELSE 'below' END AS side, CASE WHEN b.y1 <= vy0 THEN vy0 - b.y1 ELSE b.y0 - vy1 END AS gap FROM visuals v JOIN boxes b ON b.doc_id = v.doc_id AND b.page = v.page WHERE (b.y1 <= vy0 AND vy0 - b.y1 <= 40) OR (b.y0 >= vy1 AND b.y0 - vy1 <= 60))) WHERE r = 1")
-def descriptions(c: Corpus) -> DataFrame:
-    """The nearest block up to 40 points above or 60 below each visual; above wins ties."""
-    v = c.visuals.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "vy0", "vy1")
-    j = c.boxes.join(v, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")))
-    above = F.col("y1") <= F.col("vy0")
-    j = j.withColumns({"side": F.when(above, "above").otherwise("below"), "gap": F.when(above, F.col("vy0") - F.col("y1")).otherwise(F.col("y0") - F.col("vy1"))})
-    j = j.where((above & (F.col("gap") <= 40)) | ((F.col("y0") >= F.col("vy1")) & (F.col("gap") <= 60)))
-    best = Window.partitionBy("doc_id", "page").orderBy("gap", "side", "block_id")
-    return j.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "page", "block_id", "side")
-
-
-@rule("JN12", "SELECT DISTINCT b.doc_id, b.block_id FROM boxes b JOIN toc t ON t.doc_id = b.doc_id AND t.page = b.page WHERE b.y0 <= 72 + t.seq * 16 + 5 AND b.y1 >= 72 + t.seq * 16 - 5")
-def retagged(c: Corpus) -> DataFrame:
-    """Blocks that meet the strip of a contents entry on its page."""
-    t = c.toc.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), (F.lit(72) + F.col("seq") * 16).alias("y"))
-    on = (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (F.col("y0") <= F.col("y") + 5) & (F.col("y1") >= F.col("y") - 5)
-    return c.boxes.join(t, on, "left_semi").select("doc_id", "block_id").distinct()
-
-
 @rule("JN13", "SELECT doc_id, block_id, page FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM visuals v WHERE v.kind = 'table' AND v.doc_id = b.doc_id AND v.page = b.page AND round(greatest(0, least(x1, vx1 + 5) - greatest(x0, vx0 - 5)) * greatest(0, least(y1, vy1 + 5) - greatest(y0, vy0 - 5)) / ((x1 - x0) * (y1 - y0)), 6) > 0.8)")
 def outside_tables(c: Corpus) -> DataFrame:
     return c.boxes.select("doc_id", "block_id", "page").join(K.mostly_inside(c.boxes, c.visuals), ["doc_id", "block_id", "page"], "left_anti")
@@ -478,18 +418,6 @@ def summary_finding(c: Corpus) -> DataFrame:
     return finding(bibliography_summary(c), "bibliography_summary", page=F.lit(3), text=F.col("summary"))
 
 
-@rule("RD23", f"SELECT {as_finding('corridor', page='page', text='CAST(n AS VARCHAR)')} FROM (SELECT a.doc_id, a.page, count(*) AS n FROM gaps a JOIN gaps b ON a.doc_id = b.doc_id AND a.page = b.page AND b.line = a.line + 1 AND a.g0 < b.g1 AND b.g0 < a.g1 GROUP BY ALL) WHERE n >= 100")
-def corridors(c: Corpus) -> DataFrame:
-    r = K.rivers(c.lines, c.words).where("n_gaps >= 100")
-    return finding(r, "corridor", page=F.col("page"), text=F.col("n_gaps"))
-
-
-@rule("RD25", "SELECT DISTINCT c.doc_id, figure FROM captions c JOIN boxes b USING (doc_id, block_id) JOIN visuals v ON v.doc_id = c.doc_id WHERE c.kind = 'image' AND v.kind = 'image' AND v.image_type = 'raster'")
-def raster_figures(c: Corpus) -> DataFrame:
-    v = c.visuals.where("kind = 'image' and image_type = 'raster'").select("doc_id")
-    return _captions(c).where("kind = 'image'").join(v, "doc_id", "left_semi").select("doc_id", "figure").distinct()
-
-
 # ---- language, bibliography and scoring ------------------------------------------------------
 
 

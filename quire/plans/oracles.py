@@ -148,7 +148,6 @@ def _spans(pattern: str, table: str = "blocks") -> str:
 
 
 _BODY: dict[str, str] = {
-    "SRC04": "SELECT doc_id, block_id, word_index, start_char, end_char, page, line FROM words",
     "SRC10": "SELECT doc_id, seq, title, page, level, src_page FROM toc",
     "SRC14": "SELECT doc_id, seq, number, title, level FROM sections",
     "SCL01": f"SELECT doc_id, block_id, {_latex('content')} AS fixed FROM blocks",
@@ -242,7 +241,6 @@ _BODY: dict[str, str] = {
     "WN09": "SELECT doc_id, min(seq) AS seq FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM toc) WHERE page < before GROUP BY doc_id",
     "WN10": """SELECT a.doc_id, a.page, count(*) AS n_gaps FROM gaps a JOIN gaps b ON a.doc_id = b.doc_id AND a.page = b.page AND b.line = a.line + 1 AND a.g0 < b.g1 AND b.g0 < a.g1 GROUP BY ALL""",
     "WN12": "SELECT doc_id, block_id FROM (SELECT *, max(CASE WHEN regexp_matches(lower(content), '^(bibliography|references|bibliografia)') THEN block_id END) OVER (PARTITION BY doc_id ORDER BY block_id) AS opened FROM blocks) WHERE block_id > opened",
-    "WN14": "SELECT doc_id, min(page) AS first_page FROM lines WHERE page <= 10 AND regexp_matches(lower(text), 'contents|introduction|wstęp') GROUP BY doc_id",
     "WN15": "SELECT doc_id, block_id, min(word_index) AS first, max(word_index) AS last, string_agg(text, ' ' ORDER BY word_index) AS text FROM (SELECT w.*, word_index - row_number() OVER (PARTITION BY w.doc_id, w.block_id ORDER BY word_index) AS i FROM words w JOIN bib b ON b.doc_id = w.doc_id AND b.block_id = w.block_id WHERE italic AND word_index > 0) GROUP BY doc_id, block_id, i",
     "WN16": "SELECT doc_id, key, block_id FROM (SELECT doc_id, block_id, lower(content) AS key, row_number() OVER (PARTITION BY doc_id, lower(content) ORDER BY block_id DESC) AS r FROM placed WHERE n_words < 6) WHERE r = 1",
     "WN17": "SELECT doc_id, acronym, min(block_id) AS block_id FROM uses GROUP BY ALL",
@@ -263,7 +261,7 @@ _BODY["WN07"] = """SELECT doc_id, min(b) AS block_id, count(*) AS parts, string_
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.plans import details, rules  # noqa: F401  details adds to ORACLES
+    from quire.plans import captions, details, rules  # noqa: F401  they add to ORACLES
 
     rules.complete_sql()
     return {k: with_tables(v) for k, v in {**_BODY, **rules.ORACLES}.items()}

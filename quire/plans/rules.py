@@ -73,14 +73,6 @@ def font_size(c: Corpus) -> DataFrame:
     return finding(d, "font_size", text=F.col("dominant"))
 
 
-@rule("RD04", f"SELECT {as_finding('margins', page='min(page)')} FROM sheets WHERE (page % 2 = 1 AND x0 > width - x1) OR (page % 2 = 0 AND width - x1 > x0) GROUP BY doc_id")
-def mirror_margins(c: Corpus) -> DataFrame:
-    """The first page whose inner margin is the smaller one: odd pages need left <= right, even ones right <= left."""
-    left, right, odd = F.col("x0"), F.col("width") - F.col("x1"), F.col("page") % 2 == 1
-    p = c.pages.where((odd & (left > right)) | (~odd & (right > left))).groupBy("doc_id").agg(F.min("page").alias("page"))
-    return finding(p, "margins", page=F.col("page"))
-
-
 @rule("RD05", f"SELECT {as_finding('page_format', page='page')} FROM sheets WHERE NOT ((abs(width - 595) <= 10 AND abs(height - 842) <= 10) OR (abs(width - 842) <= 10 AND abs(height - 595) <= 10))")
 def wrong_format(c: Corpus) -> DataFrame:
     return finding(c.pages.where(S.page_format(F.col("width"), F.col("height")) != CONFIG["format"]), "page_format", page=F.col("page"))
@@ -116,16 +108,6 @@ def blank_pages(c: Corpus) -> DataFrame:
     return finding(bare, "blank_page", page=F.col("page"))
 
 
-@rule("RD10", f"""SELECT doc_id, CASE WHEN found IS NULL THEN 'no_footer' WHEN found <> page THEN 'wrong_page_number' END AS category, CAST(NULL AS INTEGER) AS block_id, page, CAST(found AS VARCHAR) AS text FROM (
-    SELECT doc_id, page, max(try_cast(nullif(regexp_extract(CASE WHEN line >= 38 THEN text END, '([0-9]{{1,4}})', 1), '') AS INTEGER)) AS found FROM lines GROUP BY doc_id, page) WHERE page >= 1 AND (found IS NULL OR found <> page)""")
-def footers(c: Corpus) -> DataFrame:
-    """Pages past the title page whose last lines hold no number, or another one than the page's."""
-    number = F.regexp_extract(F.when(F.col("line") >= 38, F.col("text")), r"([0-9]{1,4})", 1).try_cast("int")
-    p = c.lines.groupBy("doc_id", "page").agg(F.max(number).alias("found")).where("page >= 1 and (found is null or found <> page)")
-    both = p.withColumn("category", F.when(F.col("found").isNull(), "no_footer").otherwise("wrong_page_number"))
-    return both.select("doc_id", "category", F.lit(None).cast("int").alias("block_id"), "page", F.col("found").cast("string").alias("text"))
-
-
 @rule("RD11", f"""SELECT {as_finding("toc_mismatch", page="src_page", text="title")} FROM toc t WHERE NOT EXISTS (SELECT 1 FROM page_texts p WHERE p.doc_id = t.doc_id AND p.page = t.page AND contains(lower(trim(regexp_replace(page_text, '[ ]+', ' ', 'g'))), lower(trim(regexp_replace(t.title, '[ \\t\\n\\r]+', ' ', 'g')))))
     UNION ALL SELECT {as_finding("lack_of_toc")} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toc)""")
 def contents(c: Corpus) -> DataFrame:
@@ -139,12 +121,6 @@ def raster(c: Corpus) -> DataFrame:
     return finding(c.visuals.where("kind = 'image' and image_type = 'raster'"), "raster_image", page=F.col("page"))
 
 
-@rule("RD15", f"SELECT {as_finding('toc_order_error', page='arg_min(page, seq)', text='CAST(min(seq) AS VARCHAR)')} FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM toc) WHERE page < before GROUP BY doc_id")
-def contents_order(c: Corpus) -> DataFrame:
-    x = c.toc.withColumn("before", F.lag("page").over(doc_window().orderBy("seq"))).where("page < before").groupBy("doc_id").agg(F.min(F.struct("seq", "page")).alias("f"))
-    return finding(x, "toc_order_error", page=F.col("f.page"), text=F.col("f.seq"))
-
-
 @rule("RD16", f"""SELECT {as_finding("orphan", "block_id", "page", "text")} FROM (SELECT w.*, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x0 DESC, block_id, word_index) AS r FROM words w) w JOIN main_size USING (doc_id)
     WHERE r = 1 AND regexp_matches(text, '^[A-Za-z]$') AND size >= main_size * 0.8 AND NOT EXISTS (SELECT 1 FROM words o WHERE o.doc_id = w.doc_id AND o.page = w.page AND w.x1 + 1 <= o.x1 AND w.x1 + 50 >= o.x0 AND w.y0 <= o.y1 AND w.y1 >= o.y0)""")
 def orphans(c: Corpus) -> DataFrame:
@@ -172,33 +148,6 @@ def shoemakers(c: Corpus) -> DataFrame:
     return finding(K.shoemakers(c.words), "shoemaker", F.col("block_id"), F.col("page"))
 
 
-@rule("RD20", f"SELECT DISTINCT {as_finding('unknown_citation', 'c.block_id', text='citation').replace('doc_id,', 'c.doc_id,', 1)} FROM cites c JOIN blocks b USING (doc_id, block_id) LEFT JOIN bib ON bib.doc_id = c.doc_id AND bib.number = c.number WHERE bib.number IS NULL AND NOT regexp_matches(b.content, '^\\[[0-9]+\\] ')")
-def unknown_citations(c: Corpus) -> DataFrame:
-    return finding(K.unknown_citations(c.blocks, c.bibliography), "unknown_citation", F.col("block_id"), text=F.col("citation"))
-
-
-@rule("RD22", f"SELECT {as_finding('missing_caption_source', 'block_id', text='content')} FROM captions WHERE NOT regexp_matches(lower(content), '\\[[0-9]+|źródło|zródło|zrodlo|source|opracowanie własne|na podstawie')")
-def caption_sources(c: Corpus) -> DataFrame:
-    from quire.plans.catalog import captions
-
-    bad = captions(c).where(~F.lower("content").rlike(r"\[[0-9]+|źródło|zródło|zrodlo|source|opracowanie własne|na podstawie"))
-    return finding(bad, "missing_caption_source", F.col("block_id"), text=F.col("content"))
-
-
-@rule("RD24", f"""SELECT doc_id, category, block_id, page, text FROM (
-      SELECT f.*, b.x0, b.y0, b.x1, b.y1 FROM (SELECT {as_finding('bastard', 'block_id', 'page')} FROM ({_PARTS}) WHERE a < z AND page = z AND n_lines <= 2 UNION ALL SELECT {as_finding('shoemaker', 'block_id', 'page')} FROM ({_PARTS}) WHERE a < z AND page = a AND n_lines = 1) f
-      JOIN boxes b USING (doc_id, block_id, page)) f
-    WHERE page > 0 AND NOT EXISTS (SELECT 1 FROM toc t WHERE t.doc_id = f.doc_id AND t.page = f.page)
-      AND NOT EXISTS (SELECT 1 FROM visuals v WHERE v.doc_id = f.doc_id AND v.page = f.page AND f.x0 >= vx0 - 10 AND f.y0 >= vy0 - 10 AND f.x1 <= vx1 + 10 AND f.y1 <= vy1 + 10)""")
-def suppressed(c: Corpus) -> DataFrame:
-    """Findings that stay: not on a contents page, in no visual, and not on the title page."""
-    f = bastards(c).unionByName(shoemakers(c)).join(c.boxes.drop("n_words"), ["doc_id", "block_id", "page"])
-    f = f.join(c.toc.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
-    for kind in ("image", "table"):
-        f = K.outside_visuals(f, c.visuals, kind)
-    return f.where("page > 0").select("doc_id", "category", "block_id", "page", "text")
-
-
 # ---- language --------------------------------------------------------------------------------
 
 # Units behind which a decimal is a quantity, and words before a chapter number.
@@ -469,7 +418,7 @@ def complete_sql() -> None:
     from quire.plans.oracles import _any
 
     art = f"(SELECT *, {_any('lower(title)', ART_TITLES['en'])} AS named FROM section_cites WHERE n_chars >= 200 AND NOT {_any('lower(title)', OTHER_CHAPTERS['en'])})"
-    patterns = {**DASHES, "quotes": '"[^"]*"'}
+    patterns = {**DASHES, "quotes": '"[^"]*"', "numeric": r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"}
     for k, v in ORACLES.items():
         v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art)
         ORACLES[k] = re.sub(r"\{spans:(\w+)\}", lambda m: _spans(patterns[m[1]]), v)
