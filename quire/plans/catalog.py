@@ -324,7 +324,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire.plans import captions as _, details, rules  # noqa: F401  they add to RULES
+    from quire.plans import captions as _, details, inputs, rules  # noqa: F401  they add to RULES
 
     from quire.plans import models
 

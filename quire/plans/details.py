@@ -92,15 +92,6 @@ def minimal_scan(c: Corpus) -> DataFrame:
     return p.unionByName(c.visuals.where("kind = 'image'").select("doc_id", "kind", F.col("page").alias("id")))
 
 
-@rule("SRC15", "SELECT 'A4' AS format, 2 AS min_pages, 60 AS max_pages, true AS valid")
-def config(c: Corpus) -> DataFrame:
-    """The requirements, read from JSON whose scalars are strings, with their check."""
-    text = '{"format": "A4", "min_pages": "2", "max_pages": "60"}'
-    r = c.spark.range(1).select(F.from_json(F.lit(text), "format string, min_pages string, max_pages string").alias("j")).select("j.*")
-    lo, hi = F.col("min_pages").try_cast("int"), F.col("max_pages").try_cast("int")
-    return r.select("format", lo.alias("min_pages"), hi.alias("max_pages"), (F.upper("format").isin("A3", "A4", "A5") & (lo <= hi)).alias("valid"))
-
-
 @rule("SRC18", "SELECT doc_id, count(*) AS n FROM tokens WHERE lower(text) IN ('the', 'of', 'and', 'le', 'de', 'der', 'die', 'los', 'las') GROUP BY doc_id")
 def whitelisted(c: Corpus) -> DataFrame:
     """Words of a fixed list, which is broadcast."""
@@ -173,17 +164,9 @@ def meeting(c: Corpus) -> DataFrame:
     return c.boxes.join(v, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & box).select("doc_id", "block_id", "page")
 
 
-# Frequent short words by which a language is told.
-STOP_WORDS = {"de": ("der", "die", "und", "den", "von"), "en": ("the", "of", "and", "to", "in"), "es": ("el", "los", "las", "que", "del"), "fr": ("le", "les", "des", "et", "une"), "pl": ("się", "nie", "jest", "oraz", "że")}
-
-
-@rule("SCL21", "SELECT doc_id, arg_min(lang, (-n, lang)) AS language FROM (SELECT doc_id, lang, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g'), ' ')) AS w FROM documents) JOIN (" + " UNION ALL ".join(f"SELECT '{k}' AS lang, unnest({list(v)}) AS s" for k, v in STOP_WORDS.items()) + ") ON w = s GROUP BY ALL) GROUP BY doc_id")
+@rule("SCL21", f"SELECT doc_id, block_id, CASE WHEN regexp_matches(lower(content), '{S.POLISH}') THEN 'pl' ELSE 'en' END AS language FROM blocks")
 def language(c: Corpus) -> DataFrame:
-    """The language of whose frequent words a text has the most; the first in order of name wins ties."""
-    lists = F.broadcast(c.spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("lang"), F.lit(w).alias("s")) for k, v in STOP_WORDS.items() for w in v)))))
-    words = c.documents.select("doc_id", F.explode(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " "), " ", -1)).alias("w"))
-    n = words.join(lists, F.col("w") == F.col("s")).groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
-    return n.groupBy("doc_id").agg(F.min_by("lang", F.struct((-F.col("n")).alias("n"), "lang")).alias("language"))
+    return c.blocks.select("doc_id", "block_id", F.when(S.is_polish(F.col("content")), "pl").otherwise("en").alias("language"))
 
 
 _DICTIONARY = "(SELECT w FROM (SELECT DISTINCT doc_id, lower(text) AS w FROM tokens) GROUP BY w HAVING count(*) >= 3)"
@@ -467,10 +450,12 @@ def titles(c: Corpus) -> DataFrame:
     return f.select("doc_id", "number", F.trim(F.split_part(rest, F.col("separator"), F.lit(1))).alias("title"))
 
 
-@rule("BB06", f"SELECT doc_id, number, type FROM (SELECT *, {TYPE} AS type FROM {FIELDS}) WHERE (type = 'article' AND NOT contains(lower(entry), 'journal')) OR (type = 'online' AND url IS NULL) OR type IS NULL")
-def wrong_types(c: Corpus) -> DataFrame:
-    t = R.typed(c).where("(type = 'article' and not contains(lower(entry), 'journal')) or (type = 'online' and url is null) or type is null")
-    return t.select("doc_id", "number", "type")
+@rule("BB06", f"SELECT doc_id, number, CASE WHEN type IS NULL THEN 'WRONG_BIBTEX_TYPE' ELSE 'MISSING_BIBTEX_FIELD' END AS problem FROM {FIELDS} WHERE type IS NULL OR (type = 'article' AND journal IS NULL AND publisher IS NULL AND NOT regexp_matches(lower(entry), 'arxiv|preprint'))")
+def wrong_types(c: Corpus, producer: str = "LaTeX") -> DataFrame:
+    """Entries of no known type and articles without a journal, in documents that TeX produced."""
+    bare = (F.col("type") == "article") & F.col("journal").isNull() & F.col("publisher").isNull() & ~F.lower("entry").rlike("arxiv|preprint")
+    t = R.typed(c).where((F.col("type").isNull() | bare) & F.lit("tex" in producer.lower()))
+    return t.select("doc_id", "number", F.when(F.col("type").isNull(), "WRONG_BIBTEX_TYPE").otherwise("MISSING_BIBTEX_FIELD").alias("problem"))
 
 
 @rule("LM03", "SELECT doc_id, CASE WHEN contains(lower(tail), 'holds') THEN 100 WHEN contains(lower(tail), 'the') THEN 50 ELSE 0 END AS score FROM (SELECT doc_id, substr(text, greatest(1, length(text) - 8999), 9000) AS tail FROM deco)")

@@ -53,12 +53,35 @@ def goal_scores(texts: DataFrame, make: Callable[[], Model]) -> DataFrame:
     return a.select("doc_id", S.parsed_score(F.col("reply")).alias("score"))
 
 
-def chart_findings(figures: DataFrame, make: Callable[[], Model], lang: str = "pl") -> DataFrame:
-    """(doc_id, figure, problems): what a vision model's JSON booleans say about a chart."""
-    rules = {"title_inside": "title inside the chart", "missing_units": "axis without a unit", "wrong_separator": f"decimal separator not of {lang}", "missing_arrows": "axis without an arrow"}
-    a = answers(figures, "image", make, "reply")
-    said = F.from_json("reply", ", ".join(f"{r} boolean" for r in rules))
-    return a.withColumn("s", said).select("doc_id", "figure", F.array_compact(F.array(*(F.when(F.col(f"s.{r}"), text) for r, text in rules.items()))).alias("problems"))
+# What a vision model says of a chart that breaks a rule, and the rule.
+CHART_RULES = (
+    ("embedded_title", True, "title inside the chart"), ("has_axis_units", False, "axis without a unit"), ("axis_ends_with_dot", True, "axis label ends with a dot"),
+    ("has_axis_arrows", True, "axis with an arrow"), ("is_polish", False, "text is not Polish"),
+)
+
+
+def _said(reply: Column, name: str) -> Column:
+    """A boolean of a JSON reply, or of the first brace to the last, lower case; null if there is none."""
+    whole = F.get_json_object(reply, f"$.{name}")
+    return F.lower(F.coalesce(whole, F.get_json_object(F.regexp_extract(reply, r"(?s)\{.*\}", 0), f"$.{name}")))
+
+
+def chart_problems(replies: DataFrame) -> DataFrame:
+    """(doc_id, figure, problems) of (doc_id, figure, reply): charts with axes that break a rule, the problems joined."""
+    bad = (F.when(_said(F.col("reply"), n) == str(v).lower(), text) for n, v, text in CHART_RULES)
+    r = replies.where(_said(F.col("reply"), "is_actual_chart_with_axes") == "true")
+    return r.select("doc_id", "figure", F.array_join(F.array_compact(F.array(*bad)), "; ").alias("problems")).where("problems <> ''")
+
+
+def chart_findings(figures: DataFrame, make: Callable[[], Model]) -> DataFrame:
+    """(doc_id, figure, problems) of (doc_id, figure, image) by a vision model's JSON replies."""
+    return chart_problems(answers(figures, "image", make, "reply"))
+
+
+def font_findings(replies: DataFrame) -> DataFrame:
+    """(doc_id, figure, details) of (doc_id, figure, reply): figures whose fonts a vision model finds inconsistent. Without an answer a figure is consistent."""
+    reason = F.coalesce(F.get_json_object("reply", "$.reason"), F.lit("font sizes differ"))
+    return replies.where(F.coalesce(_said(F.col("reply"), "consistent"), F.lit("true")) == "false").select("doc_id", "figure", reason.alias("details"))
 
 
 def overlapping_chunks(texts: DataFrame, size: int = 1400, overlap: int = 200, most: int = 40) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 
 from quire.plans import scalars
 from quire.plans.catalog import ART_TITLES, OTHER_CHAPTERS
+from quire.plans.rules import CHAPTER_NUMBER as _CHAPTER_NUMBER
 from quire.sources.corpus import BEGINNING, CONTENTS, ENTRY, FIGURES, FRONT, LEADER, NO_FIGURES, NO_TABLES, SNIPPETS, WHOLE
 from quire.sources.corpus import TABLES as TABLE_LISTS
 
@@ -256,12 +257,14 @@ _BODY: dict[str, str] = {
     "ST05": "SELECT DISTINCT doc_id, text, round(x0 / 100, 1) AS x, round(y0 / 100, 1) AS y, page FROM words WHERE length(text) <= 2",
     "ST06": "SELECT DISTINCT doc_id, block_id FROM tokens a WHERE regexp_matches(text, '^[0-9]+[.,][0-9]+') AND EXISTS (SELECT 1 FROM tokens b WHERE b.doc_id = a.doc_id AND b.block_id = a.block_id AND abs(a.word_index - b.word_index) <= 3 AND lower(b.text) IN ('section', 'value', 'cost', 'kg', 'range'))",
 }
+TABLES["chapter_numbers"] = f"""SELECT doc_id, unnest(regexp_extract_all(t, {text_of(_CHAPTER_NUMBER)}, 2)) AS number FROM (SELECT doc_id, title AS t FROM toc UNION ALL SELECT doc_id, number || ' ' || title FROM tof UNION ALL SELECT doc_id, number || ' ' || title FROM tot)
+    UNION ALL SELECT doc_id, regexp_extract(content, {text_of(_CHAPTER_NUMBER)}, 2) FROM captions WHERE regexp_extract(content, {text_of(_CHAPTER_NUMBER)}, 2) <> ''"""
 TABLES["gaps"] = "SELECT * FROM (SELECT doc_id, page, line, x1 AS g0, lead(x0) OVER (PARTITION BY doc_id, page, line ORDER BY x0) AS g1 FROM words) WHERE g1 IS NOT NULL"
 _BODY["WN07"] = """SELECT doc_id, min(b) AS block_id, count(*) AS parts, string_agg(content, ' ' ORDER BY b) AS title FROM (SELECT doc_id, r - row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS i, block_id AS b, content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM placed) WHERE n_words < 6) GROUP BY doc_id, i"""
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.plans import captions, details, rules  # noqa: F401  they add to ORACLES
+    from quire.plans import captions, details, inputs, rules  # noqa: F401  they add to ORACLES
 
     rules.complete_sql()
     return {k: with_tables(v) for k, v in {**_BODY, **rules.ORACLES}.items()}

@@ -150,39 +150,84 @@ def shoemakers(c: Corpus) -> DataFrame:
 
 # ---- language --------------------------------------------------------------------------------
 
-# Units behind which a decimal is a quantity, and words before a chapter number.
-UNITS, REFERENCES = r"^ ?(?:%|°|zł|pln|usd|eur|kg)", r"(?:section|chapter|figure|fig\.|table|rys\.|tab\.|rozdział) ?$"
-
-
-@rule("LG06", """SELECT doc_id, block_id, start, number, CASE WHEN regexp_matches(lower(substr(content, start + length(number) + 1, 30)), '^ ?(%|°|zł|pln|usd|eur|kg)') THEN 2 WHEN regexp_matches(lower(substr(content, greatest(1, start - 29), least(30, start))), '(section|chapter|figure|fig\\.|table|rys\\.|tab\\.|rozdział) ?$') THEN 0 ELSE 1 END AS severity
-    FROM (SELECT doc_id, block_id, content, start, regexp_extract(text, '^[0-9]+\\.[0-9]+') AS number FROM """ + "{spans}" + """ JOIN blocks USING (doc_id, block_id) WHERE regexp_matches(text, '^[0-9]+\\.[0-9]+($|[^.0-9]|\\.$|\\.[^0-9])'))""")
+# What behind a number makes it a quantity, and words near a number that isn't one.
+QUANTITIES = ("%", "$", "€", "£", "zł", "usd", "eur", "gbp", "°")
+NUMBERED = (
+    "wersja", "wersji", "wersjom", "wersjach", "wersję", "wer", "wersją", "wersje", "wersjami", "rys", "rysunek", "rysunkom", "rysunkach", "rysunku", "tabela", "tabele", "tabelę", "tabeli", "tabelom", "tabelach", "tab",
+    "wykres", "wykresu", "wykresom", "wykresowi", "wykresem", "wykresie", "wykresach", "wyk", "rozdziale", "rozdział", "rozdziały", "rozdziału", "rozdziałem", "rozdziałach", "roz", "rozdz", "rozdziałów",
+    "obraz", "obr", "obrazie", "obrazu", "obrazowi", "obrazach", "obrazem", "obrazom", "wzór", "wzoru", "wzorowi", "wzory", "wzorom", "wzorach", "wzorami", "wzorem", "wzorzerównanie", "równaniu", "równaniach", "równaniami",
+    "równaniom", "równania", "równaniem", "rów", "listing",
+)
+AROUND_NUMBER = r"[^.()\[\]{}:,;\s]+"
+#: Matches of numbers that other languages' commas or dots separate. Without look-around for SQL: the run of letters, digits and dots, or the character behind, comes along.
+POLISH_DOT, ENGLISH_COMMA = r"(?<![\d.a-zA-Z])\d+\.\d+(?!\.?\d)", r"\d+,(?!\d{3}(?!\d))\d+"
+CHAPTER_NUMBER = r"(^|[^\w.])(\d{1,3}\.\d{1,3}(?:\.\d{1,3})*)($|[^\w.]|\.($|[^\d]))"
+
+_PL = f"regexp_matches(lower(content), '{S.POLISH}')"
+_FOUND = """(SELECT s.doc_id, s.block_id, content, start, regexp_extract(text, '^[0-9]+\\.[0-9]+') AS number FROM {spans} s JOIN blocks b ON b.doc_id = s.doc_id AND b.block_id = s.block_id WHERE {pl} AND regexp_matches(text, '^[0-9]+\\.[0-9]+($|[^.0-9]|\\.$|\\.[^0-9])')
+    UNION ALL SELECT s.doc_id, s.block_id, content, start, regexp_extract(text, '^[0-9]+,[0-9]+') FROM {spans:comma} s JOIN blocks b ON b.doc_id = s.doc_id AND b.block_id = s.block_id WHERE NOT {pl})""".replace("{pl}", _PL)
+_TOKENS = "regexp_extract_all(lower({x}), '[^.()\\[\\]{{}}:,;\\s]+')"
+_LG06 = f"""SELECT doc_id, block_id, start, number, severity FROM (SELECT f.doc_id, f.block_id, start, f.number, n_words,
+      CASE WHEN list_has_any(after, {list(QUANTITIES)}) THEN 2 WHEN list_has_any(before, {list(NUMBERED)}) OR list_has_any(after, {list(NUMBERED)}) THEN 0 WHEN n_words < 6 AND len(string_split(trim(substr(f.content, 1, start)), ' ')) <= 1 THEN 0 WHEN k.number IS NOT NULL THEN 0 ELSE 1 END AS severity
+    FROM (SELECT *, {_TOKENS.format(x="substr(content, start + length(number) + 1, 30)")} AS after, {_TOKENS.format(x="substr(content, greatest(1, start - 29), least(30, start))")} AS before FROM {_FOUND}) f JOIN (SELECT doc_id, block_id, n_words FROM placed) p ON p.doc_id = f.doc_id AND p.block_id = f.block_id
+    LEFT JOIN (SELECT DISTINCT doc_id, number FROM chapter_numbers) k ON k.doc_id = f.doc_id AND k.number = f.number) WHERE severity >= CASE WHEN n_words >= 6 THEN 1 ELSE 2 END"""
+
+
+@rule("LG06", _LG06)
 def decimals(c: Corpus) -> DataFrame:
-    """Numbers with a decimal dot that neither continue a version or chapter number nor a word: 2 before a unit, 0 behind a reference, else 1."""
-    found = spans(F.col("content"), r"(?<![0-9.A-Za-z])[0-9]+\.[0-9]+(?!\.?[0-9])")
-    d = c.blocks.where(F.col("content").rlike(r"[0-9]\.[0-9]")).select("doc_id", "block_id", "content", F.inline(found))
-    after, before = F.lower(F.substring("content", F.col("stop") + 1, F.lit(30))), F.lower(F.substring("content", F.greatest(F.lit(1), F.col("start") - 29), F.least(F.lit(30), "start")))
-    severity = F.when(after.rlike(UNITS), 2).when(before.rlike(REFERENCES), 0).otherwise(1)
-    return d.select("doc_id", "block_id", "start", F.col("text").alias("number"), severity.alias("severity"))
-
-
-DASHES = {"spaced_hyphen": r" - ", "dash_without_spaces": r"[\p{L}0-9][–—]\p{L}", "range": r"[0-9]+(?: [-–] ?|-)[0-9]+"}
-
-
-@rule("LG07", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, block_id, start, text FROM {{spans:{k}}}" for k in DASHES) + " UNION ALL SELECT doc_id, 'mixed_dashes', block_id, CAST(strpos(content, '—') - 1 AS INTEGER), '—' FROM blocks WHERE contains(content, '–') AND contains(content, '—')")
+    """Decimal dots in Polish blocks and decimal commas in others: 2 before a unit, else 1. What stands near words of numbering, first in a heading or is a chapter's number is none; blocks but paragraphs need a unit."""
+    b = c.placed.withColumn("pl", S.is_polish(F.col("content")))
+    polish = b.where(F.col("pl") & F.col("content").rlike(r"\d\.\d")).select("doc_id", "block_id", "content", "n_words", F.inline(spans(F.col("content"), POLISH_DOT)))
+    other = b.where(~F.col("pl") & F.col("content").rlike(r"\d,\d")).select("doc_id", "block_id", "content", "n_words", F.inline(spans(F.col("content"), ENGLISH_COMMA)))
+    d = polish.unionByName(other).withColumnRenamed("text", "number")
+    tokens = lambda t: F.regexp_extract_all(F.lower(t), F.lit(AROUND_NUMBER), F.lit(0))
+    after, before = tokens(F.substring("content", F.col("stop") + 1, F.lit(30))), tokens(F.substring("content", F.greatest(F.lit(1), F.col("start") - 29), F.least(F.lit(30), "start")))
+    has = lambda t, words: F.arrays_overlap(t, F.array(*map(F.lit, words)))
+    first = (F.col("n_words") < 6) & (F.size(F.split(F.trim(F.substring("content", F.lit(1), F.col("start"))), " ", -1)) <= 1)
+    d = d.join(chapter_numbers(c).withColumn("chapter", F.lit(True)), ["doc_id", "number"], "left")
+    severity = F.when(has(after, QUANTITIES), 2).when(has(before, NUMBERED) | has(after, NUMBERED) | first | F.col("chapter").isNotNull(), 0).otherwise(1)
+    d = d.withColumn("severity", severity).where(F.col("severity") >= F.when(F.col("n_words") >= 6, 1).otherwise(2))
+    return d.select("doc_id", "block_id", "start", "number", "severity")
+
+
+#: Dashes that are wrong in any block, and in ranges of English and of Polish blocks.
+DASHES = {
+    "hyphen": r"\s-\s|\s-(?=\D|$)|-\s", "no_spaces": r"[a-zA-Z\d][–—][a-zA-Z]|[a-zA-Z][–—][a-zA-Z\d]", "range_en": r"\d+\s*[–-]\s*\d+", "range_pl": r"\d+\s+[–-]\s+\d+",
+}
+_DASHED = """SELECT s.doc_id, '{k}' AS kind, s.block_id, start FROM {{spans:{p}}} s JOIN (SELECT *, {pl} AS pl FROM placed) b ON b.doc_id = s.doc_id AND b.block_id = s.block_id WHERE {w}"""
+_SKIP = "NOT regexp_matches(content, '^\\[[0-9]+\\] ') AND NOT regexp_matches(lower(content), '^(keywords|key words|słowa kluczowe)')"
+
+
+@rule("LG07", " UNION ALL ".join(_DASHED.format(k=k, p=p, w=f"{w} AND {_SKIP}", pl=_PL) for k, p, w in (
+    ("hyphen", "hyphen_plain", "NOT (n_words < 6 AND start > 0 AND regexp_matches(substr(content, start, 1), '\\p{L}') AND regexp_matches(substr(content, CAST(start + length(regexp_extract(substr(content, start + 1, 3), '^(\\s-\\s|\\s-|-\\s)')) + 1 AS BIGINT), 1), '\\p{L}'))"),
+    ("no_spaces", "no_spaces", "true"), ("range", "range_en", "NOT pl AND (contains(text, '-') OR contains(text, ' '))"), ("range", "range_pl", "pl"))) + f" UNION ALL SELECT doc_id, 'mixed', block_id, CAST(strpos(content, '—') - 1 AS INTEGER) FROM blocks WHERE contains(content, '–') AND contains(content, '—') AND {_SKIP}")
 def dashes(c: Corpus) -> DataFrame:
-    """Hyphens between spaces, dashes without spaces, number ranges with a hyphen or a space, and both dashes in one block."""
-    parts = [c.blocks.where(F.col("content").rlike(p)).select("doc_id", F.lit(k).alias("kind"), "block_id", F.inline(spans(F.col("content"), p))).select("doc_id", "kind", "block_id", "start", "text") for k, p in DASHES.items()]
-    mixed = c.blocks.where(F.contains("content", F.lit("–")) & F.contains("content", F.lit("—")))
-    out = mixed.select("doc_id", F.lit("mixed_dashes").alias("kind"), "block_id", (F.instr("content", F.lit("—")) - 1).alias("start"), F.lit("—").alias("text"))
-    for p in parts:
-        out = out.unionByName(p)
+    """Hyphens for dashes (in headings not between letters), dashes without spaces, ranges with a hyphen or spaces in English and with spaces in Polish blocks, and both dashes in one block."""
+    b = c.placed.where(~F.col("content").rlike(r"^\[[0-9]+\] ") & ~S.is_keywords(F.col("content"))).withColumn("pl", S.is_polish(F.col("content")))
+    found = lambda p: b.where(F.col("content").rlike(p)).select("doc_id", "block_id", "content", "n_words", "pl", F.inline(spans(F.col("content"), p)))
+    letter = lambda at: F.substring("content", at, F.lit(1)).rlike(r"\p{L}")
+    name = (F.col("n_words") < 6) & (F.col("start") > 0) & letter(F.col("start")) & letter(F.col("stop") + 1)
+    parts = [
+        ("hyphen", found(DASHES["hyphen"]).where(~name)), ("no_spaces", found(DASHES["no_spaces"])),
+        ("range", found(DASHES["range_en"]).where(~F.col("pl") & (F.contains("text", F.lit("-")) | F.contains("text", F.lit(" "))))), ("range", found(DASHES["range_pl"]).where("pl")),
+    ]
+    mixed = b.where(F.contains("content", F.lit("–")) & F.contains("content", F.lit("—")))
+    out = mixed.select("doc_id", F.lit("mixed").alias("kind"), "block_id", (F.instr("content", F.lit("—")) - 1).alias("start"))
+    for kind, p in parts:
+        out = out.unionByName(p.select("doc_id", F.lit(kind).alias("kind"), "block_id", "start"))
     return out
 
 
-@rule("LG02", "SELECT DISTINCT doc_id, regexp_extract(content, '([0-9]+\\.[0-9]+(\\.[0-9]+)?)', 1) AS number FROM blocks WHERE regexp_matches(content, '^([0-9]+\\.[0-9]+(\\.[0-9]+)?) \\p{L}|^(Figure|Table) [0-9]+\\.[0-9]+')")
+@rule("LG02", "SELECT DISTINCT doc_id, number FROM chapter_numbers")
 def chapter_numbers(c: Corpus) -> DataFrame:
-    b = c.blocks.where(F.col("content").rlike(r"^([0-9]+\.[0-9]+(\.[0-9]+)?) \p{L}|^(Figure|Table) [0-9]+\.[0-9]+"))
-    return b.select("doc_id", F.regexp_extract("content", r"([0-9]+\.[0-9]+(\.[0-9]+)?)", 1).alias("number")).distinct()
+    """Numbers of two parts or more in the entries of contents, figures and tables, and the first of each caption."""
+    from quire.plans.catalog import captions
+
+    titles = lambda t, *n: t.select("doc_id", F.concat_ws(" ", *n).alias("t"))
+    lists = titles(c.toc, "title").unionByName(titles(c.tof, "number", "title")).unionByName(titles(c.tot, "number", "title"))
+    every = lists.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(CHAPTER_NUMBER), F.lit(2))).alias("number"))
+    first = captions(c).select("doc_id", F.regexp_extract("content", CHAPTER_NUMBER, 2).alias("number")).where("number <> ''")
+    return every.unionByName(first).distinct()
 
 
 @rule("LG04", "SELECT doc_id, acronym, min(block_id) AS block_id FROM definitions GROUP BY ALL")
@@ -220,18 +265,37 @@ def list_style(c: Corpus) -> DataFrame:
     return bad.select("doc_id", "block_id", "style", F.when(F.col("ending") != F.col("best"), "ending").otherwise("casing").alias("problem"))
 
 
-@rule("LG12", """SELECT doc_id, round_even(100.0 * count(*) FILTER (p) / count(*), 0) AS passive, 100 - round_even(100.0 * count(*) FILTER (p) / count(*), 0) AS active FROM (
-    SELECT doc_id, regexp_matches(lower(s), '(^| )(is|are|was|were|been|be) \\p{L}+ed( |[.!?])') AS p FROM (SELECT doc_id, unnest(regexp_extract_all(content, '[^.!?]+[.!?]+')) AS s FROM blocks) WHERE length(s) >= 15) GROUP BY doc_id""")
+# First persons in English and in Polish by pronoun or ending; a plain stand-in for a parser of forms.
+FIRST_PERSON = r"(^|[^\p{L}])(i|we|my|our|me|us|ja|my|nas|nasz|nasze|[\p{L}]{2,}(łem|łam|liśmy|łyśmy))([^\p{L}]|$)"
+
+
+@rule("LG12", f"""SELECT doc_id, round_even(100.0 * count(*) FILTER (p) / count(*), 0) AS passive, 100 - round_even(100.0 * count(*) FILTER (p) / count(*), 0) AS active, count(*) FILTER (f) AS personal_form FROM (
+    SELECT doc_id, regexp_matches(lower(s), '(^| )(is|are|was|were|been|be) \\p{{L}}+ed( |[.!?])') AS p, regexp_matches(lower(s), '{FIRST_PERSON}') AS f FROM (SELECT doc_id, unnest(regexp_extract_all(content, '[^.!?]+[.!?]+')) AS s FROM blocks) WHERE length(s) >= 15) GROUP BY doc_id""")
 def voices(c: Corpus) -> DataFrame:
-    """Shares of sentences in the passive and the active voice, by a pattern of auxiliary and participle."""
-    s = c.blocks.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(r"[^.!?]+[.!?]+"), F.lit(0))).alias("s")).where(F.length("s") >= 15)
+    """Shares of sentences in the passive and the active voice, by a pattern of auxiliary and participle, and the number in the first person."""
+    s = sentences(c)
     passive = F.bround(100.0 * F.count(F.when(F.lower("s").rlike(r"(^| )(is|are|was|were|been|be) \p{L}+ed( |[.!?])"), 1)) / F.count("*"), 0)
-    return s.groupBy("doc_id").agg(passive.alias("passive"), (100 - passive).alias("active"))
+    return s.groupBy("doc_id").agg(passive.alias("passive"), (100 - passive).alias("active"), F.count(F.when(F.lower("s").rlike(FIRST_PERSON), 1)).alias("personal_form"))
+
+
+def sentences(c: Corpus) -> DataFrame:
+    return c.blocks.select("doc_id", "block_id", F.explode(F.regexp_extract_all("content", F.lit(r"[^.!?]+[.!?]+"), F.lit(0))).alias("s")).where(F.length("s") >= 15)
+
 
+def personal_forms(c: Corpus) -> DataFrame:
+    """Sentences in the first person."""
+    return sentences(c).where(F.lower("s").rlike(FIRST_PERSON))
 
-@rule("LG13", f"SELECT doc_id, block_id, page FROM boxes b WHERE block_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM visuals v WHERE v.doc_id = b.doc_id AND v.page = b.page AND v.kind = 'image' AND b.x0 >= vx0 - 10 AND b.y0 >= vy0 - 10 AND b.x1 <= vx1 + 10 AND b.y1 <= vy1 + 10)")
+
+@rule("LG13", "SELECT f.doc_id, f.category, f.block_id, f.page FROM (" + " UNION ALL ".join(f"SELECT {as_finding(n, 'block_id', 'page')} FROM ({_PARTS}) WHERE a < z AND {w}" for n, w in (("bastard", "page = z AND n_lines <= 2"), ("shoemaker", "page = a AND n_lines = 1"))) + f""" UNION ALL SELECT {as_finding('widow', 'block_id', 'page', 'text')} FROM ({_WIDOW}) WHERE ls[-1] <> ls[-2] OR ls[-2] <> ls[-3]) f
+    JOIN boxes b ON b.doc_id = f.doc_id AND b.block_id = f.block_id AND b.page = f.page WHERE NOT EXISTS (SELECT 1 FROM visuals v WHERE v.doc_id = f.doc_id AND v.page = f.page AND v.kind = 'image' AND b.x0 >= vx0 - 10 AND b.y0 >= vy0 - 10 AND b.x1 <= vx1 + 10 AND b.y1 <= vy1 + 10)""")
 def outside_images(c: Corpus) -> DataFrame:
-    return K.outside_visuals(c.boxes, c.visuals, "image").select("doc_id", "block_id", "page")
+    """Findings whose block doesn't lie in an image of its page."""
+    last = c.words.groupBy("doc_id", "block_id").agg(F.max_by("page", "word_index").alias("last"))
+    widow = widows(c).drop("page").join(last, ["doc_id", "block_id"]).withColumnRenamed("last", "page")
+    f = bastards(c).unionByName(shoemakers(c)).unionByName(widow, allowMissingColumns=True)
+    f = f.join(c.boxes.select("doc_id", "block_id", "page", "x0", "y0", "x1", "y1"), ["doc_id", "block_id", "page"])
+    return K.outside_visuals(f, c.visuals, "image").select("doc_id", "category", "block_id", "page")
 
 
 @rule("SCL25", "SELECT doc_id, block_id, concat(regexp_replace(substr(content, 1, p), '', ''), repeat(' ', n), substr(content, p + n + 1)) AS masked FROM (SELECT doc_id, block_id, content, strpos(content, q) - 1 AS p, length(q) AS n FROM (SELECT *, regexp_extract(content, '\"[^\"]*\"') AS q FROM blocks) WHERE q <> '')")
@@ -249,104 +313,200 @@ def quotes(c: Corpus) -> DataFrame:
 
 # ---- bibliography ----------------------------------------------------------------------------
 
-# Forms of the fields of an entry. The first that matches gives the field and its format.
-DATES = (("yyyy-mm-dd", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("dd.mm.yyyy", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), ("yyyy", r"\b(?:19|20)[0-9]{2}\b"))
-PAGES = (("pp.", r"pp\. ?[0-9]+[-–][0-9]+"), ("s.", r"s\. ?[0-9]+[-–][0-9]+"))
-AUTHORS = (("J. Nowak", r"^\p{Lu}\. ?\p{Lu}\p{L}+"), ("Nowak J.", r"^\p{Lu}\p{L}+ \p{Lu}\."))
+# Forms of the fields of an entry, (before, form, behind, name) with look-around by name. The first that matches gives the field and its format.
+MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
+MON = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept?|Oct|Nov|Dec"
+MIESIAC = "stycznia|styczeń|lutego|luty|marca|marzec|kwietnia|kwiecień|maja|maj|czerwca|czerwiec|lipca|lipiec|sierpnia|sierpień|września|wrzesień|października|październik|listopada|listopad|grudnia|grudzień"
+MIES = "sty|lut|mar|kwi|maj|czer?|lip|sier?|wrz|paź|list?|grud?"
+YEAR = r"(?:1[6789]\d{2}|2[01]\d{2})(?:\s*[rR]\.?)?"
+DATES = (
+    ("word", rf"(?i:\d{{1,2}}\s+(?:{MONTH})\s+{YEAR})", "end", "DD Month YYYY"), ("word", rf"(?i:(?:{MONTH})\s+\d{{1,2}},?\s+{YEAR})", "end", "Month DD YYYY"), ("word", rf"(?i:(?:{MONTH})\s+{YEAR})", "end", "Month YYYY"),
+    ("word", rf"(?i:\d{{1,2}}\s+(?:{MON})\.?\s+{YEAR})", "end", "DD Mon YYYY"), ("word", rf"(?i:(?:{MON})\.?\s+\d{{1,2}},?\s+{YEAR})", "end", "Mon DD YYYY"), ("word", rf"(?i:(?:{MON})\.?\s+{YEAR})", "end", "Mon YYYY"),
+    ("word", rf"(?i:\d{{1,2}}\s+(?:{MIESIAC})\s+{YEAR})", "end", "DD miesiąc YYYY"), ("word", rf"(?i:(?:{MIESIAC})\s+{YEAR})", "end", "miesiąc YYYY"),
+    ("word", rf"(?i:\d{{1,2}}\s+(?:{MIES})\.?\s+{YEAR})", "end", "DD mies. YYYY"), ("word", rf"(?i:(?:{MIES})\.?\s+{YEAR})", "end", "mies. YYYY"),
+    ("path", rf"\d{{1,2}}/\d{{1,2}}/{YEAR}", "path", "dd/mm/yyyy"), ("path", rf"{YEAR}/\d{{1,2}}/\d{{1,2}}", "path", "yyyy/mm/dd"),
+    ("path", rf"(?i:\d{{1,2}}-(?:{MIESIAC})-{YEAR})", "path", "dd-Miesiąc-yyyy"), ("path", rf"(?i:\d{{1,2}}-(?:{MIES})-{YEAR})", "path", "dd-mie-yyyy"), ("path", rf"(?i:\d{{1,2}}-(?:{MONTH})-{YEAR})", "path", "dd-Month-yyyy"), ("path", rf"(?i:\d{{1,2}}-(?:{MON})-{YEAR})", "path", "dd-mon-yyyy"),
+    ("path", rf"\d{{1,2}}-\d{{1,2}}-{YEAR}", "path", "dd-mm-yyyy"), ("path", rf"{YEAR}-\d{{1,2}}-\d{{1,2}}", "path", "yyyy-mm-dd"), ("path", rf"\d{{1,2}}\.\d{{1,2}}\.{YEAR}", "path", "dd.mm.yyyy"), ("path", rf"{YEAR}\.\d{{1,2}}\.\d{{1,2}}", "path", "yyyy.mm.dd"),
+    ("", rf"\({YEAR}\)", "mark", "(yyyy)"), ("space", YEAR, "part", "YYYY"),
+)
+PAGES = (
+    ("field", r"pp\.[\s\:]*\d+(?:\s*[-–]\s*\d+)?", "", "pp. 2 - 4"), ("field", r"s\.[\s\:]*\d+(?:\s*[-–]\s*\d+)?", "", "s. 2 - 4"), ("field", r"pages?[\s\:]*\d+(?:\s*[-–]\s*\d+)?", "", "pages 2 - 4"),
+    ("field", r"stron[ya][\s\:]*\d+(?:\s*[-–]\s*\d+)?", "", "strony 2 - 4"), ("field", r"\(\d{1,4}\)[\s:]*\d+(?:\s*[-–]\s*\d+)?", "", "(2):2 - 4"),
+)
+BARE_PAGES = (("path", r"\d+\s*[-–]\s*\d+", "slash", "bare 2 - 4"),)
+VOLUMES = (("", r"\d{1,4}\(\d{1,4}(?:-\d{1,4})?\)", "", "2(14)"), ("", r"vol\.\s*\d{1,4}", "", "vol. 2"), ("", r"volume[\s\:]*\d{1,4}", "", "volume 2"), ("", r"\(\d{1,4}\)[\s:]*\d+(?:\s*[-–]\s*\d+)?", "", "(2):144 - 158"))
+ACCESS = (
+    ("field", r"[aA]vailable\s+[aA]t[\s:]*", "", "Available at:"), ("field", r"[aA]vailable\s+[\s:]*", "", "Available:"), ("field", r"\[\s*[oO]nline\s*\]\s*", "", "[online]"), ("field", r"[oO]nline\s*(?:[aA]t)[\s\:]*", "", "online at"),
+    ("field", r"\(\s*[dD]ata\s*[dD]ostępu[\s\:]*\)", "", "(data dostępu)"), ("field", r"[dD]ata\s*[dD]ostępu[\s\:]*", "", "data dostępu"), ("field", r"[dD]ost[eę]p[\s\:]*", "", "dostęp"),
+)
+DOIS = (("", r"doi\.org/10\.\d{4,9}/\S+", "", "link"), ("", r"(?:DOI|doi)\s*:\s*10\.\d{4,9}/\S+", "", "citation"))
+URLS = (("", r"https?:\s*//\S+", "", "url"),)
+UPPER, LOWER = "[A-ZĄĆĘŁŃÓŚŹŻÀ-ÖØ-öø-ÿĀ-ž]", "[a-ząćęłńóśźżà-öø-ÿā-ž]"
+SURNAME, FULL, SHORT = rf"{UPPER}{LOWER}+(?:[-–'](?:{UPPER}|{LOWER})+)*", f"{UPPER}{LOWER}+", rf"{UPPER}\.?"
+AUTHORS = (
+    ("start", rf"{SHORT}(?:\s*{SHORT})*\s{SURNAME}", "", "J. Nowak"), ("start", rf"{FULL}(?:\s(?:{FULL}|{SHORT}))*\s{SURNAME}", "", "Jan Nowak"), ("start", rf"{SURNAME},\s{SHORT}(?:\s*{SHORT})*\s*", "other", "Nowak, J."),
+    ("start", rf"{SURNAME},\s{FULL}(?:\s(?:{FULL}|{SHORT}))*", "", "Nowak, Jan"), ("start", rf"{SURNAME}\s{SHORT}(?:\s*{SHORT})*", "other", "Nowak J."),
+)
+#: Look-around by name: as Spark has it, and as a group before or behind the form for SQL, which has none.
+LOOK_BEHIND = {"": ("", ""), "start": ("^", "^"), "word": (r"(?<!\w)", r"(?:^|[^\w])"), "path": (r"(?<![\w\/\.\-])", r"(?:^|[^\w/.\-])"), "field": (r"(?<![\d\.\w])", r"(?:^|[^\w.])"), "space": (r"(?<=\s)", r"\s")}
+LOOK_AHEAD = {
+    "": ("", ""), "end": (r"\b(?!\.\d)", r"(?:$|[^\w.]|\.(?:$|[^\d]))"), "path": (r"\b(?![\w\/\-])(?!\.\d)", r"(?:$|[^\w/\-.]|\.(?:$|[^\d]))"), "slash": (r"(?![\w\/\-])", r"(?:$|[^\w/\-])"),
+    "mark": (r"(?=[\s\.\:\;\,])", r"[\s.:;,]"), "part": (r"\b(?=[,;:.\s]|$)(?!\.[\d\w])", r"(?:$|[,;:\s]|\.(?:$|[^\w]))"), "other": (r"(?!\w)", r"(?:$|[^\w])"),
+}
+# Words of periodicals, of publishers, of proceedings and of preprints.
+ARTICLE_WORDS = ("journal", "conference", "konferencja", "review", "proceedings", "briefings", "monthly", "annual", "magazine", "czasopismo", "miesięcznik")
+BOOK_WORDS = ("wyd", "wydawnictwo", "press", "pwn", "publishing", "publishers", "pub", "ieee")
+PROCEEDINGS = ("proceedings", "conference", "symposium", "workshop", "congress", "konferencja", "konferencji", "seminarium", "international", "handbook", "monograph")
+PREPRINTS = ("arxiv", "preprint", "tech. rep", "technical report")
 
 
 def first_form(text: Column, forms) -> tuple[Column, Column]:
     """(match, label) of the first form that occurs; nulls if none does."""
-    found = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for _, p in forms]
-    label = F.coalesce(*(F.when(m.isNotNull(), F.lit(name)) for m, (name, _) in zip(found, forms)))
+    found = [F.nullif(F.regexp_extract(text, LOOK_BEHIND[a][0] + p + LOOK_AHEAD[b][0], 0), F.lit("")) for a, p, b, _ in forms]
+    label = F.coalesce(*(F.when(m.isNotNull(), F.lit(f[3])) for m, f in zip(found, forms)))
     return F.coalesce(*found), label
 
 
+def all_dates(text: Column, most: int = 3) -> Column:
+    """array<struct<text, start, stop, format>>: up to three dates that begin in no earlier one, form after form."""
+    each = [F.transform(F.coalesce(spans(text, LOOK_BEHIND[a][0] + p + LOOK_AHEAD[b][0]), F.array().cast("array<struct<text:string,start:int,stop:int>>")), lambda s, n=n: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(n).alias("format"))) for a, p, b, n in DATES]
+    none = F.array().cast("array<struct<text:string,start:int,stop:int,format:string>>")
+    taken = lambda out, s: (F.size(out) >= most) | F.exists(out, lambda o: (o["start"] <= s["start"]) & (s["start"] < o["stop"]))
+    return F.aggregate(F.concat(*each), none, lambda out, s: F.when(taken(out, s), out).otherwise(F.concat(out, F.array(s))))
+
+
+_PLACES = (("author", AUTHORS), ("date", DATES), ("pages", PAGES), ("bare", BARE_PAGES), ("volume", VOLUMES), ("access", ACCESS), ("doi", DOIS), ("url", URLS))
+
+
 def fields(c: Corpus) -> DataFrame:
+    """Entries with their fields, the separator behind the authors, a periodical's or a publisher's word, and the BibTeX type."""
     e, out = F.col("entry"), {}
-    for name, forms in (("author", AUTHORS), ("date", DATES), ("pages", PAGES)):
+    for name, forms in _PLACES:
         out[name], out[f"{name}_format"] = first_form(e, forms)
-    out["doi"] = F.nullif(F.regexp_extract(e, r"(?:doi: ?|https?://doi\.org/)(10\.[0-9]+/[^ ,]+)", 1), F.lit(""))
-    out["url"] = F.nullif(F.regexp_extract(e, r"https?://[^ ,)]+", 0), F.lit(""))
-    out["volume"] = F.nullif(F.regexp_extract(e, r"vol\. ?([0-9]+)", 1), F.lit(""))
-    out["access"] = F.nullif(F.regexp_extract(e, r"\((?:accessed|dostęp:?) ([^)]+)\)", 1), F.lit(""))
-    commas, semis = (F.length(e) - F.length(F.replace(e, F.lit(x), F.lit(""))) for x in (",", ";"))
-    out["separator"] = F.when(semis > commas, ";").when(commas > 0, ",")
-    return c.bibliography.withColumns(out)
-
-
-def _form_sql(forms) -> str:
-    got = [f"nullif(regexp_extract(entry, '{p}', 0), '')" for _, p in forms]
-    labels = [f"CASE WHEN {g} IS NOT NULL THEN '{n}' END" for g, (n, _) in zip(got, forms)]
+    out["pages"], out["pages_format"] = F.coalesce(out["pages"], out["bare"]), F.coalesce(out["pages_format"], out["bare_format"])
+    b = c.bibliography.withColumns({k: v for k, v in out.items() if not k.startswith("bare")})
+    behind = F.btrim(F.regexp_replace(F.btrim(F.substring("entry", F.length("author") + 1, F.length("entry"))), r"^\(\d{4}[^\)]*\)", ""))
+    word = lambda words: F.nullif(F.regexp_extract(F.lower(e), r"(?:^|[^\p{L}])(" + "|".join(words) + r")(?:$|[^\p{L}])", 1), F.lit(""))
+    b = b.withColumns({"separator": F.nullif(F.regexp_extract(behind, "^[.,;:]", 0), F.lit("")), "journal": word(ARTICLE_WORDS), "publisher": word(BOOK_WORDS)})
+    low = F.lower("entry")
+    any_of = lambda words: F.greatest(*(F.contains(low, F.lit(w)) for w in words))
+    proceedings = F.col("journal").isNotNull() & F.col("journal").isin(*PROCEEDINGS)
+    kind = F.when(proceedings, "inproceedings").when(F.col("journal").isNotNull(), "article").when(F.col("publisher").isNotNull(), "book").when(F.col("url").isNotNull(), "online")
+    kind = kind.when(any_of(PREPRINTS), "article").when(any_of(PROCEEDINGS), "inproceedings").when(any_of(("transactions", "letters", "ieee access")) | low.rlike(r"\d+\(\d+\)"), "article")
+    return b.withColumn("type", kind)
+
+
+def _form_sql(forms) -> tuple[str, str]:
+    q = lambda p: p.replace("'", "''")
+    got = [f"nullif(regexp_extract(entry, '{q(LOOK_BEHIND[a][1])}({q(p)}){q(LOOK_AHEAD[b][1])}', 1), '')" for a, p, b, _ in forms]
+    labels = [f"CASE WHEN {g} IS NOT NULL THEN '{f[3]}' END" for g, f in zip(got, forms)]
     return f"coalesce({', '.join(got)})", f"coalesce({', '.join(labels)})"
 
 
 def _fields_sql() -> str:
-    cols = ", ".join(f"{_form_sql(f)[0]} AS {n}, {_form_sql(f)[1]} AS {n}_format" for n, f in (("author", AUTHORS), ("date", DATES), ("pages", PAGES)))
-    return f"""(SELECT doc_id, block_id, number, entry, {cols}, nullif(regexp_extract(entry, '(?:doi: ?|https?://doi\\.org/)(10\\.[0-9]+/[^ ,]+)', 1), '') AS doi, nullif(regexp_extract(entry, 'https?://[^ ,)]+', 0), '') AS url,
-        nullif(regexp_extract(entry, 'vol\\. ?([0-9]+)', 1), '') AS volume, nullif(regexp_extract(entry, '\\((?:accessed|dostęp:?) ([^)]+)\\)', 1), '') AS access,
-        CASE WHEN length(entry) - length(replace(entry, ';', '')) > length(entry) - length(replace(entry, ',', '')) THEN ';' WHEN contains(entry, ',') THEN ',' END AS separator FROM bib)"""
+    cols = ", ".join(f"{_form_sql(f)[0]} AS {n}, {_form_sql(f)[1]} AS {n}_format" for n, f in _PLACES)
+    word = lambda words: "nullif(regexp_extract(lower(entry), '(?:^|[^\\p{L}])(" + "|".join(words) + ")(?:$|[^\\p{L}])', 1), '')"
+    any_of = lambda words: "(" + " OR ".join(f"contains(lower(entry), '{w}')" for w in words) + ")"
+    return f"""(SELECT *, CASE WHEN journal IN {PROCEEDINGS} THEN 'inproceedings' WHEN journal IS NOT NULL THEN 'article' WHEN publisher IS NOT NULL THEN 'book' WHEN url IS NOT NULL THEN 'online' WHEN {any_of(PREPRINTS)} THEN 'article' WHEN {any_of(PROCEEDINGS)} THEN 'inproceedings'
+        WHEN {any_of(("transactions", "letters", "ieee access"))} OR regexp_matches(lower(entry), '\\d+\\(\\d+\\)') THEN 'article' END AS type FROM (
+      SELECT * REPLACE (coalesce(pages, bare) AS pages, coalesce(pages_format, bare_format) AS pages_format), nullif(regexp_extract(trim(regexp_replace(trim(substr(entry, length(author) + 1)), '^\\(\\d{{4}}[^\\)]*\\)', '')), '^[.,;:]'), '') AS separator, {word(ARTICLE_WORDS)} AS journal, {word(BOOK_WORDS)} AS publisher
+      FROM (SELECT doc_id, block_id, number, entry, {cols} FROM bib)))"""
 
 
 FIELDS = _fields_sql()
-TYPE = "CASE WHEN volume IS NOT NULL OR contains(lower(entry), 'journal') THEN 'article' WHEN regexp_matches(lower(entry), 'conference|proceedings') THEN 'inproceedings' WHEN regexp_matches(entry, 'Springer|PWN|Press|Wydawnictwo') THEN 'book' WHEN url IS NOT NULL THEN 'online' END"
+TYPE = "type"
 
 
 def typed(c: Corpus) -> DataFrame:
-    low = F.lower("entry")
-    kind = F.when(F.col("volume").isNotNull() | F.contains(low, F.lit("journal")), "article").when(low.rlike("conference|proceedings"), "inproceedings")
-    return fields(c).withColumn("type", kind.when(F.col("entry").rlike("Springer|PWN|Press|Wydawnictwo"), "book").when(F.col("url").isNotNull(), "online"))
+    return fields(c)
+
 
+_SHOWN = ("author", "author_format", "date", "date_format", "pages", "pages_format", "doi", "url", "volume", "access")
 
-@rule("BB01", f"SELECT doc_id, number, author, author_format, date, date_format, pages, pages_format, doi, url, volume, access FROM {FIELDS}")
+
+@rule("BB01", f"SELECT doc_id, number, {', '.join(_SHOWN)} FROM {FIELDS}")
 def entry_fields(c: Corpus) -> DataFrame:
-    return fields(c).select("doc_id", "number", "author", "author_format", "date", "date_format", "pages", "pages_format", "doi", "url", "volume", "access")
+    return fields(c).select("doc_id", "number", *_SHOWN)
+
 
+_ADDRESS = r"https?:\s*//\S+$|www\.\S+$|doi\.org/\S+$"
 
-@rule("BB04", f"SELECT doc_id, number FROM {FIELDS} WHERE NOT regexp_matches(entry, '\\.$|https?://[^ ]+$|10\\.[0-9]+/[^ ]+$')")
+
+@rule("BB04", f"SELECT doc_id, number FROM bib WHERE NOT regexp_matches(trim(entry), '\\.$|{_ADDRESS}')")
 def final_dots(c: Corpus) -> DataFrame:
     """Entries that end neither in a dot nor in an address."""
-    return c.bibliography.where(~F.col("entry").rlike(r"\.$|https?://[^ ]+$|10\.[0-9]+/[^ ]+$")).select("doc_id", "number")
+    return c.bibliography.where(~F.trim("entry").rlike(r"\.$|" + _ADDRESS)).select("doc_id", "number")
 
 
-@rule("BB05", f"SELECT doc_id, number, {TYPE} AS type FROM {FIELDS}")
+@rule("BB05", f"SELECT doc_id, number, type, CASE WHEN type = 'book' THEN NULL ELSE coalesce(journal, CASE WHEN type IN ('article', 'online') THEN publisher END) END AS journal FROM {FIELDS}")
 def entry_types(c: Corpus) -> DataFrame:
-    return typed(c).select("doc_id", "number", "type")
+    """BibTeX types; an article's or a page's publisher is its journal where it has none."""
+    moved = F.coalesce("journal", F.when(F.col("type").isin("article", "online"), F.col("publisher")))
+    return typed(c).select("doc_id", "number", "type", F.when(F.col("type") == "book", None).otherwise(moved).alias("journal"))
 
 
-_MISSING = (("MISSING_AUTHOR", "author IS NULL AND type <> 'online'"), ("MISSING_DATE", "date IS NULL"), ("MISSING_PAGES", "type = 'article' AND pages IS NULL"), ("NO_ACCESS_DATE_OR_DOI", "url IS NOT NULL AND access IS NULL AND doi IS NULL"), ("UNKNOWN_TYPE", "type IS NULL"))
+_PLACE = r"(^|[^\w])(art(icle)?\.?|pp?\.)\s*\d+|(^|[^\w])\d+:\d+($|[^\w])|(^|[^\w])volume\s+\d+|arxiv|preprint|zenodo|biorxiv"
+_BOOKISH = "handbook|synthesis|monograph|textbook|edition|podręcznik|monografia|kompendium"
+_WHOLE = "NOT (type <> 'online' AND (author IS NULL OR date IS NULL))"
+_MISSING = (
+    ("MISSING_OBLIGATORY", "type <> 'online' AND (author IS NULL OR date IS NULL)"), ("MISSING_PUBLISHER", f"{_WHOLE} AND type = 'book' AND publisher IS NULL"),
+    ("MISSING_ONLINE", "type = 'online' AND access IS NULL AND (date IS NULL OR contains(lower(entry), 'wiki'))"), ("MISSING_ARTICLE_OR_BOOK", "type = 'online' AND url IS NULL AND doi IS NULL AND publisher IS NULL"),
+    ("MISSING_PAGES", f"{_WHOLE} AND journal IS NOT NULL AND type IS NOT NULL AND NOT MATCHES(journal, '{_BOOKISH}') AND pages IS NULL AND NOT MATCHES(lower(entry), '{_PLACE}')"),
+    ("NO_ACCESS_DATE_OR_DOI", f"{_WHOLE} AND url IS NOT NULL AND doi IS NULL AND access IS NULL AND type <> 'online'"),
+)
 
 
-@rule("BB07", " UNION ALL ".join(f"SELECT doc_id, number, '{k}' AS problem FROM (SELECT *, {TYPE} AS type FROM {FIELDS}) WHERE {w}" for k, w in _MISSING))
+@rule("BB07", " UNION ALL ".join(f"SELECT doc_id, number, '{k}' AS problem FROM {FIELDS} WHERE type IS NOT NULL AND {w.replace('MATCHES', 'regexp_matches')}" for k, w in _MISSING))
 def missing_fields(c: Corpus) -> DataFrame:
-    """Obligatory fields that an entry of its type lacks: one scan, one row for each."""
-    problems = F.array_compact(F.array(*(F.when(F.expr(w), k) for k, w in _MISSING)))
-    return typed(c).select("doc_id", "number", F.explode(problems).alias("problem"))
-
-
-_DOMINANT = "SELECT doc_id, {v}, arg_min({v}, (-n, first)) OVER (PARTITION BY doc_id) AS main FROM (SELECT doc_id, {v}, count(*) AS n, min(number) AS first FROM {f} WHERE {v} IS NOT NULL GROUP BY ALL)"
-
-
-@rule("BB08", " UNION ALL ".join(f"SELECT f.doc_id, f.number, '{k}' AS problem, f.{v} AS found, d.main AS expected FROM {FIELDS} f JOIN ({_DOMINANT.format(v=v, f=FIELDS)}) d ON d.doc_id = f.doc_id AND d.{v} = f.{v} WHERE f.{v} <> d.main" for k, v in (("SEPARATOR", "separator"), ("AUTHOR_FORMAT", "author_format"), ("DATE_FORMAT", "date_format"), ("PAGES_FORMAT", "pages_format"))))
+    """What an entry of its type lacks: one scan, one row for each. Without author or date nothing else is said of an entry."""
+    quoted = lambda w: w.replace("\\", "\\\\").replace("MATCHES", "regexp_like")
+    problems = F.array_compact(F.array(*(F.when(F.expr(quoted(w)), k) for k, w in _MISSING)))
+    return typed(c).where("type is not null").select("doc_id", "number", F.explode(problems).alias("problem"))
+
+
+# Date formats that count as one.
+SAME_DATES = (("(yyyy)", "yyyy"), ("dd mon yyyy", "dd mies. yyyy"), ("mon yyyy", "mies. yyyy"), ("yyyy-mm-dd", "yyyy.mm.dd", "yyyy/mm/dd"), ("dd month yyyy", "dd miesiąc yyyy"), ("dd.mm.yyyy", "dd/mm/yyyy", "dd-mm-yyyy"))
+_GROUP = "CASE " + " ".join(f"WHEN lower({{x}}) IN {g} THEN '{g[0]}'" for g in SAME_DATES) + " ELSE lower({x}) END"
+_ORDER = ("author", "journal", "volume", "pages", "publisher", "url", "access", "date")
+_ORDERED = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"CASE WHEN length({n}) >= 4 AND strpos(entry, {n}) > 0 THEN {{'at': strpos(entry, {n}), 'name': '{n}'}} END" for n in _ORDER) + "], lambda x: x IS NOT NULL)), lambda x: x['name']), ',')"
+_WITH_ORDER = f"(SELECT *, nullif({_ORDERED}, '') AS field_order FROM {FIELDS})"
+_DOMINANT = "(SELECT doc_id, type, arg_min({v}, (-n, first)) AS main FROM (SELECT doc_id, type, {v}, count(*) AS n, min(number) AS first FROM {f} WHERE {v} IS NOT NULL GROUP BY ALL) GROUP BY doc_id, type)"
+_KINDS = (
+    ("SEPARATOR_COHERENCE", "separator", "f.separator <> d.main"),
+    ("AUTHOR_FORMAT_COHERENCE", "author_format", "f.author_format <> d.main AND f.author_format <> 'Jan Nowak' AND NOT (d.main = 'Jan Nowak' AND f.author_format IN ('Nowak J.', 'Nowak, J.'))"),
+    ("DATE_FORMAT_COHERENCE", "date_format", _GROUP.format(x="f.date_format") + " <> " + _GROUP.format(x="d.main")),
+)
+_COMMON = "list_filter(string_split({a}, ','), lambda x: list_contains(string_split({b}, ','), x))"
+
+
+@rule("BB08", " UNION ALL ".join(f"SELECT f.doc_id, f.number, '{k}' AS problem, f.{v} AS found, d.main AS expected FROM {_WITH_ORDER} f JOIN {_DOMINANT.format(v=v, f=_WITH_ORDER)} d ON d.doc_id = f.doc_id AND d.type IS NOT DISTINCT FROM f.type WHERE {w}" for k, v, w in _KINDS) + f" UNION ALL SELECT f.doc_id, f.number, 'WRONG_ORDER_ISO', f.field_order, d.main FROM {_WITH_ORDER} f JOIN {_DOMINANT.format(v='field_order', f=_WITH_ORDER)} d ON d.doc_id = f.doc_id AND d.type IS NOT DISTINCT FROM f.type WHERE {_COMMON.format(a='f.field_order', b='d.main')} <> {_COMMON.format(a='d.main', b='f.field_order')}")
 def coherence(c: Corpus) -> DataFrame:
-    """Entries whose form of a field isn't the document's most frequent one; the form of the smallest number wins ties."""
-    f, out = fields(c), None
-    for k, v in (("SEPARATOR", "separator"), ("AUTHOR_FORMAT", "author_format"), ("DATE_FORMAT", "date_format"), ("PAGES_FORMAT", "pages_format")):
-        some = f.where(F.col(v).isNotNull())
-        main = dominant(some, ["doc_id"], v, ["number"], "expected").select("doc_id", "expected")
-        bad = some.join(main, "doc_id").where(F.col(v) != F.col("expected")).select("doc_id", "number", F.lit(k).alias("problem"), F.col(v).alias("found"), "expected")
+    """Entries whose separator, form of names or of dates, or order of fields isn't the most frequent one of the document's entries of their type; the first wins ties."""
+    f, out = ordered_fields(c), None
+    both = f.select("doc_id", "number", "type", *(v for _, v, _ in _KINDS), "field_order")
+    for k, v, test in (*_KINDS, ("WRONG_ORDER_ISO", "field_order", None)):
+        main = dominant(both.where(F.col(v).isNotNull()), ["doc_id", "type"], v, ["number"], "main").select(F.col("doc_id").alias("d_id"), F.col("type").alias("d_type"), "main")
+        j = both.alias("f").join(main.alias("d"), (F.col("f.doc_id") == F.col("d.d_id")) & F.col("f.type").eqNullSafe(F.col("d.d_type")))
+        if test is None:
+            common = lambda a, b: F.filter(F.split(a, ","), lambda x: F.array_contains(F.split(b, ","), x))
+            bad = j.where(common(F.col("field_order"), F.col("main")) != common(F.col("main"), F.col("field_order")))
+        else:
+            bad = j.where(F.expr(test))
+        bad = bad.select("doc_id", "number", F.lit(k).alias("problem"), F.col(v).alias("found"), F.col("main").alias("expected"))
         out = bad if out is None else out.unionByName(bad)
     return out
 
 
-_ORDER = ("author", "date", "pages", "doi", "url")
+def ordered_fields(c: Corpus) -> DataFrame:
+    at = [F.when((F.length(n) >= 4) & (F.instr("entry", F.col(n)) > 0), F.struct(F.instr("entry", F.col(n)).alias("at"), F.lit(n).alias("name"))) for n in _ORDER]
+    order = F.array_join(F.transform(F.array_sort(F.array_compact(F.array(*at))), lambda s: s["name"]), ",")
+    return fields(c).withColumn("field_order", F.nullif(order, F.lit("")))
 
 
-@rule("BB09", "SELECT doc_id, number, array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"CASE WHEN length({n}) >= 4 THEN {{'at': strpos(entry, {n}), 'name': '{n}'}} END" for n in _ORDER) + f"], lambda x: x IS NOT NULL)), lambda x: x['name']), ',') AS field_order FROM {FIELDS}")
+@rule("BB09", f"SELECT doc_id, number, field_order FROM {_WITH_ORDER}")
 def field_order(c: Corpus) -> DataFrame:
     """Names of the fields of four characters or more in the order of their first position."""
-    at = [F.when(F.length(n) >= 4, F.struct(F.instr("entry", F.col(n)).alias("at"), F.lit(n).alias("name"))) for n in _ORDER]
-    return fields(c).select("doc_id", "number", F.array_join(F.transform(F.array_sort(F.array_compact(F.array(*at))), lambda s: s["name"]), ",").alias("field_order"))
+    return ordered_fields(c).select("doc_id", "number", "field_order")
 
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -417,8 +577,9 @@ def complete_sql() -> None:
     from quire.plans.catalog import ART_TITLES, OTHER_CHAPTERS
     from quire.plans.oracles import _any
 
+    personal = f"(SELECT 1 FROM (SELECT unnest(regexp_extract_all(content, '[^.!?]+[.!?]+')) AS s FROM blocks) WHERE length(s) >= 15 AND regexp_matches(lower(s), '{FIRST_PERSON}'))"
     art = f"(SELECT *, {_any('lower(title)', ART_TITLES['en'])} AS named FROM section_cites WHERE n_chars >= 200 AND NOT {_any('lower(title)', OTHER_CHAPTERS['en'])})"
-    patterns = {**DASHES, "quotes": '"[^"]*"', "numeric": r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"}
+    patterns = {**DASHES, "hyphen_plain": r"\s-\s|\s-(?:[^\d\s]|$)|-\s", "comma": r"[0-9]+,(?:[0-9]{4,}|[0-9]{1,2})(?:[^0-9]|$)", "quotes": '"[^"]*"', "numeric": r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"}
     for k, v in ORACLES.items():
-        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art)
+        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art).replace("{personal}", personal).replace("{bibtex}", f"({ORACLES['BB06']})")
         ORACLES[k] = re.sub(r"\{spans:(\w+)\}", lambda m: _spans(patterns[m[1]]), v)

@@ -25,13 +25,13 @@ PER_LINE, PER_PAGE = 12, 40
 SNIPPETS = (
     ("1.1 Methods and data", "The value 3.14 was measured [1, 3-4] and 2.5% of cases [9].", "See section 2.1 for details - it matters."),
     ("1.2 Results", "Optical Character Recognition (OCR) is used. OCR and NLP and XML are common.", "NLP – Natural Language Processing"),
-    ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9", "[7] B. Lis, A short note, vol. 2, 2018"),
-    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4"),
+    ("Bibliography", "[1] J. Nowak, A. Kowalski, Deep parsing of text and of all that is written around it in tables and in lists, Springer, 2019, pp. 12-34.", "[2] Smith J., Query plans, Journal of Data, vol. 3, 2020-05-01, doi: 10.1000/xyz123", "[3] https://example.org/page (accessed 2021-03-04)", "[5] A. Kowalski; Plans; PWN; 2020, s. 5-9", "[7] B. Lis, A short note, vol. 2, 2018", "[8] K. Zet, Second note, Journal of Plans, 4(2), pp. 1-9, (2019).", "[9] Nowak, J., Third note, Review of Data, 12 May 2021, pp. 3-4", "[10] Lis A. Pages 5-9, Annual of Joins. 2020", "[11] B. Lis, On plans, arXiv preprint, 2021/02/03."),
+    ("Table of contents", "1.1 Methods ........ 3", "1.2 Results ........ 5", "2 Summary ........ 4", "Nothing else is listed.", "Figure 3. Scheme of the parts"),
     ("- first item;", "- second item;", "- Third item.", "a) alpha", "b) beta;"),
     ("Figure 2.1. Plan of the engine. Source: own work", "As shown in fig. 2.1 the plan holds.", "Table 3. Costs"),
     ("Range 10 - 20 and 1990–1995, word—word, a - b.", "An em dash — and an en dash – here."),
     ("Keywords: plans, joins", "Cost was 1,5 or 1,500 and 12,25 kg.", 'The "quoted 3.5 part" stays.'),
-    ("2 State of the art", "Earlier work (Smith, 2019) and [ABC12] and (Nowak 55) show [2] and [3].", "2.1 Summary"),
+    ("2 State of the art", "Earlier work (Smith, 2019) and [ABC12] and (Nowak 55) show [2] and [3].", "Most engines read their tables whole; a few, since the survey of [Kim and Lee 2015], keep an index of what they met before, and we follow them: the index is small, and our tables are not.", "2.1 Summary"),
     ("Therefore the rys. 4 and Figure 12a.", "Zażółć gęślą jaźń 7.5 °C, 30 zł 2.50.", "x"),
     ("List of tables", "Table 1 Costs of the ........ 1", "Table 2 Long title that goes-", "on for a while ........ 2", "Table 3 Costs ........ 9"),
     ("Table of figures", "Figure 1 Plan ........ 0", "Figure 2 An engine and", "its parts ........ 4", "List of tables of another kind"),
@@ -293,3 +293,26 @@ STORED = ("documents", "blocks", "placed", "words", "pages", "visuals")
 def read_corpus(spark: SparkSession, path: str, sf_dir: str = "") -> Corpus:
     """The corpus that ``Corpus.write`` stored below path."""
     return Corpus(spark, sf_dir, **{name: spark.read.parquet(f"{path}/{name}.parquet") for name in STORED})
+
+
+def corpus_of_words(spark: SparkSession, words: DataFrame, **tables: DataFrame) -> Corpus:
+    """A corpus of extracted words (as ``quire.sources.layout`` reads them): blocks and their places come from the words, pages, visuals and others as given.
+
+    Without pages, these are as large as A4; without visuals there are none.
+    """
+    c = Corpus(spark, **tables)
+    order = block_window().orderBy("word_index")
+    start = F.coalesce("start_char", _before(F.length("text") + 1, order).cast("int"))
+    w = words.withColumn("start_char", start).withColumn("end_char", F.coalesce("end_char", F.col("start_char") + F.length("text")))
+    c.__dict__["words"] = w.withColumns({"bold": F.coalesce("bold", F.lit(False)), "italic": F.coalesce("italic", F.lit(False))})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda s: s["text"]), " ")
+    blocks = c.words.groupBy("doc_id", "block_id").agg(text.alias("content"), F.count("*").cast("int").alias("n_words"), F.countDistinct("page", "line").cast("int").alias("n_lines"), F.min(F.struct("page", "line")).alias("at"))
+    c.__dict__["placed"] = blocks.select("doc_id", "block_id", "content", "n_words", "n_lines", (F.col("at.page") * PER_PAGE + F.col("at.line")).alias("first_line"))
+    c.__dict__["blocks"] = c.placed.select("doc_id", "block_id", "content")
+    if "pages" not in tables:
+        box = c.words.groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        c.__dict__["pages"] = box.select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), "x0", "y0", "x1", "y1")
+    if "visuals" not in tables:
+        none = "doc_id bigint, page int, kind string, image_type string, vx0 double, vy0 double, vx1 double, vy1 double, px_width int"
+        c.__dict__["visuals"] = spark.createDataFrame([], none)
+    return c

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,14 @@ def replace(index: DataFrame, rows: DataFrame, key: str, column: str) -> DataFra
 def listed(index: DataFrame, part: str, order: list[str], name: str = "file_name") -> DataFrame:
     """Rows whose name contains a part, in any case, in order."""
     return index.where(F.contains(F.lower(name), F.lit(part.lower()))).orderBy(*order)
+
+
+def figure_files(visuals: DataFrame) -> DataFrame:
+    """Visuals (doc_id, page, box, bytes) with the path of the file that each is to be written to; a page's figures are numbered from the top."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("vy0", "vx0")) - 1
+    return visuals.withColumn("__n", n).withColumn("path", F.format_string("images/%d_p%d_%d.png", "doc_id", "page", "__n")).drop("__n")
+
+
+def write_figures(visuals: DataFrame, folder: str) -> None:
+    """Writes path and bytes of every figure as a table, whose folder is emptied before."""
+    figure_files(visuals).select("path", "bytes").write.mode("overwrite").parquet(folder)
