@@ -49,7 +49,7 @@ MIN_SUPPORT, MOST_CLEAN, BY_CHANCE, FOLDS = 5, 0.02, 0.5, 5
 MARKING, BEGINNINGS, ENDINGS, MET = (4, 5, 6, 7), (3, 4, 5, 6, 7), (2, 3), 3
 ROUNDS, RIDGE = 100, 1e-5
 #: Words whose weights a worker keeps before it begins anew, tokens scored at once, and tokens of a block.
-KNOWN_WORDS, CHUNK, BLOCK = 100_000, 50_000, 64
+KNOWN_WORDS, CHUNK, BLOCK = 250_000, 50_000, 64
 #: Added to the exponent, so that all texts without a suspicious token score alike.
 FLOOR = 0.01
 #: Bytes of text that are Python objects at once.
@@ -398,7 +398,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pd.DataFrame({"k": pdf["__k"].astype(str), "y": pdf["__y"].astype("int32"), "w": [" ".join(" ".join(w) + "\n" for w in windows(t)) for t in pdf["__t"]]})
 
     rows = sorted(texts.select(F.col("__k").cast("string"), "__y", "__t").mapInPandas(sampled, "k string, y int, w string").collect())
-    chain = train([([w.split() for w in r["w"].split("\n") if w.strip()], r["y"]) for r in rows])
+    one: dict[str, str] = {}  # each word once
+    chain = train([([[one.setdefault(t, t) for t in w.split()] for w in r["w"].split("\n") if w.strip()], r["y"]) for r in rows])
+    del rows, one
     if chain.weights:
 
         def judged(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
