@@ -323,11 +323,15 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def plans() -> dict[str, Callable[[Corpus], DataFrame]]:
+    """All plans over a corpus, by id."""
     from quire.plans import captions as _, details, inputs, rules  # noqa: F401  they add to RULES
-
     from quire.plans import models
 
     python = {"SCL38": lambda c: models.overlapping_chunks(c.texts), "BB02": lambda c: models.authors(c.bibliography)}
+    return {**CATALOG, **rules.RULES, **python}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda plan, spark, sf_dir: plan(Corpus(spark, sf_dir))
-    return {k: partial(run, plan) for k, plan in {**CATALOG, **rules.RULES, **python}.items()}
+    return {k: partial(run, plan) for k, plan in plans().items()}

@@ -369,7 +369,9 @@ def first_form(text: Column, forms) -> tuple[Column, Column]:
 
 def all_dates(text: Column, most: int = 3) -> Column:
     """array<struct<text, start, stop, format>>: up to three dates that begin in no earlier one, form after form."""
-    each = [F.transform(F.coalesce(spans(text, LOOK_BEHIND[a][0] + p + LOOK_AHEAD[b][0]), F.array().cast("array<struct<text:string,start:int,stop:int>>")), lambda s, n=n: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(n).alias("format"))) for a, p, b, n in DATES]
+    named = lambda n: lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(n).alias("format"))
+    found = lambda a, p, b: F.coalesce(spans(text, LOOK_BEHIND[a][0] + p + LOOK_AHEAD[b][0]), F.array().cast("array<struct<text:string,start:int,stop:int>>"))
+    each = [F.transform(found(a, p, b), named(n)) for a, p, b, n in DATES]
     none = F.array().cast("array<struct<text:string,start:int,stop:int,format:string>>")
     taken = lambda out, s: (F.size(out) >= most) | F.exists(out, lambda o: (o["start"] <= s["start"]) & (s["start"] < o["stop"]))
     return F.aggregate(F.concat(*each), none, lambda out, s: F.when(taken(out, s), out).otherwise(F.concat(out, F.array(s))))

@@ -64,6 +64,12 @@ def blocks_of(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_id", "content")).where(F.trim("content") != "")
 
 
+def placed_of(blocks: DataFrame) -> DataFrame:
+    b = blocks.withColumn("n_words", F.size(F.filter(F.split("content", " ", -1), lambda w: w != "")))
+    b = b.withColumn("n_lines", F.ceil(F.col("n_words") / PER_LINE).cast("int"))
+    return b.withColumn("first_line", _before(F.col("n_lines"), doc_window().orderBy("block_id")).cast("int"))
+
+
 def words_of(blocks: DataFrame, *carried: str) -> DataFrame:
     """(doc_id, block_id, carried.., word_index, text, start_char, end_char): the space-separated words of each block, with their offsets.
 
@@ -206,15 +212,13 @@ class Corpus:
     @cached_property
     def placed(self) -> DataFrame:
         """Blocks with n_words, n_lines and first_line, counted over the document."""
-        n = F.size(F.filter(F.split("content", " ", -1), lambda w: w != ""))
-        b = self.blocks.withColumn("n_words", n)
-        b = b.withColumn("n_lines", F.ceil(F.col("n_words") / PER_LINE).cast("int"))
-        return b.withColumn("first_line", _before(F.col("n_lines"), doc_window().orderBy("block_id")).cast("int"))
+        return placed_of(self.blocks)
 
     @cached_property
     def words(self) -> DataFrame:
         """Words with page, line on the page, box and style. Short blocks are set bold in 14 points; each 17th word is italic."""
-        w = words_of(self.placed, "n_words", "first_line")
+        # dealt before they are exploded, whichever columns a query reads: words are never shuffled
+        w = words_of(placed_of(self.blocks.repartition("doc_id")), "n_words", "first_line")
         at = F.col("first_line") + F.floor(F.col("word_index") / PER_LINE)
         heading = F.col("n_words") < 6
         x0, y0 = (72 + F.col("word_index") % PER_LINE * 36).cast("double"), (72 + F.col("line") * 16).cast("double")

@@ -64,7 +64,7 @@ def test_threshold_is_strict(spark):
     assert df.where("cosine < 0.785").count() == 2
 
 
-@pytest.mark.parametrize(("text", "want"), [("1. a", "number_with_dot"), ("12) a", "number_with_bracket"), ("a) b", "letter_with_bracket"), ("• x", "bullet"), ("– x", "dash"), ("[3] x", "number_in_brackets"), ("7 x", "listing"), ("plain", None)])
+@pytest.mark.parametrize(("text", "want"), [("1. a", "number_with_dot"), ("12) a", "number_with_bracket"), ("a) b", "letter_with_bracket"), ("● x", "bullet"), ("– x", "dash"), ("[3] x", "number_in_brackets"), ("7 x", "listing"), ("plain", None)])
 def test_markers(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.marker(F.col("t")).alias("m")).first().m == want
 

@@ -63,7 +63,8 @@ def test_models(spark):
     reply = lambda ts: [json.dumps({"score": 100}) if t.startswith("Summary") else f"hm {json.dumps({'score': 50})} {len(t)}" for t in ts]
     assert {r.doc_id: r.score for r in models.goal_scores(texts, lambda: reply).collect()} == {1: 100, 2: 50}
     figures = spark.createDataFrame([(1, "2", "img")], "doc_id long, figure string, image string")
-    assert models.chart_findings(figures, lambda: lambda x: ['{"missing_units": true, "title_inside": false}'] * len(x)).first().problems == ["axis without a unit"]
+    said = '{"is_actual_chart_with_axes": true, "has_axis_units": false, "embedded_title": false, "is_polish": true}'
+    assert models.chart_findings(figures, lambda: lambda x: [said] * len(x)).first().problems == "axis without a unit"
 
 
 def test_overlapping_chunks_cover_the_text(spark):
