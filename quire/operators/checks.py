@@ -60,10 +60,13 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words"), F.min("page").alias("page"))
 
 
-def merged_headings(placed: DataFrame) -> DataFrame:
-    """Runs of directly following short blocks as one heading."""
-    h = placed.withColumn("is_heading", F.col("n_words") < 6).withColumn("r", F.row_number().over(doc_window().orderBy("block_id")))
-    h = h.where("is_heading").withColumn("island", F.col("r") - F.row_number().over(doc_window().orderBy("block_id")))
+def merged_headings(placed: DataFrame, words: DataFrame) -> DataFrame:
+    """Runs of directly following short blocks of one font, whose sizes differ by less than a point from one to the next, as one heading."""
+    first = words.groupBy("doc_id", "block_id").agg(F.min_by(F.struct("font", "size"), "word_index").alias("style"))
+    order = doc_window().orderBy("block_id")
+    h = placed.withColumn("r", F.row_number().over(order)).where("n_words < 6").join(first, ["doc_id", "block_id"])
+    same = (F.col("r") == F.lag("r").over(order) + 1) & (F.col("style.font") == F.lag("style.font").over(order)) & (F.abs(F.col("style.size") - F.lag("style.size").over(order)) < 1.0)
+    h = h.withColumn("new", F.coalesce((~same).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "content"))), lambda s: s["content"]), " ")
     return h.groupBy("doc_id", "island").agg(F.min("block_id").alias("block_id"), F.count("*").alias("parts"), text.alias("title")).drop("island")
 
@@ -290,11 +293,13 @@ def matched(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataF
 
 
 def selected_text(words: DataFrame, page: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    """The text under a rectangle of a page, in reading order."""
+    """The text under a rectangle of a page, line by line; a line that says what the one above says is left out."""
     box = intersect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
     w = words.where((F.col("page") == page) & box)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x0", "block_id", "text"))), lambda s: s["text"]), " ")
-    return w.groupBy("doc_id").agg(text.alias("text"))
+    joined = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda s: s["text"]), " ")
+    lines = w.groupBy("doc_id", "line").agg(joined("x0", "block_id", "word_index").alias("text"))
+    lines = lines.withColumn("before", F.lag("text").over(doc_window().orderBy("line"))).where("before is null or before <> text")
+    return lines.groupBy("doc_id").agg(joined("line").alias("text"))
 
 
 # ---- aggregates ------------------------------------------------------------------------------

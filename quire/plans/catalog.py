@@ -147,10 +147,19 @@ def figure_reports(c: Corpus) -> DataFrame:
     return K.reports(dpi, v.where("image_type = 'raster' and kind = 'image'").select("doc_id", F.col("page").alias("figure"), F.lit("raster").alias("vision_reason")))
 
 
-def matching(c: Corpus) -> DataFrame:
-    order = F.struct("word_index", "block_id")
-    p = c.tokens.where("word_index < 5").select("doc_id", "text", order.alias("pid"))
-    return K.matched(p, c.tokens.where("word_index between 2 and 7").select("doc_id", "text", order.alias("eid")), ["doc_id", "text"])
+def matching(c: Corpus, predicted: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Findings (doc_id, category, block_id, words) against expected ones, one to one; words is the sorted set of word numbers. Numbers with a dot or comma against those with a dot stand in."""
+    predicted = findings_of(c, NUMBER) if predicted is None else predicted
+    expected = findings_of(c, r"[0-9]+\.[0-9]+") if expected is None else expected
+    key = ["doc_id", "category", "block_id", "words"]
+    return K.matched(predicted.select(*key, F.lit(0).alias("pid")), expected.select(*key, F.lit(0).alias("eid")), key)
+
+
+def findings_of(c: Corpus, pattern: str) -> DataFrame:
+    m = matches(c, pattern).select(F.col("doc_id").alias("d"), F.col("block_id").alias("b"), "start", "stop")
+    w = c.words.join(m, (F.col("doc_id") == F.col("d")) & (F.col("block_id") == F.col("b")) & (F.col("start") < F.col("end_char")) & (F.col("stop") > F.col("start_char")))
+    words = F.array_join(F.array_sort(F.collect_set("word_index")), ",")
+    return w.groupBy("doc_id", "block_id", "start").agg(words.alias("words")).withColumn("category", F.lit("DECIMAL"))
 
 
 def purpose_similarity(c: Corpus) -> DataFrame:
@@ -302,7 +311,7 @@ CATALOG: dict[str, Callable[[Corpus], DataFrame]] = {
     "WN03": lambda c: K.shoemakers(c.words),
     "WN04": lambda c: K.paragraphs(c.lines),
     "WN06": lambda c: c.placed.withColumn("section", F.sum((F.col("n_words") < 6).cast("int")).over(doc_window().orderBy("block_id"))).groupBy("doc_id", "section").agg(F.count("*").alias("n_blocks")),
-    "WN07": lambda c: K.merged_headings(c.placed),
+    "WN07": lambda c: K.merged_headings(c.placed, c.words),
     "WN09": lambda c: K.page_order(c.toc),
     "WN10": lambda c: K.rivers(c.lines, c.words),
     "WN12": lambda c: K.regions(c.blocks, "^(bibliography|references|bibliografia)", "opened").select("doc_id", "block_id"),

@@ -92,13 +92,6 @@ def minimal_scan(c: Corpus) -> DataFrame:
     return p.unionByName(c.visuals.where("kind = 'image'").select("doc_id", "kind", F.col("page").alias("id")))
 
 
-@rule("SRC18", "SELECT doc_id, count(*) AS n FROM tokens WHERE lower(text) IN ('the', 'of', 'and', 'le', 'de', 'der', 'die', 'los', 'las') GROUP BY doc_id")
-def whitelisted(c: Corpus) -> DataFrame:
-    """Words of a fixed list, which is broadcast."""
-    words = F.broadcast(c.spark.range(1).select(F.explode(F.array(*map(F.lit, ("the", "of", "and", "le", "de", "der", "die", "los", "las")))).alias("w")))
-    return c.tokens.join(words, F.lower("text") == F.col("w"), "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @rule("SRC20", f"""SELECT doc_id, block_id, CASE WHEN regexp_matches(lower(content), '^(keywords|key words|słowa kluczowe)') THEN 'keywords' WHEN regexp_matches(trim(content), '{S.ACRONYM_LINE}') THEN 'acronyms' WHEN regexp_matches(content, '\\.{{4,}} *[0-9]+$') THEN 'toc'
     WHEN regexp_matches(content, '^(?:Figure|Fig\\.|Rys\\.) ?[0-9]') THEN 'image_description' WHEN regexp_matches(content, '^(?:Table|Tabela) ?[0-9]') THEN 'table_description' WHEN regexp_matches(content, '^([-–—•] |[0-9]{{1,3}}\\) |[a-z]\\) |\\[[0-9]+\\] )') THEN 'list' WHEN n_words < 6 THEN 'heading' ELSE 'paragraph' END AS type FROM placed""")
 def logical_blocks(c: Corpus) -> DataFrame:
@@ -134,13 +127,47 @@ def index(c: Corpus) -> DataFrame:
     return insert_absent(kept, c.documents.where("doc_id % 2 = 1 or doc_id % 7 <> 0").select("doc_id", F.lit("new").alias("state")), "doc_id")
 
 
+@rule("SRC18", "SELECT doc_id, count(*) AS n FROM tokens WHERE lower(text) IN ('the', 'of', 'and', 'le', 'de', 'der', 'die', 'los', 'las') GROUP BY doc_id")
+def whitelisted(c: Corpus, path: str | None = None) -> DataFrame:
+    """Words of a list: a text file with a word a line, or a few words; Spark broadcasts the list where its size allows."""
+    few = c.spark.range(1).select(F.explode(F.array(*map(F.lit, ("the", "of", "and", "le", "de", "der", "die", "los", "las")))).alias("w"))
+    words = few if path is None else c.spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> ''").distinct()
+    return c.tokens.join(words, F.lower("text") == F.col("w"), "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_JSON = """'{"doc_id":' || doc_id || ',"category":"' || category || '"' || coalesce(',"block_id":' || block_id, '') || coalesce(',"page":' || page, '') || coalesce(',"text":' || to_json(text), '') || '}'"""
+_SOME = f"(SELECT {as_finding('orientation', page='page')} FROM sheets WHERE height < width UNION ALL SELECT {as_finding('raster_image', page='page')} FROM visuals WHERE kind = 'image' AND image_type = 'raster' UNION ALL SELECT {as_finding('bastard', 'block_id', 'page')} FROM ({R._PARTS}) WHERE a < z AND page = z AND n_lines <= 2 UNION ALL SELECT {as_finding('widow', 'block_id', text='text')} FROM ({R._WIDOW}) WHERE ls[-1] <> ls[-2] OR ls[-2] <> ls[-3])"
+
+
+def some_findings(c: Corpus) -> DataFrame:
+    """Findings on pages, blocks and words."""
+    return R.wrong_orientation(c).unionByName(R.raster(c)).unionByName(R.bastards(c)).unionByName(R.widows(c))
+
+
+@rule("SNK01", f"SELECT {_JSON} AS json FROM {_SOME}")
+def findings_json(c: Corpus) -> DataFrame:
+    """A JSON object for each finding; what it lacks is left out."""
+    return some_findings(c).select(F.to_json(F.struct("doc_id", "category", "block_id", "page", "text")).alias("json"))
+
+
 # ---- scalars ---------------------------------------------------------------------------------
 
 
-@rule("SCL02", "SELECT doc_id, block_id, regexp_replace(replace(replace(content, '´o', 'ó'), '˙z', 'ż'), ' ([ąĄęĘ])', '\\1', 'g') AS joined FROM blocks")
+_COMPOSED = S.LATEX[:16]
+
+
+def _composed_sql(x: str) -> str:
+    for a, b in _COMPOSED:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@rule("SCL02", f"SELECT doc_id, block_id, regexp_replace({_composed_sql('content')}, ' ([ąĄęĘ])', '\\1', 'g') AS joined FROM blocks")
 def joined_spans(c: Corpus) -> DataFrame:
-    """Spacing diacritics composed, and words that begin with an ogonek letter glued to the word before."""
-    t = F.replace(F.replace("content", F.lit("´o"), F.lit("ó")), F.lit("˙z"), F.lit("ż"))
+    """Spacing diacritics composed with the letter behind them, and parts that begin with an ogonek letter glued to the part before."""
+    t = F.col("content")
+    for a, b in _COMPOSED:
+        t = F.replace(t, F.lit(a), F.lit(b))
     return c.blocks.select("doc_id", "block_id", F.regexp_replace(t, " ([ąĄęĘ])", "$1").alias("joined"))
 
 
@@ -286,14 +313,41 @@ def item_separators(c: Corpus) -> DataFrame:
     return R.fields(c).select("doc_id", "number", "separator")
 
 
-@rule("AG10", "SELECT doc_id, arg_min(e, (-n, e)) AS ending FROM (SELECT doc_id, substr(content, -1) AS e, count(*) AS n FROM blocks GROUP BY ALL) GROUP BY doc_id")
+_CHUNKS = "(SELECT doc_id, i - 1 AS chunk, substr(text, CAST((i - 1) * 2500 + 1 AS BIGINT), 2500) AS piece FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 2500.0) AS BIGINT))) AS i FROM deco))"
+
+
+def _marker_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in S.MARKERS) + " END"
+
+
+_ITEMS = f"(SELECT *, r - row_number() OVER (PARTITION BY doc_id, marker ORDER BY block_id) AS g FROM (SELECT *, {_marker_sql('trim(content)')} AS marker, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM blocks) WHERE marker IS NOT NULL)"
+
+
+def list_items(c: Corpus) -> DataFrame:
+    """Items (doc_id, block_id, content, marker, list): blocks of one marker that follow each other are a list, named by its first block."""
+    b = c.blocks.withColumn("marker", S.marker(F.col("content"))).withColumn("r", F.row_number().over(doc_window().orderBy("block_id"))).where("marker is not null")
+    b = b.withColumn("g", F.col("r") - F.row_number().over(Window.partitionBy("doc_id", "marker").orderBy("block_id")))
+    return b.withColumn("list", F.min("block_id").over(Window.partitionBy("doc_id", "marker", "g"))).select("doc_id", "block_id", "content", "marker", "list")
+
+
+@rule("AG10", f"SELECT doc_id, list, arg_min(e, (-n, e)) AS ending, sum(n) AS items FROM (SELECT doc_id, list, substr(trim(content), -1) AS e, count(*) AS n FROM (SELECT *, min(block_id) OVER (PARTITION BY doc_id, marker, g) AS list FROM {_ITEMS}) GROUP BY ALL) GROUP BY doc_id, list")
 def endings(c: Corpus) -> DataFrame:
-    """The most frequent last character; the smallest of equally frequent ones."""
-    n = c.blocks.groupBy("doc_id", F.right("content", F.lit(1)).alias("e")).agg(F.count("*").alias("n"))
-    return n.groupBy("doc_id").agg(F.min_by("e", F.struct((-F.col("n")).alias("n"), "e")).alias("ending"))
+    """The most frequent last character of each list's items; the smallest of equally frequent ones."""
+    n = list_items(c).groupBy("doc_id", "list", F.right(F.trim("content"), F.lit(1)).alias("e")).agg(F.count("*").alias("n"))
+    return n.groupBy("doc_id", "list").agg(F.min_by("e", F.struct((-F.col("n")).alias("n"), "e")).alias("ending"), F.sum("n").alias("items"))
 
 
-_CHUNKS = "(SELECT doc_id, i - 1 AS chunk, substr(text, CAST((i - 1) * 2500 + 1 AS BIGINT), 2500) AS piece FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 2500.0) AS BIGINT))) AS i FROM deco))"
+@rule("LG01", f"""SELECT doc_id, block_id, contents, CASE WHEN regexp_matches(lower(contents), '{S.POLISH}') THEN 'pl' ELSE 'en' END AS language FROM (SELECT doc_id, list AS block_id, string_agg(content, ' ' ORDER BY block_id) AS contents, max(last) AS last FROM (SELECT i.doc_id, i.block_id, i.content, min(i.block_id) OVER (PARTITION BY i.doc_id, marker, g) AS list, last FROM {_ITEMS} i JOIN (SELECT doc_id, block_id, max(page) AS last FROM boxes GROUP BY ALL) p ON p.doc_id = i.doc_id AND p.block_id = i.block_id) GROUP BY doc_id, list
+    UNION ALL SELECT b.doc_id, b.block_id, content, last FROM blocks b JOIN (SELECT doc_id, block_id, max(page) AS last FROM boxes GROUP BY ALL) p ON p.doc_id = b.doc_id AND p.block_id = b.block_id WHERE {_marker_sql('trim(content)')} IS NULL) WHERE last > 1""")
+def contexts(c: Corpus) -> DataFrame:
+    """Paragraphs and lists (their items joined) that end past the first two pages, with their language."""
+    last = c.boxes.groupBy("doc_id", "block_id").agg(F.max("page").alias("last"))
+    items = list_items(c).join(last, ["doc_id", "block_id"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "content"))), lambda s: s["content"]), " ")
+    lists = items.groupBy("doc_id", "list").agg(text.alias("contents"), F.max("last").alias("last")).withColumnRenamed("list", "block_id")
+    plain = c.blocks.where(S.marker(F.col("content")).isNull()).join(last, ["doc_id", "block_id"]).select("doc_id", "block_id", F.col("content").alias("contents"), "last")
+    both = lists.unionByName(plain).where("last > 1")
+    return both.select("doc_id", "block_id", "contents", F.when(S.is_polish(F.col("contents")), "pl").otherwise("en").alias("language"))
 
 
 @rule("AG16", f"SELECT doc_id, CAST(bool_or(contains(lower(piece), 'section')) AS INTEGER) + CAST(bool_or(contains(lower(piece), 'results')) AS INTEGER) + CAST(bool_or(regexp_matches(piece, '\\[[0-9]')) AS INTEGER) AS points FROM {_CHUNKS} GROUP BY doc_id")
@@ -359,17 +413,29 @@ def one_per_figure(c: Corpus) -> DataFrame:
     return _captions(c).groupBy("doc_id", "figure").agg(F.min_by("block_id", order).alias("block_id"))
 
 
-@rule("SL04", "SELECT doc_id, array_to_string(list(text ORDER BY page, line)[1:3], chr(10)) AS head FROM lines WHERE page < 15 GROUP BY doc_id")
-def heads(c: Corpus) -> DataFrame:
-    """The first three lines of a document's first 15 pages."""
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), 1, 3)
-    return c.lines.where("page < 15").groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda s: s["text"]), "\n").alias("head"))
+_PAGES_SEEN, _FOOTER_PAGES, _CHUNKS_SEEN, _CHARS_SEEN = 15, 10, 40, 4000
+
+
+@rule("SL04", "SELECT d.doc_id, coalesce(a, 0) AS contents_pages, coalesce(b, 0) AS heading_pages, least(40, CAST(ceil(length(text) / 2500.0) AS BIGINT)) AS chunks, left(replace(text, chr(10), ' '), 4000) AS fragment FROM deco d LEFT JOIN (SELECT doc_id, count(*) FILTER (page < 15) AS a, count(*) FILTER (page <= 10) AS b FROM sheets GROUP BY doc_id) p USING (doc_id)")
+def limits(c: Corpus) -> DataFrame:
+    """What limited operators see of a document: pages for the contents and for headings, chunks, and the fragment given to a model."""
+    p = c.pages.groupBy("doc_id").agg(F.count(F.when(F.col("page") < _PAGES_SEEN, 1)).alias("contents_pages"), F.count(F.when(F.col("page") <= _FOOTER_PAGES, 1)).alias("heading_pages"))
+    t = c.texts.select("doc_id", F.least(F.lit(_CHUNKS_SEEN).cast("long"), F.ceil(F.length("text") / 2500)).alias("chunks"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(_CHARS_SEEN)).alias("fragment"))
+    return t.join(p, "doc_id", "left").select("doc_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("contents_pages", "heading_pages")), "chunks", "fragment")
 
 
-@rule("SL05", "SELECT doc_id, string_agg(title, '|' ORDER BY page, title) AS titles FROM toc GROUP BY doc_id")
-def sorted_titles(c: Corpus) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("page", "title")))
-    return c.toc.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda s: s["title"]), "|").alias("titles"))
+@rule("SL05", """SELECT w.doc_id, words, lines, coalesce(titles, '') AS titles, coalesce(figures, '') AS figures FROM (SELECT doc_id, array_to_string(list(text ORDER BY page, y0, x0, block_id, word_index)[1:20], ' ') AS words FROM words GROUP BY doc_id) w JOIN (SELECT doc_id, array_to_string(list(text ORDER BY page, y0, block_id)[1:3], chr(10)) AS lines FROM lines GROUP BY doc_id) l USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(title, '|' ORDER BY page, y0, seq) AS titles FROM toc GROUP BY doc_id) t USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(DISTINCT figure, '|' ORDER BY list_transform(string_split(figure, '.'), lambda x: CAST(x AS BIGINT))) AS figures FROM captions WHERE kind = 'image' GROUP BY doc_id) f USING (doc_id)""")
+def sorted_lists(c: Corpus) -> DataFrame:
+    """Words by height and place, lines by height, contents by page and height, figures by number."""
+    first = lambda df, n, sep, name, *order: df.groupBy("doc_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(*order, "text"))), 1, n), lambda s: s["text"]), sep).alias(name))
+    w = first(c.words, 20, " ", "words", "page", "y0", "x0", "block_id", "word_index")
+    n = first(c.lines, 3, "\n", "lines", "page", "y0", "block_id")
+    t = c.toc.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "seq", "title"))), lambda s: s["title"]), "|").alias("titles"))
+    number = F.transform(F.split("figure", r"\."), lambda x: x.cast("long")).alias("n")
+    f = _captions(c).where("kind = 'image'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(number, "figure"))), lambda s: s["figure"]), "|").alias("figures"))
+    j = w.join(n, "doc_id").join(t, "doc_id", "left").join(f, "doc_id", "left")
+    return j.select("doc_id", "words", "lines", F.coalesce("titles", F.lit("")).alias("titles"), F.coalesce("figures", F.lit("")).alias("figures"))
 
 
 @rule("SL06", f"SELECT doc_id, min(chunk) AS chunk FROM {_CHUNKS} WHERE regexp_matches(lower(piece), 'measured|plan|range') GROUP BY doc_id")
@@ -404,12 +470,6 @@ def summary_finding(c: Corpus) -> DataFrame:
 # ---- language, bibliography and scoring ------------------------------------------------------
 
 
-@rule("LG01", "SELECT doc_id, block_id FROM boxes GROUP BY doc_id, block_id HAVING max(page) > 1")
-def contexts(c: Corpus) -> DataFrame:
-    """Blocks that end past the first two pages."""
-    return c.boxes.groupBy("doc_id", "block_id").agg(F.max("page").alias("p")).where("p > 1").select("doc_id", "block_id")
-
-
 @rule("LG03", "SELECT DISTINCT doc_id, lower(text) AS name FROM words WHERE italic UNION SELECT doc_id, lower(trim(unnest(string_split(regexp_replace(content, '^[^:]*: ', ''), ',')))) FROM blocks WHERE regexp_matches(lower(content), '^keywords')")
 def names(c: Corpus) -> DataFrame:
     italic = c.words.where("italic").select("doc_id", F.lower("text").alias("name"))
@@ -549,11 +609,6 @@ def fill_ratio(c: Corpus) -> DataFrame:
     return cell.groupBy("doc_id").agg(F.round(F.count(F.when(F.trim("cell") != "", 1)) / F.count("*"), 6).alias("fill"))
 
 
-@rule("SNK01", """SELECT '{"doc_id":' || doc_id || ',"category":"orientation","page":' || page || '}' AS json FROM sheets WHERE height < width""")
-def findings_json(c: Corpus) -> DataFrame:
-    return R.wrong_orientation(c).select(F.to_json(F.struct("doc_id", "category", "page")).alias("json"))
-
-
 @rule("SNK04", "SELECT doc_id, CAST((i - 1) // 50 AS INTEGER) AS page, CAST((i - 1) % 50 AS INTEGER) AS line, substr(text, CAST((i - 1) * 90 + 1 AS BIGINT), 90) AS content FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 90.0) AS BIGINT))) AS i FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM deco))")
 def report_pages(c: Corpus) -> DataFrame:
     """Text in lines of 90 characters and pages of 50 lines."""

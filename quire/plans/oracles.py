@@ -148,6 +148,10 @@ def _spans(pattern: str, table: str = "blocks") -> str:
         WINDOW w AS (PARTITION BY doc_id, block_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))"""
 
 
+def _word_sets(pattern: str) -> str:
+    return f"SELECT m.doc_id, m.block_id, m.start, array_to_string(list_sort(list(DISTINCT word_index)), ',') AS ws FROM {_spans(pattern)} m JOIN words w ON w.doc_id = m.doc_id AND w.block_id = m.block_id AND m.start < w.end_char AND m.stop > w.start_char GROUP BY ALL"
+
+
 _BODY: dict[str, str] = {
     "SRC10": "SELECT doc_id, seq, title, page, level, src_page FROM toc",
     "SRC14": "SELECT doc_id, seq, number, title, level FROM sections",
@@ -211,13 +215,12 @@ _BODY: dict[str, str] = {
         ON m.doc_id = c.doc_id AND m.n = c.figure AND m.block_id <> c.block_id WHERE c.kind = 'image' GROUP BY ALL""",
     "JN19": """SELECT doc_id, figure, array_to_string(rs, '; ') AS reasons, len(rs) AS n_reasons FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS figure, list_filter([a.r, b.r], lambda x: x IS NOT NULL) AS rs
         FROM (SELECT doc_id, page, 'low resolution' AS r FROM visuals WHERE trunc(px_width / ((vx1 - vx0) / 72)) < 75) a FULL JOIN (SELECT doc_id, page, 'raster' AS r FROM visuals WHERE image_type = 'raster' AND kind = 'image') b ON a.doc_id = b.doc_id AND a.page = b.page)""",
-    "JN20": """SELECT doc_id, count(*) FILTER (p AND e) AS tp, count(*) FILTER (e IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.p, b.e FROM
-        (SELECT doc_id, text, true AS p, row_number() OVER (PARTITION BY doc_id, text ORDER BY word_index, block_id) AS rn FROM tokens WHERE word_index < 5) a FULL JOIN
-        (SELECT doc_id, text, true AS e, row_number() OVER (PARTITION BY doc_id, text ORDER BY word_index, block_id) AS rn FROM tokens WHERE word_index BETWEEN 2 AND 7) b ON a.doc_id = b.doc_id AND a.text = b.text AND a.rn = b.rn) GROUP BY doc_id""",
+    "JN20": f"""SELECT doc_id, count(*) FILTER (p AND e) AS tp, count(*) FILTER (e IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.p, b.e FROM
+        (SELECT *, true AS p, row_number() OVER (PARTITION BY doc_id, block_id, ws) AS rn FROM ({_word_sets('[0-9]+[.,][0-9]+')})) a FULL JOIN (SELECT *, true AS e, row_number() OVER (PARTITION BY doc_id, block_id, ws) AS rn FROM ({_word_sets('[0-9]+[.][0-9]+')})) b ON a.doc_id = b.doc_id AND a.block_id = b.block_id AND a.ws = b.ws AND a.rn = b.rn) GROUP BY doc_id""",
     "JN21": "SELECT s.doc_id, seq, number, title, level, count(b.block_id) AS n_blocks, coalesce(sum(length(content)), 0) AS n_chars FROM sections s LEFT JOIN blocks b ON b.doc_id = s.doc_id AND b.block_id > s.start AND (s.stop IS NULL OR b.block_id < s.stop) GROUP BY ALL",
     "JN22": "SELECT doc_id, seq, number, level, (SELECT min(o.start) FROM sections o WHERE o.doc_id = s.doc_id AND o.start > s.start AND o.level <= s.level) AS until FROM sections s",
     "JN25": "SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) FROM embeddings)), 6) AS cosine FROM embeddings",
-    "JN26": "SELECT doc_id, string_agg(text, ' ' ORDER BY line, x0, block_id, text) AS text FROM words WHERE page = 0 AND x0 <= 250 AND x1 >= 100 AND y0 <= 150 AND y1 >= 80 GROUP BY doc_id",
+    "JN26": "SELECT doc_id, string_agg(text, ' ' ORDER BY line) AS text FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM (SELECT doc_id, line, string_agg(text, ' ' ORDER BY x0, block_id, word_index) AS text FROM words WHERE page = 0 AND x0 <= 250 AND x1 >= 100 AND y0 <= 150 AND y1 >= 80 GROUP BY doc_id, line)) WHERE before IS NULL OR before <> text GROUP BY doc_id",
     "AG01": "SELECT doc_id, count(*) - 1 AS pages FROM sheets GROUP BY doc_id",
     "AG02": "SELECT doc_id, font, size, count(*) AS n FROM words GROUP BY ALL",
     "AG03": "SELECT doc_id, arg_min(size, (-n, first)) AS dominant, max(n) AS dominant_count FROM (SELECT doc_id, size, count(*) AS n, min((block_id, word_index)) AS first FROM words GROUP BY ALL) GROUP BY doc_id",
@@ -260,7 +263,9 @@ _BODY: dict[str, str] = {
 TABLES["chapter_numbers"] = f"""SELECT doc_id, unnest(regexp_extract_all(t, {text_of(_CHAPTER_NUMBER)}, 2)) AS number FROM (SELECT doc_id, title AS t FROM toc UNION ALL SELECT doc_id, number || ' ' || title FROM tof UNION ALL SELECT doc_id, number || ' ' || title FROM tot)
     UNION ALL SELECT doc_id, regexp_extract(content, {text_of(_CHAPTER_NUMBER)}, 2) FROM captions WHERE regexp_extract(content, {text_of(_CHAPTER_NUMBER)}, 2) <> ''"""
 TABLES["gaps"] = "SELECT * FROM (SELECT doc_id, page, line, x1 AS g0, lead(x0) OVER (PARTITION BY doc_id, page, line ORDER BY x0) AS g1 FROM words) WHERE g1 IS NOT NULL"
-_BODY["WN07"] = """SELECT doc_id, min(b) AS block_id, count(*) AS parts, string_agg(content, ' ' ORDER BY b) AS title FROM (SELECT doc_id, r - row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS i, block_id AS b, content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM placed) WHERE n_words < 6) GROUP BY doc_id, i"""
+_BODY["WN07"] = """SELECT doc_id, min(block_id) AS block_id, count(*) AS parts, string_agg(content, ' ' ORDER BY block_id) AS title FROM (SELECT *, sum(CASE WHEN r = lag_r + 1 AND font = lag_font AND abs(size - lag_size) < 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_id) AS i FROM (
+        SELECT *, lag(r) OVER w AS lag_r, lag(font) OVER w AS lag_font, lag(size) OVER w AS lag_size FROM (SELECT p.doc_id, p.block_id, content, n_words, r, font, size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS r FROM placed) p JOIN words f ON f.doc_id = p.doc_id AND f.block_id = p.block_id AND f.word_index = 0 WHERE n_words < 6)
+        WINDOW w AS (PARTITION BY doc_id ORDER BY block_id))) GROUP BY doc_id, i"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -298,17 +298,25 @@ def outside_images(c: Corpus) -> DataFrame:
     return K.outside_visuals(f, c.visuals, "image").select("doc_id", "category", "block_id", "page")
 
 
-@rule("SCL25", "SELECT doc_id, block_id, concat(regexp_replace(substr(content, 1, p), '', ''), repeat(' ', n), substr(content, p + n + 1)) AS masked FROM (SELECT doc_id, block_id, content, strpos(content, q) - 1 AS p, length(q) AS n FROM (SELECT *, regexp_extract(content, '\"[^\"]*\"') AS q FROM blocks) WHERE q <> '')")
+# Quotations, from any opening mark to the next closing one.
+QUOTED = "[“„″”'\"](.+?)[“”″'\"]"
+
+
+@rule("SCL25", "SELECT doc_id, block_id, array_to_string(list_transform(list_zip(gs, list_append(ms, '')), lambda z: z[1] || repeat(' ', length(z[2]))), '') AS masked FROM (SELECT doc_id, block_id, string_split_regex(content, '{quoted}') AS gs, regexp_extract_all(content, '{quoted}') AS ms FROM blocks) WHERE len(ms) > 0")
 def masked_quotes(c: Corpus) -> DataFrame:
-    """Blocks with their first quotation blanked; offsets hold."""
-    q = c.blocks.where(F.col("content").rlike('"[^"]*"')).withColumn("q", F.slice(spans(F.col("content"), '"[^"]*"'), 1, 1))
+    """Blocks with their quotations blanked; offsets hold."""
+    q = c.blocks.where(F.col("content").rlike(QUOTED)).withColumn("q", spans(F.col("content"), QUOTED))
     return q.select("doc_id", "block_id", mask(F.col("content"), F.col("q")).alias("masked"))
 
 
-@rule("SCL26", "SELECT doc_id, block_id, start, stop FROM {spans:quotes}")
+@rule("SCL26", "SELECT n.doc_id, n.block_id, n.start, n.stop, count(q.start) > 0 AS quoted FROM {spans:number} n LEFT JOIN {spans:quotes} q ON q.doc_id = n.doc_id AND q.block_id = n.block_id AND ((q.start < n.start AND n.start < q.stop) OR (q.start < n.stop AND n.stop < q.stop)) GROUP BY ALL")
 def quotes(c: Corpus) -> DataFrame:
-    b = c.blocks.where(F.col("content").rlike('"[^"]*"'))
-    return b.select("doc_id", "block_id", F.inline(spans(F.col("content"), '"[^"]*"'))).select("doc_id", "block_id", "start", "stop")
+    """Numbers, and whether one of their ends lies strictly inside a quotation."""
+    number = r"[0-9]+[.,][0-9]+"
+    b = c.blocks.where(F.col("content").rlike(number)).withColumn("q", F.coalesce(spans(F.col("content"), QUOTED), F.array().cast("array<struct<text:string,start:int,stop:int>>")))
+    n = b.select("doc_id", "block_id", "q", F.inline(spans(F.col("content"), number)))
+    within = lambda x: F.exists("q", lambda s: (s["start"] < F.col(x)) & (F.col(x) < s["stop"]))
+    return n.select("doc_id", "block_id", "start", "stop", (within("start") | within("stop")).alias("quoted"))
 
 
 # ---- bibliography ----------------------------------------------------------------------------
@@ -581,7 +589,7 @@ def complete_sql() -> None:
 
     personal = f"(SELECT 1 FROM (SELECT unnest(regexp_extract_all(content, '[^.!?]+[.!?]+')) AS s FROM blocks) WHERE length(s) >= 15 AND regexp_matches(lower(s), '{FIRST_PERSON}'))"
     art = f"(SELECT *, {_any('lower(title)', ART_TITLES['en'])} AS named FROM section_cites WHERE n_chars >= 200 AND NOT {_any('lower(title)', OTHER_CHAPTERS['en'])})"
-    patterns = {**DASHES, "hyphen_plain": r"\s-\s|\s-(?:[^\d\s]|$)|-\s", "comma": r"[0-9]+,(?:[0-9]{4,}|[0-9]{1,2})(?:[^0-9]|$)", "quotes": '"[^"]*"', "numeric": r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"}
+    patterns = {**DASHES, "hyphen_plain": r"\s-\s|\s-(?:[^\d\s]|$)|-\s", "comma": r"[0-9]+,(?:[0-9]{4,}|[0-9]{1,2})(?:[^0-9]|$)", "quotes": QUOTED, "number": r"[0-9]+[.,][0-9]+", "numeric": r"\[[0-9 ,\-]*[0-9][0-9 ,\-]*\]"}
     for k, v in ORACLES.items():
-        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art).replace("{personal}", personal).replace("{bibtex}", f"({ORACLES['BB06']})")
+        v = v.replace("{spans}", _spans("[0-9A-Za-z.]+")).replace("{art}", art).replace("{quoted}", QUOTED.replace("'", "''")).replace("{personal}", personal).replace("{bibtex}", f"({ORACLES['BB06']})")
         ORACLES[k] = re.sub(r"\{spans:(\w+)\}", lambda m: _spans(patterns[m[1]]), v)
