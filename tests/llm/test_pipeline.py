@@ -38,8 +38,9 @@ def test_stages(spark):
     single = corpus_pipeline.drop_near_copies(spark, deduped, SF)
     kept = {tuple(r) for r in single.collect()}
     texts = [r[1] for r in want]
-    # the first of each group of similarity 0.8 may stay; groups nobody comes near keep theirs
-    assert kept <= {want[i] for i in near_groups(texts)[0]} and kept >= {want[i] for i in near_groups(texts, 0.62)[0]}
+    # one threshold: nothing goes that no text of similarity 0.8 keeps, and nearly all that such a text keeps go
+    first = {want[i] for i in near_groups(texts)[0]}
+    assert kept >= first and len(kept - first) <= 0.05 * (len(want) - len(first))
     want = sorted(kept)
 
     mixed = corpus_pipeline.mix_sources(spark, single, SF)
