@@ -191,6 +191,9 @@ _BODY: dict[str, str] = {
     "SCL35": "SELECT doc_id, block_id, citation, CAST(number AS INTEGER) AS number FROM cites",
     "SCL36": f"SELECT * FROM (SELECT doc_id, block_id, regexp_extract(lower(content), {text_of(scalars.FIGURE)}, 1) AS figure, regexp_extract(lower(content), {text_of(scalars.SHORT_FIGURE)}, 1) AS short FROM blocks) WHERE figure <> '' OR short <> ''",
     "SCL37": "SELECT doc_id, i - 1 AS chunk, substr(text, CAST((i - 1) * 2500 + 1 AS BIGINT), 2500) AS piece FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 2500.0) AS BIGINT))) AS i FROM deco)",
+    "SCL38": """SELECT doc_id, chunk, piece FROM (WITH RECURSIVE cut AS (SELECT doc_id, text, 0 AS chunk, 0 AS at_char, CASE WHEN 1400 < length(text) AND 1400 - length(regexp_extract(substr(text, 1, 1400), '([^.!?]*)$', 1)) > 630 THEN substr(text, 1, 1400 - length(regexp_extract(substr(text, 1, 1400), '([^.!?]*)$', 1))) ELSE substr(text, 1, 1400) END AS piece FROM deco
+        UNION ALL SELECT doc_id, text, chunk + 1, n, CASE WHEN n + 1400 < length(text) AND 1400 - length(regexp_extract(substr(text, n + 1, 1400), '([^.!?]*)$', 1)) > 630 THEN substr(text, n + 1, 1400 - length(regexp_extract(substr(text, n + 1, 1400), '([^.!?]*)$', 1))) ELSE substr(text, n + 1, 1400) END
+        FROM (SELECT *, CAST(at_char + greatest(1, length(piece) - 200) AS INTEGER) AS n FROM cut WHERE at_char + length(piece) < length(text) AND chunk < 39)) SELECT * FROM cut) WHERE piece <> ''""",
     "SCL39": """SELECT doc_id, CASE WHEN length(text) <= 1600 THEN text WHEN 1600 - length(regexp_extract(t, '([^.!?]*)$', 1)) > 960 AND regexp_matches(t, '[.!?]') THEN substr(t, 1, 1600 - length(regexp_extract(t, '([^.!?]*)$', 1)))
         WHEN length(regexp_extract(t, '^(.*) [^ ]*$', 1)) > 0 THEN substr(t, 1, length(regexp_extract(t, '^(.*) [^ ]*$', 1))) ELSE t END AS fragment FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text, substr(replace(text, chr(10), ' '), 1, 1600) AS t FROM deco)""",
     "SCL40": f"""SELECT doc_id, trim(CASE WHEN p > 0 THEN substr(text, p, 9000) ELSE substr(text, greatest(1, length(text) - 8999), 9000) END) AS ending FROM (SELECT doc_id, text, greatest({', '.join(f"CASE WHEN contains(lower(text), {text_of(h)}) THEN length(text) - strpos(reverse(lower(text)), reverse({text_of(h)})) - {len(h) - 2} ELSE 0 END" for h in scalars.HEADINGS_OF_END)}) AS p FROM (SELECT doc_id, trim(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM deco))""",

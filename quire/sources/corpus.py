@@ -189,9 +189,10 @@ class Corpus:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
     def write(self, path: str) -> None:
-        """Stores the tables that others are made of, so a battery of queries makes the layout once."""
+        """Stores the tables that others are made of, so a battery of queries makes the layout once. Each is made of those that are stored already, and so is what this corpus gives from then on."""
         for name in STORED:
-            getattr(self, name).write.parquet(f"{path}/{name}.parquet")
+            getattr(self, name).write.parquet(where := f"{path}/{name}.parquet")
+            self.__dict__[name] = self.spark.read.parquet(where)
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -291,7 +292,7 @@ class Corpus:
 
 
 #: The tables of a stored corpus; all others are made of them.
-STORED = ("documents", "blocks", "placed", "words", "pages", "visuals")
+STORED = ("documents", "blocks", "placed", "words", "lines", "boxes", "pages", "visuals", "toc", "tof", "tot")
 
 
 def read_corpus(spark: SparkSession, path: str, sf_dir: str = "") -> Corpus:

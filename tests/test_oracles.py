@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from quire.plans import catalog, oracles
 
 SF = "/root/testdata/sf0.001"
-PYTHON = ("SCL38", "BB02")  # tested on rows by hand in test_sources.py
+PYTHON = ("BB02",)  # tested on rows by hand in test_sources.py
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
 
 
