@@ -97,6 +97,12 @@ def test_words_are_not_shuffled(spark, query, most):
     assert plan.count("Exchange hashpartitioning") <= most
 
 
+def test_entries_without_a_page_come_last(spark):
+    """A number too long for a page gives an entry without one, which SQL sorts behind the others."""
+    lines = [(0, i, i, t) for i, t in enumerate(("Contents", "Long ........ 99999999999", "Later ........ 7", "Sooner ........ 2"))]
+    assert [r.titles for r in catalog.plans()["SL05"](corpus_of(spark, lines)).collect()] == ["Sooner|Later|Long"]
+
+
 # Forms as Python's re has them.
 PYTHON_FORMS = {
     "comma": r"(\d+,(?!\d{3}(?!\d))\d+)", "dot": r"(?<![\d.a-zA-Z])\d+\.\d+(?!\.?\d)", "hyphen": r"(\s-\s|\s-(?=\D|$)|-\s)", "spaces": r"([a-zA-Z\d])[–—]([a-zA-Z])|([a-zA-Z])[–—]([a-zA-Z\d])",
