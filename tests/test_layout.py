@@ -132,7 +132,7 @@ def test_lists_are_missed_in_no_document(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
-@pytest.mark.parametrize(("query", "most"), [("JN08", 4), ("LG06", 5), ("RD12", 5), ("RD24", 9), ("JN12", 4), ("RD13", 5)])
+@pytest.mark.parametrize(("query", "most"), [("JN08", 4), ("LG06", 5), ("RD12", 5), ("RD24", 9), ("JN12", 4), ("RD13", 5), ("LG02", 4)])
 def test_layout_is_made_once_a_table(spark, query, most):
     """Lists are found in one pass each, and no words are made for them."""
     plan = catalog.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
