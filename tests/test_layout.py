@@ -139,6 +139,37 @@ def test_layout_is_made_once_a_table(spark, query, most):
     assert plan.count("FileScan") <= most and "word_index" not in plan
 
 
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_a_list_is_made_once_for_its_findings(spark):
+    """Entries and documents without any come from one list, whose lines are not grouped as they lie apart."""
+    plan = catalog.queries()["RD13"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "collect_list(struct(x0" not in plan
+
+
+def paged(spark):
+    """Lists over several pages, below and after pages without entries, under headings with more spaces and among other lists."""
+    page = lambda *lines: "\n".join(lines + ("pad",) * (40 - len(lines)))
+    two, one, none = ("Table 1 Costs ... 0", "Table 2 A title that", "goes on ... 3"), ("Tabela 3. Gains  4",), ("Nothing 5 here",)
+    pages = [("LIST  of   Tables", *two), one, none, one, ("x", "y", "z", "u", "v", "spis tabel", *two), ("Spis tablic", *none), two, ("Spis rysunków", *two), ("list of tables", *one), ("Contents", *two, *one)]
+    orders = [[i] for i in range(len(pages))] + [[i, j, k] for i in range(len(pages)) for j in range(len(pages)) for k in (1, 6, 8)]
+    rows = [(77 * n + 1, "\n".join(page(*pages[i]) for i in o), "en", "s") for n, o in enumerate(orders)]
+    return Corpus(spark, documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+
+
+def test_lists_over_pages_equal_those_of_words(spark):
+    """Lists of lines that lie apart, of documents with a heading alone, are those of grouped lines of all documents."""
+    c = paged(spark)
+    w = corpus.corpus_of_words(spark, c.words, pages=c.pages, documents=c.documents, visuals=c.visuals)
+    for name in ("toc", "tof", "tot"):
+        got = sorted(map(str, getattr(c, name).collect()))
+        assert got == sorted(map(str, getattr(w, name).collect())) and got, name
+    for q in ("RD12", "RD13", "LG02"):
+        got = sorted(map(str, catalog.plans()[q](c).collect()))
+        assert got == sorted(map(str, catalog.plans()[q](w).collect())), q
+    kinds = {r.category: r.n for r in catalog.plans()["RD13"](c).groupBy("category").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert kinds["lack_of_TOT"] + c.tot.select("doc_id").distinct().count() == c.documents.count() and kinds["TOT_mismatch"]
+
+
 # Forms as Python's re has them.
 PYTHON_FORMS = {
     "comma": r"(\d+,(?!\d{3}(?!\d))\d+)", "dot": r"(?<![\d.a-zA-Z])\d+\.\d+(?!\.?\d)", "hyphen": r"(\s-\s|\s-(?=\D|$)|-\s)", "spaces": r"([a-zA-Z\d])[–—]([a-zA-Z])|([a-zA-Z])[–—]([a-zA-Z\d])",
