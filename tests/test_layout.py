@@ -146,6 +146,17 @@ def test_a_list_is_made_once_for_its_findings(spark):
     assert plan.count("FileScan") <= 4 and "collect_list(struct(x0" not in plan
 
 
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_lists_share_what_deals_them(spark):
+    """Three lists of chapter numbers take the blocks of one exchange, each of its own documents alone, and group no lines."""
+    listing = Corpus(spark, SF).listing
+    n = listing.placed.select("doc_id").distinct().count()
+    for headings in (corpus.CONTENTS, corpus.FIGURES, corpus.TABLES):
+        assert 0 < listing.headed(headings).placed.select("doc_id").distinct().count() < n
+    plan = catalog.queries()["LG02"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "collect_list(struct(x0" not in plan
+
+
 def paged(spark):
     """Lists over several pages, below and after pages without entries, under headings with more spaces and among other lists."""
     page = lambda *lines: "\n".join(lines + ("pad",) * (40 - len(lines)))
