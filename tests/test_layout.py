@@ -121,6 +121,20 @@ def test_laid_tables_equal_those_of_words(spark):
     assert rows(c.sheets, c.sheets.columns) == rows(c.pages, c.sheets.columns)
 
 
+def test_sorted_lists_are_whole(spark):
+    """All words and lines by their place on the page, whichever block they are in, and those by arithmetic as those that words give."""
+    lines = [(p, b, line, f"{p}.{line} " + " ".join(f"w{i}" for i in range(8))) for b, (p, line) in enumerate((p, line) for p in (2, 0, 1) for line in range(6))]
+    want = [t for _, _, _, t in sorted(lines, key=lambda r: (r[0], r[2]))]
+    plan = catalog.plans()["SL05"]
+    assert [(r.words, r.lines) for r in plan(corpus_of(spark, lines)).collect()] == [(" ".join(want), "\n".join(want))]
+    c = laid(spark)
+    rows = lambda x: sorted(tuple(r) for r in plan(x).select("doc_id", "words", "lines").collect())
+    got = rows(c)
+    assert got == rows(corpus.corpus_of_words(spark, c.words)) and len(got) == c.documents.count()
+    n = {r.doc_id: r.n for r in c.words.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {d: len(w.split(" ")) for d, w, _ in got} == n and max(n.values()) > 1000
+
+
 def test_lists_are_missed_in_no_document(spark):
     """Lists looked for where there may be any are those of all documents."""
     c, whole = laid(spark), laid(spark)
